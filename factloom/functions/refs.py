@@ -33,22 +33,38 @@ def make_ref(table, lakehouse="", workspace="") -> Column:
     return F.concat_ws("/", _escape(_text(workspace)), _escape(_text(lakehouse)), _escape(_text(table)))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _record(**fields) -> Column:
+    return F.named_struct(*[part for name, value in fields.items() for part in (F.lit(name), value)])
+
+
+def _workspace(ref: Column) -> Column:
+    return _unescape(F.when(_slashes(ref) >= 2, F.substring_index(ref, "/", 1)).otherwise(F.lit("")))
+
+
+def _lakehouse(ref: Column) -> Column:
+    second = F.substring_index(F.substring_index(ref, "/", 2), "/", -1)
+    first = F.substring_index(ref, "/", 1)
+    return _unescape(F.when(_slashes(ref) >= 2, second).when(_slashes(ref) == 1, first).otherwise(F.lit("")))
+
+
+def _table(ref: Column) -> Column:
+    two = F.substring_index(ref, "/", 2)
+    rest = F.when(_slashes(ref) >= 2, F.substr(ref, F.length(two) + 2)).otherwise(F.substring_index(ref, "/", -1))
+    return _unescape(rest)
+
+
+def _slashes(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("/"), F.lit("")))
+
+
 def parse_ref(ref: Column) -> Column:
     """``struct<workspace, lakehouse, table>``; one part is a table, two are lakehouse/table."""
-    parts = F.split(ref, "/", -1)
-    count = F.size(parts)
-    empty = F.lit("")
-    return F.struct(
-        _unescape(F.when(count >= 3, parts[0]).otherwise(empty)).alias("workspace"),
-        _unescape(
-            F.when(count >= 3, parts[1]).when(count == 2, parts[0]).otherwise(empty)
-        ).alias("lakehouse"),
-        _unescape(
-            F.when(count == 1, parts[0])
-            .when(count == 2, parts[1])
-            .otherwise(F.array_join(F.slice(parts, 3, F.greatest(count - 2, F.lit(1))), "/"))
-        ).alias("table"),
-    )
+    return _record(workspace=_workspace(ref), lakehouse=_lakehouse(ref), table=_table(ref))
 
 
 def _names_file(table: Column) -> Column:
@@ -57,7 +73,7 @@ def _names_file(table: Column) -> Column:
 
 def is_file_ref(ref: Column) -> Column:
     """Whether the ref names the raw file layer rather than a table."""
-    return _names_file(parse_ref(ref)["table"])
+    return _names_file(_table(ref))
 
 
 def ref_kind(ref: Column) -> Column:
@@ -66,36 +82,32 @@ def ref_kind(ref: Column) -> Column:
 
 def table_ref_parts(ref: Column) -> Column:
     """Parts plus ``resolved`` (the workspace is known) and ``kind``."""
-    parts = parse_ref(ref)
-    return F.struct(
-        parts["workspace"].alias("workspace"),
-        parts["lakehouse"].alias("lakehouse"),
-        parts["table"].alias("table"),
-        ((parts["workspace"] != "") & (parts["table"] != "")).alias("resolved"),
-        F.when(_names_file(parts["table"]), F.lit("file")).otherwise(F.lit("table")).alias("kind"),
+    return _record(
+        workspace=_workspace(ref),
+        lakehouse=_lakehouse(ref),
+        table=_table(ref),
+        resolved=(_workspace(ref) != "") & (_table(ref) != ""),
+        kind=ref_kind(ref),
     )
 
 
 def is_qualified(ref: Column) -> Column:
-    parts = parse_ref(ref)
-    return (parts["workspace"] != "") & (parts["lakehouse"] != "") & (parts["table"] != "")
+    return (_workspace(ref) != "") & (_lakehouse(ref) != "") & (_table(ref) != "")
 
 
 def ref_label(ref: Column) -> Column:
     """Display name: the table part, or the ref itself when that is empty."""
-    table = parse_ref(ref)["table"]
-    return F.when(table != "", table).otherwise(ref)
+    return F.when(_table(ref) != "", _table(ref)).otherwise(ref)
 
 
 def ref_workspace(ref: Column) -> Column:
     """Workspace, blank unless the ref is resolved."""
-    parts = parse_ref(ref)
-    return F.when(parts["table"] != "", parts["workspace"]).otherwise(F.lit(""))
+    return F.when(_table(ref) != "", _workspace(ref)).otherwise(F.lit(""))
 
 
 def ref_lakehouse(ref: Column) -> Column:
     """Lakehouse; known even when the workspace is not."""
-    return parse_ref(ref)["lakehouse"]
+    return _lakehouse(ref)
 
 
 def strip_kind(segment: Column) -> Column:
@@ -110,14 +122,15 @@ def _last(items: Column) -> Column:
     return F.coalesce(F.try_element_at(items, F.lit(-1)), F.lit(""))
 
 
-def _path_leaf(segments: Column) -> Column:
+def _path_leaf(path: Column) -> Column:
     """``Files/...`` keeps its whole path; a table path ends at the table folder."""
-    at = F.array_position(F.transform(segments, F.lower), "files").cast("int")
-    from_files = F.array_join(F.slice(segments, F.greatest(at, F.lit(1)), F.greatest(F.size(segments), F.lit(1))), "/")
-    table = _last(
-        F.filter(segments, lambda s: (F.lower(s) != "tables") & ~F.rlike(s, F.lit(fixed.STORAGE_LEAF)))
-    )
-    return F.when(at > 0, from_files).otherwise(table)
+    def leaf(segments):
+        at = F.array_position(F.transform(segments, F.lower), "files").cast("int")
+        from_files = F.array_join(F.slice(segments, at, F.size(segments)), "/")
+        table = F.filter(segments, lambda s: (F.lower(s) != "tables") & ~F.rlike(s, F.lit(fixed.STORAGE_LEAF)))
+        return F.when(at > 0, from_files).otherwise(_last(table))
+
+    return _let(path, leaf)
 
 
 def _drop_first(items: Column) -> Column:
@@ -133,55 +146,57 @@ def qualify_parts(raw: Column, workspace="", lakehouse="") -> Column:
     """Raw source text -> ``struct<workspace, lakehouse, table, by_path>``.
 
     ``by_path`` marks the absolute path form, whose parts may be GUIDs that a
-    name map can resolve (see ``resolve_parts``).
+    name map can resolve (see ``qualify_refs``).
     """
     workspace, lakehouse = _text(workspace), _text(lakehouse)
-    raw = _clean(raw)
-    is_abfss = F.rlike(raw, F.lit(fixed.ABFSS))
-    container = F.regexp_extract(raw, fixed.ABFSS, 1)
-    rest = _segments(F.regexp_extract(raw, fixed.ABFSS, 2))
-    generic = F.lower(container) == fixed.GENERIC_CONTAINER
-    abfss_ws = F.when(generic, F.coalesce(F.get(rest, F.lit(0)), F.lit(""))).otherwise(container)
-    after_ws = F.when(generic, _drop_first(rest)).otherwise(rest)
-    abfss_lh = strip_kind(F.coalesce(F.get(after_ws, F.lit(0)), F.lit("")))
-
-    dotted = F.filter(
-        F.transform(F.split(raw, "\\.", -1), lambda p: F.btrim(p, F.lit("`"))), lambda p: p != ""
-    )
-    count = F.size(dotted)
-    has_slash = F.contains(raw, F.lit("/"))
-
-    def part(position):
-        return F.try_element_at(dotted, F.lit(position))
-
-    def pick(by_abfss, by_path, by_three, by_two, by_one):
-        return (
-            F.when(is_abfss, by_abfss)
-            .when(raw == "", F.lit(""))
-            .when(has_slash, by_path)
-            .when(count >= 3, by_three)
-            .when(count == 2, by_two)
-            .otherwise(by_one)
-        )
-
-    return F.struct(
-        pick(abfss_ws, workspace, part(-3), workspace, workspace).alias("workspace"),
-        pick(abfss_lh, lakehouse, strip_kind(part(-2)), strip_kind(part(-2)), lakehouse).alias("lakehouse"),
-        pick(_path_leaf(_drop_first(after_ws)), _path_leaf(_segments(raw)), part(-1), part(-1), raw).alias("table"),
-        is_abfss.alias("by_path"),
-    )
+
+    def parts(workspace, lakehouse, table, by_path=False):
+        return _record(workspace=workspace, lakehouse=lakehouse, table=table, by_path=F.lit(by_path))
+
+    def absolute(text):
+        container = F.regexp_extract(text, fixed.ABFSS, 1)
+        generic = F.lower(container) == fixed.GENERIC_CONTAINER
+        rest = _segments(F.regexp_extract(text, fixed.ABFSS, 2))
+        # The container is the workspace unless it is the generic one.
+        path = F.when(generic, rest).otherwise(F.concat(F.array(container), rest))
+        return _let(path, lambda p: parts(
+            F.coalesce(F.get(p, F.lit(0)), F.lit("")),
+            strip_kind(F.coalesce(F.get(p, F.lit(1)), F.lit(""))),
+            _path_leaf(_drop_first(_drop_first(p))),
+            by_path=True,
+        ))
+
+    def dotted(text):
+        names = F.filter(F.transform(F.split(text, "\\.", -1), lambda p: F.btrim(p, F.lit("`"))), lambda p: p != "")
+        return _let(names, lambda n: F.when(
+            F.size(n) >= 2,
+            parts(
+                F.when(F.size(n) >= 3, F.try_element_at(n, F.lit(-3))).otherwise(workspace),
+                strip_kind(F.try_element_at(n, F.lit(-2))),
+                F.try_element_at(n, F.lit(-1)),
+            ),
+        ).otherwise(parts(workspace, lakehouse, text)))
+
+    return _let(_clean(raw), lambda text: (
+        F.when(text == "", parts(F.lit(""), F.lit(""), F.lit("")))
+        .when(F.rlike(text, F.lit(fixed.ABFSS)), absolute(text))
+        .when(F.contains(text, F.lit("/")), parts(workspace, lakehouse, _path_leaf(_segments(text))))
+        .when(~F.contains(text, F.lit(".")), parts(workspace, lakehouse, text))
+        .otherwise(dotted(text))
+    ))
 
 
 def qualify(raw: Column, workspace="", lakehouse="") -> Column:
     """Raw table reference -> canonical ref, GUIDs kept as identity."""
-    parts = qualify_parts(raw, workspace, lakehouse)
-    return make_ref(parts["table"], parts["lakehouse"], parts["workspace"])
+    return _let(
+        qualify_parts(raw, workspace, lakehouse),
+        lambda p: make_ref(p["table"], p["lakehouse"], p["workspace"]),
+    )
 
 
 def looks_like_ref(value: Column) -> Column:
     value = F.btrim(F.coalesce(value, F.lit("")), F.lit(_SPACE))
-    slashes = F.length(value) - F.length(F.replace(value, F.lit("/"), F.lit("")))
-    return ~F.lower(value).startswith("abfss://") & (slashes >= 2)
+    return ~F.lower(value).startswith("abfss://") & (_slashes(value) >= 2)
 
 
 def as_ref(value: Column, workspace="", lakehouse="") -> Column:

@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 
 from factloom.plans import report_queries  # noqa: F401
+from factloom.plans import scan_queries  # noqa: F401

@@ -57,7 +57,8 @@ SELECT l_orderkey AS run_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY
   WHEN 4 THEN concat('df.write.mode("overwrite").saveAsTable("lh_silver.t', l_partkey % 9, '")')
   WHEN 5 THEN concat('%%sql\nMERGE INTO lh_gold.m', l_partkey % 5, ' USING lh_silver.t', l_suppkey % 9, ' ON 1=1')
   WHEN 6 THEN concat('df = spark.read.parquet("Files/landing/f', l_partkey % 6, '/*.parquet")')
-  ELSE 'print(1)' END AS source FROM lineitem
+  ELSE CASE l_partkey % 5 WHEN 0 THEN 'spark.sql(query)' WHEN 1 THEN concat('df.write.mode("append").parquet("Files/out/p', l_suppkey % 6, '")')
+   WHEN 2 THEN 'def broken(:' WHEN 3 THEN concat('%%configure\nretries = ', l_suppkey % 3) ELSE 'print(1)' END END AS source FROM lineitem
 """
 
 SQL["fx_activity"] = """
@@ -211,6 +212,15 @@ SELECT run_id, count(*) AS cells,
  FROM fx_cell_flags WHERE run_id % 11 <> 0 GROUP BY run_id
 """
 
+SQL["fx_statement_text"] = """
+SELECT l_orderkey AS run_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos,
+ CASE l_partkey % 8 WHEN 0 THEN concat('INSERT INTO lh_gold.t', a, ' SELECT * FROM lh_silver.t', b) WHEN 1 THEN concat('CREATE OR REPLACE TABLE lh_gold.t', a, ' USING delta AS SELECT * FROM lh_silver.t', b)
+  WHEN 2 THEN concat('MERGE INTO lh_gold.t', a, ' t USING lh_silver.t', b, ' s ON t.id = s.id') WHEN 3 THEN concat('UPDATE lh_gold.t', a, ' SET c = (SELECT max(c) FROM lh_silver.t', b, ')')
+  WHEN 4 THEN concat('DELETE FROM lh_gold.t', a, ' WHERE id IN (SELECT id FROM stage_', b, ')') WHEN 5 THEN concat('CREATE OR REPLACE TEMP VIEW stage_', a, ' AS SELECT * FROM lh_silver.t', b)
+  WHEN 6 THEN concat('insert overwrite table lh_gold.t', a, ' select * from lh_silver.t', b) ELSE concat('SELECT * FROM lh_silver.t', b) END AS statement FROM
+ (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_partkey % 9 AS a, l_suppkey % 9 AS b FROM lineitem) l
+"""
+
 _NAME = re.compile(r"\b(FROM|JOIN)\s+(fx_\w+|" + "|".join(BASE_TABLES) + r")\b", re.I)
 
 

@@ -76,13 +76,13 @@ traced AS (SELECT DISTINCT run_id, to_table AS ref FROM fx_column_flow),
 described AS (SELECT DISTINCT run_id, ref FROM fx_table_schema),
 unresolved AS (SELECT DISTINCT run_id, ref FROM fx_schema_request WHERE state = 'unresolved'),
 failure AS (SELECT run_id, arg_min(failure, ref) AS failure FROM fx_schema_request WHERE failure IS NOT NULL GROUP BY run_id),
-facts AS (SELECT a.run_id, a.ref, a.mode, s.at, s.engine, t.ref IS NOT NULL AS is_traced, d.ref IS NOT NULL AS is_described,
+facts AS (SELECT a.run_id, a.ref, a.mode, s.at AS "at", s.engine, t.ref IS NOT NULL AS is_traced, d.ref IS NOT NULL AS is_described,
   u.ref IS NOT NULL AS is_unresolved, f.failure, c.run_id IS NOT NULL AS has_coverage, c.dataframe_write_cells, c.dynamic_sql_cells, c.unparsable_cells
  FROM ra a JOIN fx_step_run s ON s.run_id = a.run_id
  LEFT JOIN traced t ON t.run_id = a.run_id AND t.ref = a.ref LEFT JOIN described d ON d.run_id = a.run_id AND d.ref = a.ref
  LEFT JOIN unresolved u ON u.run_id = a.run_id AND u.ref = a.ref LEFT JOIN failure f ON f.run_id = a.run_id
  LEFT JOIN fx_coverage c ON c.run_id = a.run_id),
-verdict AS (SELECT ref, run_id, at, mode, CASE WHEN is_traced THEN 2 WHEN NOT is_described THEN 0 ELSE 1 END AS rank,
+verdict AS (SELECT ref, run_id, "at", mode, CASE WHEN is_traced THEN 2 WHEN NOT is_described THEN 0 ELSE 1 END AS rank,
  CASE WHEN is_traced THEN '' WHEN NOT is_described THEN
    CASE WHEN NOT is_unresolved THEN '{fixed.REASON_NO_COLUMNS}' WHEN failure IS NOT NULL THEN concat('Its schema could not be read: ', failure)
     ELSE '{fixed.REASON_UNRESOLVED}' END
