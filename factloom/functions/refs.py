@@ -33,7 +33,7 @@ def make_ref(table, lakehouse="", workspace="") -> Column:
     return F.concat_ws("/", _escape(_text(workspace)), _escape(_text(lakehouse)), _escape(_text(table)))
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -130,7 +130,7 @@ def _path_leaf(path: Column) -> Column:
         table = F.filter(segments, lambda s: (F.lower(s) != "tables") & ~F.rlike(s, F.lit(fixed.STORAGE_LEAF)))
         return F.when(at > 0, from_files).otherwise(_last(table))
 
-    return _let(path, leaf)
+    return let(path, leaf)
 
 
 def _drop_first(items: Column) -> Column:
@@ -159,7 +159,7 @@ def qualify_parts(raw: Column, workspace="", lakehouse="") -> Column:
         rest = _segments(F.regexp_extract(text, fixed.ABFSS, 2))
         # The container is the workspace unless it is the generic one.
         path = F.when(generic, rest).otherwise(F.concat(F.array(container), rest))
-        return _let(path, lambda p: parts(
+        return let(path, lambda p: parts(
             F.coalesce(F.get(p, F.lit(0)), F.lit("")),
             strip_kind(F.coalesce(F.get(p, F.lit(1)), F.lit(""))),
             _path_leaf(_drop_first(_drop_first(p))),
@@ -168,7 +168,7 @@ def qualify_parts(raw: Column, workspace="", lakehouse="") -> Column:
 
     def dotted(text):
         names = F.filter(F.transform(F.split(text, "\\.", -1), lambda p: F.btrim(p, F.lit("`"))), lambda p: p != "")
-        return _let(names, lambda n: F.when(
+        return let(names, lambda n: F.when(
             F.size(n) >= 2,
             parts(
                 F.when(F.size(n) >= 3, F.try_element_at(n, F.lit(-3))).otherwise(workspace),
@@ -177,7 +177,7 @@ def qualify_parts(raw: Column, workspace="", lakehouse="") -> Column:
             ),
         ).otherwise(parts(workspace, lakehouse, text)))
 
-    return _let(_clean(raw), lambda text: (
+    return let(_clean(raw), lambda text: (
         F.when(text == "", parts(F.lit(""), F.lit(""), F.lit("")))
         .when(F.rlike(text, F.lit(fixed.ABFSS)), absolute(text))
         .when(F.contains(text, F.lit("/")), parts(workspace, lakehouse, _path_leaf(_segments(text))))
@@ -188,7 +188,7 @@ def qualify_parts(raw: Column, workspace="", lakehouse="") -> Column:
 
 def qualify(raw: Column, workspace="", lakehouse="") -> Column:
     """Raw table reference -> canonical ref, GUIDs kept as identity."""
-    return _let(
+    return let(
         qualify_parts(raw, workspace, lakehouse),
         lambda p: make_ref(p["table"], p["lakehouse"], p["workspace"]),
     )

@@ -28,8 +28,10 @@ def strip_imports(source: Column) -> Column:
 
 def pattern_matches(source: Column, patterns: list[str]) -> Column:
     """Distinct first groups of all patterns, in pattern order."""
-    found = [F.regexp_extract_all(source, F.lit(p), F.lit(1)) for p in patterns]
-    return F.array_distinct(F.flatten(F.array(*found)))
+    def found(text):
+        return F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns]))
+
+    return F.array_distinct(refs.let(source, found))
 
 
 def _scan(cell: DataFrame, patterns: list[str], mode: str) -> DataFrame:

@@ -221,6 +221,18 @@ SELECT l_orderkey AS run_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY
  (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_partkey % 9 AS a, l_suppkey % 9 AS b FROM lineitem) l
 """
 
+SQL["fx_base_frame"] = """
+SELECT DISTINCT notebook, frame, pos, concat(CASE WHEN frame = 'R' AND k = 2 THEN 'd' ELSE 'c' END, k) AS col_name, src_ref, src_column,
+ CASE WHEN (notebook + k) % 4 = 0 THEN 'f(x)' END AS transform FROM
+ (SELECT o_custkey AS notebook, CASE WHEN o_orderkey % 2 = 0 THEN 'L' ELSE 'R' END AS frame, o_orderkey % 3 AS k,
+  dense_rank() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey % 3) AS pos,
+  concat('ws0/lh_bronze/t', o_orderkey % 5) AS src_ref, concat('s', o_orderkey % 4) AS src_column FROM orders) b
+"""
+
+SQL["fx_notebook"] = """
+SELECT DISTINCT o_custkey AS notebook FROM orders
+"""
+
 _NAME = re.compile(r"\b(FROM|JOIN)\s+(fx_\w+|" + "|".join(BASE_TABLES) + r")\b", re.I)
 
 
