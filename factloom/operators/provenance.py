@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from factloom import fixed
 from factloom.functions import refs
-from factloom.session import cut_lineage
+from factloom.session import Rounds, cut_lineage
 
 FRAME_COL = ["notebook", "frame", "pos", "col_name", "src_ref", "src_column", "transform"]
 _OP = ["notebook", "seq"]
@@ -182,9 +182,14 @@ def resolve_frames(ops: DataFrame, args: DataFrame, base: DataFrame, max_rounds:
     just become known; the number of rounds is the longest chain, not the number
     of operations. Frames that depend on an unknown one never become ready.
     """
-    known, pending = cut_lineage(base.select(*FRAME_COL)), ops.filter("left_frame IS NOT NULL")
+    spark = base.sparkSession
+    frames, done = Rounds(spark), Rounds(spark)
+    frames.add(base.select(*FRAME_COL))
+    derived = ops.filter("left_frame IS NOT NULL")
     for _ in range(max_rounds):
+        known = frames.table()
         have = known.select("notebook", "frame").distinct()
+        pending = derived.join(done.table(), _OP, "left_anti") if done.paths else derived
         ready = (
             pending.join(have.withColumnRenamed("frame", "left_frame"), ["notebook", "left_frame"], "left_semi")
             .join(have.withColumnsRenamed({"frame": "right_frame"}).withColumn("_right", F.lit(True)), ["notebook", "right_frame"], "left")
@@ -193,8 +198,8 @@ def resolve_frames(ops: DataFrame, args: DataFrame, base: DataFrame, max_rounds:
         ready = cut_lineage(ready)
         if ready.isEmpty():
             return known
-        pending = cut_lineage(pending.join(ready.select(*_OP), _OP, "left_anti"))
-        known = cut_lineage(known.unionByName(apply_ops(ready, args, known)))
+        frames.add(apply_ops(ready, args, known))
+        done.add(ready.select(*_OP))
     raise RuntimeError(f"frames still open after {max_rounds} rounds")
 
 

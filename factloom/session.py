@@ -25,14 +25,34 @@ def ensure_checkpoint_dir(spark) -> None:
     context.setCheckpointDir(folder)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder so that later rounds start from files.
+def cut_lineage(*frames: DataFrame) -> DataFrame:
+    """Write the frames into one new table under the checkpoint folder and read it.
 
-    A reliable checkpoint survives the loss of executors; the plan of the next
-    round starts at the written blocks instead of growing with each round.
+    Later rounds start from files, which survive the loss of executors, are
+    computed once, and bring the sizes the optimizer needs to choose joins.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = frames[0].sparkSession
+    path = scratch_path(spark, "round")
+    for frame in frames:
+        frame.write.mode("append").parquet(path)
+    return spark.read.schema(frames[0].schema).parquet(path)
+
+
+class Rounds:
+    """The growing result of an iterative job: each round adds a part, read as one table."""
+
+    def __init__(self, spark):
+        self.spark, self.paths, self.schema = spark, [], None
+
+    def add(self, part: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, "round")
+        part.write.parquet(path)
+        self.paths.append(path)
+        self.schema = self.schema or part.schema
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
 
 
 def scratch_path(spark, name: str) -> str:
