@@ -25,6 +25,7 @@ from factloom.session import Rounds, cut_lineage
 
 FRAME_COL = ["notebook", "frame", "pos", "col_name", "src_ref", "src_column", "transform"]
 _OP = ["notebook", "seq"]
+_OUT = "struct<col_name:string,src_ref:string,src_column:string,transform:string,slot:int,kept:boolean,renamed:boolean>"
 
 WITH_COLUMN = ["withColumn", "withColumns"]
 PROJECT = ["select", "selectExpr", "groupBy", "agg"]
@@ -56,122 +57,119 @@ def source_frames(reads: DataFrame, views: DataFrame, schema: DataFrame) -> Data
 
 
 def apply_ops(ops: DataFrame, args: DataFrame, frames: DataFrame) -> DataFrame:
-    """One step of every operation whose input frames are in ``frames``."""
-    sides = ops.select(
-        *_OP, "verb",
-        F.inline(F.filter(
-            F.array(
-                F.struct(F.lit("l").alias("side"), F.col("left_frame").alias("frame")),
-                F.struct(F.lit("r").alias("side"), F.col("right_frame").alias("frame")),
-            ),
-            lambda s: s["frame"].isNotNull(),
-        )),
-    )
-    inputs = sides.join(frames, ["notebook", "frame"]).drop("frame")
-    left, right = inputs.filter("side = 'l'"), inputs.filter("side = 'r'")
-    verb = ops.select(*_OP, "verb")
-    typed = args.join(verb, _OP).withColumn("input", F.explode_outer("input_cols")).drop("input_cols")
-
-    # What an argument yields: the sources of the columns it names.
-    named = left.select(*_OP, F.col("col_name").alias("input"), "src_ref", "src_column")
-    strict = F.col("role").isin("expr", "dict")
-    computed = (
-        typed.filter(F.col("verb").isin(PROJECT + WITH_COLUMN) & F.col("out_name").isNotNull())
-        .withColumn("_last", F.max("pos").over(Window.partitionBy(*_OP, "out_name")))
-        .withColumn("_first", F.min("pos").over(Window.partitionBy(*_OP, "out_name")))
-        .filter("pos = _last")
-        .join(named.withColumn("_known", F.lit(True)), [*_OP, "input"], "left")
-        .filter(~strict | F.col("_known"))
-        .select(
-            *_OP, F.col("out_name").alias("col_name"), "src_ref", "src_column",
-            F.when(~strict & (F.col("role") != "key"), F.col("transform")).alias("transform"),
-            F.when(F.col("verb").isin(WITH_COLUMN), F.col("_first") + 1_000_000).otherwise(F.col("_first")).alias("slot"),
-            F.lit(True).alias("kept"),
-        )
-    )
+    """One step of every operation whose input frames are in ``frames``.
 
-    # What passes through: left columns, changed by at most one argument each.
-    by_position = F.col("verb") == "toDF"
-    touching = typed.filter(F.col("verb").isin(WITH_COLUMN + ["drop", "withColumnRenamed", "toDF"])).select(
-        *_OP,
-        F.when(by_position, F.concat(F.lit("#"), F.col("pos").cast("string")))
-        .when(F.col("verb") == "withColumnRenamed", F.col("input"))
-        .otherwise(F.col("out_name")).alias("hit"),
-        F.col("out_name").alias("_new"),
-    ).distinct()
-    carried_left = left.filter(F.col("verb").isin(CARRY)).withColumn(
-        "hit", F.when(by_position, F.concat(F.lit("#"), F.col("pos").cast("string"))).otherwise(F.col("col_name")))
-    carried_left = carried_left.join(touching.withColumn("_hit", F.lit(True)), [*_OP, "hit"], "left").select(
-        *_OP, "verb",
-        F.when(F.col("verb").isin("withColumnRenamed", "toDF"), F.coalesce("_new", "col_name")).otherwise(F.col("col_name")).alias("col_name"),
-        "src_ref", "src_column", "transform", F.col("pos").alias("slot"),
-        # A replaced column keeps its place but not its sources; a dropped one neither.
-        (F.col("_hit").isNull() | ~F.col("verb").isin(WITH_COLUMN + ["drop"])).alias("kept"),
-        (F.col("_hit") & (F.col("verb") == "withColumnRenamed")).alias("_renamed"),
-    )
-    # A rename onto an existing name replaces that column.
-    taken = F.coalesce(F.bool_or("_renamed").over(Window.partitionBy(*_OP, "col_name")), F.lit(False))
-    carried_left = (
-        carried_left.withColumn("_taken", taken)
-        .filter((F.col("verb") != "withColumnRenamed") | ~F.col("_taken") | F.coalesce("_renamed", F.lit(False)))
-        .filter((F.col("verb") != "drop") | F.col("kept"))
-        .select(*_OP, "col_name", "src_ref", "src_column", "transform", "slot", "kept")
-    )
-
-    # The right side of a binary verb adds sources to the left column it meets.
-    positional = F.col("verb").isin("union", "unionAll")
-    meets = left.filter(F.col("verb").isin(BINARY)).select(
-        *_OP, F.when(positional, F.col("pos").cast("string")).otherwise(F.col("col_name")).alias("meet"),
-        F.col("col_name").alias("_left_name"), F.col("pos").alias("_left_pos"), F.col("transform").alias("_left_transform"),
-    ).distinct()
-    carried_right = (
-        right.filter(F.col("verb").isin(BINARY))
-        .withColumn("meet", F.when(positional, F.col("pos").cast("string")).otherwise(F.col("col_name")))
-        .drop("transform")
-        .join(meets, [*_OP, "meet"], "left")
-        .filter(F.col("_left_name").isNotNull() | F.col("verb").isin("join", "crossJoin"))
-        .select(
-            *_OP, F.coalesce("_left_name", "col_name").alias("col_name"), "src_ref", "src_column",
-            F.col("_left_transform").alias("transform"),
-            F.coalesce(F.col("_left_pos"), F.col("pos") + 1_000_000).alias("slot"), F.lit(True).alias("kept"),
-        )
-    )
+    The rows of both input frames and the arguments are stacked and shuffled
+    once, by operation. All matching (an argument with the columns it names, a
+    replaced or renamed column, the two sides of a join or union) is then done
+    by windows inside an operation, which reuse that partitioning. An operation
+    sees the columns of two frames, so these windows are small.
+    """
+    head = [*_OP, "out_frame", "verb"]
+    sides = ops.select(*head, F.inline(F.filter(
+        F.array(
+            F.struct(F.lit("l").alias("kind"), F.col("left_frame").alias("frame")),
+            F.struct(F.lit("r").alias("kind"), F.col("right_frame").alias("frame")),
+        ),
+        lambda side: side["frame"].isNotNull(),
+    )))
+    columns = sides.join(frames.withColumnRenamed("col_name", "name"), ["notebook", "frame"]).drop("frame")
+    named = ops.select(*head).join(args, _OP).select(
+        *head, F.lit("a").alias("kind"), "pos", F.explode_outer("input_cols").alias("name"), "transform", "out_name", "role")
+    rows = columns.unionByName(named, allowMissingColumns=True)
+
+    verb, kind = F.col("verb"), F.col("kind")
+    is_left, is_right, is_arg = kind == "l", kind == "r", kind == "a"
+    is_carry, is_binary = verb.isin(CARRY), verb.isin(BINARY)
+    is_with, is_rename, is_to_df = verb.isin(WITH_COLUMN), verb == "withColumnRenamed", verb == "toDF"
+    positional = verb.isin("union", "unionAll")
+    place = F.concat(F.lit("#"), F.col("pos").cast("string"))
+
+    def over(*keys):
+        return Window.partitionBy(*_OP, *keys)
 
     # Operations that must abstain as a whole.
-    widths = inputs.groupBy(*_OP).agg(
-        F.max(F.when(F.col("side") == "l", F.col("pos"))).alias("left_width"),
-        F.max(F.when(F.col("side") == "r", F.col("pos"))).alias("right_width"),
-    )
-    shape = typed.groupBy(*_OP).agg(
-        F.count_distinct("pos").alias("arity"),
-        F.bool_or(F.col("role") == "star").alias("starred"),
-        F.bool_or((F.col("role") == "key") & F.col("out_name").isNull()).alias("open_key"),
-        F.count(F.when(by_position, F.col("out_name"))).alias("names"),
-    )
-    renamed = typed.filter("verb = 'withColumnRenamed'").join(named.select(*_OP, "input").distinct(), [*_OP, "input"], "left_semi")
-    fine = (
-        verb.join(widths, _OP).join(shape, _OP, "left")
-        .join(renamed.select(*_OP).distinct().withColumn("_found", F.lit(True)), _OP, "left")
-        .filter("left_width IS NOT NULL AND NOT coalesce(starred, false) AND NOT coalesce(open_key, false)")
-        .filter(~F.col("verb").isin(BINARY) | F.col("right_width").isNotNull())
-        .filter(~positional | (F.col("left_width") == F.col("right_width")))
-        .filter(~by_position | ((F.col("arity") == F.col("left_width")) & (F.col("names") == F.col("left_width"))))
-        .filter((F.col("verb") != "withColumnRenamed") | F.col("_found"))
-        .select(*_OP)
+    rows = rows.withColumns({
+        "left_width": F.max(F.when(is_left, F.col("pos"))).over(over()),
+        "right_width": F.max(F.when(is_right, F.col("pos"))).over(over()),
+        "arity": F.count(F.when(is_arg, 1)).over(over()),
+        "names": F.count(F.when(is_arg, F.col("out_name"))).over(over()),
+        "starred": F.coalesce(F.bool_or(is_arg & (F.col("role") == "star")).over(over()), F.lit(False)),
+        "open_key": F.coalesce(F.bool_or(is_arg & (F.col("role") == "key") & F.col("out_name").isNull()).over(over()), F.lit(False)),
+    }).filter(
+        F.col("left_width").isNotNull() & ~F.col("starred") & ~F.col("open_key")
+        & (~is_binary | F.col("right_width").isNotNull())
+        & (~positional | (F.col("left_width") == F.col("right_width")))
+        & (~is_to_df | ((F.col("arity") == F.col("left_width")) & (F.col("names") == F.col("left_width"))))
     )
 
-    rows = computed.unionByName(carried_left).unionByName(carried_right).distinct().join(fine, _OP, "left_semi")
-    column = Window.partitionBy(*_OP, "col_name")
-    place = Window.partitionBy(*_OP).orderBy("_slot", "col_name")
+    # Whether the frame has the column an argument names; SQL text and dict entries need it.
+    same_input = over(is_right, "name")
+    strict = F.col("role").isin("expr", "dict")
+    rows = rows.withColumn("has_column", F.max(is_left).over(same_input))
+    counts = is_arg & F.col("out_name").isNotNull() & (~strict | F.col("has_column"))
+    # Of two arguments that make the same column the last counts, in the first one's place.
+    made = over("kind", "out_name")
+    rows = rows.withColumns({
+        "first_pos": F.min(F.when(counts, F.col("pos"))).over(made), "last_pos": F.max(F.when(counts, F.col("pos"))).over(made)})
+    counts = counts & (F.col("pos") == F.col("last_pos"))
+    argument = F.struct("out_name", "transform", "role", "first_pos")
+    rows = rows.withColumn("arguments", F.collect_list(F.when(counts, argument)).over(same_input))
+    # The argument that replaces, drops or renames this column.
+    rows = rows.withColumn("hit", F.when(is_to_df, place).when(is_arg & ~is_rename, F.col("out_name")).otherwise(F.col("name")))
+    same_hit = over(is_right, "hit")
+    rows = rows.withColumns({"new_name": F.max(F.when(is_arg, F.col("out_name"))).over(same_hit), "is_hit": F.max(is_arg).over(same_hit)})
+    found = F.max(is_arg & F.col("has_column")).over(over())
+    rows = rows.withColumn("found", found).filter(~is_rename | F.col("found"))
+    # The left column that a right one meets.
+    rows = rows.withColumn("meet", F.when(is_arg, F.lit(None)).when(positional, place).otherwise(F.col("name")))
+    same_meet = over("meet")
+    rows = rows.withColumns({
+        f"left_{c}": F.max(F.when(is_left, F.col(c))).over(same_meet) for c in ("name", "pos", "transform")})
+
+    def out(name, transform, slot, kept=None, renamed=None, sourced=True):
+        none = F.lit(None).cast("string")
+        return F.struct(
+            name.alias("col_name"), (F.col("src_ref") if sourced else none).alias("src_ref"),
+            (F.col("src_column") if sourced else none).alias("src_column"), transform.alias("transform"),
+            slot.cast("int").alias("slot"), (F.lit(True) if kept is None else kept).alias("kept"),
+            (F.lit(False) if renamed is None else renamed).alias("renamed"))
+
+    def computed(arg, sourced):
+        plain = arg["role"].isin("key", "expr", "dict")
+        slot = arg["first_pos"] + F.when(is_with, 1_000_000).otherwise(0)
+        return out(arg["out_name"], F.when(~plain, arg["transform"]), slot, sourced=sourced)
+
+    carried = out(
+        F.when(is_rename | is_to_df, F.coalesce("new_name", "name")).otherwise(F.col("name")),
+        F.col("transform"), F.col("pos"),
+        # A replaced column keeps its place but not its sources; a dropped one neither.
+        kept=~(F.col("is_hit") & (is_with | (verb == "drop"))),
+        renamed=is_rename & F.col("is_hit"))
+    met = out(F.coalesce("left_name", "name"), F.col("left_transform"), F.coalesce(F.col("left_pos"), F.col("pos") + 1_000_000))
+    makes = verb.isin(PROJECT) | is_with
+    nothing = F.array().cast(f"array<{_OUT}>")
+    results = F.concat(
+        F.when(is_left & is_carry & ~((verb == "drop") & F.col("is_hit")), F.array(carried)).otherwise(nothing),
+        F.when(is_left & makes, F.transform("arguments", lambda a: computed(a, True))).otherwise(nothing),
+        F.when(counts & makes & ~F.col("has_column"), F.array(computed(argument, False))).otherwise(nothing),
+        F.when(is_right & is_binary & (F.col("left_name").isNotNull() | verb.isin("join", "crossJoin")), F.array(met)).otherwise(nothing),
+    )
+    column = over("col_name")
     return (
-        rows.withColumn("_slot", F.min("slot").over(column))
-        .filter("kept")
-        .withColumn("_sourced", F.max(F.col("src_column").isNotNull()).over(column))
+        rows.select(*head, F.inline(results))
+        .withColumns({
+            "_slot": F.min("slot").over(column),
+            "_taken": F.max("renamed").over(column),
+            "_sourced": F.max(F.col("kept") & F.col("src_column").isNotNull()).over(column),
+        })
+        # A rename onto an existing name replaces that column.
+        .filter(F.col("kept") & (F.col("renamed") | ~F.col("_taken")))
         .filter(F.col("src_column").isNotNull() | ~F.col("_sourced"))
-        .withColumn("pos", F.dense_rank().over(place))
-        .join(ops.select(*_OP, F.col("out_frame").alias("frame")), _OP)
-        .select(*FRAME_COL)
+        .withColumn("pos", F.dense_rank().over(over().orderBy("_slot", "col_name")))
+        .select(*_OP, F.col("out_frame").alias("frame"), *FRAME_COL[2:])
         .distinct()
+        .select(*FRAME_COL)
     )
 
 

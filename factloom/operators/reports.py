@@ -32,7 +32,8 @@ def _age(at: str = "at", tie: str = "run_id") -> Column:
 
 def run_access(access: DataFrame) -> DataFrame:
     """Distinct accesses of a run; a ref both read and written counts as a write."""
-    return access.groupBy("run_id", "ref").agg(F.max("mode").alias("mode"))
+    written = F.bool_or(F.col("mode") == "write")
+    return access.groupBy("run_id", "ref").agg(F.when(written, "write").otherwise("read").alias("mode"))
 
 
 # -- answers about a table ---------------------------------------------------
@@ -45,28 +46,30 @@ def column_sources(flow: DataFrame, schema: DataFrame, access: DataFrame, runs:
     newest writer reports but nothing traces appears with null sources. Every
     flow target is a write of its run, so flows need no check against ``access``.
     """
-    at = runs.select("run_id", "at", F.col("name").alias("via"))
-    latest = Window.partitionBy("ref", "column").orderBy(*_newest_first())
-    once = Window.partitionBy("ref", "column", "from_table", "from_column").orderBy("seq")
-    sources = (
+    newest_write = (
+        access.filter("mode = 'write'")
+        .join(runs.select("run_id", "at"), "run_id")
+        .groupBy("ref")
+        .agg(F.min_by("run_id", _age()).alias("run_id"))
+    )
+    known = schema.join(newest_write, ["run_id", "ref"], "left_semi").select(
+        "ref", F.col("name").alias("column"), F.lit(False).alias("traced")).distinct()
+    traced = (
         flow.select("run_id", "seq", F.col("to_table").alias("ref"), F.col("to_column").alias("column"),
-                    "from_table", "from_column", "transform")
-        .join(at, "run_id")
+                    "from_table", "from_column", "transform", F.lit(True).alias("traced"))
+        .join(runs.select("run_id", "at", F.col("name").alias("via")), "run_id")
+    )
+    # A known column is an observation older than any other: it shows only where no flow does.
+    latest = Window.partitionBy("ref", "column").orderBy(F.col("traced").desc(), *_newest_first())
+    once = Window.partitionBy("ref", "column", "from_table", "from_column").orderBy("seq")
+    return (
+        traced.unionByName(known, allowMissingColumns=True)
         .withColumn("_age", F.rank().over(latest))
         .filter("_age = 1")
         .withColumn("_copy", F.row_number().over(once))
         .filter("_copy = 1")
         .select("ref", "column", "from_table", "from_column", "transform", "via")
     )
-    newest_write = (
-        access.filter("mode = 'write'")
-        .join(runs.select("run_id", "at"), "run_id")
-        .groupBy("ref")
-        .agg(F.min_by("run_id", _age()).alias("run_id"))
-    )
-    known = schema.join(newest_write, ["run_id", "ref"], "left_semi").select("ref", F.col("name").alias("column")).distinct()
-    untraced = known.join(sources.select("ref", "column").distinct(), ["ref", "column"], "left_anti")
-    return sources.unionByName(untraced, allowMissingColumns=True)
 
 
 def touched_by(access: DataFrame, runs: DataFrame) -> DataFrame:

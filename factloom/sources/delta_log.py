@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def log_lines(spark, path: str) -> DataFrame:
-    """``file, value`` of every JSON commit under ``path``."""
-    return (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path)
-        .select(F.input_file_name().alias("file"), "value")
-        .filter(F.contains("file", F.lit("/_delta_log/")))
-    )
+def log_lines(spark, tables: str) -> DataFrame:
+    """``file, value`` of every JSON commit of the tables matched by the glob ``tables``.
+
+    The log folder is named in the path, because a listing skips folders whose
+    name starts with an underscore.
+    """
+    return spark.read.text(f"{tables}/_delta_log/*.json").select(F.input_file_name().alias("file"), "value")
 
 
 def table_schemas(lines: DataFrame, latest: bool = True) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_CELLS = "cells array<struct<cell_type:string,source:string,metadata:struct<language:string>>>"
 _PYTHON = ["", "python", "pyspark"]
 _SQL = ["sql", "spark-sql", "sparksql"]
 
@@ -18,17 +17,34 @@ def notebook_files(spark, path: str) -> DataFrame:
     )
 
 
+def _cells(content: Column) -> Column:
+    """The cells array, null when the text is no JSON or has none."""
+    return F.try_variant_get(F.try_parse_json(content), "$.cells", "array<variant>")
+
+
+def _field(cell: Column, path: str) -> Column:
+    return F.try_variant_get(cell, path, "string")
+
+
+def _is_code(cell: Column) -> Column:
+    """A cell without a type counts as code."""
+    kind = _field(cell, "$.cell_type")
+    return kind.isNull() | (kind == "code")
+
+
+def _source(cell: Column) -> Column:
+    """A text, or an array whose texts are joined without a separator."""
+    lines = F.filter(F.try_variant_get(cell, "$.source", "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
+    is_text = F.schema_of_variant(F.try_variant_get(cell, "$.source", "variant")) == "STRING"
+    return F.when(is_text, _field(cell, "$.source")).otherwise(
+        F.coalesce(F.array_join(F.transform(lines, lambda v: F.try_variant_get(v, "$", "string")), ""), F.lit("")))
+
+
 def _code_cells(files: DataFrame) -> DataFrame:
-    """Code cells in place, ``lines`` joined; a missing cell type counts as code."""
-    cells = files.select("file", F.posexplode(F.from_json("content", _CELLS)["cells"]).alias("cell_index", "c"))
-    # An array source arrives as its JSON text and is read again as lines.
-    lines = F.from_json("c.source", "array<string>")
-    is_list = F.coalesce(F.ltrim("c.source").startswith("[") & lines.isNotNull(), F.lit(False))
-    return (
-        cells.filter("c.cell_type IS NULL OR c.cell_type = 'code'")
-        .select("file", "cell_index", F.lower(F.coalesce("c.metadata.language", F.lit(""))).alias("language"),
-                F.when(is_list, F.array_join(lines, "")).otherwise(F.coalesce("c.source", F.lit(""))).alias("source"))
-    )
+    cells = files.select("file", F.posexplode(_cells(F.col("content"))).alias("cell_index", "c"))
+    return cells.filter(_is_code(F.col("c"))).select(
+        "file", "cell_index", F.lower(F.coalesce(_field(F.col("c"), "$.metadata.language"), F.lit(""))).alias("language"),
+        _source(F.col("c")).alias("source"))
 
 
 def parse_notebooks(files: DataFrame) -> DataFrame:
@@ -62,11 +78,8 @@ def read_notebooks(spark, path: str) -> DataFrame:
 
 def notebook_errors(files: DataFrame) -> DataFrame:
     """One row per file that is no notebook, or one without code."""
-    document = F.try_parse_json("content")
-    cells = F.try_variant_get(document, "$.cells", "array<variant>")
-    code = F.from_json("content", _CELLS)["cells"]
-    with_code = F.filter(code, lambda c: (c["cell_type"].isNull() | (c["cell_type"] == "code"))
-                         & F.rlike(F.coalesce(c["source"], F.lit("")), F.lit(r"[^\s\[\]\",]")))
+    document, cells = F.try_parse_json("content"), _cells(F.col("content"))
+    with_code = F.filter(cells, lambda c: _is_code(c) & F.rlike(_source(c), F.lit(r"\S")))
     error = (
         F.when(document.isNull(), "not valid JSON")
         .when(cells.isNull(), "no cells array, so not a notebook")
