@@ -59,27 +59,28 @@ ABFSS_WORKSPACE = (
     r"abfss://([0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})@"
 )
 
-# Scan patterns over notebook source. (?U) gives \w and \b their Unicode meaning.
+# Scan patterns over notebook source, each with a word every match contains.
+# (?U) gives \w and \b their Unicode meaning.
 _FMT = "|".join(FORMATS)
 _PATH = r"""[^'"\n]+"""
 READ_PATTERNS = [
-    r"""(?iU)spark\.table\(\s*['"]([\w. ]+)['"]""",
-    r"""(?iU)spark\.read[\w.]*\.table\(\s*['"]([\w. ]+)['"]""",
-    rf"""(?iU)\.load\(\s*['"]({_PATH})['"]""",
-    rf"""(?iU)\.read[\w.]*\.(?:{_FMT})\(\s*['"]({_PATH})['"]""",
-    r"""(?iU)\bFROM\s+([\w.`]+)""",
-    r"""(?iU)\bJOIN\s+([\w.`]+)""",
+    ("table", r"""(?iU)spark\.table\(\s*['"]([\w. ]+)['"]"""),
+    ("table", r"""(?iU)spark\.read[\w.]*\.table\(\s*['"]([\w. ]+)['"]"""),
+    ("load", rf"""(?iU)\.load\(\s*['"]({_PATH})['"]"""),
+    ("read", rf"""(?iU)\.read[\w.]*\.(?:{_FMT})\(\s*['"]({_PATH})['"]"""),
+    ("from", r"""(?iU)\bFROM\s+([\w.`]+)"""),
+    ("join", r"""(?iU)\bJOIN\s+([\w.`]+)"""),
 ]
 WRITE_PATTERNS = [
-    r"""(?iU)\.saveAsTable\(\s*['"]([\w. ]+)['"]""",
-    r"""(?iU)\.insertInto\(\s*['"]([\w. ]+)['"]""",
-    rf"""(?iU)\.save\(\s*['"]({_PATH})['"]""",
-    rf"""(?iU)\.write[\w.()'"= ]*\.(?:{_FMT})\(\s*['"]({_PATH})['"]""",
-    r"""(?iU)\bINSERT\s+INTO\s+([\w.`]+)""",
-    r"""(?iU)\bCREATE\s+(?:OR\s+REPLACE\s+)?TABLE\s+([\w.`]+)""",
-    r"""(?iU)\bMERGE\s+INTO\s+([\w.`]+)""",
-    r"""(?iU)\bUPDATE\s+([\w.`]+)\s+SET\b""",
-    r"""(?iU)\bDELETE\s+FROM\s+([\w.`]+)""",
+    ("saveastable", r"""(?iU)\.saveAsTable\(\s*['"]([\w. ]+)['"]"""),
+    ("insertinto", r"""(?iU)\.insertInto\(\s*['"]([\w. ]+)['"]"""),
+    ("save", rf"""(?iU)\.save\(\s*['"]({_PATH})['"]"""),
+    ("write", rf"""(?iU)\.write[\w.()'"= ]*\.(?:{_FMT})\(\s*['"]({_PATH})['"]"""),
+    ("insert", r"""(?iU)\bINSERT\s+INTO\s+([\w.`]+)"""),
+    ("create", r"""(?iU)\bCREATE\s+(?:OR\s+REPLACE\s+)?TABLE\s+([\w.`]+)"""),
+    ("merge", r"""(?iU)\bMERGE\s+INTO\s+([\w.`]+)"""),
+    ("update", r"""(?iU)\bUPDATE\s+([\w.`]+)\s+SET\b"""),
+    ("delete", r"""(?iU)\bDELETE\s+FROM\s+([\w.`]+)"""),
 ]
 IMPORT_LINE = r"(?mU)^\s*(?:from\s+[\w.]+\s+import\b|import\s+[\w.]+)"
 VIEW_VERB_CALL = r"""(?U)\.(?:%s)\(\s*['"]([^'"\n]+)['"]""" % "|".join(VIEW_VERBS)

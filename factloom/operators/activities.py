@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from factloom import fixed
 from factloom.functions import refs
 from factloom.operators import graph
-from factloom.session import Rounds
+from factloom.session import Rounds, cut_lineage
 
 KEY = ["workspace_id", "pipeline_id"]
 
@@ -205,9 +205,12 @@ def order_activities(activity: DataFrame, deps: DataFrame, by: list[str], max_ro
     blocked = loops
     if levels.blocked is not None:
         blocked = blocked.unionByName(levels.blocked.select(*by, F.col("dst").alias("name")))
+    placed = activity.select(*by, "idx", "name").join(levels.depth.withColumnRenamed("id", "name"), [*by, "name"], "left")
+    placed = placed.withColumn("depth", F.coalesce("depth", F.lit(0)))
     blocked = _behind(blocked.distinct(), edges, by, max_rounds)
-    placed = activity.select(*by, "idx", "name").join(levels.depth.withColumnRenamed("id", "name"), [*by, "name"], "left").withColumn(
-        "depth", F.coalesce("depth", F.lit(0))).join(blocked, [*by, "name"], "left_anti")
+    if blocked is not None:
+        placed = placed.join(blocked, [*by, "name"], "left_anti")
+    placed = cut_lineage(placed)
     labels = Rounds(activity.sparkSession)
     labels.add(placed.filter("depth = 0").select(*by, "name", F.array("idx").alias("label")))
     deepest = placed.agg(F.max("depth")).first()[0] or 0
@@ -222,16 +225,17 @@ def order_activities(activity: DataFrame, deps: DataFrame, by: list[str], max_ro
     return activity.join(labels.table(), [*by, "name"], "left").select(*by, "name", "idx", F.row_number().over(order).alias("position"))
 
 
-def _behind(names: DataFrame, edges: DataFrame, by: list[str], max_rounds: int) -> DataFrame:
-    """``names`` and everything that waits for one of them."""
-    spark, found = names.sparkSession, Rounds(names.sparkSession)
+def _behind(names: DataFrame, edges: DataFrame, by: list[str], max_rounds: int) -> DataFrame | None:
+    """``names`` and everything that waits for one of them; None when there are none."""
+    found = Rounds(names.sparkSession)
     new = found.add(names)
+    if new.isEmpty():
+        return None
     for _ in range(max_rounds):
+        reached = edges.join(new.withColumnRenamed("name", "src"), [*by, "src"], "left_semi").select(*by, F.col("dst").alias("name")).distinct()
+        new = found.add(reached.join(found.table(), [*by, "name"], "left_anti"))
         if new.isEmpty():
             return found.table()
-        reached = edges.join(new.withColumnRenamed("name", "src"), [*by, "src"], "left_semi").select(*by, F.col("dst").alias("name")).distinct()
-        new = Rounds(spark).add(reached.join(found.table(), [*by, "name"], "left_anti"))
-        found.add(new)
     raise RuntimeError(f"graph is deeper than {max_rounds} levels")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions import refs
-from factloom.session import Rounds, cut_lineage
+from factloom.session import Rounds
 
 # -- depth ---------------------------------------------------------------------
 
@@ -33,23 +33,27 @@ def _levels(edges: DataFrame, by: list[str], max_rounds: int) -> Levels:
     is one semi join of the edges that are left, so the work shrinks, and the
     number of rounds is the longest path.
     """
-    left = cut_lineage(edges.select(*by, "src", "dst").filter("src <> dst").distinct())
-    remaining, targets = left.count(), Rounds(edges.sparkSession)
-    targets.add(left.select(*by, F.col("dst").alias("id"), F.lit(0).alias("round")).distinct())
+    kept = Rounds(edges.sparkSession)
+
+    def keep(rest: DataFrame, number: int) -> tuple[DataFrame, int]:
+        written = kept.add(rest.select(*by, "src", "dst").withColumn("round", F.lit(number)))
+        return written, written.count()
+
+    left, remaining = keep(edges.filter("src <> dst").distinct(), 0)
+    blocked = None
     for number in range(1, max_rounds + 1):
         if remaining == 0:
             break
         reached = left.select(*by, F.col("dst").alias("src")).distinct()
-        rest = cut_lineage(left.join(reached, [*by, "src"], "left_semi").select(*by, "src", "dst"))
-        count = rest.count()
+        rest, count = keep(left.join(reached, [*by, "src"], "left_semi"), number)
         if count == remaining:
-            return Levels(targets.table().groupBy(*by, "id").agg((F.max("round") + 1).alias("depth")), left)
+            blocked = left
+            break
         left, remaining = rest, count
-        if remaining:
-            targets.add(left.select(*by, F.col("dst").alias("id"), F.lit(number).alias("round")).distinct())
-    if remaining:
+    else:
         raise RuntimeError(f"graph is deeper than {max_rounds} levels")
-    return Levels(targets.table().groupBy(*by, "id").agg((F.max("round") + 1).alias("depth")), None)
+    depth = kept.table().groupBy(*by, F.col("dst").alias("id")).agg((F.max("round") + 1).alias("depth"))
+    return Levels(depth, blocked)
 
 
 def longest_path_depth(nodes: DataFrame, edges: DataFrame, by: list[str], max_rounds: int = 10_000) -> DataFrame:

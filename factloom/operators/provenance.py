@@ -8,7 +8,8 @@ owner is not known. ``pos`` is dense from 1 within a frame.
 ``ops``: notebook, seq, out_frame, verb, left_frame, right_frame.
 ``args``: notebook, seq, pos, out_name, input_cols (array), transform, role, where
 role is ``col``, ``key`` (grouping key), ``expr`` (SQL text naming one column),
-``dict`` (``{"c": "sum"}``) or ``star``.
+``dict`` (``{"c": "sum"}``) or ``star``; the last four belong to projections and
+aggregates only.
 
 An operation that cannot be read exactly yields no rows: its frame stays unknown.
 """
@@ -193,11 +194,10 @@ def resolve_frames(ops: DataFrame, args: DataFrame, base: DataFrame, max_rounds:
             .join(have.withColumnsRenamed({"frame": "right_frame"}).withColumn("_right", F.lit(True)), ["notebook", "right_frame"], "left")
             .filter("right_frame IS NULL OR _right").select(ops.columns)
         )
-        ready = cut_lineage(ready)
+        ready = done.add(ready)
         if ready.isEmpty():
             return known
         frames.add(apply_ops(ready, args, known))
-        done.add(ready.select(*_OP))
     raise RuntimeError(f"frames still open after {max_rounds} rounds")
 
 
@@ -209,28 +209,30 @@ _VIEW_COL = ["notebook", "view_name", "col_name", "src_kind", "src_name", "src_c
 def flatten_views(view_col: DataFrame) -> DataFrame:
     """View columns resolved to base tables through views on views.
 
-    Rounds double the distance covered, so a chain of n views needs about log2(n)
-    joins. The number of views in a notebook bounds every chain; rows that still
-    name a view after that many hops go round a cycle and have no base table.
-    An inner transform is inherited where the outer column is a plain pass-through.
+    Each round sends every open row through the row it points at, which has moved
+    on as well: the distance doubles, and a chain of n views needs about log2(n)
+    joins. Only open rows are joined and written again. The number of views in a
+    notebook bounds every chain; what is open after that goes round a cycle and
+    has no base table. An inner transform is inherited where the outer column is
+    a plain pass-through.
     """
-    longest = (
-        view_col.groupBy("notebook").agg(F.count_distinct("view_name").alias("n")).agg(F.max("n")).first()[0] or 1
-    )
-    hops, step = view_col.select(*_VIEW_COL).distinct(), 1
-    while step < longest:
-        inner = hops.select(
+    spark = view_col.sparkSession
+    base = cut_lineage(view_col.select(*_VIEW_COL).distinct())
+    longest = base.groupBy("notebook").agg(F.count_distinct("view_name").alias("n")).agg(F.max("n")).first()[0] or 1
+    resolved, waiting, step = Rounds(spark), base.filter("src_kind = 'view'"), 1
+    resolved.add(base.filter("src_kind = 'table'"))
+    while step < longest and not waiting.isEmpty():
+        inner = resolved.table().unionByName(waiting).select(
             "notebook", F.col("view_name").alias("src_name"), F.col("col_name").alias("src_column"),
-            F.lit("view").alias("src_kind"), F.col("src_kind").alias("_k"), F.col("src_name").alias("_n"),
-            F.col("src_column").alias("_c"), F.col("transform").alias("_t"))
-        through = hops.filter("src_kind = 'view'").join(inner, ["notebook", "src_kind", "src_name", "src_column"]).select(
+            F.col("src_kind").alias("_k"), F.col("src_name").alias("_n"), F.col("src_column").alias("_c"), F.col("transform").alias("_t"))
+        through = waiting.drop("src_kind").join(inner, ["notebook", "src_name", "src_column"]).select(
             "notebook", "view_name", "col_name", F.col("_k").alias("src_kind"), F.col("_n").alias("src_name"),
             F.col("_c").alias("src_column"), F.coalesce("transform", "_t").alias("transform"))
-        hops = hops.filter("src_kind = 'table'").unionByName(through).distinct()
+        moved = cut_lineage(through.distinct())
+        resolved.add(moved.filter("src_kind = 'table'"))
+        waiting = moved.filter("src_kind = 'view'")
         step *= 2
-        # The plan doubles with each round, because both join sides are this table.
-        hops = cut_lineage(hops)
-    return hops.filter("src_kind = 'table'").select(
+    return resolved.table().distinct().select(
         "notebook", "view_name", "col_name", F.col("src_name").alias("src_ref"), "src_column", "transform")
 
 

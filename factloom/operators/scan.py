@@ -26,10 +26,20 @@ def strip_imports(source: Column) -> Column:
     return F.regexp_replace(source, fixed.IMPORT_LINE, "")
 
 
-def pattern_matches(source: Column, patterns: list[str]) -> Column:
-    """Distinct first groups of all patterns, in pattern order."""
+def pattern_matches(source: Column, patterns: list[tuple[str, str]]) -> Column:
+    """Distinct first groups of all patterns, in pattern order.
+
+    A pattern runs only on text that contains its word: most cells hold none.
+    """
+    none = F.array().cast("array<string>")
+
     def found(text):
-        return F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns]))
+        def matches(low):
+            return F.flatten(F.array(*[
+                F.when(F.contains(low, F.lit(word)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(none)
+                for word, pattern in patterns]))
+
+        return refs.let(F.lower(text), matches)
 
     return F.array_distinct(refs.let(source, found))
 
@@ -57,7 +67,7 @@ def scan_writes(cell: DataFrame, workspace="", lakehouse="") -> DataFrame:
 
 def scan_temp_views(cell: DataFrame) -> DataFrame:
     """Names each run registers as temp views, by DataFrame verb or by SQL."""
-    names = pattern_matches(F.col("source"), [fixed.VIEW_VERB_CALL, fixed.TEMP_VIEW_SQL])
+    names = pattern_matches(F.col("source"), [("temp", fixed.VIEW_VERB_CALL), ("temp", fixed.TEMP_VIEW_SQL)])
     return (
         cell.select("run_id", F.explode(names).alias("raw"))
         .select("run_id", refs.normalise_view_name(F.col("raw")).alias("view"))

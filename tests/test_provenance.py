@@ -85,7 +85,7 @@ def random_notebook(notebook, rng):
         names = ["a", "b", "c", "d", "x"]
         if verb in ("select", "withColumns", "groupBy"):
             for pos in range(1, rng.randint(2, 4)):
-                role = rng.choice(["col", "col", "expr", "dict"] + (["key"] if verb == "groupBy" else []))
+                role = rng.choice({"select": ["col", "col", "expr", "star"], "groupBy": ["col", "col", "dict", "key"], "withColumns": ["col"]}[verb])
                 inputs = rng.sample(names, 1 if role in ("expr", "dict") else rng.randint(0, 2))
                 args.append((notebook, seq, pos, rng.choice(names + [None] * (role == "col")), inputs, f"g{seq}", role))
         elif verb == "drop":
