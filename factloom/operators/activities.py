@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from factloom import fixed
 from factloom.functions import refs
 from factloom.operators import graph
+from factloom.operators.ordering import number_rows
 from factloom.session import Rounds, cut_lineage
 
 KEY = ["workspace_id", "pipeline_id"]
@@ -92,8 +92,7 @@ def declared_schema(flow: DataFrame, by: list[str]) -> DataFrame:
 
     both = end("from_table", "from_column", 0).unionByName(end("to_table", "to_column", 1)).filter("ref IS NOT NULL")
     first = both.groupBy(*by, "ref", "name").agg(F.min("_at").alias("_at"))
-    place = Window.partitionBy(*by, "ref").orderBy("_at", "name")
-    return first.select(*by, "ref", F.row_number().over(place).alias("pos"), "name")
+    return number_rows(first, [*by, "ref"], ["_at", "name"], "pos").select(*by, "ref", "pos", "name")
 
 
 # -- nested pipelines ----------------------------------------------------------
@@ -221,8 +220,8 @@ def order_activities(activity: DataFrame, deps: DataFrame, by: list[str], max_ro
             .groupBy(*by, "name", "idx").agg(F.max(F.filter("label", lambda i: i > F.col("idx"))).alias("above"))
             .select(*by, "name", F.array_append("above", F.col("idx")).alias("label"))
         )
-    order = Window.partitionBy(*by).orderBy(F.col("label").isNull(), "label", "idx")
-    return activity.join(labels.table(), [*by, "name"], "left").select(*by, "name", "idx", F.row_number().over(order).alias("position"))
+    labelled = activity.select(*by, "name", "idx").join(labels.table(), [*by, "name"], "left")
+    return number_rows(labelled, by, [F.col("label").isNull(), "label", "idx"], "position").drop("label")
 
 
 def _behind(names: DataFrame, edges: DataFrame, by: list[str], max_rounds: int) -> DataFrame | None:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions import refs
+from factloom.operators.ordering import number_rows
 from factloom.session import Rounds
 
 # -- depth ---------------------------------------------------------------------
@@ -131,18 +132,16 @@ def hop_rows(access: DataFrame, schema: DataFrame, by: list[str]) -> DataFrame:
 
 def split_units(entries: DataFrame, by: list[str]) -> DataFrame:
     """One unit per activity of a run, numbered in run order."""
-    order = Window.partitionBy(*by).orderBy("seq")
-    number = F.row_number().over(order)
     run = F.concat_ws(":", *[F.col(k).cast("string") for k in by])
-    return entries.select(
-        *by, F.concat(F.lit("s:"), run, F.lit(":a"), (number - 1).cast("string")).alias("id"),
-        refs.activity_label(F.col("name")).alias("label"), number.alias("badge"))
+    return number_rows(entries.select(*by, "seq", "name"), by, ["seq"], "badge").select(
+        *by, F.concat(F.lit("s:"), run, F.lit(":a"), (F.col("badge") - 1).cast("string")).alias("id"),
+        refs.activity_label(F.col("name")).alias("label"), "badge")
 
 
 def order_edges(units: DataFrame, by: list[str]) -> DataFrame:
-    """A link between consecutive units of a run."""
-    order = Window.partitionBy(*by).orderBy("badge")
-    return units.select(*by, F.lag("id").over(order).alias("source"), F.col("id").alias("target")).filter("source IS NOT NULL")
+    """A link between consecutive units of a run, by their numbers."""
+    after = units.select(*by, (F.col("badge") - 1).alias("badge"), F.col("id").alias("target"))
+    return units.select(*by, "badge", F.col("id").alias("source")).join(after, [*by, "badge"]).select(*by, "source", "target")
 
 
 def cross_workspace_access(access: DataFrame, steps: DataFrame, by: list[str]) -> DataFrame:
@@ -173,13 +172,12 @@ def stage_of(access: DataFrame, by: list[str]) -> DataFrame:
 
 def medallion_bands(staged: DataFrame, by: list[str]) -> DataFrame:
     """Present stages as bands in order, unstaged last; steps before tables within a band."""
-    last = F.when(F.col("rank") < 0, 1_000).otherwise(F.col("rank"))
-    return staged.select(
-        *by, "kind", "id",
-        F.dense_rank().over(Window.partitionBy(*by).orderBy(last)).alias("band"),
-        refs.stage_label(F.col("rank")).alias("stage"),
-        F.row_number().over(Window.partitionBy(*by, "rank").orderBy(F.when(F.col("kind") == "step", 0).otherwise(1), "id")).alias("position"),
-    )
+    place = F.when(F.col("rank") < 0, 1_000).otherwise(F.col("rank"))
+    # A graph has at most as many bands as there are stages, and one for the rest.
+    present = staged.groupBy(*by).agg(F.array_sort(F.collect_set(place)).alias("_present"))
+    kind_first = F.when(F.col("kind") == "step", 0).otherwise(1)
+    return number_rows(staged, [*by, "rank"], [kind_first, "id"], "position").join(present, by).select(
+        *by, "kind", "id", F.array_position("_present", place).alias("band"), refs.stage_label(F.col("rank")).alias("stage"), "position")
 
 
 # -- owners --------------------------------------------------------------------
@@ -213,7 +211,7 @@ def owner_order(nodes: DataFrame, by: list[str]) -> DataFrame:
     roles = F.when(both, F.array(F.lit("runs"), F.lit("tables"))).otherwise(F.array(F.lit("all")))
     split = owners.withColumn("_alone", F.count("*").over(Window.partitionBy(*by)) == 1).withColumn("role", F.explode(roles))
     order = Window.partitionBy(*by).orderBy(F.col("runs").desc(), F.col("owner") == "", "depth", "at", "role")
-    return split.select(*by, "owner", "role", F.row_number().over(order).alias("position"))
+    return split.select(*by, "owner", "role", F.row_number().over(order).cast("bigint").alias("position"))
 
 
 def truncate_rows(rows: DataFrame, by: list[str], cap_table: int = 8, cap_nested: int = 5) -> DataFrame:
@@ -226,8 +224,8 @@ def truncate_rows(rows: DataFrame, by: list[str], cap_table: int = 8, cap_nested
     shown = (
         rows.withColumn("place", F.row_number().over(run))
         .filter(F.col("place") <= max(cap_table, cap_nested)).filter(F.col("place") <= cap)
-        .select(*by, "group", "place", "label")
+        .select(*by, "group", F.col("place").cast("bigint").alias("place"), "label")
     )
     hidden = rows.groupBy(*by, "group").agg((F.count("*") - cap).alias("n")).filter("n > 0").select(
-        *by, "group", (cap + 1).alias("place"), F.concat(F.lit("+"), F.col("n").cast("string"), F.lit(" more")).alias("label"))
+        *by, "group", (cap + 1).cast("bigint").alias("place"), F.concat(F.lit("+"), F.col("n").cast("string"), F.lit(" more")).alias("label"))
     return shown.unionByName(hidden)

@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 
 from factloom import fixed
 from factloom.functions import refs
+from factloom.operators.ordering import number_rows
 from factloom.session import Rounds, cut_lineage
 
 FRAME_COL = ["notebook", "frame", "pos", "col_name", "src_ref", "src_column", "transform"]
@@ -167,7 +168,7 @@ def apply_ops(ops: DataFrame, args: DataFrame, frames: DataFrame) -> DataFrame:
         # A rename onto an existing name replaces that column.
         .filter(F.col("kept") & (F.col("renamed") | ~F.col("_taken")))
         .filter(F.col("src_column").isNotNull() | ~F.col("_sourced"))
-        .withColumn("pos", F.dense_rank().over(over().orderBy("_slot", "col_name")))
+        .withColumn("pos", F.dense_rank().over(over().orderBy("_slot", "col_name")).cast("bigint"))
         .select(*_OP, F.col("out_frame").alias("frame"), *FRAME_COL[2:])
         .distinct()
         .select(*FRAME_COL)
@@ -183,7 +184,7 @@ def resolve_frames(ops: DataFrame, args: DataFrame, base: DataFrame, max_rounds:
     """
     spark = base.sparkSession
     frames, done = Rounds(spark), Rounds(spark)
-    frames.add(base.select(*FRAME_COL))
+    frames.add(base.withColumn("pos", F.col("pos").cast("bigint")).select(*FRAME_COL))
     derived = ops.filter("left_frame IS NOT NULL")
     for _ in range(max_rounds):
         known = frames.table()
@@ -287,9 +288,9 @@ def fill_written_schema(schema: DataFrame, outputs: DataFrame, by: list[str]) ->
     """
     given = schema.select(*by, "ref").distinct()
     first_seen = outputs.join(given, [*by, "ref"], "left_anti").groupBy(*by, "ref", "name").agg(F.min("seq").alias("_seq"))
-    place = Window.partitionBy(*by, "ref").orderBy("_seq", "name")
-    filled = first_seen.select(*by, "ref", F.row_number().over(place).alias("pos"), "name", F.lit(None).cast("string").alias("type"))
-    return schema.select(*by, "ref", "pos", "name", "type").unionByName(filled)
+    filled = number_rows(first_seen, [*by, "ref"], ["_seq", "name"], "pos").withColumn("type", F.lit(None).cast("string"))
+    columns = [*by, "ref", "pos", "name", "type"]
+    return schema.select(*columns).unionByName(filled.select(*columns))
 
 
 def merge_star_flows(merges: DataFrame, schema: DataFrame, by: list[str]) -> DataFrame:

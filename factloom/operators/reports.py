@@ -287,7 +287,7 @@ def retain_runs(runs: DataFrame, by: list[str], max_runs: int = 5, max_bytes: in
         .filter(F.col("position") <= max_runs)
         .withColumn("total", F.sum("size_bytes").over(so_far) + F.col("position") + 1)
         .filter((F.col("position") == 1) | (F.col("total") <= max_bytes))
-        .select(*by, "run_id", "position")
+        .select(*by, "run_id", F.col("position").cast("bigint").alias("position"))
     )
 
 

@@ -32,7 +32,7 @@ SELECT l_orderkey AS run_id,
 """
 
 SQL["fx_column_flow"] = """
-SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY to_table, to_column, coalesce(from_table,''), from_column) AS seq,
+SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY to_table, to_column, coalesce(from_table,''), from_column) AS BIGINT) AS seq,
  to_table, to_column, from_table, from_column, transform FROM
  (SELECT run_id, to_table, to_column, from_table, from_column, min(transform) AS transform FROM fx_flow_raw GROUP BY run_id, to_table, to_column, from_table, from_column) g
 """
@@ -49,7 +49,7 @@ SELECT run_id, ref, name, CASE WHEN name IN ('c1','c2') THEN 'bigint' ELSE 'stri
 """
 
 SQL["fx_cell"] = """
-SELECT l_orderkey AS run_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS cell_index,
+SELECT l_orderkey AS run_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) - 1 AS cell_index,
  CASE l_linenumber
   WHEN 1 THEN concat('from pyspark.sql import functions as F\ndf = spark.table("lh_bronze.t', l_partkey % 9, '")')
   WHEN 2 THEN concat('df.createOrReplaceTempView("stage_', l_suppkey % 4, '")')
@@ -63,7 +63,7 @@ SELECT l_orderkey AS run_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY
 
 SQL["fx_activity"] = """
 SELECT pipeline_id, idx, concat('a', idx) AS name, CASE idx % 4 WHEN 0 THEN 'Copy' WHEN 1 THEN 'TridentNotebook' WHEN 2 THEN 'ExecutePipeline' ELSE 'Wait' END AS type FROM
- (SELECT o_custkey AS pipeline_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS idx FROM orders) a
+ (SELECT o_custkey AS pipeline_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS idx FROM orders) a
 """
 
 SQL["fx_activity_dep"] = """
@@ -85,7 +85,7 @@ SELECT notebook, concat('v', k) AS view_name, concat('c', j) AS col_name,
  CASE WHEN k = 1 OR k % 7 = 0 THEN 'table' ELSE 'view' END AS src_kind,
  CASE WHEN k = 1 OR k % 7 = 0 THEN concat('ws0/lh_bronze/t', (notebook + k) % 12) ELSE concat('v', k - 1) END AS src_name,
  concat('c', (j + k) % 3) AS src_column, CASE WHEN (k + j) % 3 = 0 THEN concat('f', k, '(x)') END AS transform FROM
- (SELECT o_custkey AS notebook, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) p
+ (SELECT o_custkey AS notebook, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS k FROM orders) p
  CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2) j
 """
 
@@ -96,7 +96,7 @@ SELECT notebook, k AS seq, concat('f', k) AS out_frame,
  CASE WHEN k % 5 <> 1 THEN concat('f', k - 1) END AS left_frame,
  CASE WHEN k % 5 <> 1 AND (k + notebook) % 11 IN (6, 7, 8) THEN concat('f', k - 2) END AS right_frame,
  CASE WHEN k % 5 = 1 THEN concat('ws0/lh_bronze/t', (notebook + k) % 12) END AS ref FROM
- (SELECT o_custkey AS notebook, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) p
+ (SELECT o_custkey AS notebook, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS k FROM orders) p
 """
 
 SQL["fx_cell_flags"] = """
@@ -173,7 +173,7 @@ SELECT DISTINCT ref FROM fx_access WHERE mode = 'write' AND ref LIKE 'ws0/lh_gol
 
 SQL["fx_entry"] = """
 SELECT run_id, seq, workspace, name, reads_ref, writes_ref, ok FROM
- (SELECT l_orderkey AS run_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS seq,
+ (SELECT l_orderkey AS run_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS BIGINT) AS seq,
   concat('ws', l_orderkey % 2) AS workspace, concat('invoke p', l_suppkey % 7, ' / run nb_', l_partkey % 40) AS name,
   concat('ws', l_suppkey % 2, '/lh_', CASE l_partkey % 3 WHEN 0 THEN 'landing' WHEN 1 THEN 'bronze' ELSE 'silver' END, '/t', l_suppkey % 12) AS reads_ref,
   CASE WHEN l_returnflag <> 'N' THEN concat('ws', l_partkey % 2, '/lh_', CASE l_partkey % 3 WHEN 0 THEN 'bronze' WHEN 1 THEN 'silver' ELSE 'gold' END, '/t', l_partkey % 12) END AS writes_ref,
@@ -213,7 +213,7 @@ SELECT run_id, count(*) AS cells,
 """
 
 SQL["fx_statement_text"] = """
-SELECT l_orderkey AS run_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos,
+SELECT l_orderkey AS run_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS pos,
  CASE l_partkey % 8 WHEN 0 THEN concat('INSERT INTO lh_gold.t', a, ' SELECT * FROM lh_silver.t', b) WHEN 1 THEN concat('CREATE OR REPLACE TABLE lh_gold.t', a, ' USING delta AS SELECT * FROM lh_silver.t', b)
   WHEN 2 THEN concat('MERGE INTO lh_gold.t', a, ' t USING lh_silver.t', b, ' s ON t.id = s.id') WHEN 3 THEN concat('UPDATE lh_gold.t', a, ' SET c = (SELECT max(c) FROM lh_silver.t', b, ')')
   WHEN 4 THEN concat('DELETE FROM lh_gold.t', a, ' WHERE id IN (SELECT id FROM stage_', b, ')') WHEN 5 THEN concat('CREATE OR REPLACE TEMP VIEW stage_', a, ' AS SELECT * FROM lh_silver.t', b)
@@ -225,7 +225,7 @@ SQL["fx_base_frame"] = """
 SELECT DISTINCT notebook, frame, pos, concat(CASE WHEN frame = 'R' AND k = 2 THEN 'd' ELSE 'c' END, k) AS col_name, src_ref, src_column,
  CASE WHEN (notebook + k) % 4 = 0 THEN 'f(x)' END AS transform FROM
  (SELECT o_custkey AS notebook, CASE WHEN o_orderkey % 2 = 0 THEN 'L' ELSE 'R' END AS frame, o_orderkey % 3 AS k,
-  dense_rank() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey % 3) AS pos,
+  CAST(dense_rank() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey % 3) AS BIGINT) AS pos,
   concat('ws0/lh_bronze/t', o_orderkey % 5) AS src_ref, concat('s', o_orderkey % 4) AS src_column FROM orders) b
 """
 

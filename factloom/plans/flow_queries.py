@@ -185,11 +185,12 @@ _PID = "concat('W', l_orderkey % 2) AS workspace_id, concat_ws('-', l_orderkey,
 
 @query("a03_read_definitions", f"""
 WITH d AS (SELECT *, {_PID} FROM lineitem WHERE l_linenumber <> 7)
-SELECT workspace_id, pipeline_id, 0 AS seq, 'copy' AS name, 'Copy' AS type, CAST([] AS VARCHAR[]) AS depends_on, CAST(NULL AS VARCHAR) AS notebook_id, CAST(NULL AS VARCHAR) AS child_pipeline_id, CAST(NULL AS VARCHAR) AS child_workspace_id FROM d
-UNION ALL SELECT workspace_id, pipeline_id, 1, 'run nb', 'TridentNotebook', ['copy'], concat('nb', l_partkey % 7), NULL, NULL FROM d
-UNION ALL SELECT workspace_id, pipeline_id, 2, 'call', 'Unknown', ['run nb', 'copy'], NULL, concat('p', l_partkey % 7), 'W2' FROM d""")
+SELECT workspace_id, pipeline_id, 0 AS seq, 'copy' AS name, 'Copy' AS type, '' AS depends_on, CAST(NULL AS VARCHAR) AS notebook_id, CAST(NULL AS VARCHAR) AS child_pipeline_id, CAST(NULL AS VARCHAR) AS child_workspace_id FROM d
+UNION ALL SELECT workspace_id, pipeline_id, 1, 'run nb', 'TridentNotebook', 'copy', concat('nb', l_partkey % 7), NULL, NULL FROM d
+UNION ALL SELECT workspace_id, pipeline_id, 2, 'call', 'Unknown', 'run nb|copy', NULL, concat('p', l_partkey % 7), 'W2' FROM d""")
 def _(f):
-    return definitions.read_definitions(_copies(f)).drop("properties", "inputs", "outputs")
+    read = definitions.read_definitions(_copies(f)).drop("properties", "inputs", "outputs")
+    return read.withColumn("depends_on", F.array_join("depends_on", "|"))
 
 
 _COPY_REFS = f"""d AS (SELECT *, {_PID}, concat(lpad(CAST(l_suppkey % 120 AS VARCHAR), 8, '0'), '-00AA-0000-0000-', lpad(CAST(l_suppkey % 120 AS VARCHAR), 12, '0')) AS guid FROM lineitem WHERE l_linenumber <> 7),
@@ -244,9 +245,10 @@ WITH RECURSIVE act AS ({_NESTED}),
 walk AS (SELECT pipeline_id AS root, pipeline_id, name, type, child_pipeline_id, CAST([] AS VARCHAR[]) AS seen, 0 AS depth, [seq] AS path FROM act
  UNION ALL SELECT w.root, a.pipeline_id, w.name || ' / ' || a.name, a.type, a.child_pipeline_id, list_append(w.seen, lower(w.child_pipeline_id)), w.depth + 1, list_append(w.path, a.seq) FROM walk w
  JOIN act a ON lower(a.pipeline_id) = lower(w.child_pipeline_id) WHERE w.depth < 5 AND NOT list_contains(w.seen, lower(w.child_pipeline_id)))
-SELECT 'w' AS workspace_id, root AS pipeline_id, path, name, type FROM walk""")
+SELECT 'w' AS workspace_id, root AS pipeline_id, array_to_string(path, '.') AS path, name, type FROM walk""")
 def _(f):
-    return activities.expand_activities(f.sql(_NESTED), f.sql(_NESTED_DEPS))[0]
+    flat = activities.expand_activities(f.sql(_NESTED), f.sql(_NESTED_DEPS))[0]
+    return flat.withColumn("path", F.array_join(F.transform("path", lambda n: n.cast("string")), "."))
 
 
 @query("f04_expand_dependencies")
@@ -257,7 +259,7 @@ def _(f):
 @query("f05_order_activities", "SELECT pipeline_id, name, idx, idx AS position FROM fx_activity")
 def _(f):
     activity = f("fx_activity").select("pipeline_id", F.col("idx").cast("bigint").alias("idx"), "name")
-    return activities.order_activities(activity, f("fx_activity_dep"), ["pipeline_id"]).withColumn("position", F.col("position").cast("bigint"))
+    return activities.order_activities(activity, f("fx_activity_dep"), ["pipeline_id"])
 
 
 @query("f05_order_shuffled")

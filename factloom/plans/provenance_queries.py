@@ -59,7 +59,7 @@ def _(f):
         f, "select", ("c0", ["c0"], None, "col"), ("x", ["c1", "c2"], "c1 + c2", "col"), (None, ["c0"], "f(c0)", "col"), ("one", [], "1", "col"))
 
 
-@query("e04_select_expr", f"""WITH {_LR}, {_projected("(1, 'c0', 'c0', NULL), (2, 'z', 'c1', NULL), (3, 'q', 'nope', NULL)", strict=True)} {_FRAME}""")
+@query("e04_select_expr", f"""WITH {_LR}, {_projected("(1, 'c0', 'c0', CAST(NULL AS VARCHAR)), (2, 'z', 'c1', NULL), (3, 'q', 'nope', NULL)", strict=True)} {_FRAME}""")
 def _(f):
     return _apply(f, "selectExpr", ("c0", ["c0"], None, "expr"), ("z", ["c1"], None, "expr"), ("q", ["nope"], None, "expr"))
 
@@ -195,7 +195,7 @@ def _(f):
     return prov.write_flows(f("fx_view_write"), frames, f("fx_view_col"))
 
 
-_FLOW_LOG = """SELECT l_orderkey AS run_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity) AS seq,
+_FLOW_LOG = """SELECT l_orderkey AS run_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity) AS BIGINT) AS seq,
  concat('t', l_partkey % 3) AS to_table, concat('c', l_linenumber % 2) AS to_column, CASE WHEN l_suppkey % 3 > 0 THEN concat('s', l_suppkey % 3) END AS from_table, concat('c', l_linenumber % 3) AS from_column,
  concat('f', l_linenumber) AS transform FROM lineitem"""
 
