@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.session import scratch_path
+
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -233,6 +235,13 @@ SQL["fx_notebook"] = """
 SELECT DISTINCT o_custkey AS notebook FROM orders
 """
 
+# Facts that many questions read: they are saved, not derived again for every use.
+STORED = {
+    "fx_column_flow", "fx_access", "fx_table_schema", "fx_cell", "fx_entry", "fx_statement_text",
+    "fx_frame_op", "fx_view_col", "fx_base_frame", "fx_activity", "fx_activity_dep",
+}
+_WRITTEN: dict[tuple[str, str, str], tuple[str, object]] = {}
+
 _NAME = re.compile(r"\b(FROM|JOIN)\s+(fx_\w+|" + "|".join(BASE_TABLES) + r")\b", re.I)
 
 
@@ -265,12 +274,24 @@ class Facts:
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._frames:
-            if name in SQL:
+            if name in STORED:
+                self._frames[name] = self._stored(name)
+            elif name in SQL:
                 self._frames[name] = self.sql(SQL[name])
             else:
                 self._frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._frames[name]
 
+    def _stored(self, name: str) -> DataFrame:
+        """A fact table written once per application, as finished runs are, then read."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _WRITTEN:
+            frame, path = self.sql(SQL[name]), scratch_path(self.spark, name)
+            frame.write.parquet(path)
+            _WRITTEN[key] = (path, frame.schema)
+        path, schema = _WRITTEN[key]
+        return self.spark.read.schema(schema).parquet(path)
+
     def sql(self, text: str) -> DataFrame:
         text = expand(text)
         frames = {name: self(name) for _, name in _NAME.findall(text)}
