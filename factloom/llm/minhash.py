@@ -9,8 +9,10 @@ How pairs are found without listing all pairs of a group:
   First only the best such pair of each class is verified on full sets, and
   components are built; then the remaining pairs between different components.
 * Buckets that still hold more than one component (shared passages, chance) are
-  compared exhaustively, but between components only, on signatures, in blocks
-  of bounded size dealt over tasks; only pairs whose signatures agree go on.
+  compared exhaustively, between components only, on signatures, in pairs of
+  blocks of bounded size dealt over tasks. A block pair returns no pairs but which of its
+  classes hang together, one row for each class at most. Of what hangs together
+  by signatures the full sets are compared in the same way.
 
 No bucket or candidate is capped. With 32 bands of 4 minima a pair of similarity
 0.75 meets in no bucket with probability 5e-6, and five standard deviations are
@@ -126,53 +128,70 @@ def _agreeing(batches, percent):
         yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["a", "b"]).filter(pa.array(fit))
 
 
-def _block_pairs(batches, percent):
-    """Rows (bucket, i, j, side, node, component, n, signature) sorted by bucket, i, j, a block pair
-    being at most two blocks of rows: pairs of different components whose signatures allow a link."""
-    least, held = _least(percent), []
-
-    def compare(table):
-        side = table.column("side").to_numpy()
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        node, comp, n = (table.column(c).to_numpy() for c in ("node", "component", "n"))
-        sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(-1, MINIMA)
-        left = np.flatnonzero(side == i)
-        right = left if i == j else np.flatnonzero(side == j)
-        for at in range(0, left.size, 32):
-            x = left[at:at + 32]
-            fit = (comp[x][:, None] != comp[right]) & (node[x][:, None] != node[right])
-            fit &= 100 * np.minimum(n[x][:, None], n[right]) >= percent * np.maximum(n[x][:, None], n[right])
-            p, q = np.nonzero(fit)
-            if p.size:
-                agree = (sign[x[p]] == sign[right[q]]).sum(axis=1) >= least
-                a, b = node[x[p[agree]]], node[right[q[agree]]]
-                if a.size:
-                    yield np.maximum(a, b), np.minimum(a, b)
-
-    def flush(table):
-        found = list(compare(table))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
-
-    key = None
+def _groups(batches, keys):
+    """Tables of the rows that share the key columns, from batches sorted by them."""
+    held, key = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j"))))
-        start = 0
-        for at in range(1, len(keys) + 1):
-            if at == len(keys) or keys[at] != keys[start]:
-                if held and key != keys[start]:
-                    yield from flush(pa.Table.from_batches(held))
-                    held = []
-                key = keys[start]
-                held.append(batch.slice(start, at - start))
-                if at < len(keys):
-                    yield from flush(pa.Table.from_batches(held))
-                    held = []
-                start = at
+        values = list(zip(*(batch.column(c).to_pylist() for c in keys)))
+        starts = [0, *(i for i in range(1, len(values)) if values[i] != values[i - 1]), len(values)]
+        for start, end in zip(starts, starts[1:]):
+            if held and values[start] != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = values[start]
+            held.append(batch.slice(start, end - start))
     if held:
-        yield from flush(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
+
+
+def _hanging(linked: np.ndarray) -> np.ndarray:
+    """For each member the first one that it is connected with, by a symmetric matrix of links."""
+    label = np.arange(len(linked))
+    while True:
+        lower = np.minimum(label, np.where(linked, label, len(linked)).min(axis=1, initial=len(linked)))
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
+def _compared(table, percent, exact):
+    """Links (a, b) that connect the classes of one block pair, at most one row for each class."""
+    side, i, j = table.column("side").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    node, comp, n = (table.column(c).to_numpy() for c in ("node", "component", "n"))
+    sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(-1, MINIMA)
+    fit = np.zeros((node.size, node.size), dtype=bool)
+    right = np.arange(node.size) if i == j else np.flatnonzero(side == j)
+    for x in range(node.size) if i == j else np.flatnonzero(side == i):
+        near = right[(comp[right] != comp[x]) & (100 * np.minimum(n[x], n[right]) >= percent * np.maximum(n[x], n[right]))]
+        fit[x, near] = (sign[near] == sign[x]).sum(axis=1) >= _least(percent)
+    if exact and fit.any():
+        sets = [np.frombuffer(s, dtype=np.uint64) for s in table.column("shingles").to_pylist()]
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        first = np.concatenate([[0], np.cumsum([s.size for s in sets])])
+        mark = np.zeros(ids.size, dtype=np.int64)
+        for x in np.flatnonzero(fit.any(axis=1)):
+            own = ids[first[x]:first[x + 1]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[ids], first[:-1])
+            fit[x] &= 100 * common >= percent * (n[x] + n - common)
+            mark[own] = 0
+    fit |= fit.T
+    if exact:
+        fit |= comp[:, None] == comp
+    label = _hanging(fit)
+    a, b = node, node[label]
+    return a[a != b], b[a != b]
+
+
+def _block_links(batches, percent, exact):
+    """Rows (grp, i, j, side, node, component, n, signature[, shingles]) sorted by grp, i, j: the links of each block pair."""
+    for table in _groups(batches, ("grp", "i", "j")):
+        a, b = _compared(table, percent, exact)
+        if a.size:
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -242,12 +261,16 @@ def _class_components(docs: DataFrame, classes: DataFrame, percent: int, shingle
             .select("a", "b", "sa", "sb", "na", "nb")
             .mapInArrow(functools.partial(_agreeing, percent=percent), "a bigint, b bigint"))
 
-    def linked(pairs):
-        """Pairs linked by their full sets, made again from the texts of the classes concerned."""
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "set_key"), "node")
-        sets = save(
-            needed.join(docs.withColumnRenamed("doc_id", "node"), "node").select("node", "set_key", "text")
+    def shingles(nodes):
+        """The full sets of these classes, made again from their texts."""
+        return save(
+            nodes.join(classes.select("node", "set_key"), "node").join(docs.withColumnRenamed("doc_id", "node"), "node")
+            .select("node", "set_key", "text")
             .mapInArrow(functools.partial(_sets, size=shingle), "node bigint, shingles binary").distinct(), "sets")
+
+    def linked(pairs):
+        """Pairs linked by their full sets."""
+        sets = shingles(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         return save(
             pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
@@ -268,26 +291,35 @@ def _class_components(docs: DataFrame, classes: DataFrame, percent: int, shingle
     second = save(agreeing(across(stars, component)), "pairs")
     if not second.isEmpty():
         component = merged(component, linked(second))
-    third = save(_bucket_pairs(members, sizes, component, percent).join(second, ["a", "b"], "left_anti"), "pairs")
-    if not third.isEmpty():
-        component = merged(component, linked(third))
+    loose = components(_mixed_buckets(members, sizes, component, percent))
+    if not loose.isEmpty():
+        every = loose.unionByName(loose.select(F.col("component").alias("node"), "component").distinct()).select("node", F.col("component").alias("grp"))
+        size = every.groupBy("grp").agg(F.count("*").alias("size"))
+        rows = every.join(size, "grp").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rows = rows.join(sizes, "node").join(shingles(every.select("node")), "node")
+        component = merged(component, _blocks(rows, percent, True))
     return component
 
 
-def _bucket_pairs(members: DataFrame, sizes: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs with agreeing signatures in the buckets that hold several components."""
+def _blocks(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Links within each grp (size rows), found in all pairs of blocks of about ``BLOCK`` of its rows."""
+    dealt = (
+        rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        .withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("grp", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "component", "n", "signature",
+                *(["shingles"] if exact else [])))
+    return save(
+        dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+        .mapInArrow(functools.partial(_block_links, percent=percent, exact=exact), "a bigint, b bigint"), "block-links")
+
+
+def _mixed_buckets(members: DataFrame, sizes: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """What hangs together by signatures in the buckets that hold several components."""
     placed = save(
         members.join(component, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component")), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = (
-        placed.join(mixed, "bucket").join(sizes, "node")
-        .withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "component", "n", "signature"))
-    return (
-        rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        .mapInArrow(functools.partial(_block_pairs, percent=percent), "a bigint, b bigint").distinct())
+    return _blocks(placed.join(mixed, "bucket").join(sizes, "node").withColumnRenamed("bucket", "grp"), percent, False)
 
 
 def one_per_group(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
