@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.llm import minhash
+import corpus_pipeline
+from factloom.llm import decontaminate, language_id, licences, minhash, mixing, quality, secret_scan, warc
 from factloom.llm.tables import read
 
 
+def op1_warc_revisits(spark, sf_dir):
+    return warc.deduplicate(read(spark, sf_dir, "pages"), warc.archive_folder(spark))
+
+
 def op2_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -35,9 +40,121 @@ FROM documents d LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
 """
 
+def op3_secret_scans(spark, sf_dir):
+    return secret_scan.scan(read(spark, sf_dir, "documents")).drop("text_key", "live")
+
+
+def op4_licence_scans(spark, sf_dir):
+    return licences.scan(read(spark, sf_dir, "documents")).drop("text_key")
+
+
+def op7_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+def op8_mixing_sources(spark, sf_dir):
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("text_key", "copies")
+
+
+def op9_language_id(spark, sf_dir):
+    return language_id.identify(read(spark, sf_dir, "documents")).drop("text_key")
+
+
+def op10_quality_rules(spark, sf_dir):
+    return quality.quality(read(spark, sf_dir, "documents")).drop("text_key")
+
+
+OP7_SQL = r"""
+WITH words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 9), ' ') AS s, least(len(w), 10) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)),
+places AS (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+  FROM words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
+hits AS MATERIALIZED (
+  SELECT doc_id, i, p.n, item_id FROM places p JOIN windows v ON v.n = p.n AND v.s = array_to_string(list_slice(w, i, i + p.n - 1), ' ')),
+hit_words AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
+hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+OP8_SQL = r"""
+WITH rows AS MATERIALIZED (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')), 1, 15))::BIGINT AS place FROM documents),
+ranked AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM rows GROUP BY source),
+limited AS (SELECT *, 2.0::DOUBLE * source_size AS lim, ([3.0, 1.0, 2.0]::DOUBLE[])[((rank - 1) % 3 + 1)::INT] AS weight FROM ranked),
+rated AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(lim) OVER (ORDER BY lim / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY lim / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM limited),
+sources AS MATERIALIZED (
+  SELECT source, source_size, least(lim, weight * (SELECT arg_min(rate, (lim / weight, rank)) FROM rated WHERE rate * weight <= lim)) AS target
+  FROM rated),
+budgets AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS times FROM sources),
+pass0 AS (
+  SELECT r.*, source_size, target, times, floor(target - times * source_size) AS budget, false AS chosen
+  FROM rows r JOIN budgets b ON b.source IS NOT DISTINCT FROM r.source),
+step1 AS (
+  SELECT *, NOT chosen AS open, sum(size) FILTER (NOT chosen) OVER (PARTITION BY source ORDER BY place RANGE UNBOUNDED PRECEDING) AS through
+  FROM pass0),
+pass1 AS MATERIALIZED (
+  SELECT * EXCLUDE (open, through, budget, chosen), chosen OR (open AND through <= budget) AS chosen,
+    budget - coalesce(max(through) FILTER (open AND through <= budget) OVER (PARTITION BY source), 0) AS budget FROM step1),
+{steps}
+SELECT doc_id, size, source_size, target, (size * (times + (chosen AND times < 2)::INT))::BIGINT AS taken FROM pass4
+"""
+_OP8_STEP = """
+step{n} AS (
+  SELECT *, NOT chosen AND size > 0 AND size <= budget AS open,
+    sum(size) FILTER (NOT chosen AND size > 0 AND size <= budget) OVER (PARTITION BY source ORDER BY place RANGE UNBOUNDED PRECEDING) AS through
+  FROM pass{before}),
+pass{n} AS MATERIALIZED (
+  SELECT * EXCLUDE (open, through, budget, chosen), chosen OR (open AND through <= budget) AS chosen,
+    budget - coalesce(max(through) FILTER (open AND through <= budget) OVER (PARTITION BY source), 0) AS budget FROM step{n})"""
+OP8_SQL = OP8_SQL.replace("{steps}", ",".join(_OP8_STEP.format(n=n, before=n - 1) for n in (2, 3, 4)))
+
+OP1_SQL = """
+WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS p, sha1(coalesce(html, '')) AS h FROM pages),
+digests AS (
+  SELECT page_id, octet_length(p)::BIGINT AS payload_bytes,
+    array_to_string([
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(h, 1 + 10 * (k // 8)::INT, 10))::BIGINT >> (5 * (7 - k % 8))::INT) & 31)::INT + 1, 1)
+      FOR k IN range(0, 32)], '') AS payload_digest
+  FROM payloads),
+firsts AS (SELECT payload_digest, min(page_id) AS first FROM digests GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM digests JOIN firsts USING (payload_digest)
+"""
+
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_warc_revisits": op1_warc_revisits,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_secret_scans": op3_secret_scans,
+    "op4_licence_scans": op4_licence_scans,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_mixing_sources": op8_mixing_sources,
+    "op9_language_id": op9_language_id,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
+    "op1_warc_revisits": OP1_SQL,
     "op2_minhash_near_dedup": OP2_SQL,
+    "op7_benchmark_decontamination": OP7_SQL,
+    "op8_mixing_sources": OP8_SQL,
 }

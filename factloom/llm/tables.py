@@ -28,9 +28,11 @@ def text_key(text: str | Column = "text") -> Column:
     return F.xxhash64(F.col(text) if isinstance(text, str) else text)
 
 
-def same(left: DataFrame, right: DataFrame, *columns: str) -> Column:
-    """Equality on the columns, nulls included."""
+def join_rows(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Equi-join on the keys, where null equals null; the right side's keys are dropped."""
+    right = right.withColumnsRenamed({k: f"__{k}" for k in keys})
     condition = F.lit(True)
-    for c in columns:
-        condition = condition & left[c].eqNullSafe(right[c])
-    return condition
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    joined = left.join(right, condition, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*(f"__{k}" for k in keys))
