@@ -29,10 +29,11 @@ LEAST_WORDS, MOST_REPEATED = 10, 20
 CORE, STEPS = 0.75, 4
 #: smaller groups are judged with all sources of their language, then with all documents
 LEAST_GROUP = 50
-#: squared distances from here on are outliers; for a normal vector of this dimension a chance below 1e-8
-CUT = 50.0
-#: the least standard deviation of each statistic
-FLOORS = (0.06, 0.6, 0.6, 0.6, 0.4, 0.4)
+#: squared distances beyond are outliers: the 0.9999 quantile of the chi-squared distribution with as many degrees
+#: of freedom as statistics
+CUT = 27.9
+#: the least standard deviation of each statistic, so that what nearly all texts lack does not divide by zero
+FLOORS = (0.08, 0.5, 1.0, 1.0, 0.6, 1.0)
 _N = len(FLOORS)
 _PAIRS = [(i, j) for i in range(_N) for j in range(i, _N)]
 #: the median of the chi-squared distribution with as many degrees of freedom as statistics
