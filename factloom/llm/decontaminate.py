@@ -68,7 +68,7 @@ def _bitmap(df: DataFrame, column: str):
 
 
 def _in(bitmap, hashes):
-    bit = hashes & np.uint64(BITS - 1)
+    bit = hashes & np.uint64(64 * bitmap.size - 1)
     return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
