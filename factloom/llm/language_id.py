@@ -245,7 +245,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[Model, dict]:
     order = F.xxhash64("doc_id", F.lit("sample"))
     labelled = docs.where("lang is not null and text is not null").where(~held_out()).select("lang", "text", order.alias("h"))
     ranked = labelled.select("lang", "h").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    last = ranked.where(F.col("rank") <= sample).groupBy("lang").agg(F.max("h").alias("last"))
+    last = save(ranked.where(F.col("rank") <= sample).groupBy("lang").agg(F.max("h").alias("last")), "language-limits")
     chosen = save(labelled.join(last, "lang").where("h <= last").select(
         "lang", "text", (F.pmod(F.xxhash64("h"), F.lit(CALIBRATION)) == 0).alias("calibrates")), "language-sample")
     rows = chosen.where("not calibrates").select("lang", "text").mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy(

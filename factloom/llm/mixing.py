@@ -10,7 +10,8 @@ threshold, so smaller mixes lie within larger ones.
 
 Documents are taken whole. What a threshold leaves of a budget, because the next
 document is too large, is filled the same way from the documents that fit, a
-fixed number of times.
+fixed number of times; last, the one document that brings the sum nearest to the
+budget is added, if that is nearer than none.
 """
 
 from __future__ import annotations
@@ -117,6 +118,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
         budgets = found.select("source", F.col("left").alias("budget"))
         below = F.col("place") < F.col(f"below{n}")
         chosen = chosen | (below & (F.col("size") <= F.col(f"most{n}")) & (F.col("size") > 0) if n else below)
+    left = F.col(f"most{PASSES}")
+    open_ = join_rows(rows, rules, ["source"]).where(~chosen & (F.col("size") > 0) & (F.col("size") < 2 * left))
+    nearest = open_.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - left).alias("off"), "place")).alias("best"))
+    rules = save(join_rows(rules, nearest.select("source", F.col("best.place").alias("nearest")), ["source"]), "rules")
+    chosen = chosen | F.coalesce(F.col("place") == F.col("nearest"), F.lit(False))
     copies = F.col("times") + F.when(chosen & (F.col("times") < most), 1).otherwise(0)
     return join_rows(rows, rules, ["source"]).select(
         "doc_id", F.col("place").alias("text_key"), "size", "source_size", "target", copies.cast("int").alias("copies"),

@@ -143,8 +143,12 @@ step1 AS (
 pass1 AS MATERIALIZED (
   SELECT * EXCLUDE (open, through, budget, chosen), chosen OR (open AND through <= budget) AS chosen,
     budget - coalesce(max(through) FILTER (open AND through <= budget) OVER (PARTITION BY source), 0) AS budget FROM step1),
-{steps}
-SELECT doc_id, size, source_size, target, (size * (times + (chosen AND times < 2)::INT))::BIGINT AS taken FROM pass4
+{steps},
+nearest AS (
+  SELECT source, arg_min(place, (abs(size - budget), place)) AS nearest FROM pass4 WHERE NOT chosen AND size > 0 AND size < 2 * budget GROUP BY source)
+SELECT doc_id, size, source_size, target,
+  (size * (times + ((chosen OR coalesce(place = nearest, false)) AND times < 2)::INT))::BIGINT AS taken
+FROM pass4 p LEFT JOIN nearest n ON n.source IS NOT DISTINCT FROM p.source
 """
 _OP8_STEP = """
 step{n} AS (
