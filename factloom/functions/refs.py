@@ -204,40 +204,44 @@ def as_ref(value: Column, workspace="", lakehouse="") -> Column:
     return F.when(looks_like_ref(value), value).otherwise(qualify(value, workspace, lakehouse))
 
 
-def resolve_names(df: DataFrame, column: str, name_map: DataFrame) -> DataFrame:
-    """Replace GUIDs in ``column`` by display names; an unknown GUID stays.
+def resolve_ids(df: DataFrame, name_map: DataFrame, columns: list[str], salts: int = 16) -> DataFrame:
+    """Replace GUIDs in the columns by display names; an unknown GUID stays.
 
-    A plain left join: the optimizer broadcasts the map while it is small and
-    shuffles it otherwise.
+    Rows of one GUID meet in ``salts`` places instead of one, the map being repeated for each, and a value that is null or
+    blank gets a key of its own that nothing matches, so that neither a busy workspace nor the rows without one
+    make a heavy key. While the map is small the optimizer broadcasts it and nothing is shuffled.
     """
-    names = name_map.select(F.lower("guid").alias("_guid"), F.col("name").alias("_name"))
-    return (
-        df.join(names, F.lower(F.col(column)) == F.col("_guid"), "left")
-        .withColumn(column, F.coalesce("_name", column))
-        .drop("_guid", "_name")
-    )
+    names = name_map.select(
+        F.lower("guid").alias("_guid"), F.col("name").alias("_name"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_place"))
+    spread = F.xxhash64(*[F.col(c) for c in df.columns if c in _hashable(df)])
+    out = df
+    for column in columns:
+        value = F.lower(F.col(column))
+        known = F.coalesce(F.btrim(value), F.lit("")) != ""
+        keyed = out.withColumns({
+            "_key": F.when(known, value).otherwise(F.concat(F.lit("\n"), spread.cast("string"))), "_salt": F.pmod(spread, F.lit(salts)).cast("int")})
+        joined = keyed.join(names, (F.col("_key") == F.col("_guid")) & (F.col("_salt") == F.col("_place")), "left")
+        out = joined.withColumn(column, F.coalesce("_name", column)).drop("_key", "_salt", "_guid", "_name", "_place")
+    return out
 
 
-def qualify_refs(df: DataFrame, raw: str, name_map: DataFrame, workspace="", lakehouse="") -> DataFrame:
-    """Adds ``ref``: ``qualify`` with the parts of absolute paths resolved by name.
+def _hashable(df: DataFrame) -> set[str]:
+    """Columns that can be hashed: no maps or variants."""
+    return {f.name for f in df.schema if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))}
 
-    Only the GUIDs that occur are joined, once per distinct value and not once
-    per row, so one busy workspace does not become one heavy join key.
-    """
+
+def resolve_names(df: DataFrame, column: str, name_map: DataFrame) -> DataFrame:
+    """Replace GUIDs in ``column`` by display names; an unknown GUID stays."""
+    return resolve_ids(df, name_map, [column])
+
+
+def qualify_refs(df: DataFrame, raw: str, name_map: DataFrame, workspace="", lakehouse="") -> DataFrame:
+    """Adds ``ref``: ``qualify`` with the parts of absolute paths resolved by name."""
+    parts = ("table", "lakehouse", "workspace")
     parsed = df.withColumn("_p", qualify_parts(F.col(raw), workspace, lakehouse))
-    keys = F.array("_p.workspace", "_p.lakehouse", "_p.table")
-    used = (
-        parsed.filter("_p.by_path")
-        .select(F.explode(F.transform(keys, F.lower)).alias("_guid"))
-        .distinct()
-        .join(name_map.select(F.lower("guid").alias("_guid"), F.col("name").alias("_name")), "_guid")
-    )
-    for part in ("workspace", "lakehouse", "table"):
-        key = F.when(F.col("_p.by_path"), F.lower(F.col(f"_p.{part}")))
-        found = used.select(F.col("_guid").alias(f"_g_{part}"), F.col("_name").alias(f"_n_{part}"))
-        parsed = parsed.join(found, key == F.col(f"_g_{part}"), "left")
-    resolved = [F.coalesce(F.col(f"_n_{p}"), F.col(f"_p.{p}")) for p in ("table", "lakehouse", "workspace")]
-    return parsed.withColumn("ref", make_ref(*resolved)).select(*df.columns, "ref")
+    ids = parsed.withColumns({f"_id_{p}": F.when(F.col("_p.by_path"), F.col(f"_p.{p}")) for p in parts})
+    resolved = resolve_ids(ids, name_map, [f"_id_{p}" for p in parts])
+    return resolved.withColumn("ref", make_ref(*[F.coalesce(f"_id_{p}", f"_p.{p}") for p in parts])).select(*df.columns, "ref")
 
 
 def referenced_workspace_ids(cells: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -40,19 +40,14 @@ def _side(side: str) -> tuple[Column, Column, Column, Column]:
 def dataset_refs(activity: DataFrame, name_map: DataFrame, default_workspace="") -> DataFrame:
     """Adds ``source_ref`` and ``sink_ref``, null when a side cannot be named.
 
-    GUIDs resolve through the name map; the distinct GUIDs are looked up once
-    and joined back, whatever the number of activities that share one.
+    GUIDs resolve through the name map, all four of an activity in one pass.
     """
     out = activity
     for side in ("source", "sink"):
         table, workspace, lakehouse, service = _side(side)
         out = out.withColumns({f"_{side}_t": table, f"_{side}_w": workspace, f"_{side}_l": lakehouse, f"_{side}_s": service})
-    names = name_map.select(F.lower("guid").alias("_g"), F.col("name").alias("_n"))
     ids = [f"_{side}_{part}" for side in ("source", "sink") for part in ("w", "l")]
-    used = out.select(F.explode(F.array(*[F.lower(i) for i in ids])).alias("_g")).distinct().join(names, "_g")
-    for column in ids:
-        found = used.select(F.col("_g").alias(f"{column}_g"), F.col("_n").alias(f"{column}_n"))
-        out = out.join(found, F.lower(column) == F.col(f"{column}_g"), "left").withColumn(column, F.coalesce(f"{column}_n", column))
+    out = refs.resolve_ids(out, name_map, ids)
     for side in ("source", "sink"):
         workspace = F.when(F.col(f"_{side}_w") != "", F.col(f"_{side}_w")).otherwise(F.lit(default_workspace))
         lakehouse = F.when(F.col(f"_{side}_l") != "", F.col(f"_{side}_l")).otherwise(F.col(f"_{side}_s"))
@@ -187,7 +182,7 @@ def _known_deps(activity: DataFrame, deps: DataFrame, by: list[str]) -> DataFram
     )
 
 
-def order_activities(activity: DataFrame, deps: DataFrame, by: list[str], max_rounds: int = 10_000) -> DataFrame:
+def order_activities(activity: DataFrame, deps: DataFrame, by: list[str]) -> DataFrame:
     """Run order: always the first ready activity in definition order.
 
     That order is a sort. Give an activity the label (larger indexes above it,
@@ -200,13 +195,13 @@ def order_activities(activity: DataFrame, deps: DataFrame, by: list[str], max_ro
     known = _known_deps(activity, deps, by)
     edges = known.select(*by, F.col("depends_on").alias("src"), F.col("name").alias("dst"))
     loops = edges.filter("src = dst").select(*by, F.col("dst").alias("name"))
-    levels = graph._levels(edges, by, max_rounds)
+    levels = graph._levels(edges, by)
     blocked = loops
     if levels.blocked is not None:
         blocked = blocked.unionByName(levels.blocked.select(*by, F.col("dst").alias("name")))
     placed = activity.select(*by, "idx", "name").join(levels.depth.withColumnRenamed("id", "name"), [*by, "name"], "left")
     placed = placed.withColumn("depth", F.coalesce("depth", F.lit(0)))
-    blocked = _behind(blocked.distinct(), edges, by, max_rounds)
+    blocked = _behind(blocked.distinct(), edges, by)
     if blocked is not None:
         placed = placed.join(blocked, [*by, "name"], "left_anti")
     placed = cut_lineage(placed)
@@ -224,18 +219,16 @@ def order_activities(activity: DataFrame, deps: DataFrame, by: list[str], max_ro
     return number_rows(labelled, by, [F.col("label").isNull(), "label", "idx"], "position").drop("label")
 
 
-def _behind(names: DataFrame, edges: DataFrame, by: list[str], max_rounds: int) -> DataFrame | None:
+def _behind(names: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame | None:
     """``names`` and everything that waits for one of them; None when there are none."""
     found = Rounds(names.sparkSession)
     new = found.add(names)
     if new.isEmpty():
         return None
-    for _ in range(max_rounds):
+    while not new.isEmpty():
         reached = edges.join(new.withColumnRenamed("name", "src"), [*by, "src"], "left_semi").select(*by, F.col("dst").alias("name")).distinct()
         new = found.add(reached.join(found.table(), [*by, "name"], "left_anti"))
-        if new.isEmpty():
-            return found.table()
-    raise RuntimeError(f"graph is deeper than {max_rounds} levels")
+    return found.table()
 
 
 def activity_waves(activity: DataFrame, deps: DataFrame, by: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ pipeline); every operator handles all graphs in one job.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,12 +28,13 @@ class Levels:
     blocked: DataFrame | None
 
 
-def _levels(edges: DataFrame, by: list[str], max_rounds: int) -> Levels:
+def _levels(edges: DataFrame, by: list[str]) -> Levels:
     """Peel the graph: an edge stays as long as its source is still some edge's target.
 
     A node's depth is the number of rounds in which it was a target. Each round
     is one semi join of the edges that are left, so the work shrinks, and the
-    number of rounds is the longest path.
+    number of rounds is the longest path. It ends when no edge is left, or when a
+    round removes none, which only a cycle does.
     """
     kept = Rounds(edges.sparkSession)
 
@@ -42,7 +44,7 @@ def _levels(edges: DataFrame, by: list[str], max_rounds: int) -> Levels:
 
     left, remaining = keep(edges.filter("src <> dst").distinct(), 0)
     blocked = None
-    for number in range(1, max_rounds + 1):
+    for number in itertools.count(1):
         if remaining == 0:
             break
         reached = left.select(*by, F.col("dst").alias("src")).distinct()
@@ -51,23 +53,21 @@ def _levels(edges: DataFrame, by: list[str], max_rounds: int) -> Levels:
             blocked = left
             break
         left, remaining = rest, count
-    else:
-        raise RuntimeError(f"graph is deeper than {max_rounds} levels")
     depth = kept.table().groupBy(*by, F.col("dst").alias("id")).agg((F.max("round") + 1).alias("depth"))
     return Levels(depth, blocked)
 
 
-def longest_path_depth(nodes: DataFrame, edges: DataFrame, by: list[str], max_rounds: int = 10_000) -> DataFrame:
+def longest_path_depth(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     """0 without input, else one more than the deepest input.
 
     Exact on acyclic graphs. Where there is a cycle, edges on or behind it whose
     target is not later in id order are dropped first.
     """
     linked = edges.join(nodes.select(*by, F.col("id").alias("dst")), [*by, "dst"], "left_semi")
-    levels = _levels(linked, by, max_rounds)
+    levels = _levels(linked, by)
     if levels.blocked is not None:
         back = levels.blocked.filter("dst <= src")
-        levels = _levels(linked.join(back, [*by, "src", "dst"], "left_anti"), by, max_rounds)
+        levels = _levels(linked.join(back, [*by, "src", "dst"], "left_anti"), by)
     return nodes.join(levels.depth, [*by, "id"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
 
 
@@ -158,25 +158,30 @@ def cross_workspace_access(access: DataFrame, steps: DataFrame, by: list[str]) -
 
 
 def stage_of(access: DataFrame, by: list[str]) -> DataFrame:
-    """Stage rank of every table and step: a step has the one it first WRITES, else first reads."""
-    ranked = access.select(*by, "mode", "ref", refs.stage_rank(refs.ref_lakehouse(F.col("ref"))).alias("rank")).distinct()
+    """Stage rank of every table and step: a step has the one it first WRITES, else first reads.
+
+    ``access``: keys, mode, ref, seq. First is by ``seq``, the order of touch. ``at`` is where a table was first touched; the
+    step itself comes before its tables.
+    """
+    ranked = access.select(*by, "mode", "ref", "seq", refs.stage_rank(refs.ref_lakehouse(F.col("ref"))).alias("rank"))
 
     def first(mode):
         known = (F.col("mode") == mode) & (F.col("rank") >= 0)
-        return F.min_by(F.when(known, F.col("rank")), F.when(known, F.col("ref")))
+        return F.min_by(F.when(known, F.col("rank")), F.when(known, F.struct("seq", "rank")))
 
     steps = ranked.groupBy(*by).agg(F.coalesce(first("write"), first("read"), F.lit(-1)).alias("rank"))
-    tables = ranked.select(*by, F.lit("table").alias("kind"), F.col("ref").alias("id"), "rank").distinct()
-    return tables.unionByName(steps.select(*by, F.lit("step").alias("kind"), F.lit("step").alias("id"), "rank"))
+    tables = ranked.groupBy(*by, F.lit("table").alias("kind"), F.col("ref").alias("id"), "rank").agg(F.min("seq").alias("at"))
+    step = F.lit("step")
+    return tables.unionByName(steps.select(*by, step.alias("kind"), step.alias("id"), "rank", F.lit(-1).cast(tables.schema["at"].dataType).alias("at")))
 
 
 def medallion_bands(staged: DataFrame, by: list[str]) -> DataFrame:
-    """Present stages as bands in order, unstaged last; steps before tables within a band."""
+    """Present stages as bands in order, unstaged last; in a band steps before tables, each in order of first touch."""
     place = F.when(F.col("rank") < 0, 1_000).otherwise(F.col("rank"))
     # A graph has at most as many bands as there are stages, and one for the rest.
     present = staged.groupBy(*by).agg(F.array_sort(F.collect_set(place)).alias("_present"))
     kind_first = F.when(F.col("kind") == "step", 0).otherwise(1)
-    return number_rows(staged, [*by, "rank"], [kind_first, "id"], "position").join(present, by).select(
+    return number_rows(staged, [*by, "rank"], [kind_first, "at", "id"], "position").join(present, by).select(
         *by, "kind", "id", F.array_position("_present", place).alias("band"), refs.stage_label(F.col("rank")).alias("stage"), "position")
 
 
@@ -184,13 +189,13 @@ def medallion_bands(staged: DataFrame, by: list[str]) -> DataFrame:
 
 
 def owner_of(access: DataFrame, steps: DataFrame, by: list[str]) -> DataFrame:
-    """Workspace, else ``lh:`` and the lakehouse (its own, or the first written), else blank."""
+    """Workspace, else ``lh:`` and the lakehouse (its own, or the first written, by ``seq``), else blank."""
     def owner(workspace, lake):
         return F.when(workspace != "", workspace).when(lake != "", F.concat(F.lit("lh:"), lake)).otherwise("")
 
     ref = F.col("ref")
     tables = access.select(*by, F.lit("table").alias("kind"), ref.alias("id"), owner(refs.ref_workspace(ref), refs.ref_lakehouse(ref)).alias("owner")).distinct()
-    first_write = access.filter("mode = 'write'").groupBy(*by).agg(F.min("ref").alias("_ref"))
+    first_write = access.filter("mode = 'write'").groupBy(*by).agg(F.min_by("ref", F.struct("seq", "ref")).alias("_ref"))
     runs = steps.join(first_write, by, "left").select(
         *by, F.lit("step").alias("kind"), F.lit("step").alias("id"),
         owner(F.coalesce("workspace", F.lit("")), F.coalesce(refs.ref_lakehouse(F.col("_ref")), F.lit(""))).alias("owner"))

@@ -27,7 +27,7 @@ from factloom.session import Rounds, cut_lineage
 
 FRAME_COL = ["notebook", "frame", "pos", "col_name", "src_ref", "src_column", "transform"]
 _OP = ["notebook", "seq"]
-_OUT = "struct<col_name:string,src_ref:string,src_column:string,transform:string,slot:int,kept:boolean,renamed:boolean>"
+_OUT = "struct<col_name:string,src_ref:string,src_column:string,transform:string,slot:struct<late:int,pos:bigint>,kept:boolean,renamed:boolean>"
 
 WITH_COLUMN = ["withColumn", "withColumns"]
 PROJECT = ["select", "selectExpr", "groupBy", "agg"]
@@ -134,21 +134,26 @@ def apply_ops(ops: DataFrame, args: DataFrame, frames: DataFrame) -> DataFrame:
         return F.struct(
             name.alias("col_name"), (F.col("src_ref") if sourced else none).alias("src_ref"),
             (F.col("src_column") if sourced else none).alias("src_column"), transform.alias("transform"),
-            slot.cast("int").alias("slot"), (F.lit(True) if kept is None else kept).alias("kept"),
+            slot.alias("slot"), (F.lit(True) if kept is None else kept).alias("kept"),
             (F.lit(False) if renamed is None else renamed).alias("renamed"))
 
+    def place_of(late, pos):
+        """Where a column goes: new ones of withColumn and of a right side after all that were there."""
+        return F.struct(late.cast("int").alias("late"), pos.cast("bigint").alias("pos"))
+
     def computed(arg, sourced):
         plain = arg["role"].isin("key", "expr", "dict")
-        slot = arg["first_pos"] + F.when(is_with, 1_000_000).otherwise(0)
+        slot = place_of(F.when(is_with, 1).otherwise(0), arg["first_pos"])
         return out(arg["out_name"], F.when(~plain, arg["transform"]), slot, sourced=sourced)
 
     carried = out(
         F.when(is_rename | is_to_df, F.coalesce("new_name", "name")).otherwise(F.col("name")),
-        F.col("transform"), F.col("pos"),
+        F.col("transform"), place_of(F.lit(0), F.col("pos")),
         # A replaced column keeps its place but not its sources; a dropped one neither.
         kept=~(F.col("is_hit") & (is_with | (verb == "drop"))),
         renamed=is_rename & F.col("is_hit"))
-    met = out(F.coalesce("left_name", "name"), F.col("left_transform"), F.coalesce(F.col("left_pos"), F.col("pos") + 1_000_000))
+    met = out(F.coalesce("left_name", "name"), F.col("left_transform"), place_of(
+        F.when(F.col("left_pos").isNull(), 1).otherwise(0), F.coalesce("left_pos", "pos")))
     makes = verb.isin(PROJECT) | is_with
     nothing = F.array().cast(f"array<{_OUT}>")
     results = F.concat(
@@ -175,7 +180,7 @@ def apply_ops(ops: DataFrame, args: DataFrame, frames: DataFrame) -> DataFrame:
     )
 
 
-def resolve_frames(ops: DataFrame, args: DataFrame, base: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def resolve_frames(ops: DataFrame, args: DataFrame, base: DataFrame) -> DataFrame:
     """All frames that follow from ``base`` by ``ops``.
 
     Each round applies, for the whole corpus, the operations whose inputs have
@@ -186,7 +191,7 @@ def resolve_frames(ops: DataFrame, args: DataFrame, base: DataFrame, max_rounds:
     frames, done = Rounds(spark), Rounds(spark)
     frames.add(base.withColumn("pos", F.col("pos").cast("bigint")).select(*FRAME_COL))
     derived = ops.filter("left_frame IS NOT NULL")
-    for _ in range(max_rounds):
+    while True:
         known = frames.table()
         have = known.select("notebook", "frame").distinct()
         pending = derived.join(done.table(), _OP, "left_anti") if done.paths else derived
@@ -199,7 +204,6 @@ def resolve_frames(ops: DataFrame, args: DataFrame, base: DataFrame, max_rounds:
         if ready.isEmpty():
             return known
         frames.add(apply_ops(ready, args, known))
-    raise RuntimeError(f"frames still open after {max_rounds} rounds")
 
 
 # -- temp views ----------------------------------------------------------------

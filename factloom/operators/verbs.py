@@ -23,19 +23,37 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     )
 
 
-def range_join(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, width: float) -> DataFrame:
-    """``points`` inside ``[low, high)`` of ``ranges``, by buckets of ``width``.
+def range_join(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, unit: float = 1.0) -> DataFrame:
+    """``points`` inside ``[low, high)`` of ``ranges``.
 
-    Every range is written once per bucket it meets and every point once, so the
-    theta join becomes an equality join that Spark can hash or sort.
+    A range is cut into at most two aligned pieces of each power of two times ``unit``, as a subnet list would be, so even
+    the widest is some dozens of rows, and a point is looked up once for each width that
+    occurs: the theta join becomes an equality join that Spark can hash or sort. Null and empty ranges hold nothing.
     """
-    def bucket(value):
-        return F.floor(value / F.lit(float(width))).cast("bigint")
-
-    spread = ranges.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
-    placed = points.withColumn("_bucket", bucket(F.col(point)))
+    def cell(value):
+        return F.greatest(F.lit(-_LAST_CELL), F.least(F.lit(_LAST_CELL), F.floor(F.col(value).cast("double") / unit).cast("bigint")))
+
+    pieces = F.filter(F.array(*(p for k in range(64) for p in _pieces("_low", "_high", k))), lambda p: p.isNotNull())
+    spread = (
+        ranges.filter(F.col(low) < F.col(high)).withColumns({"_low": cell(low), "_high": cell(high)})
+        .withColumn("_piece", F.explode(pieces)).select(*ranges.columns, "_piece.level", "_piece.at")
+        .withColumnsRenamed({"level": "_level", "at": "_at"}))
+    levels = sorted(r[0] for r in spread.select("_level").distinct().collect())  # at most 64 numbers
+    looked = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn(
+        "_at", F.call_function("shiftright", cell(point), F.col("_level")))
     inside = (F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))
-    return placed.join(spread, "_bucket").filter(inside).drop("_bucket")
+    return looked.join(spread, ["_level", "_at"]).filter(inside).drop("_level", "_at")
+
+
+_LAST_CELL = 1 << 62
+
+
+def _pieces(low: str, high: str, level: int) -> list[Column]:
+    """The pieces of width 2^level at the ends of the cells ``low`` to ``high`` that make up no wider piece."""
+    first = -F.call_function("shiftright", -F.col(low), F.lit(level))
+    end = F.call_function("shiftright", F.col(high) + 1, F.lit(level))
+    piece = lambda at: F.struct(F.lit(level).alias("level"), at.alias("at"))
+    return [F.when((first < end) & (first % 2 != 0), piece(first)), F.when((first < end) & (end % 2 != 0), piece(end - 1))]
 
 
 def hash_sample(df: DataFrame, key: str, percent: int) -> DataFrame:
@@ -44,20 +62,43 @@ def hash_sample(df: DataFrame, key: str, percent: int) -> DataFrame:
     return df.filter(F.substring(F.md5(F.col(key).cast("string")), 1, 4) < bound)
 
 
-def merge_rows(target: DataFrame, source: DataFrame, on: list[str], delete_when: Column | None = None) -> DataFrame:
-    """MERGE: matched rows take the source's values or go, unmatched ones stay or arrive.
+def merge_rows(target: DataFrame, source: DataFrame, on: list[str], delete_when: Column | None = None,
+               update: dict[str, Column] | None = None, update_when: Column | None = None,
+               insert: dict[str, Column] | None = None, insert_when: Column | None = None) -> DataFrame:
+    """MERGE: matched rows are deleted or updated, unmatched target rows stay, unmatched source rows arrive.
 
-    ``delete_when`` may use ``s.<column>``. A source key that occurs twice is an
-    error, as it is in MERGE itself.
+    Clauses may use ``t.<column>`` and ``s.<column>``. A matched row goes where ``delete_when`` holds; else it takes the values of
+    ``update`` (all source columns, if None) where ``update_when`` holds or is None. A source row without target
+    arrives, where ``insert_when`` holds or is None, with the values of ``insert`` (all source columns, if None; columns
+    left out are null). A null key matches nothing. Several source rows for one target row are an error; several for no target row are not.
     """
     rest = [c for c in target.columns if c not in on]
-    once = source.groupBy(*on).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("s"))
-    once = once.withColumn("s", F.when(F.col("_n") == 1, F.col("s")).otherwise(F.raise_error(F.lit("two source rows for one key"))))
-    joined = target.select(*on, F.struct(*rest).alias("t")).join(once.select(*on, "s"), on, "full_outer")
+    s_rest = [c for c in source.columns if c not in on]
+    true = F.lit(True)
+    counted = source.filter(_no_null(on)).groupBy(*on).agg(F.count("*").alias("_n"), F.first(F.struct(*on, *s_rest)).alias("s"))
+    held = target.select(*on, F.struct(*on, *rest).alias("t")).join(counted, on, "left")
+    s = F.when(F.col("_n") > 1, F.raise_error(F.lit("several source rows match one target row")).cast(counted.schema["s"].dataType)).otherwise(F.col("s"))
+    held = held.withColumn("s", s)
+    matched = F.col("s").isNotNull()
     if delete_when is not None:
-        joined = joined.filter(~(F.col("t").isNotNull() & F.col("s").isNotNull() & F.coalesce(delete_when, F.lit(False))))
-    values = [F.when(F.col("s").isNotNull(), F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in rest]
-    return joined.select(*on, *values).select(*target.columns)
+        held = held.filter(~(matched & F.coalesce(delete_when, F.lit(False))))
+    changes = matched & (true if update_when is None else F.coalesce(update_when, F.lit(False)))
+    values = {c: F.col(f"s.{c}") for c in rest if c in s_rest} if update is None else update
+    kept = held.select(*on, *[F.when(changes, values[c]).otherwise(F.col(f"t.{c}")).alias(c) if c in values else F.col(f"t.{c}").alias(c) for c in rest])
+    arriving = source.join(target.select(*on).distinct(), on, "left_anti").withColumn("s", F.struct(*on, *s_rest))
+    if insert_when is not None:
+        arriving = arriving.filter(F.coalesce(insert_when, F.lit(False)))
+    given = {c: F.col(f"s.{c}") for c in rest if c in s_rest} if insert is None else insert
+    kinds = {f.name: f.dataType for f in target.schema}
+    new = arriving.select(*on, *[given.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in rest])
+    return kept.select(*target.columns).unionByName(new.select(*target.columns))
+
+
+def _no_null(columns: list[str]) -> Column:
+    condition = F.lit(True)
+    for c in columns:
+        condition = condition & F.col(c).isNotNull()
+    return condition
 
 
 def update_rows(df: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:

@@ -45,6 +45,11 @@ SELECT run_id, to_table AS ref, 'write' AS mode FROM fx_column_flow
  UNION SELECT l_orderkey, concat('ws0/lh_gold/bare', l_suppkey % 5), 'write' FROM lineitem WHERE l_linenumber = 6 AND l_linestatus = 'F'
 """
 
+# The order of touch is another one than that of names.
+SQL["fx_touch"] = """
+SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY md5(concat(ref, mode, run_id)), ref, mode) AS BIGINT) AS seq, ref, mode FROM fx_access
+"""
+
 SQL["fx_table_schema"] = """
 SELECT run_id, ref, name, CASE WHEN name IN ('c1','c2') THEN 'bigint' ELSE 'string' END AS type FROM
  (SELECT run_id, to_table AS ref, to_column AS name FROM fx_column_flow UNION SELECT run_id, from_table, from_column FROM fx_column_flow WHERE from_table IS NOT NULL) s

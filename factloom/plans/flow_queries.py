@@ -90,31 +90,33 @@ def _(f):
 
 
 _RANK = "CASE split_part(ref, '/', 2) WHEN 'lh_landing' THEN 0 WHEN 'lh_bronze' THEN 3 WHEN 'lh_silver' THEN 4 WHEN 'lh_gold' THEN 5 ELSE -1 END"
-_STAGED = f"""{RUN_ACCESS}, rk AS (SELECT run_id, mode, ref, {_RANK} AS rank FROM ra),
-st AS (SELECT run_id, 'table' AS kind, ref AS id, rank FROM rk UNION ALL
- SELECT run_id, 'step', 'step', coalesce(arg_min(rank, ref) FILTER (mode = 'write' AND rank >= 0), arg_min(rank, ref) FILTER (mode = 'read' AND rank >= 0), -1) FROM rk GROUP BY run_id)"""
+_STAGED = f"""rk AS (SELECT run_id, mode, ref, seq, {_RANK} AS rank FROM fx_touch),
+st AS (SELECT run_id, 'table' AS kind, ref AS id, rank, min(seq) AS at_ FROM rk GROUP BY run_id, ref, rank UNION ALL
+ SELECT run_id, 'step', 'step', coalesce(arg_min(rank, seq) FILTER (mode = 'write' AND rank >= 0), arg_min(rank, seq) FILTER (mode = 'read' AND rank >= 0), -1), -1 FROM rk GROUP BY run_id)"""
 
 
 @query("g09_stage_of", f"WITH {_STAGED} SELECT run_id, kind, id, rank FROM st")
 def _(f):
-    return graph.stage_of(reports.run_access(f("fx_access")), ["run_id"])
+    return graph.stage_of(f("fx_touch"), ["run_id"]).drop("at")
 
 
 @query("g10_medallion_bands", f"""
 WITH {_STAGED}
 SELECT run_id, kind, id, dense_rank() OVER (PARTITION BY run_id ORDER BY CASE WHEN rank < 0 THEN 99 ELSE rank END) AS band,
  CASE rank WHEN 0 THEN 'Landing' WHEN 3 THEN 'Bronze' WHEN 4 THEN 'Silver' WHEN 5 THEN 'Gold' ELSE 'Unstaged' END AS stage,
- row_number() OVER (PARTITION BY run_id, rank ORDER BY kind = 'table', id) AS position FROM st""")
+ row_number() OVER (PARTITION BY run_id, rank ORDER BY kind = 'table', at_, id) AS position FROM st""")
 def _(f):
-    return graph.medallion_bands(graph.stage_of(reports.run_access(f("fx_access")), ["run_id"]), ["run_id"])
+    return graph.medallion_bands(graph.stage_of(f("fx_touch"), ["run_id"]), ["run_id"])
 
 
-_LOOSE = "SELECT run_id, mode, CASE WHEN run_id % 3 = 0 THEN substr(ref, 4) WHEN run_id % 7 = 0 THEN concat('//', ref) ELSE ref END AS ref FROM fx_access"
+_LOOSE = "SELECT run_id, seq, mode, CASE WHEN run_id % 3 = 0 THEN substr(ref, 4) WHEN run_id % 7 = 0 THEN concat('//', ref) ELSE ref END AS ref FROM fx_touch"
 _OWN = "SELECT run_id, CASE WHEN run_id % 2 = 0 THEN 'wsX' ELSE '' END AS workspace FROM fx_step_run"
 _OWNERS = f"""ac AS ({_LOOSE}), p AS (SELECT DISTINCT run_id, ref, split_part(ref, '/', 1) AS w, split_part(ref, '/', 2) AS l FROM ac),
-fw AS (SELECT run_id, min(ref) AS ref FROM ac WHERE mode = 'write' GROUP BY run_id),
+fw AS (SELECT run_id, arg_min(ref, (seq, ref)) AS ref FROM ac WHERE mode = 'write' GROUP BY run_id),
 ow AS (SELECT run_id, 'table' AS kind, ref AS id, CASE WHEN w <> '' THEN w WHEN l <> '' THEN concat('lh:', l) ELSE '' END AS owner FROM p
  UNION ALL SELECT o.run_id, 'step', 'step', CASE WHEN workspace <> '' THEN workspace WHEN split_part(fw.ref, '/', 2) <> '' THEN concat('lh:', split_part(fw.ref, '/', 2)) ELSE '' END FROM ({_OWN}) o LEFT JOIN fw ON fw.run_id = o.run_id)"""
+# What a run reads only comes before its step, what it writes after it.
+_TOUCHED = "SELECT run_id, ref, max(mode) AS mode, min(seq) AS seq FROM loose GROUP BY run_id, ref"
 
 
 @query("g11_owner_of", f"WITH {_OWNERS} SELECT run_id, kind, id, owner FROM ow")
@@ -123,15 +125,27 @@ def _(f):
 
 
 @query("g12_owner_order", f"""
-WITH {_OWNERS}, n AS (SELECT run_id, owner, min(CASE WHEN kind = 'step' THEN 1 ELSE 0 END) AS depth, min(CASE WHEN kind = 'step' THEN '0' ELSE id END) AS at_, bool_or(kind = 'step') AS runs, bool_or(kind = 'table') AS tabs FROM ow GROUP BY run_id, owner),
+WITH {_OWNERS}, loose AS ({_LOOSE}), tc AS ({_TOUCHED}), sd AS (SELECT run_id, max(CASE WHEN mode = 'read' THEN 1 ELSE 0 END) AS d FROM tc GROUP BY run_id),
+pl AS (SELECT tc.run_id, 'table' AS kind, ref AS id, CASE WHEN mode = 'write' THEN d + 1 ELSE 0 END AS depth, seq AS at_ FROM tc JOIN sd ON sd.run_id = tc.run_id UNION ALL SELECT run_id, 'step', 'step', d, 0 FROM sd),
+n AS (SELECT ow.run_id, owner, min(coalesce(depth, 0)) AS depth, min(coalesce(at_, 0)) AS at_, bool_or(ow.kind = 'step') AS runs, bool_or(ow.kind = 'table') AS tabs
+ FROM ow LEFT JOIN pl ON pl.run_id = ow.run_id AND pl.kind = ow.kind AND pl.id = ow.id GROUP BY ow.run_id, owner),
 a AS (SELECT *, count(*) OVER (PARTITION BY run_id) = 1 AS alone FROM n),
 r AS (SELECT *, unnest(CASE WHEN alone AND runs AND tabs THEN ['runs', 'tables'] ELSE ['all'] END) AS role FROM a)
 SELECT run_id, owner, role, row_number() OVER (PARTITION BY run_id ORDER BY runs DESC, owner = '', depth, at_, role) AS position FROM r""")
 def _(f):
-    owned = graph.owner_of(f.sql(_LOOSE), f.sql(_OWN), ["run_id"])
-    step = F.col("kind") == "step"
-    nodes = owned.withColumns({"depth": F.when(step, 1).otherwise(0), "at": F.when(step, "0").otherwise(F.col("id"))})
-    return graph.owner_order(nodes, ["run_id"])
+    """Owners placed by the depth of the run's own graph and by first touch."""
+    loose = f.sql(_LOOSE)
+    owned = graph.owner_of(loose, f.sql(_OWN), ["run_id"])
+    touched = loose.groupBy("run_id", "ref").agg(F.max("mode").alias("mode"), F.min("seq").alias("at"))
+    table, step = F.concat(F.lit("t:"), F.col("ref")), F.lit("step")
+    nodes = touched.select("run_id", table.alias("id"), "at").unionByName(
+        f.sql(_OWN).select("run_id", step.alias("id"), F.lit(0).cast("bigint").alias("at")))
+    reads = F.col("mode") == "read"
+    edges = touched.select("run_id", F.when(reads, table).otherwise(step).alias("src"), F.when(reads, step).otherwise(table).alias("dst"))
+    placed = graph.longest_path_depth(nodes, edges, ["run_id"])
+    own = owned.withColumn("node", F.when(F.col("kind") == "table", F.concat(F.lit("t:"), F.col("id"))).otherwise(step))
+    both = own.join(placed.withColumnRenamed("id", "node"), ["run_id", "node"], "left")
+    return graph.owner_order(both.withColumns({"depth": F.coalesce("depth", F.lit(0)), "at": F.coalesce("at", F.lit(0))}), ["run_id"])
 
 
 _ROWS = """SELECT o_custkey % 100 AS card, CASE WHEN o_custkey % 3 = 0 THEN '' ELSE concat('t', o_custkey % 3) END AS "group", o_orderkey AS pos, concat('c', o_orderkey) AS label FROM orders"""
@@ -428,12 +442,19 @@ def _(f):
     return lines.groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
-@query("a09_save_run", "SELECT run_id, ref, mode, strftime(s.at, '%Y-%m') AS run_date FROM fx_access a JOIN fx_step_run s USING (run_id)")
+@query("a09_save_run", """
+SELECT fact, f.run_id, f.name, detail, strftime(s.at, '%Y-%m') AS run_date FROM (SELECT 'access' AS fact, run_id, ref AS name, mode AS detail FROM fx_access
+ UNION ALL SELECT 'table_schema', run_id, ref, name FROM fx_table_schema UNION ALL SELECT 'column_flow', run_id, to_table, to_column FROM fx_column_flow) f JOIN fx_step_run s ON s.run_id = f.run_id""")
 def _(f):
     path = scratch_path(f.spark, "runs")
-    dated = f("fx_access").join(f("fx_step_run").select("run_id", F.date_format("at", "yyyy-MM").alias("run_date")), "run_id")
-    tables.save_run({"access": dated.select("run_id", "ref", "mode", "run_date")}, path)
-    return f.spark.read.parquet(f"{path}/access").withColumn("run_date", F.col("run_date").cast("string"))
+    dates = f("fx_step_run").select("run_id", F.date_format("at", "yyyy-MM").alias("run_date"))
+    facts = {"access": ["run_id", "ref", "mode"], "table_schema": ["run_id", "ref", "name"], "column_flow": ["run_id", "to_table", "to_column"]}
+    saved = {name: f(f"fx_{name}").join(dates, "run_id").select(*columns, "run_date") for name, columns in facts.items()}
+    for half in (0, 1):
+        tables.save_run({name: frame.filter(F.col("run_id") % 2 == half) for name, frame in saved.items()}, path, f"batch-{half}")
+    parts = [tables.read_runs(f.spark, path, name, frame.schema).select(
+        F.lit(name).alias("fact"), "run_id", F.col(facts[name][1]).alias("name"), F.col(facts[name][2]).alias("detail"), "run_date") for name, frame in saved.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("a10_write_model", """

@@ -102,7 +102,7 @@ SELECT o_orderkey, band FROM orders JOIN (SELECT band, CAST(low AS DOUBLE) AS lo
 def _(f):
     bands = f.sql(_BANDS).select("band", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"))
     points = f("orders").select("o_orderkey", "o_totalprice")
-    return verbs.range_join(points, "o_totalprice", bands, "low", "high", 5000.0).select("o_orderkey", "band")
+    return verbs.range_join(points, "o_totalprice", bands, "low", "high").select("o_orderkey", "band")
 
 
 @query("d12_union", "SELECT o_orderkey AS id, o_orderstatus AS kind FROM orders UNION ALL SELECT event_id, event_type FROM events")
@@ -270,14 +270,31 @@ def _(f):
     return verbs.write_and_read(created, overwrite=f("events").selectExpr("event_id AS o_orderkey", "event_type AS o_orderstatus"))
 
 
-@query("d30_merge", """
-WITH t AS (SELECT c_custkey AS id, c_acctbal AS amount, c_mktsegment AS tag FROM customer), s AS (SELECT o_orderkey AS id, o_totalprice AS amount, o_orderstatus AS tag FROM orders WHERE o_orderpriority <> '5-LOW')
+# Source rows without a customer come twice, and some have no key; customers match at most one row.
+_MERGED = """SELECT CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN -(o_orderkey % 50) ELSE o_orderkey END AS id, o_totalprice AS amount, o_orderstatus AS tag,
+ o_orderpriority AS priority FROM orders WHERE o_orderpriority <> '5-LOW'"""
+_MERGE_TARGET = "SELECT CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_custkey END AS id, c_acctbal AS amount, c_mktsegment AS tag FROM customer"
+
+
+@query("d30_merge", f"""
+WITH t AS ({_MERGE_TARGET}), s AS ({_MERGED})
 SELECT coalesce(s.id, t.id) AS id, CASE WHEN s.id IS NOT NULL THEN s.amount ELSE t.amount END AS amount, CASE WHEN s.id IS NOT NULL THEN s.tag ELSE t.tag END AS tag
-FROM t FULL JOIN s ON s.id = t.id WHERE NOT (t.id IS NOT NULL AND s.id IS NOT NULL AND s.tag = 'P')""")
+FROM t LEFT JOIN s ON s.id = t.id WHERE NOT coalesce(s.tag = 'P', false)
+UNION ALL SELECT id, amount, tag FROM s WHERE id IS NULL OR id NOT IN (SELECT id FROM t WHERE id IS NOT NULL)""")
+def _(f):
+    return verbs.merge_rows(f.sql(_MERGE_TARGET), f.sql(_MERGED), ["id"], delete_when=F.col("s.tag") == "P")
+
+
+@query("d30_merge_clauses", f"""
+WITH t AS ({_MERGE_TARGET}), s AS ({_MERGED})
+SELECT t.id, CASE WHEN s.priority = '1-URGENT' THEN t.amount + s.amount ELSE t.amount END AS amount, t.tag FROM t LEFT JOIN s ON s.id = t.id
+UNION ALL SELECT id, amount, NULL FROM s WHERE (id IS NULL OR id NOT IN (SELECT id FROM t WHERE id IS NOT NULL)) AND amount > 100000""")
 def _(f):
-    target = f("customer").selectExpr("c_custkey AS id", "c_acctbal AS amount", "c_mktsegment AS tag")
-    source = f("orders").filter("o_orderpriority <> '5-LOW'").selectExpr("o_orderkey AS id", "o_totalprice AS amount", "o_orderstatus AS tag")
-    return verbs.merge_rows(target, source, ["id"], delete_when=F.col("s.tag") == "P")
+    """SET and INSERT lists, and a condition of each clause."""
+    return verbs.merge_rows(
+        f.sql(_MERGE_TARGET), f.sql(_MERGED), ["id"],
+        update={"amount": F.col("t.amount") + F.col("s.amount")}, update_when=F.col("s.priority") == "1-URGENT",
+        insert={"amount": F.col("s.amount")}, insert_when=F.col("s.amount") > 100000)
 
 
 @query("d31_update", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders")

@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame
 
+_OWNED: set[str] = set()
+
 
 def ensure_checkpoint_dir(spark) -> None:
     """Point the session at the cluster's shared checkpoint folder.
 
-    The folder is read from ``spark.checkpoint.dir``. Only a local master, where
-    driver and executors share one disk, may fall back to a folder of its own.
+    The folder is read from ``spark.checkpoint.dir``; where that is unset it lies beside the tables of the session, in
+    ``spark.sql.warehouse.dir``, which executors reach as well. Each application has a folder of its own
+    below it and removes it when it ends.
     """
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="factloom-checkpoint-")
-    context.setCheckpointDir(folder)
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        context.setCheckpointDir(folder)
+    own = context.getCheckpointDir()
+    if own not in _OWNED:
+        _OWNED.add(own)
+        path = context._jvm.org.apache.hadoop.fs.Path(own)
+        atexit.register(_remove, path.getFileSystem(context._jsc.hadoopConfiguration()), path)
+
+
+def _remove(files, path) -> None:
+    try:
+        files.delete(path, True)
+    except Py4JError:  # the JVM may be gone by now; the folder then stays
+        pass
 
 
 def cut_lineage(*frames: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def read_definitions(parts: DataFrame) -> DataFrame:
     ``properties`` or, where there are none, at the top. What cannot be read
     gives no rows. ``depends_on`` takes objects and bare names.
     """
-    text = F.decode(F.try_to_binary("payload", F.lit("base64")), "UTF-8")
+    text = F.make_valid_utf8(F.try_to_binary("payload", F.lit("base64")).cast("string"))  # a bad byte becomes a replacement character
     document = F.from_json("_text", f"properties struct<activities:array<{_ACTIVITY}>>, activities array<{_ACTIVITY}>")
     nested = F.get_json_object("_text", "$.properties")
     has_properties = nested.isNotNull() & ~F.rlike(nested, F.lit(r"^\{\s*\}$"))

@@ -29,17 +29,35 @@ def write_column_lineage_csv(flow: DataFrame, path: str) -> None:
     )
 
 
-def save_run(facts: dict[str, DataFrame], path: str) -> None:
-    """Append the fact tables of finished runs, partitioned by run date.
+def save_run(facts: dict[str, DataFrame], path: str, batch: str) -> None:
+    """Save the fact tables of finished runs under a batch name, all of them or none.
 
-    Rows are clustered by date and salted by run before writing, so a busy day
-    is spread over several files instead of going through one task.
+    Each batch has a folder; its row in ``commits`` is written when all tables are complete, and readers go by
+    those rows, so a failure halfway leaves nothing that anyone reads. Saving a batch again replaces what its first
+    attempt left. Rows are divided by date, run and row hash, into ranges of even size: a busy day or run fills as many files as it needs.
     """
     for name, frame in facts.items():
         if "run_date" not in frame.columns:
             raise ValueError(f"{name} has no run_date column")
-        spread = frame.repartition("run_date", F.pmod(F.xxhash64("run_id"), F.lit(32)))
-        spread.write.mode("append").partitionBy("run_date").parquet(f"{path}/{name}")
+    if not facts:
+        raise ValueError("no facts to save")
+    for name, frame in facts.items():
+        plain = [f.name for f in frame.schema if "map<" not in f.dataType.simpleString()]
+        spread = frame.repartitionByRange("run_date", "run_id", F.xxhash64(*plain))
+        spread.write.mode("overwrite").partitionBy("run_date").parquet(f"{path}/{batch}/{name}")
+    spark = next(iter(facts.values())).sparkSession
+    spark.range(1).select(F.lit(batch).alias("batch")).write.mode("append").json(f"{path}/commits")
+
+
+def read_runs(spark, path: str, name: str, schema) -> DataFrame:
+    """One fact table of all committed batches; ``run_date`` is a partition column, so filters on it prune files."""
+    committed = spark.read.schema("batch string").json(f"{path}/commits").distinct()
+    batches = sorted(r.batch for r in committed.collect())  # a name per batch saved
+    parts = [spark.read.schema(schema).parquet(f"{path}/{batch}/{name}") for batch in batches]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def write_model(entity: DataFrame, child: DataFrame, transition: DataFrame, root: DataFrame, path: str) -> None:

@@ -121,10 +121,14 @@ def test_only_long_column_runs_are_cut(rows, got):
 
 
 def test_steps_take_the_stage_they_write(rows, got):
-    access = rows("run_id int, mode string, ref string", [
-        (1, "read", "w/bronze/a"), (1, "write", "w/other/b"), (1, "write", "w/silver/c"), (2, "read", "w/gold/x"), (3, "write", "w/none/y")])
-    steps = graph.stage_of(access, ["run_id"]).filter("kind = 'step'")
-    assert got(steps, "run_id", "rank") == [(1, 4), (2, 5), (3, -1)]
+    access = rows("run_id int, seq int, mode string, ref string", [
+        (1, 1, "read", "w/bronze/a"), (1, 2, "write", "w/other/b"), (1, 3, "write", "w/silver/c"), (1, 4, "write", "w/gold/a"), (2, 1, "read", "w/gold/x"), (3, 1, "write", "w/none/y")])
+    staged = graph.stage_of(access, ["run_id"])
+    assert got(staged.filter("kind = 'step'"), "run_id", "rank") == [(1, 4), (2, 5), (3, -1)]
+    owners = graph.owner_of(access.filter("run_id = 1"), rows("run_id int, workspace string", [(1, "")]), ["run_id"])
+    assert got(owners.filter("kind = 'step'"), "owner") == [("lh:other",)]
+    placed = graph.medallion_bands(staged.filter("run_id = 1").unionByName(rows("run_id int, kind string, id string, rank int, at int", [(1, "table", "a first", 4, 1)])), ["run_id"])
+    assert got(placed.filter("stage = 'Silver'"), "position", "id") == [(1, "step"), (2, "a first"), (3, "w/silver/c")]
 
 
 def test_type_labels(rows, got):

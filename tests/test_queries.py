@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from factloom.plans import registry
 from factloom.plans.fixtures import BASE_TABLES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
+QUERIES, CHECKS = registry.queries(), registry.check_sql()
 
 
 @pytest.fixture(scope="module")

@@ -88,20 +88,40 @@ def test_csv_survives_commas_quotes_and_newlines(spark, rows, tmp_path):
     assert written.splitlines()[0] == "step,from_table,from_column,to_table,to_column,transform"
 
 
-def test_merge_refuses_two_source_rows_for_one_key(rows, got):
-    target = rows("id int, v string", [(1, "a"), (2, "b"), (4, "d")])
-    source = rows("id int, v string", [(2, "B"), (3, "C"), (4, "gone")])
+def test_merge(rows, got):
+    target = rows("id int, v string", [(1, "a"), (2, "b"), (4, "d"), (None, "n")])
+    source = rows("id int, v string", [(2, "B"), (3, "C"), (3, "D"), (4, "gone"), (None, "x"), (None, "y")])
     merged = verbs.merge_rows(target, source, ["id"], delete_when=F.col("s.v") == "gone")
-    assert got(merged) == [(1, "a"), (2, "B"), (3, "C")]
-    with pytest.raises(Exception, match="two source rows"):
+    assert got(merged) == sorted([(1, "a"), (2, "B"), (3, "C"), (3, "D"), (None, "n"), (None, "x"), (None, "y")], key=repr)
+    with pytest.raises(Exception, match="several source rows"):
         verbs.merge_rows(target, source.union(source), ["id"]).collect()
 
 
 def test_range_join_matches_the_plain_condition(rows, got):
-    points = rows("p double", [(x / 2,) for x in range(-10, 40)])
-    ranges = rows("k int, lo double, hi double", [(1, -3.0, 4.5), (2, 4.5, 4.5), (3, 0.0, 20.0)])
+    points = rows("p double", [(x / 2,) for x in range(-10, 40)] + [(5e11,), (-1e300,), (1e300,), (None,)])
+    ranges = rows("k int, lo double, hi double", [
+        (1, -3.0, 4.5), (2, 4.5, 4.5), (3, 0.0, 20.0), (4, 0.0, 1e12), (5, -1e308, 1e308), (6, 7.0, 8.0), (7, None, 3.0), (8, 0.25, 0.75), (9, 5.0, 1.0), (10, -7.5, -0.5)])
     want = points.join(ranges, (F.col("p") >= F.col("lo")) & (F.col("p") < F.col("hi")))
-    assert got(verbs.range_join(points, "p", ranges, "lo", "hi", 2.0), "k", "p") == got(want, "k", "p")
+    assert got(verbs.range_join(points, "p", ranges, "lo", "hi"), "k", "p") == got(want, "k", "p")
+    assert got(verbs.range_join(points, "p", ranges, "lo", "hi", 0.125), "k", "p") == got(want, "k", "p")
+    assert verbs.range_join(points, "p", ranges.limit(0), "lo", "hi").count() == 0
+
+
+def test_a_bad_byte_in_a_definition(rows):
+    import base64
+
+    document = b'{"activities": [{"name": "caf\xe9", "type": "Copy"}]}'
+    parts = rows("workspace_id string, pipeline_id string, path string, payload string", [("w", "p", "pipeline-content.json", base64.b64encode(document).decode())])
+    assert [r.name for r in definitions.read_definitions(parts).collect()] == ["caf\ufffd"]
+
+
+def test_a_batch_without_commit_is_not_read(spark, rows, tmp_path, got):
+    frame = rows("run_id int, run_date string", [(1, "2024-01"), (2, "2024-02")])
+    path = str(tmp_path)
+    tables.save_run({"access": frame}, path, "one")
+    frame.write.partitionBy("run_date").parquet(f"{path}/two/access")  # as a failure before the commit leaves it
+    tables.save_run({"access": frame.filter("run_id = 1")}, path, "three")
+    assert got(tables.read_runs(spark, path, "access", frame.schema), "run_id", "run_date") == [(1, "2024-01"), (1, "2024-01"), (2, "2024-02")]
 
 
 def test_unknown_format_is_refused(spark):
