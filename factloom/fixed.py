@@ -130,3 +130,16 @@ REASON_UNRESOLVED = (
 )
 REASON_NO_COLUMNS = "No columns were resolved for this table."
 REASON_READ_ONLY = "Read but not written here, so this run had no derivation to record."
+
+# Lines of a run's log about what its coverage lacks; the first one is the stub engine's only.
+NOTE_DATAFRAME = (
+    "[coverage] %s cell(s) write through the DataFrame API. The stub engine reads those chains symbolically and abstains on "
+    "anything it cannot resolve exactly, so an uncovered write below is a chain it would not guess at — not an empty "
+    "notebook. Spark's analyzer resolves these fully where a JVM is available."
+)
+NOTE_DYNAMIC = (
+    "[coverage] %s cell(s) build their SQL dynamically (f-string or variable); the query text is not knowable without "
+    "running the cell, so they were skipped."
+)
+NOTE_UNPARSABLE = "[coverage] %s cell(s) could not be parsed as Python."
+NOTE_UNCOVERED = "[coverage] %s of %s written table(s) got no column lineage: %s"

@@ -246,6 +246,11 @@ def activity_waves(activity: DataFrame, deps: DataFrame, by: list[str]) -> DataF
     )
 
 
+def activity_after(activity: DataFrame, deps: DataFrame, by: list[str]) -> DataFrame:
+    """What each activity waits for, by name, one row each; only activities of the pipeline count."""
+    return _known_deps(activity, deps, by).select(*by, "name", F.col("depends_on").alias("after"))
+
+
 def activity_type_label(kind: Column) -> Column:
     labels = F.create_map(*[F.lit(x) for pair in fixed.ACTIVITY_LABELS.items() for x in pair])
     return F.coalesce(labels[kind], kind)

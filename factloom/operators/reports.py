@@ -43,9 +43,11 @@ def column_sources(flow: DataFrame, schema: DataFrame, access: DataFrame, runs:
     """Where each column of each written table comes from.
 
     Sources are those of the newest run that wrote the column; a column the
-    newest writer reports but nothing traces appears with null sources. Every
-    flow target is a write of its run, so flows need no check against ``access``.
+    newest writer reports but nothing traces appears with null sources. A flow to a table
+    that its run did not write counts for nothing.
     """
+    written = access.filter("mode = 'write'").select("run_id", F.col("ref").alias("to_table")).distinct()
+    flow = flow.join(written, ["run_id", "to_table"], "left_semi")
     newest_write = (
         access.filter("mode = 'write'")
         .join(runs.select("run_id", "at"), "run_id")
@@ -187,7 +189,7 @@ def table_coverage(
     access: DataFrame, flow: DataFrame, schema: DataFrame, requests: DataFrame, coverage: DataFrame, runs: DataFrame
 ) -> DataFrame:
     """Best verdict per table over all runs, with the first reason given at that level."""
-    failure = requests.filter("failure IS NOT NULL").groupBy("run_id").agg(F.min_by("failure", "ref").alias("failure"))
+    failure = requests.filter("failure IS NOT NULL").groupBy("run_id").agg(F.min_by("failure", F.struct("seq", "ref")).alias("failure"))
     per_run = (
         runs.select("run_id", "at", "engine")
         .join(coverage.withColumn("has_coverage", F.lit(True)), "run_id", "left")

@@ -182,8 +182,9 @@ def _writes_frame(call: ast.Call) -> bool:
 
 def scan_cell_flags(cell: DataFrame) -> DataFrame:
     """Per cell: SQL statements, DataFrame write, dynamic SQL, unparsable, magic."""
-    sql_magic = re.compile(r"^\s*%%\s*(?:spark-)?sql\b[^\n]*\n", re.I)
-    any_magic = re.compile(r"^\s*%%\s*\w")
+    # Python's patterns are Unicode without the flag that Java's need.
+    sql_magic = re.compile(fixed.SQL_MAGIC.replace("(?iU)", "(?i)") + r"[^\n]*\n")
+    any_magic = re.compile(fixed.ANY_MAGIC.replace("(?U)", ""))
     schema = cell.select(*CELL).withColumns({
         "sql_statements": F.lit(0).cast("long"), "df_write": F.lit(True), "dynamic_sql": F.lit(True),
         "unparsable": F.lit(True), "magic": F.lit(True),
@@ -244,27 +245,25 @@ def uncovered_writes(access: DataFrame, flow: DataFrame) -> DataFrame:
     return _write_facts(access, flow).filter("NOT covered").select("run_id", "ref")
 
 
-def coverage_notes(counts: DataFrame, writes: DataFrame, uncovered: DataFrame) -> DataFrame:
-    """Prose lines per run, each only when its count is positive; at most 8 refs are named."""
+def coverage_notes(counts: DataFrame, writes: DataFrame, uncovered: DataFrame, runs: DataFrame) -> DataFrame:
+    """Log lines per run, each only when its count is positive; at most 8 refs are named.
+
+    ``runs``: run_id, engine. That cells write through DataFrames is worth a line only where the stub engine read them and a write
+    came back bare.
+    """
     first = Window.partitionBy("run_id").orderBy("ref")
     named = (
         uncovered.withColumn("_n", F.row_number().over(first)).filter("_n <= 8")
         .groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_list("ref")), ", ").alias("named"))
     )
-    joined = counts.join(writes, "run_id", "left").join(named, "run_id", "left")
+    joined = counts.join(writes, "run_id", "left").join(named, "run_id", "left").join(runs.select("run_id", "engine"), "run_id", "left")
     missing = F.coalesce(F.col("writes") - F.col("writes_with_column_lineage"), F.lit(0))
-
-    def line(condition, *parts):
-        return F.when(condition, F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]))
-
-    def n(column):
-        return F.col(column).cast("string")
-
+    frames, dynamic, unparsable = (F.col(c) for c in ("dataframe_write_cells", "dynamic_sql_cells", "unparsable_cells"))
     lines = F.array_compact(F.array(
-        line((F.col("dataframe_write_cells") > 0) & (missing > 0), n("dataframe_write_cells"), " cell(s) write through the DataFrame API"),
-        line(F.col("dynamic_sql_cells") > 0, n("dynamic_sql_cells"), " cell(s) build their SQL dynamically"),
-        line(F.col("unparsable_cells") > 0, n("unparsable_cells"), " cell(s) could not be parsed as Python"),
-        line(missing > 0, missing.cast("string"), " of ", n("writes"), " written table(s) got no column lineage: ", F.col("named")),
+        F.when((F.col("engine") == "stub") & (frames > 0) & (missing > 0), F.format_string(fixed.NOTE_DATAFRAME, frames)),
+        F.when(dynamic > 0, F.format_string(fixed.NOTE_DYNAMIC, dynamic)),
+        F.when(unparsable > 0, F.format_string(fixed.NOTE_UNPARSABLE, unparsable)),
+        F.when(missing > 0, F.format_string(fixed.NOTE_UNCOVERED, missing, F.col("writes"), F.col("named"))),
     ))
     return joined.select("run_id", F.posexplode(lines).alias("pos", "note"))
 

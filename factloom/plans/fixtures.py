@@ -112,7 +112,7 @@ SELECT run_id, cell_index, CASE WHEN source LIKE '%spark.sql(%' OR substr(source
 """
 
 SQL["fx_schema_request"] = """
-SELECT run_id, ref, CASE WHEN run_id % 5 = 0 THEN 'unresolved' WHEN run_id % 5 = 1 THEN 'carried' ELSE 'resolved' END AS state,
+SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY md5(concat(run_id, ref)), ref) AS BIGINT) AS seq, ref, CASE WHEN run_id % 5 = 0 THEN 'unresolved' WHEN run_id % 5 = 1 THEN 'carried' ELSE 'resolved' END AS state,
  CASE WHEN run_id % 10 = 0 THEN concat('403 reading ', ref) END AS failure FROM fx_access WHERE mode = 'read'
 """
 

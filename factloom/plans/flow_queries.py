@@ -276,11 +276,25 @@ def _(f):
     return activities.order_activities(activity, f("fx_activity_dep"), ["pipeline_id"])
 
 
-@query("f05_order_shuffled")
+_SHUFFLED = "SELECT pipeline_id, row_number() OVER (PARTITION BY pipeline_id ORDER BY md5(concat(name, pipeline_id))) AS idx, name FROM fx_activity"
+
+
+@query("f05_order_shuffled", f"""
+WITH RECURSIVE sh AS MATERIALIZED ({_SHUFFLED}),
+need AS MATERIALIZED (SELECT s.pipeline_id, s.idx, s.name, list(d.idx) FILTER (d.idx IS NOT NULL) AS deps FROM sh s LEFT JOIN fx_activity_dep e ON e.pipeline_id = s.pipeline_id AND e.name = s.name
+ LEFT JOIN sh d ON d.pipeline_id = e.pipeline_id AND d.name = e.depends_on GROUP BY s.pipeline_id, s.idx, s.name),
+walk AS (SELECT DISTINCT pipeline_id, CAST([] AS BIGINT[]) AS done, CAST(0 AS BIGINT) AS position FROM sh
+ UNION ALL SELECT w.pipeline_id, list_append(w.done, min(n.idx)), w.position + 1 FROM walk w JOIN need n ON n.pipeline_id = w.pipeline_id
+ WHERE NOT list_contains(w.done, n.idx) AND list_has_all(w.done, coalesce(n.deps, [])) GROUP BY w.pipeline_id, w.done, w.position)
+SELECT w.pipeline_id, n.name, n.idx, w.position FROM walk w JOIN need n ON n.pipeline_id = w.pipeline_id AND n.idx = w.done[-1] WHERE w.position > 0""")
 def _(f):
     """The same activities listed in another order than they can run."""
-    shuffled = "SELECT pipeline_id, row_number() OVER (PARTITION BY pipeline_id ORDER BY md5(concat(name, pipeline_id))) AS idx, name FROM fx_activity"
-    return activities.order_activities(f.sql(shuffled), f("fx_activity_dep"), ["pipeline_id"])
+    return activities.order_activities(f.sql(_SHUFFLED), f("fx_activity_dep"), ["pipeline_id"])
+
+
+@query("f06_activity_after", "SELECT DISTINCT pipeline_id, name, depends_on AS after FROM fx_activity_dep")
+def _(f):
+    return activities.activity_after(f("fx_activity"), f("fx_activity_dep"), ["pipeline_id"])
 
 
 @query("f06_activity_waves", f"""

@@ -15,12 +15,17 @@ def _access(f):
     return reports.run_access(f("fx_access"))
 
 
+# Every run also has a flow to a table that it does not write.
+_MORE_FLOWS = """SELECT run_id, seq, to_table, to_column, from_table, from_column, transform FROM fx_column_flow
+ UNION ALL SELECT run_id, 1000, concat('ws0/lh_gold/t', run_id % 12), 'c1', 'ws0/lh_raw/unwritten', 'x', NULL FROM fx_step_run WHERE run_id % 12 % 3 <> 2"""
+
+
 @query("h13_column_sources", f"""
-WITH {RUN_ACCESS},
+WITH {RUN_ACCESS}, mf AS ({_MORE_FLOWS}),
 obs AS (SELECT w.ref, w.run_id, s.at, row_number() OVER (PARTITION BY w.ref ORDER BY s.at DESC, w.run_id) AS age
  FROM ra w JOIN fx_step_run s ON s.run_id = w.run_id WHERE w.mode = 'write'),
 fl AS (SELECT f.*, s.at, s.name AS via, dense_rank() OVER (PARTITION BY to_table, to_column ORDER BY s.at DESC, f.run_id) AS age
- FROM fx_column_flow f JOIN fx_step_run s ON s.run_id = f.run_id),
+ FROM mf f JOIN fx_step_run s ON s.run_id = f.run_id WHERE EXISTS (SELECT 1 FROM ra w WHERE w.run_id = f.run_id AND w.ref = f.to_table AND w.mode = 'write')),
 src AS (SELECT to_table AS ref, to_column AS col, from_table, from_column, transform, via FROM
  (SELECT *, row_number() OVER (PARTITION BY to_table, to_column, from_table, from_column ORDER BY seq) AS copy FROM fl WHERE age = 1) x WHERE copy = 1),
 known AS (SELECT DISTINCT t.ref, t.name AS col FROM fx_table_schema t JOIN obs o ON o.ref = t.ref AND o.run_id = t.run_id WHERE o.age = 1)
@@ -28,7 +33,7 @@ SELECT ref, col AS "column", from_table, from_column, transform, via FROM src
 UNION ALL SELECT k.ref, k.col, NULL, NULL, NULL, NULL FROM known k WHERE NOT EXISTS (SELECT 1 FROM src WHERE src.ref = k.ref AND src.col = k.col)
 """)
 def _(f):
-    return reports.column_sources(f("fx_column_flow"), f("fx_table_schema"), _access(f), f("fx_step_run"))
+    return reports.column_sources(f.sql(_MORE_FLOWS), f("fx_table_schema"), _access(f), f("fx_step_run"))
 
 
 @query("h14_touched_by", f"""
@@ -75,7 +80,7 @@ _VERDICTS = f"""{RUN_ACCESS},
 traced AS (SELECT DISTINCT run_id, to_table AS ref FROM fx_column_flow),
 described AS (SELECT DISTINCT run_id, ref FROM fx_table_schema),
 unresolved AS (SELECT DISTINCT run_id, ref FROM fx_schema_request WHERE state = 'unresolved'),
-failure AS (SELECT run_id, arg_min(failure, ref) AS failure FROM fx_schema_request WHERE failure IS NOT NULL GROUP BY run_id),
+failure AS (SELECT run_id, arg_min(failure, seq) AS failure FROM fx_schema_request WHERE failure IS NOT NULL GROUP BY run_id),
 facts AS (SELECT a.run_id, a.ref, a.mode, s.at AS "at", s.engine, t.ref IS NOT NULL AS is_traced, d.ref IS NOT NULL AS is_described,
   u.ref IS NOT NULL AS is_unresolved, f.failure, c.run_id IS NOT NULL AS has_coverage, c.dataframe_write_cells, c.dynamic_sql_cells, c.unparsable_cells
  FROM ra a JOIN fx_step_run s ON s.run_id = a.run_id
@@ -382,7 +387,7 @@ def _(f):
 
 
 @query("i4_table_transitions", f"""
-WITH {RUN_ACCESS}, {_BARE}
+WITH {RUN_ACCESS.replace("AS (", "AS MATERIALIZED (", 1)}, {_BARE.replace("AS (", "AS MATERIALIZED (", 1)}
 SELECT b.run_id, concat('table:', r.ref) AS source, concat('table:', b.ref) AS target, 'table-level' AS resolution
 FROM bare b JOIN ra r ON r.run_id = b.run_id AND r.mode = 'read'
 """)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factloom import fixed
 from factloom.functions import refs
 from factloom.operators import reports, scan
 from factloom.plans.registry import query
@@ -60,29 +61,28 @@ e AS (SELECT id, form, g, h, CASE form WHEN 0 THEN concat('ws0/lh_def/orders_',
  WHEN 3 THEN concat('b/c/t', k) WHEN 4 THEN concat('ws0/lh_def/t', k) WHEN 5 THEN concat('ws0/lh_def/Files%2Flanding%2Ff', k, '%2F*.csv') WHEN 6 THEN concat('ws0/lh_def/t', k)
  WHEN 7 THEN concat('<g>/<h>/t', k) WHEN 8 THEN concat('<g>/<h>/Files%2Fin%2Ft', k, '.csv') WHEN 9 THEN concat('ws0/orders', k, '/csv') WHEN 10 THEN concat('lh_silver/Warehouse"/"t', k)
  WHEN 11 THEN 'ws0/lh_def/na%252Fme' WHEN 12 THEN concat('ws0/lh_gold/t', k) WHEN 13 THEN concat('ws0/global_temp/Stage_', k) WHEN 14 THEN concat('ws0/lh_def/t', k) ELSE '//' END AS ref FROM o)"""
-_DOTTED, _PATHS, _ABSOLUTE = "form NOT IN (5, 6, 7, 8, 11, 14)", "form IN (5, 6, 11, 14)", "form IN (7, 8)"
+# Absolute paths keep their GUIDs where nothing resolves them.
+_KEPT = "replace(replace(ref, '<g>', g), '<h>', h)"
 
 
-def _form(f, condition):
-    return f("fx_raw_ref").withColumn("form", F.col("id") % 16).filter(condition)
-
-
-@query("b06_qualify_dotted", f"WITH {_EXPECT} SELECT id, ref FROM e WHERE {_DOTTED}")
+@query("b06_qualify_dotted", f"WITH {_EXPECT} SELECT id, {_KEPT} AS ref FROM e")
 def _(f):
-    return _form(f, _DOTTED).select("id", refs.qualify(F.col("raw"), "ws0", "lh_def").alias("ref"))
+    return f("fx_raw_ref").select("id", refs.qualify(F.col("raw"), "ws0", "lh_def").alias("ref"))
 
 
-@query("b07_qualify_path", f"WITH {_EXPECT} SELECT id, ref FROM e WHERE {_PATHS}")
+@query("b07_qualify_path", f"WITH {_EXPECT} SELECT id, {_KEPT} AS ref FROM e")
 def _(f):
-    return _form(f, _PATHS).select("id", refs.qualify(F.col("raw"), "ws0", "lh_def").alias("ref"))
+    """A ref that is qualified already stays what it is."""
+    once = f("fx_raw_ref").select("id", refs.qualify(F.col("raw"), "ws0", "lh_def").alias("ref"))
+    return once.select("id", refs.as_ref(F.col("ref"), "other", "other").alias("ref"))
 
 
 @query("b08_qualify_absolute", f"""
 WITH {_EXPECT}
 SELECT id, replace(replace(ref, '<g>', coalesce(replace(a.name, '/', '%2F'), g)), '<h>', coalesce(replace(b.name, '/', '%2F'), h)) AS ref
-FROM e LEFT JOIN fx_guid_name a ON a.guid = lower(e.g) LEFT JOIN fx_guid_name b ON b.guid = lower(e.h) WHERE {_ABSOLUTE}""")
+FROM e LEFT JOIN fx_guid_name a ON a.guid = lower(e.g) LEFT JOIN fx_guid_name b ON b.guid = lower(e.h)""")
 def _(f):
-    return refs.qualify_refs(_form(f, _ABSOLUTE), "raw", f("fx_guid_name"), "ws0", "lh_def").select("id", "ref")
+    return refs.qualify_refs(f("fx_raw_ref"), "raw", f("fx_guid_name"), "ws0", "lh_def").select("id", "ref")
 
 
 @query("b09_resolve_names", "SELECT id, coalesce(n.name, r.guid) AS guid FROM fx_raw_ref r LEFT JOIN fx_guid_name n ON lower(r.guid) = n.guid")
@@ -250,20 +250,25 @@ def _(f):
     return scan.uncovered_writes(f("fx_access"), f("fx_column_flow"))
 
 
+_Q = {k: v.replace("'", "''") for k, v in vars(fixed).items() if k.startswith("NOTE_")}
+
+
 @query("c13_coverage_notes", f"""
 WITH {_COUNTS}, {_WRITES},
 n AS (SELECT run_id, count(*) AS m, array_to_string(list_slice(list_sort(list(ref)), 1, 8), ', ') AS named FROM wf WHERE NOT covered GROUP BY run_id),
 w AS (SELECT run_id, count(*) AS writes FROM wf GROUP BY run_id),
-l AS (SELECT c.run_id, list_filter([CASE WHEN dataframe_write_cells > 0 AND m > 0 THEN concat(dataframe_write_cells, ' cell(s) write through the DataFrame API') END,
- CASE WHEN dynamic_sql_cells > 0 THEN concat(dynamic_sql_cells, ' cell(s) build their SQL dynamically') END, CASE WHEN unparsable_cells > 0 THEN concat(unparsable_cells, ' cell(s) could not be parsed as Python') END,
- CASE WHEN m > 0 THEN concat(m, ' of ', writes, ' written table(s) got no column lineage: ', named) END], lambda x: x IS NOT NULL) AS notes
- FROM counts c LEFT JOIN n ON n.run_id = c.run_id LEFT JOIN w ON w.run_id = c.run_id)
+l AS (SELECT c.run_id, list_filter([CASE WHEN engine = 'stub' AND dataframe_write_cells > 0 AND m > 0 THEN format('{_Q["NOTE_DATAFRAME"].replace("%s", "{}")}', dataframe_write_cells) END,
+ CASE WHEN dynamic_sql_cells > 0 THEN format('{_Q["NOTE_DYNAMIC"].replace("%s", "{}")}', dynamic_sql_cells) END,
+ CASE WHEN unparsable_cells > 0 THEN format('{_Q["NOTE_UNPARSABLE"].replace("%s", "{}")}', unparsable_cells) END,
+ CASE WHEN m > 0 THEN format('{_Q["NOTE_UNCOVERED"].replace("%s", "{}")}', m, writes, named) END], lambda x: x IS NOT NULL) AS notes
+ FROM counts c LEFT JOIN n ON n.run_id = c.run_id LEFT JOIN w ON w.run_id = c.run_id LEFT JOIN fx_step_run s ON s.run_id = c.run_id)
 SELECT run_id, unnest(range(0, len(notes))) AS pos, unnest(notes) AS note FROM l""")
 def _(f):
     return scan.coverage_notes(
         scan.coverage_counts(f("fx_cell_flags")),
         scan.coverage_writes(f("fx_access"), f("fx_column_flow")),
         scan.uncovered_writes(f("fx_access"), f("fx_column_flow")),
+        f("fx_step_run"),
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -289,10 +294,15 @@ def _(f):
     return text_sources.split_cells(f.sql(_PASTED), ["id"])
 
 
-@query("c01_scan_documents", """
-WITH d AS (SELECT doc_id, regexp_replace(text, '[^ -~]', ' ', 'g') AS text FROM documents)
-SELECT doc_id, len(list_distinct(list_concat(regexp_extract_all(text, '(?i)\\bFROM\\s+([\\w.`]+)', 1), regexp_extract_all(text, '(?i)\\bJOIN\\s+([\\w.`]+)', 1)))) AS names FROM d""")
+# Letters, marks and digits of any language make up a word.
+_WORD = r"\p{L}\p{M}\p{N}_"
+
+
+@query("c01_scan_documents", f"""
+WITH d AS (SELECT doc_id, list_sort(list_distinct(list_concat(regexp_extract_all(text, '(?i)(?:^|[^{_WORD}])FROM\\s+([{_WORD}.`]+)', 1),
+ regexp_extract_all(text, '(?i)(?:^|[^{_WORD}])JOIN\\s+([{_WORD}.`]+)', 1)))) AS names FROM documents)
+SELECT doc_id, len(names) AS n, array_to_string(names, ' ') AS names FROM d""")
 def _(f):
     """The read patterns over whole prose documents: what a scan of text without code finds."""
-    text = F.regexp_replace("text", "[^ -~]", " ")
-    return f("documents").select("doc_id", F.size(scan.pattern_matches(text, scan.fixed.READ_PATTERNS)).cast("bigint").alias("names"))
+    found = f("documents").select("doc_id", F.array_sort(scan.pattern_matches(F.col("text"), fixed.READ_PATTERNS)).alias("names"))
+    return found.select("doc_id", F.size("names").cast("bigint").alias("n"), F.array_join("names", " ").alias("names"))

@@ -54,7 +54,8 @@ def test_verdicts_merge_the_optimistic_way(rows, got):
     access = rows(ACCESS, [(1, "t", "read"), (2, "t", "write"), (1, "b", "read"), (3, "c", "write"), (1, "r", "read"), (2, "b", "read")])
     flow = rows(FLOW, [(2, 1, "t", "a", "b", "a", None)])
     schema = rows(SCHEMA, [(3, "c", "a"), (1, "r", "a")])
-    requests = rows("run_id int, ref string, state string, failure string", [(2, "b", "unresolved", "403 b"), (1, "x", "resolved", None)])
+    requests = rows("run_id int, seq int, ref string, state string, failure string", [
+        (2, 2, "a", "unresolved", "403 a"), (2, 1, "b", "unresolved", "403 b"), (1, 1, "x", "resolved", None)])
     coverage = rows("run_id int, dataframe_write_cells long, dynamic_sql_cells long, unparsable_cells long", [(1, 0, 0, 0), (2, 0, 0, 0)])
     verdicts = reports.table_coverage(access, flow, schema, requests, coverage, runs)
     found = {r["ref"]: (r["level"], r["reason"]) for r in verdicts.collect()}

@@ -54,8 +54,13 @@ def test_notes_name_at_most_eight_tables(rows):
     counts = rows("run_id int, dataframe_write_cells long, dynamic_sql_cells long, unparsable_cells long", [(1, 1, 0, 2)])
     writes = rows("run_id int, writes long, writes_with_column_lineage long", [(1, 11, 1)])
     missing = rows("run_id int, ref string", [(1, f"t{i}") for i in range(10)])
-    notes = [r["note"] for r in scan.coverage_notes(counts, writes, missing).orderBy("pos").collect()]
-    assert len(notes) == 3 and notes[2] == "10 of 11 written table(s) got no column lineage: t0, t1, t2, t3, t4, t5, t6, t7"
+    def notes(engine):
+        found = scan.coverage_notes(counts, writes, missing, rows("run_id int, engine string", [(1, engine)]))
+        return [r["note"] for r in found.orderBy("pos").collect()]
+
+    assert len(notes("stub")) == 3 and notes("spark") == notes("stub")[1:] and "read those chains" not in notes("spark")[0]
+    assert notes("stub")[0].startswith("[coverage] 1 cell(s) write through the DataFrame API. The stub engine reads those chains symbolically")
+    assert notes("spark")[1] == "[coverage] 10 of 11 written table(s) got no column lineage: t0, t1, t2, t3, t4, t5, t6, t7"
 
 
 def test_classify(rows):
