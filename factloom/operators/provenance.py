@@ -16,6 +16,8 @@ An operation that cannot be read exactly yields no rows: its frame stays unknown
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -185,25 +187,32 @@ def resolve_frames(ops: DataFrame, args: DataFrame, base: DataFrame) -> DataFram
 
     Each round applies, for the whole corpus, the operations whose inputs have
     just become known; the number of rounds is the longest chain, not the number
-    of operations. Frames that depend on an unknown one never become ready.
+    of operations. A round looks its inputs up by name and then reads the columns of the
+    rounds they were made in, no others; what is ready leaves the pending table. Frames that depend on an unknown one
+    never become ready, and a round without ready operations is the last.
     """
     spark = base.sparkSession
-    frames, done = Rounds(spark), Rounds(spark)
-    frames.add(base.withColumn("pos", F.col("pos").cast("bigint")).select(*FRAME_COL))
-    derived = ops.filter("left_frame IS NOT NULL")
-    while True:
-        known = frames.table()
-        have = known.select("notebook", "frame").distinct()
-        pending = derived.join(done.table(), _OP, "left_anti") if done.paths else derived
-        ready = (
-            pending.join(have.withColumnRenamed("frame", "left_frame"), ["notebook", "left_frame"], "left_semi")
-            .join(have.withColumnsRenamed({"frame": "right_frame"}).withColumn("_right", F.lit(True)), ["notebook", "right_frame"], "left")
-            .filter("right_frame IS NULL OR _right").select(ops.columns)
-        )
-        ready = done.add(ready)
-        if ready.isEmpty():
-            return known
-        frames.add(apply_ops(ready, args, known))
+    frames, names = Rounds(spark), Rounds(spark)
+
+    def keep(columns: DataFrame, number: int) -> None:
+        made = frames.add(columns.select(*FRAME_COL))
+        names.add(made.select("notebook", "frame").distinct().withColumn("round", F.lit(number)))
+
+    keep(base.withColumn("pos", F.col("pos").cast("bigint")), 0)
+    pending = cut_lineage(ops.filter("left_frame IS NOT NULL"))
+    for number in itertools.count(1):
+        made_in = names.table().groupBy("notebook", "frame").agg(F.collect_set("round").alias("rounds"))
+        found = cut_lineage(
+            pending.join(made_in.withColumnsRenamed({"frame": "left_frame", "rounds": "_left"}), ["notebook", "left_frame"], "left")
+            .join(made_in.withColumnsRenamed({"frame": "right_frame", "rounds": "_right"}), ["notebook", "right_frame"], "left")
+            .withColumn("_ready", F.col("_left").isNotNull() & (F.col("right_frame").isNull() | F.col("_right").isNotNull())))
+        ready, pending = found.filter("_ready"), found.filter("NOT _ready").select(ops.columns)
+        both = F.concat("_left", F.coalesce("_right", F.array().cast("array<int>")))
+        used = sorted(r[0] for r in ready.select(F.explode(both)).distinct().collect())  # round numbers
+        if not used:
+            return frames.table()
+        known = spark.read.schema(frames.schema).parquet(*[frames.paths[i] for i in used])
+        keep(apply_ops(ready.select(ops.columns), args, known), number)
 
 
 # -- temp views ----------------------------------------------------------------
