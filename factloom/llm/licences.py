@@ -1,6 +1,6 @@
 """Licence scan: blocks of a text against licence templates by the Dice coefficient over word bigrams.
 
-A document's blocks are its lines, its paragraphs (divided by blank lines) and its whole text. Texts are
+A document's blocks are its lines, its paragraphs (divided by lines without words) and its whole text. Texts are
 normalised to words of a-z and 0-9. Of bags of n and m bigrams the coefficient can only
 reach the threshold if n and m are close enough; each template is entered under every size it can
 meet, and a block is joined by its size, so most blocks meet no template and are
@@ -45,12 +45,19 @@ TEMPLATES = [
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 ]
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def normalised(text: Column) -> Column:
-    """Words of a-z and 0-9, one space between them."""
-    return F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+", " "))
+def words(text: Column) -> Column:
+    """The normalised words of a text, in either case yet."""
+    return F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0))
+
+
+def blocks(text: Column) -> Column:
+    """The words of each line, of each paragraph where there are several, and of the whole text where it has several lines."""
+    none = F.array().cast("array<array<string>>")
+    lines = F.transform(F.split(text, "\n"), words)
+    paragraphs = F.transform(F.split(text, "\n[^A-Za-z0-9\n]*\n"), words)
+    return F.concat(lines, F.when(F.size(paragraphs) > 1, paragraphs).otherwise(none), F.when(F.size(lines) > 1, F.array(words(text))).otherwise(none))
 
 
 def _let(value: Column, body) -> Column:
@@ -61,7 +68,7 @@ def _let(value: Column, body) -> Column:
 def bag(words: Column) -> Column:
     """Hashes of the word bigrams, the second and later of equal ones made distinct by their number."""
     pairs = lambda w: F.array_sort(F.zip_with(
-        F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.xxhash64(a, b)))
+        F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.xxhash64(F.lower(a), F.lower(b))))
     return _let(words, lambda w: _let(pairs(w), lambda p: F.transform(p, lambda h, i: F.xxhash64(h, i + 1 - F.array_position(p, h)))))
 
 
@@ -73,22 +80,22 @@ def templates(spark, pairs: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
 
 def matches(docs: DataFrame, licences: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_key, licence, dice) of every block of ``docs`` and template of ``licences`` (licence, text) similar enough."""
-    split = lambda column: F.split(normalised(F.col(column)), " ")
     known = (
-        licences.select("licence", split("text").alias("w")).where("size(w) > 1").select("licence", bag(F.col("w")).alias("t"))
-        .withColumn("m", F.size("t"))
+        licences.select("licence", words(F.col("text")).alias("w")).where("size(w) > 1")
+        .select("licence", bag(F.col("w")).alias("t")).withColumn("m", F.size("t"))
         # 2 min(n, m) / (n + m) reaches the threshold only between these sizes
         .withColumn("n", F.explode(F.sequence(
-            F.ceil(F.col("m") * percent / (200 - percent)).cast("int"), F.floor(F.col("m") * (200 - percent) / percent).cast("int")))))
-    blocks = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", r"\n[\x20\t\r]*\n"), F.array("text")))
-    candidates = (
-        docs.select("doc_id", text_key().alias("text_key"), F.explode(blocks).alias("block"))
-        .select("doc_id", "text_key", normalised(F.col("block")).alias("words"))
-        .withColumn("n", F.length("words") - F.length(F.translate("words", " ", "")))
-        .where("n > 0").join(known, "n")
-        .select("doc_id", "text_key", "licence", "n", "m", F.size(F.array_intersect(bag(F.split("words", " ")), "t")).alias("common")))
-    return candidates.where(200 * F.col("common") >= percent * (F.col("n") + F.col("m"))).select(
-        "doc_id", "text_key", "licence", (2 * F.col("common") / (F.col("n") + F.col("m"))).alias("dice"))
+            F.ceil(F.col("m") * percent / (200 - percent)).cast("int"), F.floor(F.col("m") * (200 - percent) / percent).cast("int"))))
+        .groupBy("n").agg(F.collect_list(F.struct("licence", "m", "t")).alias("known")))
+    sized = (
+        docs.select("doc_id", text_key().alias("text_key"), F.explode(blocks(F.col("text"))).alias("words"))
+        .withColumn("n", F.size("words") - 1)
+        .where("n > 0").join(known, "n"))
+    compared = _let(bag(F.col("words")), lambda b: F.transform("known", lambda k: F.struct(
+        k["licence"].alias("licence"), k["m"].alias("m"), F.size(F.array_intersect(b, k["t"])).alias("common"))))
+    alike = F.filter(compared, lambda c: 200 * c["common"] >= percent * (F.col("n") + c["m"]))
+    return sized.select("doc_id", "text_key", "n", F.explode(alike).alias("c")).select(
+        "doc_id", "text_key", "c.licence", (2 * F.col("c.common") / (F.col("n") + F.col("c.m"))).alias("dice"))
 
 
 def scan(docs: DataFrame, licences: DataFrame | None = None, percent: int = PERCENT) -> DataFrame:

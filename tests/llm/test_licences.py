@@ -16,7 +16,7 @@ def bigrams(text):
 
 def brute_force(text):
     best = {}
-    blocks = [] if text is None else [*text.split("\n"), *re.split(r"\n[\x20\t\r]*\n", text), text]
+    blocks = [] if text is None else [*text.split("\n"), *re.split(r"\n[^A-Za-z0-9\n]*\n", text), text]
     for block in blocks:
         a = bigrams(block)
         for name, template in licences.TEMPLATES:
