@@ -264,6 +264,14 @@ def combine_access(access: DataFrame, by: list[str]) -> DataFrame:
     return access.groupBy(*by, "mode", "ref").agg(F.min("seq").alias("first_seq"))
 
 
+def combine_flows(flow: DataFrame, by: list[str]) -> DataFrame:
+    """The column flows of all activities of a run, one after another as they ran: ``flow`` with a ``position``.
+
+    ``flow``: keys, seq (of the activity), pos (within it), and what else a flow has.
+    """
+    return number_rows(flow, by, ["seq", "pos"], "position")
+
+
 def combine_schemas(schema: DataFrame, by: list[str]) -> DataFrame:
     """The last activity to describe a table gives its columns."""
     last = schema.groupBy(*by, "ref").agg(F.max("seq").alias("seq"))

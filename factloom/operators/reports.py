@@ -413,6 +413,22 @@ def observed_summary(observed: DataFrame, comparison: DataFrame) -> DataFrame:
     )
 
 
+def observed_tables(observed: DataFrame, comparison: DataFrame) -> DataFrame:
+    """Which tables a run's history confirms, misses or adds, for runs that have one: run_id, ref, verdict.
+
+    A ref agreed anywhere in the run is not ``predicted_only``, but may be ``observed_only`` in the other mode.
+    """
+    known = observed.filter("available").select("run_id").distinct()
+    sides = comparison.join(known, "run_id", "left_semi").groupBy("run_id", "ref").agg(F.collect_set("side").alias("sides"))
+    kept = F.filter("sides", lambda side: (side != "predicted_only") | ~F.array_contains("sides", "agreed"))
+    return sides.select("run_id", "ref", F.explode(kept).alias("verdict"))
+
+
+def observed_notes(observed: DataFrame) -> DataFrame:
+    """Why a history could not be read, each note once per run."""
+    return observed.filter("NOT available AND note IS NOT NULL").select("run_id", "note").distinct()
+
+
 def _plural(count: Column, word: str) -> Column:
     return F.concat(count.cast("string"), F.lit(f" {word}"), F.when(count == 1, "").otherwise("s"))
 

@@ -320,6 +320,15 @@ def _(f):
     return activities.combine_access(f.sql(_ENTRY_ACCESS), ["run_id"])
 
 
+_ENTRY_FLOW = """SELECT e.run_id, e.seq, p.pos, e.writes_ref AS to_table, concat('c', p.pos) AS to_column, e.reads_ref AS from_table, concat('s', e.seq) AS from_column
+ FROM fx_entry e CROSS JOIN (SELECT 1 AS pos UNION ALL SELECT 2) p WHERE e.writes_ref IS NOT NULL"""
+
+
+@query("f08_combine_flows", f"SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq, pos) AS position FROM ({_ENTRY_FLOW}) x")
+def _(f):
+    return activities.combine_flows(f.sql(_ENTRY_FLOW), ["run_id"])
+
+
 @query("f08_combine_schemas", f"""
 SELECT run_id, ref, seq, name FROM (SELECT *, max(seq) OVER (PARTITION BY run_id, ref) AS last FROM ({_ENTRY_SCHEMA}) s) x WHERE seq = last""")
 def _(f):
@@ -472,10 +481,26 @@ def _(f):
 
 
 @query("a10_write_model", """
-SELECT run_id, concat('table:', ref) AS id FROM (SELECT run_id, ref FROM fx_access UNION SELECT run_id, ref FROM fx_table_schema UNION SELECT run_id, to_table FROM fx_column_flow UNION SELECT run_id, from_table FROM fx_column_flow WHERE from_table IS NOT NULL) t""")
-def _(f):
+WITH t AS (SELECT run_id, ref FROM fx_access UNION SELECT run_id, ref FROM fx_table_schema UNION SELECT run_id, to_table FROM fx_column_flow UNION SELECT run_id, from_table FROM fx_column_flow WHERE from_table IS NOT NULL),
+c AS (SELECT run_id, ref, name FROM fx_table_schema UNION SELECT run_id, to_table, to_column FROM fx_column_flow UNION SELECT run_id, from_table, from_column FROM fx_column_flow WHERE from_table IS NOT NULL)
+SELECT 'root' AS part, run_id, concat('table:', ref) AS a, NULL AS b, NULL AS c FROM t
+UNION ALL SELECT 'entity', run_id, concat('table:', ref), ref, 'table' FROM t UNION ALL SELECT 'entity', run_id, concat('col:', ref, ':', name), name, 'column' FROM c
+UNION ALL SELECT 'entity_child', run_id, concat('table:', ref), concat('col:', ref, ':', name), NULL FROM c
+UNION ALL SELECT 'transition', run_id, concat('col:', from_table, ':', from_column), concat('col:', to_table, ':', to_column), arg_max(coalesce(transform, ''), seq)
+ FROM fx_column_flow WHERE from_table IS NOT NULL GROUP BY run_id, from_table, from_column, to_table, to_column""")
+def _(f):
+    """All four outputs, read back."""
     path = scratch_path(f.spark, "model")
     schema, flow, access = f("fx_table_schema"), f("fx_column_flow"), reports.run_access(f("fx_access"))
     entity = model.entities(schema, flow, access)
-    tables.write_model(entity, model.entity_children(schema, flow), model.column_transitions(flow), model.roots(entity), path)
-    return f.spark.read.schema("run_id bigint, id string").json(f"{path}/root")
+    parts = {
+        "entity": (entity, ["id", "name", "kind"]), "entity_child": (model.entity_children(schema, flow), ["parent", "child", None]),
+        "transition": (model.column_transitions(flow), ["source", "target", "transform"]), "root": (model.roots(entity), ["id", None, None])}
+    tables.write_model(*(parts[p][0] for p in ("entity", "entity_child", "transition", "root")), path)
+    out = None
+    for part, (frame, columns) in parts.items():
+        read = f.spark.read.schema(frame.schema).json(f"{path}/{part}")
+        rows = read.select(F.lit(part).alias("part"), "run_id", *[
+            (F.col(c) if c else F.lit(None).cast("string")).alias(name) for c, name in zip(columns, "abc")])
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -231,6 +231,19 @@ def _(f):
     return _summary(f)
 
 
+@query("h10_observed_tables", f"""
+WITH {_SUMMARY}
+SELECT f.run_id, ref, unnest(list_filter([CASE WHEN a THEN 'agreed' END, CASE WHEN p AND NOT a THEN 'predicted_only' END, CASE WHEN o THEN 'observed_only' END], lambda v: v IS NOT NULL)) AS verdict
+FROM flags f JOIN per_run r ON r.run_id = f.run_id WHERE r.available > 0""")
+def _(f):
+    return reports.observed_tables(f("fx_observed_run"), _sides(f))
+
+
+@query("h10_observed_notes", "SELECT DISTINCT run_id, note FROM fx_observed_run WHERE NOT available AND note IS NOT NULL")
+def _(f):
+    return reports.observed_notes(f("fx_observed_run"))
+
+
 @query("h11_observed_headline", f"""
 WITH {_SUMMARY}
 SELECT run_id, CASE WHEN available = 0 THEN 'No readable run history for these notebooks.' ELSE concat(
