@@ -143,3 +143,13 @@ NOTE_DYNAMIC = (
 )
 NOTE_UNPARSABLE = "[coverage] %s cell(s) could not be parsed as Python."
 NOTE_UNCOVERED = "[coverage] %s of %s written table(s) got no column lineage: %s"
+
+# A run as Markdown.
+REPORT_TITLE = "# Sandbox run"
+REPORT_STEPS = "## Steps"
+REPORT_FLOWS = "## Column lineage"
+REPORT_FLOW_HEAD = ["| to | from | via |", "| --- | --- | --- |"]
+REPORT_NO_FLOWS = "None resolved. See the gaps below for why."
+REPORT_GAPS = "## Gaps"
+REPORT_NO_GAPS = "Every table the run wrote has column-level lineage."
+REPORT_NO_REASON = "no column lineage resolved"

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from factloom import fixed
 from factloom.functions import refs
+from factloom.operators.ordering import number_rows
 
 
 def _newest_first() -> list[Column]:
@@ -533,26 +534,69 @@ def run_report(runs: DataFrame, access: DataFrame, requests: DataFrame, flow: Da
     return report.fillna(0, ["reads", "writes", "covered_writes", "schemas_resolved", "schemas_requested"])
 
 
-def run_markdown(runs: DataFrame, access: DataFrame, flow: DataFrame, gaps: DataFrame) -> DataFrame:
-    """A run as Markdown, one row per line in document order (``section``, ``line``).
+def run_markdown(steps: DataFrame, access: DataFrame, flow: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Runs as Markdown, one row per line: run_id, section, k1, k2, line, to be sorted by the keys.
 
-    Lines stay rows: a long report is never collected into one string. Write the
-    result sorted by (run_id, section, line_key) to get the document.
+    ``steps``: run_id, seq, name, status, error, engine. ``access``: run_id, seq (of the step), mode, ref, touched. ``flow``: run_id, seq, pos,
+    to_table, to_column, from_table, from_column. ``gaps``: run_id, ref, level, reason, seq. Lines stay rows: a long report is never collected
+    into one string. Only what one step reads or writes, and the engines of a run, are put into one line.
     """
-    def lines(df, section, key, text):
-        return df.select("run_id", F.lit(section).alias("section"), key.alias("line_key"), text.alias("line"))
-
     label = lambda ref: refs.ref_label(F.col(ref))
-    source = F.when(F.col("from_table").isNull(), F.col("from_column")).otherwise(F.concat(label("from_table"), F.lit("."), F.col("from_column")))
-    title = lines(runs, 0, F.lit(""), F.concat(F.lit("# Run "), F.col("run_id").cast("string"), F.lit(" with the "), F.col("engine"), F.lit(" engine")))
-    steps = lines(runs, 1, F.col("name"), F.concat(F.lit("1. **"), F.col("name"), F.lit("** — "), F.when(F.col("ok"), "ok").otherwise("error")))
-    touched = lines(access, 2, F.concat_ws(" ", "mode", "ref"), F.concat(F.lit("   - "), F.col("mode"), F.lit("s: "), label("ref")))
-    flows = lines(
-        flow, 3, F.format_string("%020d", F.col("seq").cast("bigint")),
-        F.concat(F.lit("| "), label("to_table"), F.lit("."), F.col("to_column"), F.lit(" | "), source, F.lit(" |")),
-    )
-    missing = lines(gaps, 4, F.col("ref"), F.concat(F.lit("- **"), label("ref"), F.lit("** — "), F.when(F.col("reason") != "", F.col("reason")).otherwise("no column lineage resolved")))
-    return title.unionByName(steps).unionByName(touched).unionByName(flows).unionByName(missing)
+    runs = steps.groupBy("run_id").agg(F.count("*").alias("n"))
+
+    def lines(df, section, k1, k2, text):
+        key = lambda k: (F.lit(k) if isinstance(k, int) else F.col(k)).cast("bigint")
+        return df.select("run_id", F.lit(section).alias("section"), key(k1).alias("k1"), key(k2).alias("k2"), text.alias("line"))
+
+    def fixed_lines(df, section, k1, texts):
+        numbered = F.posexplode(F.array(*map(F.lit, texts))).alias("k2", "line")
+        return df.select("run_id", F.lit(section).alias("section"), F.lit(k1).cast("bigint").alias("k1"), numbered).withColumn("k2", F.col("k2").cast("bigint"))
+
+    first, last = -(1 << 40), 1 << 40
+    engines = (
+        steps.filter("engine <> ''").groupBy("run_id", "engine").agg(F.min("seq").alias("at")).groupBy("run_id")
+        .agg(F.array_sort(F.collect_list(F.struct("at", "engine"))).alias("engines")))
+    used = F.array_join(F.col("engines.engine"), " and ")
+    head = F.concat(
+        F.lit("Analysed "), _plural(F.col("n"), "step"),
+        F.coalesce(F.concat(F.lit(" with the "), used, F.lit(" engine.")), F.lit(".")))
+    titled = fixed_lines(runs, 0, first, [fixed.REPORT_TITLE, ""]).unionByName(
+        lines(runs.join(engines, "run_id", "left"), 0, 0, 0, head)).unionByName(fixed_lines(runs, 0, last, [""]))
+
+    # By first touch within the step; a table it touches twice is named once.
+    once = access.groupBy("run_id", "seq", "mode", "ref").agg(F.min("touched").alias("touched"))
+
+    def listed(mode):
+        named = F.array_sort(F.collect_list(F.when(F.col("mode") == mode, F.struct("touched", label("ref").alias("label")))))
+        return F.array_join(F.transform(named, lambda t: t["label"]), ", ")
+
+    touched = once.groupBy("run_id", "seq").agg(listed("read").alias("read"), listed("write").alias("write"))
+    numbered = number_rows(steps, ["run_id"], ["seq", "name"], "number").join(touched, ["run_id", "seq"], "left")
+    none = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("none"))
+    heading = F.concat(F.col("number").cast("string"), F.lit(". **"), F.col("name"), F.lit("** — "), F.col("status"),
+                       F.when(F.coalesce("error", F.lit("")) != "", F.concat(F.lit(": "), F.col("error"))).otherwise(""))
+    done = fixed_lines(runs, 1, first, [fixed.REPORT_STEPS, ""]).unionByName(fixed_lines(runs, 1, last, [""]))
+    for k, text in enumerate((heading, F.concat(F.lit("   - reads: "), none("read")), F.concat(F.lit("   - writes: "), none("write")))):
+        done = done.unionByName(lines(numbered, 1, "number", k, text))
+
+    def section(number, title, found, head, nothing, rows):
+        """A section with its rows, or the sentence for a run that has none."""
+        some = found.select("run_id").distinct()
+        return (
+            fixed_lines(runs, number, first, [title, ""]).unionByName(fixed_lines(runs.join(some, "run_id", "left_semi"), number, first + 1, head) if head else rows.limit(0))
+            .unionByName(fixed_lines(runs.join(some, "run_id", "left_anti"), number, 0, [nothing])).unionByName(rows)
+            .unionByName(fixed_lines(runs, number, last, [""])))
+
+    source = F.when(F.coalesce("from_table", F.lit("")) == "", F.col("from_column")).otherwise(F.concat(label("from_table"), F.lit("."), F.col("from_column")))
+    via = flow.join(steps.select("run_id", "seq", F.col("name").alias("via")), ["run_id", "seq"])
+    flows = lines(via, 2, "seq", "pos", F.concat(
+        F.lit("| "), label("to_table"), F.lit("."), F.col("to_column"), F.lit(" | "), source, F.lit(" | "), F.col("via"), F.lit(" |")))
+    reason = F.when(F.coalesce("reason", F.lit("")) != "", F.col("reason")).otherwise(fixed.REPORT_NO_REASON)
+    ranked = gaps.withColumn("_rank", F.when(F.col("level") == fixed.BARE, 0).otherwise(1))
+    missing = lines(ranked, 3, "_rank", "seq", F.concat(F.lit("- **"), label("ref"), F.lit("** — "), reason))
+    return titled.unionByName(done).unionByName(
+        section(2, fixed.REPORT_FLOWS, via, fixed.REPORT_FLOW_HEAD, fixed.REPORT_NO_FLOWS, flows)).unionByName(
+        section(3, fixed.REPORT_GAPS, gaps, [], fixed.REPORT_NO_GAPS, missing))
 
 
 def schema_baseline(access: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -328,17 +328,37 @@ def _(f):
         f.sql(_REPORT_RUN), _access(f), f("fx_schema_request"), f("fx_column_flow"), f("fx_coverage"), _summary(f))
 
 
+# Runs of several steps; some have no flows, some no gaps.
+_MD_STEPS = """SELECT run_id, seq, name, CASE WHEN ok THEN 'ok' ELSE 'error' END AS status, CASE WHEN NOT ok THEN concat('step ', seq, ' failed') END AS error,
+ CASE seq % 3 WHEN 0 THEN 'stub' WHEN 1 THEN 'spark' ELSE '' END AS engine FROM fx_entry"""
+_MD_ACCESS = """SELECT run_id, seq, 'read' AS mode, reads_ref AS ref, 1 AS touched FROM fx_entry WHERE seq % 4 <> 0
+ UNION ALL SELECT run_id, seq, 'write', writes_ref, 2 FROM fx_entry WHERE writes_ref IS NOT NULL UNION ALL SELECT run_id, seq, 'write', 'ws0/lh_gold/extra', 1 FROM fx_entry WHERE seq = 2"""
+_MD_FLOW = """SELECT run_id, seq, 1 AS pos, writes_ref AS to_table, concat('c', seq) AS to_column, CASE WHEN seq % 2 = 0 THEN reads_ref END AS from_table, 'x' AS from_column
+ FROM fx_entry WHERE writes_ref IS NOT NULL AND run_id % 3 <> 0"""
+_MD_GAPS = """SELECT run_id, seq, writes_ref AS ref, CASE WHEN seq % 2 = 0 THEN 'bare' ELSE 'columns-only' END AS level, CASE WHEN seq % 3 = 0 THEN 'because' ELSE '' END AS reason
+ FROM fx_entry WHERE writes_ref IS NOT NULL AND run_id % 5 = 0"""
+
+
 @query("h21_run_markdown", f"""
-WITH {RUN_ACCESS}, {_BARE}
-SELECT run_id, 0 AS section, '' AS line_key, concat('# Run ', run_id, ' with the ', engine, ' engine') AS line FROM fx_step_run
-UNION ALL SELECT run_id, 1, name, concat('1. **', name, '** — ', CASE WHEN ok THEN 'ok' ELSE 'error' END) FROM fx_step_run
-UNION ALL SELECT run_id, 2, concat(mode, ' ', ref), concat('   - ', mode, 's: ', split_part(ref, '/', 3)) FROM ra
-UNION ALL SELECT run_id, 3, lpad(CAST(seq AS VARCHAR), 20, '0'), concat('| ', split_part(to_table, '/', 3), '.', to_column, ' | ',
- CASE WHEN from_table IS NULL THEN from_column ELSE concat(split_part(from_table, '/', 3), '.', from_column) END, ' |') FROM fx_column_flow
-UNION ALL SELECT run_id, 4, ref, concat('- **', split_part(ref, '/', 3), '** — no column lineage resolved') FROM bare
-""")
+WITH st AS ({_MD_STEPS}), ac AS ({_MD_ACCESS}), fl AS ({_MD_FLOW}), gp AS ({_MD_GAPS}), r AS (SELECT run_id, count(*) AS n FROM st GROUP BY run_id),
+en AS (SELECT run_id, string_agg(engine, ' and ' ORDER BY at_, engine) AS engines FROM (SELECT run_id, engine, min(seq) AS at_ FROM st WHERE engine <> '' GROUP BY run_id, engine) e GROUP BY run_id),
+li AS (SELECT run_id, seq, string_agg(split_part(ref, '/', 3), ', ' ORDER BY touched, split_part(ref, '/', 3)) FILTER (mode = 'read') AS reads,
+ string_agg(split_part(ref, '/', 3), ', ' ORDER BY touched, split_part(ref, '/', 3)) FILTER (mode = 'write') AS writes FROM (SELECT run_id, seq, mode, ref, min(touched) AS touched FROM ac GROUP BY run_id, seq, mode, ref) a GROUP BY run_id, seq),
+sn AS (SELECT st.*, row_number() OVER (PARTITION BY st.run_id ORDER BY st.seq, name) AS number, reads, writes FROM st LEFT JOIN li ON li.run_id = st.run_id AND li.seq = st.seq),
+fx AS (SELECT * FROM (VALUES (0, -1099511627776, 0, '{fixed.REPORT_TITLE}'), (0, -1099511627776, 1, ''), (0, 1099511627776, 0, ''), (1, -1099511627776, 0, '{fixed.REPORT_STEPS}'), (1, -1099511627776, 1, ''), (1, 1099511627776, 0, ''),
+ (2, -1099511627776, 0, '{fixed.REPORT_FLOWS}'), (2, -1099511627776, 1, ''), (2, 1099511627776, 0, ''), (3, -1099511627776, 0, '{fixed.REPORT_GAPS}'), (3, -1099511627776, 1, ''), (3, 1099511627776, 0, '')) v(section, k1, k2, line))
+SELECT run_id, section, k1, k2, line FROM r, fx
+UNION ALL SELECT r.run_id, 0, 0, 0, concat('Analysed ', n, ' step', CASE WHEN n = 1 THEN '' ELSE 's' END, CASE WHEN engines IS NULL THEN '.' ELSE concat(' with the ', engines, ' engine.') END) FROM r LEFT JOIN en ON en.run_id = r.run_id
+UNION ALL SELECT run_id, 1, number, 0, concat(number, '. **', name, '** — ', status, CASE WHEN error IS NULL THEN '' ELSE concat(': ', error) END) FROM sn
+UNION ALL SELECT run_id, 1, number, 1, concat('   - reads: ', coalesce(reads, 'none')) FROM sn UNION ALL SELECT run_id, 1, number, 2, concat('   - writes: ', coalesce(writes, 'none')) FROM sn
+UNION ALL SELECT DISTINCT run_id, 2, -1099511627775, unnest([0, 1]), unnest(['{fixed.REPORT_FLOW_HEAD[0]}', '{fixed.REPORT_FLOW_HEAD[1]}']) FROM (SELECT DISTINCT run_id FROM fl) d
+UNION ALL SELECT run_id, 2, 0, 0, '{fixed.REPORT_NO_FLOWS}' FROM r WHERE run_id NOT IN (SELECT run_id FROM fl)
+UNION ALL SELECT fl.run_id, 2, fl.seq, pos, concat('| ', split_part(to_table, '/', 3), '.', to_column, ' | ', CASE WHEN from_table IS NULL THEN from_column ELSE concat(split_part(from_table, '/', 3), '.', from_column) END, ' | ', name, ' |')
+ FROM fl JOIN st ON st.run_id = fl.run_id AND st.seq = fl.seq
+UNION ALL SELECT run_id, 3, 0, 0, '{fixed.REPORT_NO_GAPS}' FROM r WHERE run_id NOT IN (SELECT run_id FROM gp)
+UNION ALL SELECT run_id, 3, CASE level WHEN 'bare' THEN 0 ELSE 1 END, seq, concat('- **', split_part(ref, '/', 3), '** — ', CASE WHEN reason = '' THEN '{fixed.REPORT_NO_REASON}' ELSE reason END) FROM gp""")
 def _(f):
-    return reports.run_markdown(f("fx_step_run"), _access(f), f("fx_column_flow"), _bare(f).withColumn("reason", F.lit("")))
+    return reports.run_markdown(f.sql(_MD_STEPS), f.sql(_MD_ACCESS), f.sql(_MD_FLOW), f.sql(_MD_GAPS))
 
 
 @query("h22_gap_notes", """
