@@ -148,6 +148,16 @@ def table_match(questions: DataFrame, access: DataFrame) -> DataFrame:
     )
 
 
+def asked(facts: DataFrame, named: DataFrame, column: str = "ref") -> DataFrame:
+    """Facts about the tables that questions name, with the question in place of the table.
+
+    ``named``: question, ref. All tables that one question names become one, so that the operators above answer per question: the newest
+    writer is the newest of any of them. A table that several questions name counts for each.
+    """
+    pairs = named.filter("ref IS NOT NULL").select("question", F.col("ref").alias(column)).distinct()
+    return facts.join(pairs, column).withColumn(column, F.col("question")).select(facts.columns).distinct()
+
+
 # -- coverage ----------------------------------------------------------------
 
 

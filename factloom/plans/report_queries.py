@@ -66,6 +66,58 @@ def _(f):
     return reports.last_real_run(f("fx_observed_run"), _access(f), f("fx_step_run"))
 
 
+# Questions by name and, for some, lakehouse; most names are those of tables in several lakehouses.
+_NAMED = """seen AS (SELECT DISTINCT ref, lower(split_part(ref, '/', 3)) AS t, lower(split_part(ref, '/', 2)) AS l FROM fx_access),
+nm AS (SELECT concat(q.table_name, '|', coalesce(q.lakehouse, '')) AS question, s.ref FROM fx_question q JOIN seen s ON lower(q.table_name) = s.t AND (q.lakehouse IS NULL OR lower(q.lakehouse) = s.l))"""
+_ASKED = f"{RUN_ACCESS}, {_NAMED}, qa AS (SELECT DISTINCT run_id, mode, question AS ref FROM ra JOIN nm ON nm.ref = ra.ref), qw AS (SELECT DISTINCT run_id, ref FROM qa WHERE mode = 'write')"
+
+
+def _ask(f, facts, column="ref"):
+    found = reports.table_match(f("fx_question"), f("fx_access"))
+    named = found.select(F.concat("table_name", F.lit("|"), F.coalesce("lakehouse", F.lit(""))).alias("question"), "ref")
+    return reports.asked(facts, named, column)
+
+
+@query("h13_answers", f"""
+WITH {_ASKED}, mf AS ({_MORE_FLOWS}),
+obs AS (SELECT w.ref, w.run_id, row_number() OVER (PARTITION BY w.ref ORDER BY s.at DESC, w.run_id) AS age FROM qw w JOIN fx_step_run s ON s.run_id = w.run_id),
+fl AS (SELECT f.run_id, f.seq, nm.question AS ref, f.to_column, f.from_table, f.from_column, f.transform, s.name AS via, dense_rank() OVER (PARTITION BY nm.question, to_column ORDER BY s.at DESC, f.run_id) AS age
+ FROM mf f JOIN nm ON nm.ref = f.to_table JOIN fx_step_run s ON s.run_id = f.run_id WHERE EXISTS (SELECT 1 FROM qw w WHERE w.run_id = f.run_id AND w.ref = nm.question)),
+src AS (SELECT ref, to_column AS col, from_table, from_column, min(via) AS via FROM fl WHERE age = 1 GROUP BY ref, to_column, from_table, from_column),
+known AS (SELECT DISTINCT o.ref, t.name AS col FROM fx_table_schema t JOIN nm ON nm.ref = t.ref JOIN obs o ON o.ref = nm.question AND o.run_id = t.run_id WHERE o.age = 1)
+SELECT ref, col AS "column", from_table, from_column, via FROM src
+UNION ALL SELECT k.ref, k.col, NULL, NULL, NULL FROM known k WHERE NOT EXISTS (SELECT 1 FROM src WHERE src.ref = k.ref AND src.col = k.col)""")
+def _(f):
+    """The transform is left out: two tables of one question may give the same source in the same place."""
+    return reports.column_sources(
+        _ask(f, f.sql(_MORE_FLOWS), "to_table"), _ask(f, f("fx_table_schema")), _ask(f, _access(f)), f("fx_step_run")).drop("transform")
+
+
+@query("h14_answers", f"""
+WITH {_ASKED} SELECT ref, mode, name, max(s.at) AS "at" FROM qa JOIN fx_step_run s ON s.run_id = qa.run_id GROUP BY ref, mode, name""")
+def _(f):
+    return reports.touched_by(_ask(f, _access(f)), f("fx_step_run"))
+
+
+@query("h15_answers", f"""
+WITH {_ASKED},
+c AS (SELECT w.ref, d.consumer_name, d.consumer_kind, dense_rank() OVER (PARTITION BY w.ref ORDER BY s.at DESC, w.run_id) AS age
+ FROM qw w JOIN fx_downstream d ON d.run_id = w.run_id JOIN fx_step_run s ON s.run_id = w.run_id WHERE d.available)
+SELECT t.ref, c.consumer_name, c.consumer_kind, c.ref IS NOT NULL AS checked FROM (SELECT DISTINCT ref FROM qw) t LEFT JOIN c ON c.ref = t.ref AND c.age = 1""")
+def _(f):
+    return reports.downstream_consumers(f("fx_downstream"), _ask(f, _access(f)), f("fx_step_run"))
+
+
+@query("h16_answers", f"""
+WITH {_ASKED},
+c AS (SELECT qw.ref, o.submitted_at, o.state, o.submitter, o.code_changed_at, s.name AS via,
+ row_number() OVER (PARTITION BY qw.ref ORDER BY s.at DESC, qw.run_id, o.entry_id) AS age
+ FROM qw JOIN fx_observed_run o ON o.run_id = qw.run_id JOIN fx_step_run s ON s.run_id = qw.run_id WHERE o.available)
+SELECT ref, submitted_at, state, submitter, code_changed_at, via, coalesce(code_changed_at > submitted_at, false) AS code_changed_since_run FROM c WHERE age = 1""")
+def _(f):
+    return reports.last_real_run(f("fx_observed_run"), _ask(f, _access(f)), f("fx_step_run"))
+
+
 @query("h17_table_match", """
 WITH seen AS (SELECT DISTINCT ref, lower(split_part(ref, '/', 3)) AS t, lower(split_part(ref, '/', 2)) AS l FROM fx_access),
 m AS (SELECT q.table_name, q.lakehouse, s.ref FROM fx_question q LEFT JOIN seen s ON lower(q.table_name) = s.t AND (q.lakehouse IS NULL OR lower(q.lakehouse) = s.l))
