@@ -265,7 +265,31 @@ def _(f):
     return flat.withColumn("path", F.array_join(F.transform("path", lambda n: n.cast("string")), "."))
 
 
-@query("f04_expand_dependencies")
+def _nested_levels():
+    """Dependencies level by level, from the deepest nesting (5) up, with the last activities of each instance."""
+    invoke = "substr(prefix, 1, length(prefix) - 3)"
+    for d in range(5, -1, -1):
+        own = f"SELECT w.root, w.prefix, w.name_, w.prefix || e.depends_on AS dep FROM walk w JOIN dep e ON e.pipeline_id = w.pipeline_id AND e.name = w.name WHERE depth = {d}"
+        yield f"raw{d} AS MATERIALIZED ({own})" if d == 5 else (
+            f"raw{d} AS MATERIALIZED (SELECT r.root, r.prefix, r.name_, coalesce(t.leaf, r.dep) AS dep FROM ({own}) r LEFT JOIN tails{d + 1} t ON t.root = r.root AND t.invoke = r.dep)")
+        yield f"here{d} AS MATERIALIZED (SELECT DISTINCT root, name_, dep FROM raw{d}" + (")" if not d else (
+            f" UNION SELECT root, name_, {invoke} FROM walk w WHERE depth = {d} AND NOT EXISTS (SELECT 1 FROM raw{d} r WHERE r.root = w.root AND r.name_ = w.name_))"))
+        if d:
+            ends = f"SELECT root, prefix, name_ AS leaf FROM walk WHERE depth = {d}"
+            waited = f"SELECT root, dep FROM here{d}"
+            if d < 5:
+                ends += f" UNION ALL SELECT t.root, w.prefix, t.leaf FROM tails{d + 1} t JOIN walk w ON w.depth = {d} AND w.root = t.root AND w.name_ = t.invoke"
+                waited += f" UNION ALL SELECT root, dep FROM here{d + 1}"
+            yield f"tails{d} AS MATERIALIZED (SELECT DISTINCT root, {invoke} AS invoke, leaf FROM ({ends}) c WHERE NOT EXISTS (SELECT 1 FROM ({waited}) h WHERE h.root = c.root AND h.dep = c.leaf))"
+
+
+@query("f04_expand_dependencies", f"""
+WITH RECURSIVE act AS ({_NESTED}), dep AS ({_NESTED_DEPS}),
+walk AS (SELECT pipeline_id AS root, pipeline_id, name, name AS name_, '' AS prefix, child_pipeline_id, CAST([] AS VARCHAR[]) AS seen, 0 AS depth FROM act
+ UNION ALL SELECT w.root, a.pipeline_id, a.name, w.name_ || ' / ' || a.name, w.name_ || ' / ', a.child_pipeline_id, list_append(w.seen, lower(w.child_pipeline_id)), w.depth + 1 FROM walk w
+ JOIN act a ON lower(a.pipeline_id) = lower(w.child_pipeline_id) WHERE w.depth < 5 AND NOT list_contains(w.seen, lower(w.child_pipeline_id))),
+{", ".join(_nested_levels())}
+{" UNION ALL ".join(f"SELECT 'w' AS workspace_id, root AS pipeline_id, name_ AS name, dep AS depends_on FROM here{d}" for d in range(6))}""")
 def _(f):
     return activities.expand_activities(f.sql(_NESTED), f.sql(_NESTED_DEPS))[1]
 
