@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.llm.tables import join_rows, save, text_key
+from factloom.llm.tables import save, text_key
 
 ORDER = 4
 #: labelled documents of a language that are used, at most
@@ -188,21 +188,36 @@ class Model:
         return entropy, letters
 
 
+def _judged(texts, model, limits):
+    """Per text: language, score, cross-entropy, letters, rejected."""
+    limits = limits or {}
+    entropy, letters = model.entropies(texts)
+    rows = np.arange(len(texts))
+    if model.langs:
+        best = entropy.argmin(axis=1)
+        least = entropy[rows, best]
+        odds = np.exp(-np.minimum((entropy - least[:, None]) * letters[:, None], 700)).sum(axis=1)
+    else:
+        best, least, odds = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts)), np.ones(len(texts))
+    known = (letters > 0) & bool(model.langs)
+    langs = [model.langs[b] if k else UNKNOWN for b, k in zip(best, known)]
+    z = np.array([deviation(h, n, limits.get(lang)) for h, n, lang in zip(least, letters, langs)])
+    highest = np.array([limits[lang][3] if lang in limits else REJECT for lang in langs])
+    return langs, np.where(known, 1 / odds, 0.0), np.where(known, least, np.nan), letters, ~known | (z > highest)
+
+
 def _scored(batches, model, limits):
-    model, limits = model.value, limits or {}
     for batch in batches:
-        texts = [t or "" for t in batch.column(2).to_pylist()]
-        entropy, letters = model.entropies(texts)
-        known = (letters > 0) & bool(model.langs)
-        best = entropy.argmin(axis=1) if model.langs else np.zeros(len(texts), dtype=np.int64)
-        least = entropy[np.arange(len(texts)), best] if model.langs else np.zeros(len(texts))
-        odds = np.exp(-np.minimum((entropy - least[:, None]) * letters[:, None], 700)).sum(axis=1) if model.langs else np.ones(len(texts))
-        z = np.array([deviation(h, n, limits.get(model.langs[b])) if k else np.inf for h, n, b, k in zip(least, letters, best, known)])
-        highest = np.array([limits[model.langs[b]][3] if k and model.langs[b] in limits else REJECT for b, k in zip(best, known)])
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array([model.langs[b] if k else UNKNOWN for b, k in zip(best, known)], pa.string()),
-            pa.array(np.where(known, 1 / odds, 0.0)), pa.array(np.where(known, least, np.nan)), pa.array(letters),
-            pa.array(~known | (z > highest))], ["doc_id", "text_key", "lang_pred", "score", "entropy", "letters", "rejected"])
+        langs, score, entropy, letters, rejected = _judged([t or "" for t in batch.column(2).to_pylist()], model.value, limits)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(score), pa.array(entropy), pa.array(letters), pa.array(rejected)],
+            ["doc_id", "text_key", "lang_pred", "score", "entropy", "letters", "rejected"])
+
+
+def _kept(batches, model, limits):
+    for batch in batches:
+        rejected = _judged([t or "" for t in batch.column("text").to_pylist()], model.value, limits)[-1]
+        yield batch.filter(pa.array(~rejected))
 
 
 _RESULT = "doc_id bigint, text_key bigint, lang_pred string, score double, entropy double, letters bigint, rejected boolean"
@@ -291,7 +306,11 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def recognised(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, all their columns as they are."""
-    bad = identify(docs, sample).where("rejected").select("doc_id", "text_key").distinct()
-    kept = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__key": text_key(F.col("text").cast("string"))})
-    return join_rows(kept, bad.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}), ["__id", "__key"], "left_anti").select(docs.columns)
+    """The rows of ``docs`` (doc_id, text, lang, ...) that :func:`identify` does not reject, all their columns as they are.
+
+    A row is kept or dropped where it is read; nothing but the training sample is shuffled.
+    """
+    model, limits = train(docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), sample)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(functools.partial(_kept, model=shared, limits=limits), docs.schema)
