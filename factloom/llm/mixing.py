@@ -32,7 +32,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 def place() -> F.Column:
     """60 bits of a hash of doc_id and text; rows that share both share their place."""
-    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(named.cast("binary")), 1, PLACE_BITS // 4), 16, 10).cast("bigint")
 
 
@@ -93,45 +93,65 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return save(out, "thresholds")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, source): doc_id, text_key (its place), size, source_size, target, copies, taken.
+def _rules(rows: DataFrame, weights, share: float, most: int) -> tuple[DataFrame, F.Column]:
+    """Per source the thresholds of its mix, and the number of copies as an expression over them, ``__size`` and ``__place``.
 
-    Size is the number of words ``[^\\x20\\x09-\\x0D]+``; null and empty texts have none. Every document is taken as often as its
-    source's target holds all of it, and once more below the source's thresholds. A null source is a source,
-    the last. Rows that share id and text are taken alike. Other columns are ignored; an empty table gives an
-    empty result, reruns give the same.
+    ``rows``: source, size, place. The rules are a row per source, all columns but the source marked by ``__``.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    rows = save(docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("bigint").alias("size"), place().alias("place")), "sizes")
     sources = save(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most).withColumn(
         "times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)), "targets")
     budgets = sources.select("source", F.floor(F.col("target") - F.col("times") * F.col("source_size")).alias("budget"))
-    rules, chosen = sources, F.lit(False)
+    rules = sources.select("source", *(F.col(c).alias(f"__{c}") for c in ("source_size", "target", "times")))
+    marked = rows.select("source", F.col("size").alias("__size"), F.col("place").alias("__place"))
+    size, place_, chosen = F.col("__size"), F.col("__place"), F.lit(False)
     for n in range(PASSES):
-        rest = join_rows(rows, rules, ["source"]).where(~chosen)
+        rest = join_rows(marked, rules, ["source"]).where(~chosen)
         if n:
-            rest = rest.where((F.col("size") > 0) & (F.col("size") <= F.col(f"most{n}")))
-        found = thresholds(rest.select("source", "place", "size"), budgets)
-        bounds = found.select("source", F.col("threshold").alias(f"below{n}"), F.col("left").alias(f"most{n + 1}"))
+            rest = rest.where((size > 0) & (size <= F.col(f"__most{n}")))
+        found = thresholds(rest.select("source", size.alias("size"), place_.alias("place")), budgets)
+        bounds = found.select("source", F.col("threshold").alias(f"__below{n}"), F.col("left").alias(f"__most{n + 1}"))
         rules = save(join_rows(rules, bounds, ["source"]), "rules")
         budgets = found.select("source", F.col("left").alias("budget"))
-        below = F.col("place") < F.col(f"below{n}")
-        chosen = chosen | (below & (F.col("size") <= F.col(f"most{n}")) & (F.col("size") > 0) if n else below)
-    left = F.col(f"most{PASSES}")
-    open_ = join_rows(rows, rules, ["source"]).where(~chosen & (F.col("size") > 0) & (F.col("size") < 2 * left))
-    nearest = open_.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - left).alias("off"), "place")).alias("best"))
-    rules = save(join_rows(rules, nearest.select("source", F.col("best.place").alias("nearest")), ["source"]), "rules")
-    chosen = chosen | F.coalesce(F.col("place") == F.col("nearest"), F.lit(False))
-    copies = F.col("times") + F.when(chosen & (F.col("times") < most), 1).otherwise(0)
-    return join_rows(rows, rules, ["source"]).select(
-        "doc_id", F.col("place").alias("text_key"), "size", "source_size", "target", copies.cast("int").alias("copies"),
-        (copies * F.col("size")).cast("bigint").alias("taken"))
+        below = place_ < F.col(f"__below{n}")
+        chosen = chosen | (below & (size <= F.col(f"__most{n}")) & (size > 0) if n else below)
+    left = F.col(f"__most{PASSES}")
+    open_ = join_rows(marked, rules, ["source"]).where(~chosen & (size > 0) & (size < 2 * left))
+    nearest = open_.groupBy("source").agg(F.min(F.struct(F.abs(size - left).alias("off"), place_.alias("place"))).alias("best"))
+    rules = save(join_rows(rules, nearest.select("source", F.col("best.place").alias("__nearest")), ["source"]), "rules")
+    chosen = chosen | F.coalesce(place_ == F.col("__nearest"), F.lit(False))
+    return rules, (F.col("__times") + F.when(chosen & (F.col("__times") < most), 1).otherwise(0)).cast("int")
+
+
+def _size() -> F.Column:
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("bigint")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, source): doc_id, text_key (its place), size, source_size, target, copies, taken.
+
+    Size is the number of words ``[^\\x20\\x09-\\x0D]+``; null and empty texts have none. Every document is taken as often as its
+    source's target holds all of it, and once more below the source's thresholds. A null source is a source,
+    the last. Rows that share id and text are taken alike. Other columns are ignored; an empty table gives an
+    empty result, reruns give the same.
+    """
+    rows = save(docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size"), place().alias("place")), "sizes")
+    rules, copies = _rules(rows, weights, share, most)
+    marked = rows.withColumnsRenamed({"size": "__size", "place": "__place"})
+    return join_rows(marked, rules, ["source"]).select(
+        "doc_id", F.col("__place").alias("text_key"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("__size")).cast("bigint").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, all their columns as they are, with how many ``copies`` it takes."""
-    taken = mix(docs, weights, share, most).where("copies > 0").select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__place"), F.col("copies").alias("__copies")).dropDuplicates(["__id", "__place"])
-    rows = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__place": place()})
-    return join_rows(rows, taken, ["__id", "__place"], "inner").select(*docs.columns, F.col("__copies").alias("copies"))
+    """The rows of ``docs`` that the mix takes, all their columns as they are, with how many ``copies`` it takes.
+
+    A row is judged where it is read, by its source's rules; texts are not shuffled.
+    """
+    rows = save(docs.select(F.col("source").cast("string").alias("source"), _size().alias("size"), place().alias("place")), "sizes")
+    rules, copies = _rules(rows, weights, share, most)
+    marked = docs.withColumns({"__size": _size(), "__place": place()})
+    rules = rules.withColumnRenamed("source", "__source")
+    return (
+        marked.join(rules, marked["source"].cast("string").eqNullSafe(rules["__source"]))
+        .withColumn("__copies", copies).where("__copies > 0").select(*docs.columns, F.col("__copies").alias("copies")))
