@@ -172,6 +172,6 @@ def _prefixes(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, all their columns as they are."""
-    bad = contamination(docs, benchmark, size).where("contaminated").select(
-        F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text")).distinct()
+    bad = save(contamination(docs, benchmark, size).where("contaminated").select(
+        F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text")).distinct(), "contaminated")
     return docs.join(bad, docs.doc_id.cast("bigint").eqNullSafe(bad["__doc"]) & (text_key(docs.text.cast("string")) == bad["__text"]), "left_anti")

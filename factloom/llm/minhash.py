@@ -326,8 +326,12 @@ def one_per_group(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGL
     """``docs`` with one document of each group of near copies, all its columns as they are.
 
     The kept one is that of the smallest doc_id; of rows that repeat it, one stays. Rows without
-    doc_id stay. The decisions of :func:`near_duplicates` hold.
+    doc_id stay. The decisions of :func:`near_duplicates` hold. Only the ids that go or repeat are joined; while those
+    are few enough to broadcast, the texts stay where they are.
     """
-    kept = near_duplicates(docs, percent, shingle).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    near = save(near_duplicates(docs, percent, shingle).where("doc_id is not null").groupBy("doc_id").agg(
+        F.bool_or("kept").alias("kept"), (F.count("*") > 1).alias("repeated")).where("not kept or repeated"), "decisions")
+    single = docs.join(near, docs["doc_id"].cast("bigint") == near["doc_id"], "left_anti")
+    repeated = near.where("kept and repeated").select(F.col("doc_id").alias("__id"))
+    again = docs.join(repeated, docs["doc_id"].cast("bigint") == repeated["__id"], "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(again)
