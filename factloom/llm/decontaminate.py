@@ -38,7 +38,7 @@ def _split(texts):
 
 
 def _item_windows(batches, size):
-    for batch in batches:
+    for batch in words.parts(batches):
         ids, texts = batch.column(0), words.encoded(batch.column(1))
         for lo, hi in words.slices(texts):
             w = _split(texts[lo:hi])
@@ -73,7 +73,7 @@ def _in(bitmap, hashes):
 
 
 def _count_words(batches, vocabulary):
-    for batch in batches:
+    for batch in words.parts(batches):
         texts = words.encoded(batch.column(0))
         for lo, hi in words.slices(texts):
             hashes = _split(texts[lo:hi]).hash
@@ -83,7 +83,7 @@ def _count_words(batches, vocabulary):
 
 def _scan(batches, rarest, windows, lengths):
     struct = pa.struct([("start", pa.int32()), ("word", pa.int64()), ("place", pa.int32()), ("tokens", pa.binary())])
-    for batch in batches:
+    for batch in words.parts(batches):
         texts = words.encoded(batch.column(2))
         for lo, hi in words.slices(texts):
             w = _split(texts[lo:hi])

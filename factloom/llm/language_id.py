@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.llm.tables import save, text_key
+from factloom.llm.words import parts
 
 ORDER = 4
 #: labelled documents of a language that are used, at most
@@ -88,7 +89,7 @@ def _slices(texts, size):
 
 def _counted(batches):
     """(lang, gram, n) of a batch of (lang, text)."""
-    for batch in batches:
+    for batch in parts(batches):
         langs, texts = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_pylist()
         for lang in sorted(set(langs)):
             own = [texts[i] for i in np.flatnonzero(langs == lang)]
@@ -207,7 +208,7 @@ def _judged(texts, model, limits):
 
 
 def _scored(batches, model, limits):
-    for batch in batches:
+    for batch in parts(batches):
         langs, score, entropy, letters, rejected = _judged([t or "" for t in batch.column(2).to_pylist()], model.value, limits)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(score), pa.array(entropy), pa.array(letters), pa.array(rejected)],
@@ -215,7 +216,7 @@ def _scored(batches, model, limits):
 
 
 def _kept(batches, model, limits):
-    for batch in batches:
+    for batch in parts(batches):
         rejected = _judged([t or "" for t in batch.column("text").to_pylist()], model.value, limits)[-1]
         yield batch.filter(pa.array(~rejected))
 
@@ -279,7 +280,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[Model, dict]:
 
 
 def _with_lang(batches, model, limits):
-    for batch in batches:
+    for batch in parts(batches):
         for out in _scored([batch], model, limits):
             yield out.append_column("lang", batch.column(3))
 

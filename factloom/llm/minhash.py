@@ -70,7 +70,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def _digest(batches, size):
-    for batch in batches:
+    for batch in words.parts(batches):
         ids, texts = batch.column(0), words.encoded(batch.column(1))
         for lo, hi in words.slices(texts):
             sets = shingle_sets(texts[lo:hi], size)
@@ -90,7 +90,7 @@ def _digest(batches, size):
 
 def _sets(batches, size):
     """(node, set_key, text) to (node, shingles), where the text has that key."""
-    for batch in batches:
+    for batch in words.parts(batches):
         nodes, keys, texts = batch.column(0), batch.column(1).to_pylist(), words.encoded(batch.column(2))
         for lo, hi in words.slices(texts):
             sets = shingle_sets(texts[lo:hi], size)
@@ -103,7 +103,7 @@ def _sets(batches, size):
 
 def _linked(batches, percent):
     """Pairs whose full sets are similar enough."""
-    for batch in batches:
+    for batch in words.parts(batches):
         fit = []
         for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
@@ -121,7 +121,7 @@ def _least(percent: int) -> int:
 
 def _agreeing(batches, percent):
     """Pairs whose signatures and sizes allow the similarity."""
-    for batch in batches:
+    for batch in words.parts(batches):
         sides = [np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, MINIMA) for i in (2, 3)]
         n = [batch.column(i).to_numpy() for i in (4, 5)]
         fit = ((sides[0] == sides[1]).sum(axis=1) >= _least(percent)) & (100 * np.minimum(*n) >= percent * np.maximum(*n))

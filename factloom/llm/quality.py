@@ -84,7 +84,7 @@ def statistics(c: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def _measured(batches):
-    for batch in batches:
+    for batch in words.parts(batches):
         texts = words.encoded(batch.column(4))
         for lo, hi in words.slices(texts):
             c = text_counts(texts[lo:hi])

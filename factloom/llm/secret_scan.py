@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.tables import join_rows, save, text_key
+from factloom.llm.words import parts
 
 KINDS = ("assign", "access", "hex", "opaque")
 #: a value with at least so many owners is a copied example
@@ -61,7 +62,7 @@ def digest(spans) -> str:
 
 def _scan(batches):
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.binary())]))
-    for batch in batches:
+    for batch in parts(batches):
         counts, hashes, found = np.zeros((batch.num_rows, 3), np.int64), [], []
         for i, raw in enumerate(batch.column(4).cast("binary").to_pylist()):
             own = candidates(raw.decode("utf-8", "replace")) if raw and _HINT.search(raw) else []
@@ -116,15 +117,15 @@ def scan(docs: DataFrame, owner: str | Column = "source", repo: str | Column = "
 
 
 def _masked(batches, mask):
-    for batch in batches:
+    for batch in parts(batches):
         texts = []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("__live").to_pylist()):
-            parts, at = [], 0
+            pieces, at = [], 0
             for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
                 if s["start"] >= at:
-                    parts += [text[at:s["start"]], mask]
+                    pieces += [text[at:s["start"]], mask]
                 at = max(at, s["end"])
-            texts.append("".join([*parts, text[at:]]))
+            texts.append("".join([*pieces, text[at:]]))
         place = batch.schema.get_field_index("text")
         yield batch.set_column(place, "text", pa.array(texts, batch.schema.field(place).type)).drop_columns(["__live"])
 

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 
 SLICE_BYTES = 1 << 20
+#: rows of an Arrow batch that are Python objects at a time
+PART_ROWS = 1024
 
 #: bytes of words ``[^\x20\x09-\x0D]+``
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -56,6 +58,13 @@ def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def parts(batches) -> Iterator:
+    """The batches in pieces of ``PART_ROWS`` rows, without copying."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(start, PART_ROWS)
+
+
 def encoded(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes; null counts as empty."""
     return [x or b"" for x in column.cast("binary").to_pylist()]
