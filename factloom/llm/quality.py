@@ -32,8 +32,10 @@ LEAST_GROUP = 50
 #: squared distances beyond are outliers: the 0.9999 quantile of the chi-squared distribution with as many degrees
 #: of freedom as statistics
 CUT = 27.9
-#: the least standard deviation of each statistic, so that what nearly all texts lack does not divide by zero
-FLOORS = (0.08, 0.5, 1.0, 1.0, 0.6, 1.0)
+#: the least standard deviation of each statistic, so that what nearly all texts lack does not divide by zero; where they
+#: lack it, a share of 13 % (upper case: 4 %) is an outlier by itself. That of the word length is always added: it is the chance of short texts
+FLOORS = (0.08, 0.5, 0.5, 0.5, 0.3, 0.5)
+_ADDED = (True, False, False, False, False, False)
 _N = len(FLOORS)
 _PAIRS = [(i, j) for i in range(_N) for j in range(i, _N)]
 #: the median of the chi-squared distribution with as many degrees of freedom as statistics
@@ -95,8 +97,19 @@ def _measured(batches):
                 ["doc_id", "text_key", "lang", "source", *COUNTS[:5], *(f"x{i}" for i in range(_N))])
 
 
+def floored(cov: np.ndarray) -> np.ndarray:
+    """The covariance with every variance raised to that of its floor if it is less (or by it, if ``_ADDED``), and no direction much flatter.
+
+    A variance beyond its floor stays as it is: the floors take nothing from a distance where the data vary.
+    """
+    least = np.square(FLOORS)
+    cov = cov + np.diag(np.where(_ADDED, least, np.maximum(least - np.diag(cov), 0.0)))
+    values, vectors = np.linalg.eigh(cov / np.outer(FLOORS, FLOORS))
+    return (vectors * np.maximum(values, 0.1)) @ vectors.T * np.outer(FLOORS, FLOORS)
+
+
 def _inverted(batches):
-    """(grp, n, sums, products) to (grp, mean, inverse): of the covariance with the floors added."""
+    """(grp, n, sums, products) to (grp, mean, inverse): of the covariance with standard deviations of at least the floors."""
     for batch in batches:
         means, inverses = [], []
         for n, sums, products in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
@@ -104,7 +117,7 @@ def _inverted(batches):
             cov = np.zeros((_N, _N))
             for (i, j), value in zip(_PAIRS, products):
                 cov[i, j] = cov[j, i] = value / n - mean[i] * mean[j]
-            inverses.append(np.linalg.inv(cov + np.diag(np.square(FLOORS))).ravel().tolist())
+            inverses.append(np.linalg.inv(floored(cov)).ravel().tolist())
             means.append(mean.tolist())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(means, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64()))], ["grp", "mean", "inverse"])
@@ -139,10 +152,14 @@ def _robust(rows: DataFrame) -> DataFrame:
     """(grp, mean, inverse, scale) of each group."""
     accuracy = F.lit(1000)
     middle = rows.groupBy("grp").agg(*(F.percentile_approx(f"x{i}", 0.5, accuracy).alias(f"m{i}") for i in range(_N)))
+
+    def deviation(i):
+        return F.pow(1.4826 * F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, accuracy), 2)
+
     spread = rows.join(middle, "grp").groupBy("grp").agg(
         F.array(*(F.first(f"m{i}") for i in range(_N))).alias("mean"),
         F.array(*(F.lit(0.0) if i != j else F.lit(1.0) / (
-            F.pow(1.4826 * F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, accuracy), 2) + FLOORS[i] ** 2)
+            deviation(i) + FLOORS[i] ** 2 if _ADDED[i] else F.greatest(deviation(i), F.lit(FLOORS[i] ** 2)))
             for i in range(_N) for j in range(_N))).alias("inverse"))
     estimate = save(spread, "medians")
     for _ in range(STEPS):

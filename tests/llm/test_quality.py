@@ -70,3 +70,27 @@ def test_distance_against_brute_force(docs):
             scale = max(1.0, np.sort(d)[(len(d) - 1) // 2] / quality._MEDIAN)
             close = [abs(got[r[0]] - v / scale) <= 0.1 * (v / scale) + 0.05 for r, v in zip(own, d)]
             assert np.mean(close) > 0.95
+
+
+def test_an_outlier_in_each_single_statistic(docs):
+    """One trait alone is enough, also where the base rules hold and the group is large."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    prose = lambda n: [word() for _ in range(n)]
+    rows = []
+    for i in range(400):
+        words = prose(rng.choice((60, 120, 300)))
+        words[5], words[20] = words[5].capitalize(), str(rng.randrange(10))
+        rows.append((i, "\n".join(" ".join(words[k:k + 12]) for k in range(0, len(words), 12))))
+    passage = prose(25)
+    odd = {
+        "long words": " ".join("".join(prose(5)) for _ in range(200)),
+        "symbols": " ".join(w + "##" for w in prose(200)),
+        "duplicate lines": "\n".join(line for k in range(60) for line in ("ab cd", word())),
+        "repeated words": " ".join(prose(100) + passage + prose(50) + passage + prose(80)),
+        "upper case": " ".join(prose(200)).upper(),
+        "digits": " ".join(str(rng.randrange(1000, 100_000)) for _ in range(200))}
+    rows += list(enumerate(odd.values(), 1000))
+    got = {r.doc_id: r for r in quality.quality(docs(rows)).collect()}
+    assert [name for i, name in enumerate(odd, 1000) if got[i].kept or got[i].base_failed] == []
+    assert sum(got[i].kept for i in range(400)) >= 396
