@@ -5,7 +5,7 @@ runs. The n-grams of all languages are stored once, in sorted arrays of packed
 hashes, with the log probability of the last character after the others under
 every language; what an array of the highest order lacks falls back to the next
 shorter one. The language of the lowest cross-entropy per character wins. A text is
-rejected if even that is beyond what any calibration text of the language has,
+rejected if even that is far beyond what nearly all calibration texts of the language have,
 measured in standard deviations of a text of its length.
 
 The models are counted on a bounded sample of labelled documents (``SAMPLE`` per
@@ -33,6 +33,10 @@ SAMPLE = 4000
 CALIBRATION = 5
 #: standard deviations beyond the mean from which on a text may be rejected
 REJECT = 6.0
+#: the quantile of the calibration texts' deviations that may move the limit, and the factor from it to the limit
+QUANTILE, BEYOND = 0.99, 3.0
+#: a language of fewer calibration texts is judged by the spread of all languages' texts, which are at least so many or judge nothing
+LEAST, LEAST_OF_ALL = 100, 20
 #: characters scored at a time, for four languages
 CHUNK = 1 << 19
 UNKNOWN = "und"
@@ -232,23 +236,37 @@ def deviation(entropy: float, letters: int, limit: tuple[float, float, float, fl
     return (entropy - mean) / (between + within / max(letters, 1)) ** 0.5
 
 
-def calibrated(rows: list[tuple[str, float, int]]) -> dict[str, tuple[float, float, float, float]]:
-    """Per language the mean, the variance between texts, the variance within per letter, and the deviation to reject beyond.
+def _middle(h: np.ndarray, n: np.ndarray) -> float:
+    """The median by letters."""
+    order = np.argsort(h)
+    return float(h[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)])
 
-    The limit is the largest deviation of the language's own calibration texts and half as much again, or ``REJECT``.
-    A language with fewer than 20 such texts has no limit and rejects nothing.
+
+def _spread(beyond: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+    """Of entropies less their language's middle: the variance between texts, that within per letter, the limit."""
+    within = float(np.median(beyond ** 2 * n)) / 0.455 + 1e-6
+    between = max(1e-4, float(np.median(beyond[n >= np.median(n)] ** 2)) / 0.455)
+    return between, within, max(REJECT, BEYOND * float(np.quantile(beyond / np.sqrt(between + within / n), QUANTILE)))
+
+
+def calibrated(rows: list[tuple[str, float, int]], langs: list[str] = ()) -> dict[str, tuple[float, float, float, float]]:
+    """Per language the middle, the variance between texts, the variance within per letter, and the deviation to reject beyond.
+
+    The limit is ``BEYOND`` times a high quantile of the deviations of the language's own calibration texts, or ``REJECT``: a
+    few odd texts do not move it, and it does not grow with the sample. A language of ``langs`` or ``rows`` with fewer than
+    ``LEAST`` such texts has the spread and limit of all languages' texts around its own middle, or around that of all if it has no text.
     """
-    limits = {}
-    for lang in sorted({r[0] for r in rows}):
-        h, n = (np.array([r[i] for r in rows if r[0] == lang], dtype=float) for i in (1, 2))
-        if h.size < 20:
-            continue
-        mean = float((h * n).sum() / n.sum())
-        within = float(np.median((h - mean) ** 2 * n)) / 0.455 + 1e-6
-        between = max(1e-4, float(np.median((h[n >= np.median(n)] - mean) ** 2)) / 0.455)
-        z = (h - mean) / np.sqrt(between + within / n)
-        limits[lang] = (mean, between, within, max(REJECT, 1.5 * float(z.max())))
-    return limits
+    rows = [r for r in rows if r[2] > 0]
+    if len(rows) < LEAST_OF_ALL:
+        return {}
+    lang = np.array([r[0] for r in rows], dtype=object)
+    h, n = (np.array([r[i] for r in rows], dtype=float) for i in (1, 2))
+    middles = {a: _middle(h[lang == a], n[lang == a]) for a in sorted(set(lang))}
+    beyond = h - np.array([middles[a] for a in lang])
+    pooled = _spread(beyond, n)
+    return {
+        a: (middles.get(a, _middle(h, n)), *(_spread(beyond[lang == a], n[lang == a]) if (lang == a).sum() >= LEAST else pooled))
+        for a in sorted({*middles, *langs})}
 
 
 def held_out() -> Column:
@@ -275,7 +293,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[Model, dict]:
         counts[lang] = (gram[own], n[own])
     model = Model(counts)
     scored = _score(chosen.where("calibrates").select(F.lit(0).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("text_key"), "text", "lang"), model, None, "lang")
-    limits = calibrated([tuple(r) for r in scored.where("lang = lang_pred").select("lang", "entropy", "letters").collect()])
+    limits = calibrated([tuple(r) for r in scored.where("lang = lang_pred").select("lang", "entropy", "letters").collect()], model.langs)
     return model, limits
 
 

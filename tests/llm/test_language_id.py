@@ -121,3 +121,23 @@ def test_nothing_to_learn_from(docs):
     assert {(r.lang_pred, r.score) for r in language_id.identify(table).collect()} == {("und", 0.0)}
     assert language_id.identify(table.limit(0)).collect() == []
     assert {r.lang_pred for r in language_id.identify(docs([(1, "tiny", "en"), (2, "text", None)])).collect()} == {"en"}
+
+
+def test_a_few_odd_calibration_texts_do_not_set_the_limit():
+    rng = np.random.default_rng(3)
+    good = [("en", float(h), 500) for h in rng.normal(2.0, 0.05, 400)]
+    odd = [("en", h, 500) for h in (4.5, 5.0, 6.0)]
+    clean, mixed = (language_id.calibrated(r)["en"] for r in (good, good + odd))
+    for limit in (clean, mixed):
+        assert all(language_id.deviation(h, n, limit) <= limit[3] for _, h, n in good)
+        assert language_id.deviation(3.5, 500, limit) > limit[3]
+    assert mixed[3] <= 1.2 * clean[3]
+
+
+def test_a_rare_language_has_the_limit_of_all(docs, rows):
+    rare = [(20_000 + i, "saluton mia amiko kiel vi fartas hodia mateno " * (2 + i % 3), "eo") for i in range(30)]
+    table = docs([*rows, *rare, (30_001, "saluton qxzjk vvqx zzkw mia kkqzx wvvxq jjzqk xqwzv " * 40, None), (30_002, rare[0][1], None)])
+    got = {r.doc_id: r for r in language_id.identify(table).collect()}
+    assert got[30_001].rejected and not got[30_002].rejected
+    limits = language_id.train(table.select("doc_id", "text", "lang"))[1]
+    assert set(limits) == {r[2] for r in rows} | {"eo"}
