@@ -2,8 +2,8 @@
 
 Every text is scanned once for candidates. Candidate hashes are then counted by
 distinct repositories and owners over the whole corpus: a value that many owners
-carry is a copied example, a value of few owners looks like a live credential.
-Only hashes travel; the counts are aggregated in steps (repository, owner,
+or many repositories carry is a copied example, a value of few looks like a live credential.
+Only hashes travel; the counts are aggregated in steps (repository, text or owner,
 value), each combined before its shuffle, so a value in a third of all rows
 meets no task as rows.
 
@@ -29,6 +29,8 @@ from factloom.llm.words import parts
 KINDS = ("assign", "access", "hex", "opaque")
 #: a value with at least so many owners is a copied example
 SHARED_OWNERS = 3
+#: so is one in at least so many different repositories, whoever owns them
+SHARED_REPOS = 20
 MASK = "[secret]"
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -79,17 +81,20 @@ def _scan(batches):
 def ownership(found: DataFrame) -> DataFrame:
     """(value, repos, owners): in how many distinct repositories and of how many distinct owners a value is.
 
-    ``found`` has value, owner and repo. A null owner or repository counts as one of its own.
+    ``found`` has value, owner, repo and text_key. A null owner or repository counts as one of its own. Repositories whose
+    copies of one text carry the value count as one, and so does a repository with several texts or owners.
     """
-    return (
-        found.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
-        .groupBy("value", "owner").agg(F.count("*").alias("repos"))
-        .groupBy("value").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners")))
+    first = found.groupBy("value", "repo").agg(F.min("text_key").alias("text_key"))
+    repos = first.groupBy("value", "text_key").agg(F.lit(1).alias("one")).groupBy("value").agg(F.count("*").alias("repos"))
+    owners = found.groupBy("value", "owner").agg(F.lit(1).alias("one")).groupBy("value").agg(F.count("*").alias("owners"))
+    return repos.join(owners, "value")
 
 
-def scan(docs: DataFrame, owner: str | Column = "source", repo: str | Column = "doc_id", shared_owners: int = SHARED_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner: str | Column = "source", repo: str | Column = "doc_id", shared_owners: int = SHARED_OWNERS,
+         shared_repos: int = SHARED_REPOS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, owner, repo): doc_id, text_key, n_assign, n_access, n_hex, base_sha256,
-    spans, n_live, n_example, live (array of start, end of the spans that look live).
+    spans, n_live, n_example, repos and owners (of each of the spans, comma-joined), live (array of start, end of the spans that
+    look live).
 
     A null or empty text has no spans: counts 0, the digest of the empty string, spans ''. Rows that repeat a document are
     one repository and get the same result each. Other columns are ignored.
@@ -103,8 +108,9 @@ def scan(docs: DataFrame, owner: str | Column = "source", repo: str | Column = "
     found = save(
         scanned.where(F.size("found") > 0).select(*row, "owner", "repo", F.explode("found").alias("f"))
         .select(*row, "owner", "repo", "f.*").distinct(), "found")
-    judged = found.drop("owner", "repo").distinct().join(ownership(found), "value").withColumn("live", F.col("owners") < shared_owners)
-    span = F.struct("start", "kind", "end", "live")
+    judged = found.drop("owner", "repo").distinct().join(ownership(found), "value").withColumn(
+        "live", (F.col("owners") < shared_owners) & (F.col("repos") < shared_repos))
+    span = F.struct("start", "kind", "end", "live", "repos", "owners")
     told = judged.where("kind < 3 or live").groupBy(*row).agg(F.sort_array(F.collect_list(span)).alias("spans"))
     names = F.array(*(F.lit(k) for k in KINDS))
     return join_rows(scanned, told, row).select(
@@ -113,6 +119,7 @@ def scan(docs: DataFrame, owner: str | Column = "source", repo: str | Column = "
             ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ","), F.lit("")).alias("spans"),
         F.coalesce(F.size(F.filter("spans", lambda s: s["live"])), F.lit(0)).cast("bigint").alias("n_live"),
         F.coalesce(F.size(F.filter("spans", lambda s: ~s["live"])), F.lit(0)).cast("bigint").alias("n_example"),
+        *(F.coalesce(F.array_join(F.transform("spans", lambda s: s[k].cast("string")), ","), F.lit("")).alias(k) for k in ("repos", "owners")),
         F.transform(F.filter("spans", lambda s: s["live"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("live"))
 
 
@@ -131,12 +138,12 @@ def _masked(batches, mask):
 
 
 def masked(docs: DataFrame, owner: str | Column = "source", repo: str | Column = "doc_id", shared_owners: int = SHARED_OWNERS,
-           mask: str = MASK) -> DataFrame:
+           mask: str = MASK, shared_repos: int = SHARED_REPOS) -> DataFrame:
     """The rows of ``docs`` with every span that looks live replaced by ``mask``; overlapping spans become one.
 
     Copied examples, other texts and other columns stay as they are; n_chars, where it is a column, is counted anew.
     """
-    live = scan(docs, owner, repo, shared_owners).where("n_live > 0").select(
+    live = scan(docs, owner, repo, shared_owners, shared_repos).where("n_live > 0").select(
         F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text"), F.col("live").alias("__live")).dropDuplicates(["__doc", "__text"])
     live = save(live, "live")
     match = docs.doc_id.cast("bigint").eqNullSafe(live["__doc"]) & (text_key(docs.text.cast("string")) == live["__text"])

@@ -52,3 +52,16 @@ def test_masking(docs):
     assert sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=str) == sorted(
         [(1, "a [secret] b", 12)] * 2 + [(2, "clean", 5), (3, None, 0), (4, "é [secret]\" x", 13)], key=str)
     assert secret_scan.masked(table.limit(0)).count() == 0
+
+
+def test_both_counts_decide(docs):
+    """An example in many different documents of one source is none of it less; copies of one text are one repository."""
+    rows = [(i, f"page {i}: password=changeme1", "en", "hot") for i in range(secret_scan.SHARED_REPOS)]
+    rows += [(100 + i, "password=r34lsecret", "en", "hot") for i in range(2 * secret_scan.SHARED_REPOS)]
+    rows += [(200 + i, f"page {i}: password=0therkey", "en", ("hot", "b")[i % 2]) for i in range(secret_scan.SHARED_REPOS - 1)]
+    table = docs(rows)
+    got = {r.doc_id: (r.n_live, r.n_example, r.repos, r.owners) for r in secret_scan.scan(table).collect()}
+    assert got[0] == (0, 1, str(secret_scan.SHARED_REPOS), "1")
+    assert got[100] == (1, 0, "1", "1") and got[200] == (1, 0, str(secret_scan.SHARED_REPOS - 1), "2")
+    texts = {r.doc_id: r.text for r in secret_scan.masked(table).collect()}
+    assert texts[0] == rows[0][1] and texts[100] == "[secret]" and texts[200] == "page 0: [secret]"
