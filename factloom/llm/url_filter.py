@@ -22,20 +22,77 @@ FEATURES = 1 << 14
 BLOCK_FROM = 0.7
 #: (verdict, rule)
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: Hosts and paths by which people label URLs: wanted pages and unwanted ones.
+#: Hosts and paths by which people label URLs: wanted pages and unwanted ones, of varied domains; some share words with hosts of the given pages.
 ALLOWED = [
-    "https://www.example.org/en/about", "http://blog.example.com/fr/12", "https://docs.example.org/guide/start.html", "http://news.example.com/de/2024/05",
-    "https://m.weather.example.com/es/today", "https://library.example.org/en/catalogue?page=2", "http://city.example.com/fr/plan", "https://www.school.example.org/en/77/",
-    "https://blog.gardening.example.com/en/roses.html", "http://history.example.org/de/405", "https://recipes.example.com/es/sopa", "https://wiki.example.org/en/Water",
-    "https://museum.example.com/fr/11#top", "http://www.thern.example.com/en/204", "https://then.example.org/es/9", "https://blog.tion.example.com/en/318/",
-    "http://m.thone.example.org/de/41", "https://station.example.com/en/660.html", "https://www.ther.example.org/en/871", "http://nation.example.com/fr/23?page=2&ref=x",
+    "https://github.com/torvalds/linux", "https://en.wikipedia.org/wiki/Water", "https://de.wikipedia.org/wiki/Wetter",
+    "https://www.bbc.co.uk/news/world", "https://www.nytimes.com/section/science", "https://stackoverflow.com/questions/11227809",
+    "https://docs.python.org/3/library/index.html", "https://www.nature.com/articles/s41586", "https://arxiv.org/abs/1706.03762",
+    "https://www.lemonde.fr/planete/article", "http://www.spiegel.de/wissenschaft/12", "https://elpais.com/cultura/2024-05",
+    "https://www.nasa.gov/missions/artemis", "https://www.who.int/health-topics/nutrition", "https://www.mit.edu/research/",
+    "https://www.uni-heidelberg.de/de/studium", "https://www.gutenberg.org/ebooks/1342", "https://archive.org/details/texts",
+    "https://www.britannica.com/science/atom", "https://www.allrecipes.com/recipe/soup", "http://www.marmiton.org/recettes/tarte",
+    "https://www.weather.gov/forecast/today", "https://www.openstreetmap.org/way/77", "https://kernel.org/doc/html/latest/",
+    "https://www.gnu.org/software/make/manual.html", "https://developer.mozilla.org/en/docs/Web", "https://news.ycombinator.com/item?id=8",
+    "https://www.theguardian.com/books/2023", "https://www.louvre.fr/en/explore", "https://www.britishmuseum.org/collection",
+    "https://www.loc.gov/collections/maps/", "https://www.europa.eu/youth/fr", "https://www.bahn.de/service/fahrplan",
+    "https://www.imdb.com/title/tt0111161", "https://www.goodreads.com/book/show/5107", "https://blog.rust-lang.org/2024/02/index.html",
+    "https://www.rhs.org.uk/plants/roses", "https://www.nationalgeographic.com/history", "https://www.cityofboston.gov/parks/",
+    "https://www.stanford.edu/admission/", "http://forum.ubuntu-fr.org/viewtopic.php", "https://www.chess.com/learn/openings",
+    "https://www.ikea.com/es/tables", "https://www.mathworld.com/en/Theorem", "https://www.tate.org.uk/art/11",
+    "https://thehill.com/en/660", "https://www.northernlight.org/en/204", "https://earthobservatory.org/fr/23",
+    "https://brother-hood.com/en/318", "https://www.threethings.net/es/9",
+    "https://www.nytimes.com/fr/12", "https://reuters.com/world/europe", "https://www.washingtonpost.com/science/5",
+    "https://thoughtco.com/en/grammar", "https://www.history.com/topics/rome", "https://theatlantic.com/ideas/825",
+    "https://www.thomann.com/de/41", "https://medium.com/fr/450", "https://www.wetransfer.com/about",
+    "https://wordpress.com/es/9", "https://www.smithsonianmag.com/nature", "https://weather.com/en/today",
+    "https://www.nationaltheatre.com/fr/825", "https://northseajazz.com/en/7", "https://www.there-and-back.com/fr/77",
+    "https://southernliving.com/garden", "https://www.thread-house.com/de/33", "https://recipes.thekitchn.com/en/5",
+    "http://m.bbc.com/en/5", "https://m.lefigaro.fr/fr/12", "http://blog.mozilla.org/es/3",
+    "https://www.postgresql.org/en/71", "http://blog.python.org/de/8", "https://m.ouest-france.fr/en/2",
+    "http://blog.google.com/en/40", "https://www.heise.de/de/6", "http://www.inria.fr/fr/9",
+    "https://m.rtve.es/es/51", "http://blog.ted.com/en/14", "https://www.ox.ac.uk/en/300",
+    "http://apache.org/en/4", "https://m.wikivoyage.org/fr/7", "http://blog.zdf.de/de/22",
+    "https://www.dwd.de/en/10", "http://m.gardeners-world.co.uk/es/6", "https://scipy.org/en/1",
+    "https://gitea.com/en/81", "http://www.sciencejournals.org/en/60", "https://m.museo-prado.es/de/450",
+    "https://library-of-wales.org/en/2", "http://www.ucl.ac.uk/es/11", "https://fedora-project.org/en/33",
+    "http://www.meteo.fr/fr/4", "https://m.orchestra.org/en/20", "http://tagesschau.de/de/15",
+    "https://blog.oreilly.com/en/9", "http://www.theology.org/fr/2", "https://school-of-music.org/en/18",
+    "http://m.elmundo-deportivo.es/es/7", "https://thermal-baths.org/en/6", "http://www.history-of-art.org/en/13",
+    "https://blog.otherlands.org/fr/30", "http://www.rethink.org/en/5", "https://weather-station.de/de/2",
+    "https://m.numbers-theory.org/en/44", "http://librarything.org/en/8",
 ]
 BLOCKED = [
-    "http://cheap-pills.example.com/en/1", "https://www.cheap-pills.example.org/buy", "http://pills-online.example.com/discount", "https://free-bets.example.com/en/7",
-    "http://m.free-bets.example.org/win", "https://best-casino.example.com/slots", "http://casino-bonus.example.org/en/44", "https://adult-x.example.com/fr/5",
-    "http://www.adult-x.example.org/videos", "https://xxx-cams.example.com/live", "http://spam-farm.example.com/en/3", "https://spam-farm.example.org/links",
-    "http://link-farm.example.com/seo", "https://free-money.example.org/now", "http://cheap-loans.example.com/apply", "https://win-big-bets.example.com/de/2",
-    "http://replica-watches.example.org/sale", "https://adult-dating.example.com/es/8", "http://buy-followers.example.com/cheap", "https://poker-bets.example.org/en/99",
+    "http://casino-royal-slots.org/play", "https://www.bestonlinecasino.de/bonus", "https://888casino.co.uk/promotions",
+    "http://luckyslots777.fr/spin", "https://bet365.com/sports", "https://www.freebets-today.edu.co/odds",
+    "http://sportsbets24.org/live", "https://poker-bets-king.com/join", "http://free-spins-bonus.org/win",
+    "https://cheapviagra-pills.es/buy", "http://www.buycheapmeds.org/pills", "https://canadian-pills-shop.de/discount",
+    "http://cheap-pillstore.co.uk/order", "https://dietpills-cheap.fr/en/3", "https://www.adultfriendx.com/join",
+    "http://adult-xtube.edu.co/videos", "https://xxxvideos-free.org/watch", "http://hotadult-cams.com/live",
+    "https://www.pornxhub.org/video", "https://sexcams-adult.es/chat", "http://xnxx-porn.org/hd",
+    "https://spamlinks-farm.de/seo", "http://link-spam-farm.co.uk/links", "https://seo-backlinks-farm.fr/buy",
+    "http://spam-mailer.com/bulk", "https://free-iphone-win.edu.co/claim", "http://freemoney-now.org/claim",
+    "https://earn-cash-fast.com/start", "http://payday-loans-cheap.org/apply", "https://quick-cashloans.es/apply",
+    "http://replica-rolex-shop.org/sale", "https://cheap-replicabags.de/sale", "http://buy-followers-cheap.co.uk/likes",
+    "https://ads-tracker.fr/click", "http://adserver-track.com/banner", "https://track-adclick.edu.co/pixel",
+    "http://popads-click.org/serve", "https://cracked-warez.com/keygen", "http://free-keygen-crack.org/download",
+    "https://torrent-warez-free.es/crack", "http://crypto-doubler.org/invest", "https://bitcoin-win-fast.de/claim",
+    "http://hot-dating-singles.co.uk/meet", "https://adult-dating-sexy.fr/singles", "http://essay-writers-cheap.com/order",
+    "https://www.casinowinner.edu.co/slots", "http://bingo-slots-bets.org/play", "https://xxx-adult-teens.com/pics",
+    "http://free-bets-bonus.org/odds", "https://pills4cheap.es/rx",
+    "http://m.adult-movies.org/en/5", "https://adult-chat-x.com/fr/12", "http://blog.adult-store.de/es/3",
+    "https://www.adultx-films.com/en/71", "http://adult-xrated.example-hosting.com/de/8", "https://m.xxx-adult.fr/en/2",
+    "http://blog.free-betting.com/en/40", "https://free-bets-club.de/de/6", "http://www.best-free-bets.com/fr/9",
+    "https://m.bets-online.org/es/51", "http://blog.bets-and-odds.com/en/14", "https://free-bets.co.uk/en/300",
+    "http://spam-farmers.com/en/4", "https://m.link-farm-spam.org/fr/7", "http://blog.spam-network.com/de/22",
+    "https://www.spam-farms.de/en/10", "http://m.spamfarm-links.com/es/6", "https://farm-of-links.com/en/spam",
+    "http://blog.cheap-pills-direct.com/en/81", "https://m.cheap-pills24.org/fr/5", "http://www.pills-discount.com/en/60",
+    "https://cheap-pills-rx.de/de/450", "http://pharmacy-online-cheap.com/en/2", "https://m.pharmacy-pills-rx.org/es/11",
+    "http://blog.casino-games.com/en/33", "https://m.vegas-casino-slots.com/fr/4", "http://www.casino-win-big.org/en/20",
+    "https://mobile-casino.de/de/15", "http://m.freeporn-tube.com/en/9", "https://blog.freeporn-videos.org/fr/2",
+    "http://www.sexvideos-free.com/en/18", "https://m.sex-videos-hd.de/es/7", "http://blog.hot-singles-dating.com/en/6",
+    "https://m.payday-cash.com/en/13", "http://www.replica-shop.org/fr/30", "https://blog.buy-followers.com/en/5",
+    "http://m.warez-cracked.com/de/2", "https://www.track-ads.com/en/44", "http://blog.crypto-win-fast.org/en/8",
+    "https://m.cheap-essays.com/fr/19",
 ]
 
 
