@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import chat, decontaminate, language_id, licences, minhash, mixing, quality, secret_scan, url_filter, warc
-from factloom.llm.tables import read
+from factloom.llm import chat, decontaminate, language_id, licences, manifest, minhash, mixing, quality, secret_scan, url_filter, warc
+from factloom.llm.tables import crc_of, read
 
 
 def op1_warc_revisits(spark, sf_dir):
@@ -175,6 +175,77 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 FROM digests JOIN firsts USING (payload_digest)
 """
 
+
+
+def op11_merkle_manifest(spark, sf_dir):
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return manifest.verify(read(spark, sf_dir, "documents"), F.when(crc_of("doc_id") % 5 == 0, lowered)).drop("copied")
+
+
+#: crc32 of a number's decimal text, by a table made from the polynomial
+CRC_TABLE = """crc_table AS MATERIALIZED (
+  SELECT list(list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY c) AS t
+  FROM (SELECT unnest(range(256)) AS c))"""
+
+
+def crc_sql(number: str) -> str:
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({number}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), "
+            "lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)")
+
+
+
+
+def _leaf_sql(*fields: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in fields) + ")"
+
+
+_LEAF = _leaf_sql("doc_id", "source", "lang", "n_chars", "text")
+_LEAF_LOWERED = _leaf_sql(
+    "doc_id", "source", "lang", "n_chars", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+#: one level: nodes with what stands before and after them in their run; a tree of one node stays as it is
+_OP11_LEVEL = """
+{t}{k}_run AS MATERIALIZED (
+  SELECT tree, pos, h, count(*) OVER (PARTITION BY tree) > 1 AS many,
+    list(h) OVER (PARTITION BY tree, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS run FROM {t}{k}),
+{t}{k}_path AS MATERIALIZED (
+  SELECT tree, pos, many, CASE WHEN many THEN array_to_string(run[1:(pos % 16)::INT], '') ELSE '' END AS before,
+    CASE WHEN many THEN array_to_string(run[(pos % 16)::INT + 2:], '') ELSE '' END AS after FROM {t}{k}_run),
+{t}{next} AS MATERIALIZED (
+  SELECT DISTINCT tree, pos // 16 AS pos, CASE WHEN many THEN sha256(array_to_string(run, '')) ELSE h END AS h FROM {t}{k}_run)"""
+_OP11_STEP = """
+{t}_fold{next} AS MATERIALIZED (
+  SELECT f.* EXCLUDE (x, proof), CASE WHEN many THEN sha256(before || x || after) ELSE x END AS x, proof || before || after AS proof
+  FROM {t}_fold{k} f JOIN {t}{k}_path p ON p.tree = f.{key} AND p.pos = f.{pos} // {width})"""
+_DEPTH = 6
+
+
+def _op11_sql() -> str:
+    def levels(t):
+        return ",".join(_OP11_LEVEL.format(t=t, k=k, next=k + 1) for k in range(_DEPTH))
+
+    def steps(t, key, pos):
+        return ",".join(_OP11_STEP.format(t=t, k=k, next=k + 1, key=key, pos=pos, width=16 ** k) for k in range(_DEPTH))
+
+    return f"""
+WITH {CRC_TABLE},
+leaves AS MATERIALIZED (
+  SELECT doc_id, coalesce('1' || source, '0') AS tree, {_LEAF} AS leaf,
+    CASE WHEN {crc_sql("doc_id")} % 5 = 0 AND text IS NOT NULL THEN {_LEAF_LOWERED}
+    END AS changed FROM documents, crc_table),
+numbered AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),
+a0 AS (SELECT tree, place AS pos, leaf AS h FROM numbered),{levels("a")},
+b0 AS (SELECT 'all' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, h, tree AS own FROM a{_DEPTH}),{levels("b")},
+a_fold0 AS (SELECT doc_id, tree, place, leaf, coalesce(changed, leaf) AS x, '' AS proof FROM numbered),{steps("a", "tree", "place")},
+b_fold0 AS (
+  SELECT doc_id, leaf, f.tree, b0.h AS subroot, b0.tree AS top, b0.pos AS at, x, proof FROM a_fold{_DEPTH} f JOIN b0 ON b0.own = f.tree),{steps("b", "top", "at")}
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = r.h AS verified
+FROM b_fold{_DEPTH}, b{_DEPTH} r
+"""
+
+
+OP11_SQL = _op11_sql()
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_warc_revisits": op1_warc_revisits,
@@ -187,6 +258,7 @@ QUERIES = {
     "op8_mixing_sources": op8_mixing_sources,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 ORACLES = {
     "op1_warc_revisits": OP1_SQL,
@@ -194,4 +266,5 @@ ORACLES = {
     "op6_chat_formatting": OP6_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op8_mixing_sources": OP8_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }

@@ -36,3 +36,8 @@ def join_rows(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
         condition = condition & F.col(k).eqNullSafe(F.col(f"__{k}"))
     joined = left.join(right, condition, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*(f"__{k}" for k in keys))
+
+
+def crc_of(number: str | Column) -> Column:
+    """Unsigned crc32 of a number's decimal text; null for null."""
+    return F.crc32((F.col(number) if isinstance(number, str) else number).cast("string").cast("binary"))
