@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import chat, decontaminate, language_id, licences, manifest, minhash, mixing, quality, secret_scan, url_filter, warc
+from factloom.llm import chat, decontaminate, language_id, licences, manifest, minhash, mixing, quality, secret_scan, toxicity, url_filter, warc
 from factloom.llm.tables import crc_of, read
 
 
@@ -182,6 +182,10 @@ def op11_merkle_manifest(spark, sf_dir):
     return manifest.verify(read(spark, sf_dir, "documents"), F.when(crc_of("doc_id") % 5 == 0, lowered)).drop("copied")
 
 
+def op12_toxicity(spark, sf_dir):
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("text_key")
+
+
 #: crc32 of a number's decimal text, by a table made from the polynomial
 CRC_TABLE = """crc_table AS MATERIALIZED (
   SELECT list(list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY c) AS t
@@ -259,6 +263,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_toxicity": op12_toxicity,
 }
 ORACLES = {
     "op1_warc_revisits": OP1_SQL,
