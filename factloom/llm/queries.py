@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import chat, decontaminate, language_id, licences, manifest, minhash, mixing, quality, secret_scan, toxicity, url_filter, warc
+from factloom.llm import chat, decontaminate, language_id, licences, manifest, minhash, mixing, prefix_trie, quality, secret_scan, toxicity, url_filter, warc
 from factloom.llm.tables import crc_of, read
 
 
@@ -186,6 +186,10 @@ def op12_toxicity(spark, sf_dir):
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("text_key")
 
 
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 #: crc32 of a number's decimal text, by a table made from the polynomial
 CRC_TABLE = """crc_table AS MATERIALIZED (
   SELECT list(list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY c) AS t
@@ -250,6 +254,42 @@ FROM b_fold{_DEPTH}, b{_DEPTH} r
 
 OP11_SQL = _op11_sql()
 
+OP13_SQL = f"""
+WITH {CRC_TABLE},
+said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT conv_id, length(text) AS chars, sha256(octet_length(encode(role))::VARCHAR || ':' || role || text) AS id, turn FROM said),
+ordered AS MATERIALIZED (
+  SELECT conv_id, id, chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS pos FROM turns),
+convs AS MATERIALIZED (
+  SELECT conv_id, {crc_sql("conv_id")} % 6 AS h, conv_id - conv_id % 100 AS base
+  FROM (SELECT DISTINCT conv_id FROM ordered), crc_table),
+taken AS (SELECT c.conv_id, pos AS d, id, chars FROM convs c JOIN ordered o ON o.conv_id = c.base AND pos <= h),
+counted AS (SELECT conv_id, count(*) AS n FROM taken GROUP BY conv_id),
+own AS (
+  SELECT c.conv_id, pos - h + coalesce(n, 0) AS d, id, chars
+  FROM convs c JOIN ordered o ON o.conv_id = c.conv_id AND pos > h LEFT JOIN counted n ON n.conv_id = c.conv_id),
+rebuilt AS (SELECT * FROM taken UNION ALL SELECT * FROM own),
+begun AS MATERIALIZED (
+  SELECT conv_id, d, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY d) AS p, chars FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+nodes AS MATERIALIZED (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM begun GROUP BY d, p),
+children AS (SELECT d - 1 AS d, p[:length(p) - 64] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+weighed AS (
+  SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children ON children.d = nodes.d AND children.p = nodes.p),
+above AS (
+  SELECT k AS d, p[:64 * k] AS p, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM weighed) GROUP BY 1, 2),
+ended AS (
+  SELECT d, p, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS last FROM begun) WHERE last GROUP BY d, p)
+SELECT w.conv_id, w.d::BIGINT AS depth, parent.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens,
+  sha256(coalesce(ids, '')) AS ends_sha256
+FROM weighed w JOIN above a ON a.d = w.d AND a.p = w.p
+LEFT JOIN ended e ON e.d = w.d AND e.p = w.p LEFT JOIN nodes parent ON parent.d = w.d - 1 AND parent.p = w.p[:length(w.p) - 64]
+"""
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_warc_revisits": op1_warc_revisits,
@@ -264,6 +304,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_toxicity": op12_toxicity,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES = {
     "op1_warc_revisits": OP1_SQL,
@@ -272,4 +313,5 @@ ORACLES = {
     "op7_benchmark_decontamination": OP7_SQL,
     "op8_mixing_sources": OP8_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
