@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom import fixed
 from factloom.functions import refs
-from factloom.operators import graph
+from factloom.operators import graph, whole_graphs
 from factloom.operators.ordering import number_rows
 from factloom.session import Rounds, cut_lineage
 
@@ -182,15 +182,36 @@ def _known_deps(activity: DataFrame, deps: DataFrame, by: list[str]) -> DataFram
     )
 
 
-def order_activities(activity: DataFrame, deps: DataFrame, by: list[str]) -> DataFrame:
-    """Run order: always the first ready activity in definition order.
+def order_activities(activity: DataFrame, deps: DataFrame, by: list[str], limit: int = whole_graphs.LIMIT) -> DataFrame:
+    """Run order: always the first ready activity in definition order; ``activity``: keys, idx, name.
+
+    Members of a cycle, and what waits for them, come last in definition order. A pipeline of up to ``limit`` activities and
+    dependencies is walked in the task where its rows meet, a larger one is sorted by labels.
+    """
+    known = _known_deps(activity, deps, by)
+    idx, none = activity.schema["idx"].dataType, F.lit(None)
+    steps = cut_lineage(
+        activity.select(*by, "idx", "name", none.cast("string").alias("above"))
+        .unionByName(known.select(*by, none.cast(idx).alias("idx"), "name", F.col("depends_on").alias("above"))))
+    small, large = whole_graphs.divide(steps, by, limit)
+    walked = whole_graphs.solve(small, by, whole_graphs.first_ready, f"name string, idx {idx.simpleString()}, position bigint")
+    if large is None:
+        return walked
+    large = cut_lineage(large)
+    sorted_ = _order_by_labels(
+        large.filter("idx IS NOT NULL").select(*by, "idx", "name"),
+        large.filter("idx IS NULL").select(*by, "name", F.col("above").alias("depends_on")), by)
+    return walked.unionByName(sorted_)
+
+
+def _order_by_labels(activity: DataFrame, deps: DataFrame, by: list[str]) -> DataFrame:
+    """The run order of pipelines of any size.
 
     That order is a sort. Give an activity the label (larger indexes above it,
     then its own): the greatest of its dependencies' labels, cut to the indexes
     larger than its own, with its own added. Labels compare as arrays do.
     An activity waits for the largest index above it before anything else, and
-    the label lists exactly those waits. Members of a cycle, and what waits for
-    them, come last in definition order. ``activity``: keys, idx, name.
+    the label lists exactly those waits.
     """
     known = _known_deps(activity, deps, by)
     edges = known.select(*by, F.col("depends_on").alias("src"), F.col("name").alias("dst"))

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions import refs
+from factloom.operators import whole_graphs
 from factloom.operators.ordering import number_rows
-from factloom.session import Rounds
+from factloom.session import Rounds, cut_lineage
 
 # -- depth ---------------------------------------------------------------------
 
@@ -28,7 +29,24 @@ class Levels:
     blocked: DataFrame | None
 
 
-def _levels(edges: DataFrame, by: list[str]) -> Levels:
+def _levels(edges: DataFrame, by: list[str], limit: int = whole_graphs.LIMIT) -> Levels:
+    """Graphs of up to ``limit`` edges settle node by node in one pass, larger ones in rounds over all that are left."""
+    edges = cut_lineage(edges.filter("src <> dst").select(*by, "src", "dst").distinct())
+    small, large = whole_graphs.divide(edges, by, limit)
+    kind = edges.schema["dst"].dataType.simpleString()
+    source = edges.schema["src"].dataType.simpleString()
+    solved = cut_lineage(whole_graphs.solve(small, by, whole_graphs.levels, f"id {kind}, depth bigint, src {source}, dst {kind}"))
+    depth = solved.filter("id IS NOT NULL").select(*by, "id", F.col("depth").cast("int").alias("depth"))
+    blocked = solved.filter("id IS NULL").select(*by, "src", "dst")
+    if large is None:
+        return Levels(depth, None if blocked.isEmpty() else blocked)
+    rest = _peeled(large, by)
+    if rest.blocked is not None:
+        blocked = blocked.unionByName(rest.blocked.select(*by, "src", "dst"))
+    return Levels(depth.unionByName(rest.depth), None if blocked.isEmpty() else blocked)
+
+
+def _peeled(edges: DataFrame, by: list[str]) -> Levels:
     """Peel the graph: an edge stays as long as its source is still some edge's target.
 
     A node's depth is the number of rounds in which it was a target. Each round

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import activities, graph
@@ -19,7 +20,8 @@ def pick_first_ready(names, deps):
         out.append(ready)
 
 
-def test_order_equals_picking_the_first_ready_activity(rows):
+@pytest.mark.parametrize("limit", [0, 14, 50_000])
+def test_order_equals_picking_the_first_ready_activity(rows, limit):
     rng, books = random.Random(3), {}
     for p in range(80):
         names = [f"a{i}" for i in range(rng.randint(1, 9))]
@@ -31,7 +33,7 @@ def test_order_equals_picking_the_first_ready_activity(rows):
     books[99] = (["A", "B", "C", "D"], [("B", "C")])
     act = rows("p int, idx int, name string", [(p, i, n) for p, (names, _) in books.items() for i, n in enumerate(names)])
     deps = rows("p int, name string, depends_on string", [(p, a, b) for p, (_, pairs) in books.items() for a, b in pairs])
-    found = activities.order_activities(act, deps, BY).collect()
+    found = activities.order_activities(act, deps, BY, limit).collect()
     for p, (names, pairs) in books.items():
         waits = {}
         for a, b in pairs:
@@ -41,6 +43,27 @@ def test_order_equals_picking_the_first_ready_activity(rows):
     assert [r["name"] for r in sorted((r for r in found if r["p"] == 99), key=lambda r: r["position"])] == ["A", "C", "B", "D"]
 
 
+def test_a_long_chain_listed_backwards(rows):
+    n = 10_000
+    act = rows("p int, idx int, name string", [(1, n - i, f"a{i}") for i in range(n)])
+    deps = rows("p int, name string, depends_on string", [(1, f"a{i}", f"a{i - 1}") for i in range(1, n)])
+    found = {r["name"]: r["position"] for r in activities.order_activities(act, deps, BY).collect()}
+    assert found == {f"a{i}": i + 1 for i in range(n)}
+    waves = activities.activity_waves(act.withColumn("type", F.lit("Wait")), deps, BY)
+    assert waves.filter(F.concat(F.lit("a"), (F.col("wave") - 1).cast("string")) == F.col("name")).count() == n
+
+
+@pytest.mark.parametrize("limit", [0, 6, 50_000])
+def test_levels_in_one_pass_equal_levels_in_rounds(rows, got, limit):
+    rng = random.Random(6)
+    edges = [(p, f"n{i}", f"n{j}") for p in range(15) for i, j in itertools.permutations(range(6), 2) if rng.random() < 0.12]
+    table = rows("p int, src string, dst string", edges)
+    levels, plain = graph._levels(table, BY, limit), graph._peeled(table, BY)
+    behind = set(got(plain.blocked, "p", "dst"))
+    assert [r for r in got(levels.depth, "p", "id", "depth") if r[:2] not in behind] == [r for r in got(plain.depth, "p", "id", "depth") if r[:2] not in behind]
+    assert got(levels.blocked, "p", "src", "dst") == got(plain.blocked, "p", "src", "dst")
+
+
 def test_depth_on_random_acyclic_graphs(rows):
     rng = random.Random(5)
     edges = [(p, f"n{i}", f"n{j}") for p in range(20) for i, j in itertools.combinations(range(8), 2) if rng.random() < 0.3]
