@@ -472,7 +472,9 @@ def _(f):
 
 
 @query("i4_table_transitions", f"""
-WITH {RUN_ACCESS.replace("AS (", "AS MATERIALIZED (", 1)}, {_BARE.replace("AS (", "AS MATERIALIZED (", 1)}
+WITH {RUN_ACCESS.replace("AS (", "AS MATERIALIZED (", 1)},
+flowing AS MATERIALIZED (SELECT DISTINCT run_id, to_table FROM fx_column_flow),
+bare AS MATERIALIZED (SELECT a.run_id, a.ref FROM ra a ANTI JOIN flowing f ON f.run_id = a.run_id AND f.to_table = a.ref WHERE a.mode = 'write')
 SELECT b.run_id, concat('table:', r.ref) AS source, concat('table:', b.ref) AS target, 'table-level' AS resolution
 FROM bare b JOIN ra r ON r.run_id = b.run_id AND r.mode = 'read'
 """)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from factloom.operators import verbs
+from factloom.operators import hot_join, verbs
 from factloom.plans.registry import query
 
 
@@ -82,6 +82,21 @@ def _(f):
     )
 
 
+# Half of the lines are of one key; the other side is an aggregate, behind which adaptive execution splits nothing.
+_HOT_LINES = "SELECT CASE WHEN l_linenumber % 2 = 1 THEN 0 ELSE l_orderkey END AS id, l_returnflag AS flag, l_quantity AS quantity FROM lineitem"
+_HOT_ORDERS = "SELECT CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_orderkey END AS id, count(*) AS orders, max(o_orderpriority) AS priority FROM orders GROUP BY 1"
+
+for _how, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("full", "FULL JOIN")):
+
+    @query(f"d09_join_hot_{_how}", f"""
+WITH l AS ({_HOT_LINES}), o AS ({_HOT_ORDERS})
+SELECT id, flag, priority, count(*) AS n, CAST(sum(quantity) AS DOUBLE) AS quantity, CAST(sum(orders) AS BIGINT) AS orders FROM l {_join} o USING (id) GROUP BY id, flag, priority""")
+    def _(f, how=_how):
+        joined = hot_join.hot_join(f.sql(_HOT_LINES), f.sql(_HOT_ORDERS), ["id"], how)
+        return joined.groupBy("id", "flag", "priority").agg(
+            F.count("*").alias("n"), F.sum("quantity").cast("double").alias("quantity"), F.sum("orders").alias("orders"))
+
+
 @query("d10_left_semi", f"WITH {_KEYED} SELECT id, o_orderstatus FROM o WHERE id IN (SELECT id FROM e)")
 def _(f):
     orders, events = _keyed(f)
