@@ -237,9 +237,13 @@ def frame_schemas(ops: DataFrame, args: DataFrame, base: DataFrame, stretch: int
     known.add(base.groupBy("notebook", "frame").agg(F.array_sort(F.collect_set(F.struct("pos", "col_name"))).alias("c")).select(
         "notebook", "frame", F.array_distinct(F.col("c.col_name")).alias("names")))
     given = args.groupBy(*_OP).agg(F.array_sort(F.collect_list(F.struct("pos", "out_name", "input_cols", "role"))).alias("args"))
-    log = cut_lineage(
-        number_rows(ops.filter("left_frame IS NOT NULL"), ["notebook"], ["seq", "out_frame"], "n").join(given, _OP, "left")
-        .withColumns({"stretch": F.floor((F.col("n") - 1) / stretch).cast("bigint"), "args": F.coalesce("args", F.array().cast(given.schema["args"].dataType))}))
+    log = ops.filter("left_frame IS NOT NULL")
+    if log.groupBy("notebook").count().filter(F.col("count") > stretch).isEmpty():  # every log is one stretch, sorted where it is folded
+        log, stretches = log.withColumns({"n": F.col("seq").cast("bigint"), "stretch": F.lit(0)}), 1
+    else:
+        log = cut_lineage(number_rows(log, ["notebook"], ["seq", "out_frame"], "n").withColumn("stretch", F.floor((F.col("n") - 1) / stretch).cast("int")))
+        stretches = log.agg(F.max("stretch")).first()[0] + 1
+    log = log.join(given, _OP, "left").withColumn("args", F.coalesce("args", F.array().cast(given.schema["args"].dataType)))
 
     def step(state, op):
         def schema_of(frame):
@@ -249,7 +253,7 @@ def frame_schemas(ops: DataFrame, args: DataFrame, base: DataFrame, stretch: int
         made = F.transform(inputs, lambda i: F.struct(op["out_frame"].alias("frame"), _names_after(op, i["l"], i["r"]).alias("names")))
         return F.concat(state, F.filter(made, lambda m: m["names"].isNotNull()).cast(_SCHEMA))
 
-    for number in range((log.agg(F.max("stretch")).first()[0] or 0) + 1):
+    for number in range(stretches):
         part = log.filter(F.col("stretch") == number)
         named = part.select("notebook", F.explode(F.array("left_frame", "right_frame")).alias("frame")).distinct()
         seen = known.table().join(named, ["notebook", "frame"], "left_semi").groupBy("notebook").agg(F.collect_list(F.struct("frame", "names")).cast(_SCHEMA).alias("seen"))
@@ -279,49 +283,56 @@ def resolve_frames(ops: DataFrame, args: DataFrame, base: DataFrame, stretch: in
     makes = ops.join(schemas.select("notebook", F.col("frame").alias("out_frame")), ["notebook", "out_frame"], "left_semi").filter("left_frame IS NOT NULL")
     maps = cut_lineage(apply_ops(makes, args, as_sources))
 
-    # What is known of a transform: it is that of the source (own), that of another column (a pointer), or a text.
+    # A row's transform is its source's (own), or a text, or that of another column (a pointer).
     parts = F.split("transform", _MARK)
     pointed = F.coalesce(F.startswith("transform", F.lit(_MARK)), F.lit(False))
     at_frame, at_col = F.when(pointed, parts[1]), F.when(pointed, parts[2])
     own = F.coalesce((at_frame == F.col("src_ref")) & (at_col == F.col("src_column")), F.lit(False))
-    text = F.when(~pointed, F.col("transform"))
     none = F.lit(None).cast("string")
     sources = maps.select(
-        *key, F.lit("s").alias("kind"), "pos", F.col("src_ref").alias("to_frame"), F.col("src_column").alias("to_col"), F.col("src_column").isNull().alias("done"),
-        own.alias("own"), text.alias("text"), F.when(~own, at_frame).alias("ptr_frame"), F.when(~own, at_col).alias("ptr_col"))
-    transforms = maps.select(
-        *key, F.lit("t").alias("kind"), F.lit(None).cast("bigint").alias("pos"), at_frame.alias("to_frame"), at_col.alias("to_col"), (~pointed).alias("done"),
-        pointed.alias("own"), text.alias("text"), none.alias("ptr_frame"), none.alias("ptr_col")).distinct()
+        *key, "pos", F.col("src_ref").alias("to_frame"), F.col("src_column").alias("to_col"), F.col("src_column").isNull().alias("done"), own.alias("own"),
+        F.when(~pointed, F.col("transform")).alias("text"), F.when(~own, at_frame).alias("ptr_frame"), F.when(~own, at_col).alias("ptr_col"))
     ends = base.select(
-        *key, F.lit("s").alias("kind"), "pos", F.col("src_ref").alias("to_frame"), F.col("src_column").alias("to_col"), F.lit(True).alias("done"),
-        F.lit(False).alias("own"), F.col("transform").alias("text"), none.alias("ptr_frame"), none.alias("ptr_col"))
-    first = cut_lineage(sources, transforms, ends, ends.withColumns({"kind": F.lit("t"), "to_frame": none, "to_col": none}))
-
-    resolved, waiting = Rounds(spark), first.filter("NOT done")
-    resolved.add(first.filter("done"))
-    carried = ["own", "text", "ptr_frame", "ptr_col"]
-    while not waiting.isEmpty():
-        inner = resolved.table().unionByName(waiting).select(
-            "notebook", "kind", F.col("frame").alias("to_frame"), F.col("col_name").alias("to_col"), F.struct(*to, "done", *carried).alias("i"))
-        through = waiting.drop("done").join(inner, ["notebook", "kind", *to]).select(
-            *key, "kind", "pos", *(F.col(f"i.{c}") for c in (*to, "done")),
-            *(F.when(F.col("own"), F.col(f"i.{c}")).otherwise(F.col(c)).alias(c) for c in carried))
-        moved = cut_lineage(through.distinct())
-        resolved.add(moved.filter("done"))
-        waiting = moved.filter("NOT done")
-
-    found = resolved.table()
-    told = found.filter("kind = 't'").groupBy(
-        "notebook", F.col("frame").alias("ptr_frame"), F.col("col_name").alias("ptr_col")).agg(F.max("text").alias("told"))
-    rows = found.filter("kind = 's'")
-    pointing = rows.filter("ptr_frame IS NOT NULL").join(told, ["notebook", "ptr_frame", "ptr_col"], "left").withColumn("text", F.col("told"))
-    whole = rows.filter("ptr_frame IS NULL").unionByName(pointing.select(rows.columns))
+        *key, "pos", F.col("src_ref").alias("to_frame"), F.col("src_column").alias("to_col"), F.lit(True).alias("done"), F.lit(False).alias("own"),
+        F.col("transform").alias("text"), none.alias("ptr_frame"), none.alias("ptr_col"))
+
+    def compose(resolved: Rounds, waiting: DataFrame, at: list[str], passed: list[str]) -> DataFrame:
+        """Rows that wait at another column go on where that column's rows end; ``passed`` is taken over from those."""
+        while not waiting.isEmpty():
+            inner = resolved.table().unionByName(waiting).select(
+                "notebook", F.col("frame").alias(at[0]), F.col("col_name").alias(at[1]), F.struct("done", *{*at, *passed}).alias("i"))
+            through = waiting.drop("done").join(inner, ["notebook", *at])
+            taken = F.col("own") if "own" in waiting.columns else F.lit(True)
+            moved = cut_lineage(through.select(
+                *key, *(F.when(taken, F.col(f"i.{c}")).otherwise(F.col(c)).alias(c) for c in passed), *(F.col(f"i.{c}") for c in ("done", *at) if c not in passed),
+                *(c for c in waiting.columns if c not in {*key, "done", *at, *passed})).select(waiting.columns).distinct())
+            resolved.add(moved.filter("done"))
+            waiting = moved.filter("NOT done")
+        return resolved.table()
+
+    resolved = Rounds(spark)
+    resolved.add(ends.unionByName(sources.filter("done")))
+    found = compose(resolved, sources.filter("NOT done"), to, ["own", "text", "ptr_frame", "ptr_col"])
     sourced = F.max(F.col("to_col").isNotNull()).over(Window.partitionBy(*key))
-    return (
-        whole.withColumn("_sourced", sourced).filter(F.col("to_col").isNotNull() | ~F.col("_sourced"))
-        .select(*key, "pos", F.col("to_frame").alias("src_ref"), F.col("to_col").alias("src_column"), F.col("text").alias("transform"))
-        .select(*FRAME_COL).distinct()
-    )
+    found = cut_lineage(found.withColumn("_sourced", sourced).filter(F.col("to_col").isNotNull() | ~F.col("_sourced")).drop("_sourced", "own", "done"))
+
+    pointing = found.filter("ptr_frame IS NOT NULL")
+    needed = pointing.select("notebook", "ptr_frame", "ptr_col").distinct()
+    if not needed.isEmpty():
+        texts, at = Rounds(spark), ["ptr_frame", "ptr_col"]
+        texts.add(found.filter("ptr_frame IS NULL").join(
+            needed.withColumnsRenamed({"ptr_frame": "frame", "ptr_col": "col_name"}), key, "left_semi").groupBy(*key).agg(
+            F.max("text").alias("text")).select(*key, F.lit(True).alias("done"), "text", none.alias("ptr_frame"), none.alias("ptr_col")))
+        waiting = pointing.join(
+            needed.withColumnsRenamed({"ptr_frame": "frame", "ptr_col": "col_name"}), key, "left_semi").select(
+            *key, F.lit(False).alias("done"), "text", *at).distinct()
+        told = compose(texts, waiting, at, ["text", *at]).groupBy(
+            "notebook", F.col("frame").alias("ptr_frame"), F.col("col_name").alias("ptr_col")).agg(F.max("text").alias("told"))
+        pointing = pointing.join(told, ["notebook", *at], "left").withColumn("text", F.col("told")).select(found.columns)
+    whole = found.filter("ptr_frame IS NULL").unionByName(pointing)
+    return whole.select(
+        *key, "pos", F.col("to_frame").alias("src_ref"), F.col("to_col").alias("src_column"), F.col("text").alias("transform")
+    ).select(*FRAME_COL).distinct()
 
 
 # -- temp views ----------------------------------------------------------------
