@@ -437,6 +437,22 @@ def _(f):
     return delta_log.table_schemas(_log_lines(f), latest=False)
 
 
+@query("a04_delta_checkpoints", """
+SELECT concat('/lake/Tables/t', o_orderkey) AS table_path, unnest([1, 2]) AS pos, unnest(['id', CASE WHEN o_orderkey % 3 = 0 THEN 'total' ELSE 'tags' END]) AS name,
+ unnest([CASE WHEN o_orderkey % 3 = 0 THEN 'string' ELSE 'long' END, CASE WHEN o_orderkey % 3 = 0 THEN 'double' ELSE 'array' END]) AS type FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT concat('/lake/Tables/t', o_orderkey), 1, 'late', 'string' FROM orders WHERE o_orderkey % 4 = 1""")
+def _(f):
+    """Every second table has a checkpoint of version 12 and no commit before it, every fourth another schema in a commit after one."""
+    lines, k = _log_lines(f), F.regexp_extract("file", r"/t(\d+)/", 1).cast("bigint")
+    at, entry = F.regexp_extract("file", r"(\d+)\.json$", 1).cast("bigint"), F.contains("value", F.lit("metaData"))
+    newest = lines.filter(entry).groupBy(F.regexp_replace("file", r"\d+\.json$", "").alias("log")).agg(F.max_by("value", at).alias("value"))
+    held = newest.withColumn("file", F.concat("log", F.lit(f"{12:020d}.checkpoint.{1:010d}.{2:010d}.parquet"))).filter(k % 2 == 0)
+    changed = F.lit('{"metaData":{"schemaString":"{\\"type\\":\\"struct\\",\\"fields\\":[{\\"name\\":\\"late\\",\\"type\\":\\"string\\"}]}"}}')
+    later = newest.filter(F.regexp_extract("log", r"/t(\d+)/", 1).cast("bigint") % 4 == 1).select(
+        F.concat("log", F.lit(f"{20:020d}.json")).alias("file"), changed.alias("value"))
+    return delta_log.table_schemas(held.select("file", "value").unionByName(later))
+
+
 _ITEMS = """SELECT p_partkey AS id, p_name AS displayName, CASE p_size % 4 WHEN 0 THEN 'Notebook' WHEN 1 THEN 'Lakehouse' WHEN 2 THEN 'DataPipeline' ELSE 'Report' END AS type,
  p_brand AS folderId, p_type AS description FROM part"""
 

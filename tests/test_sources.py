@@ -79,6 +79,33 @@ def test_delta_log_latest_and_first(spark, tmp_path, got):
     assert got(delta_log.table_schemas(lines, latest=False), "pos", "name", "type") == [(1, "id", "long"), (2, "a", "array")]
 
 
+def test_delta_schema_from_a_checkpoint_whose_commits_are_gone(spark, tmp_path, got):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    schema = lambda *names: json.dumps({"type": "struct", "fields": [{"name": n, "type": "long"} for n in names]})
+
+    def checkpoint(table, file, entries):
+        log = tmp_path / "Tables" / table / "_delta_log"
+        log.mkdir(parents=True, exist_ok=True)
+        meta = pa.array([{"id": "x", "schemaString": e} if e else None for e in entries], pa.struct([("id", pa.string()), ("schemaString", pa.string())]))
+        pq.write_table(pa.table({"add": pa.array([None] * len(entries), pa.struct([("path", pa.string())])), "metaData": meta}), log / file)
+        return log
+
+    one = checkpoint("one", f"{10:020d}.checkpoint.parquet", [None, schema("a", "b"), None])
+    (one / f"{11:020d}.json").write_text('{"add": {"path": "x"}}')
+    (one / "_last_checkpoint").write_text('{"version": 10, "size": 3}')
+    parts = checkpoint("parts", f"{20:020d}.checkpoint.{1:010d}.{2:010d}.parquet", [None])
+    checkpoint("parts", f"{20:020d}.checkpoint.{2:010d}.{2:010d}.parquet", [schema("p")])
+    checkpoint("parts", f"{10:020d}.checkpoint.parquet", [schema("old")])
+    (parts / f"{25:020d}.json").write_text(json.dumps({"metaData": {"schemaString": schema("p", "q")}}))
+    checkpoint("named", f"{7:020d}.checkpoint.80a083e8-7026.parquet", [schema("n")])
+    found = delta_log.table_schemas(delta_log.replayed(spark, str(tmp_path / "Tables" / "*")))
+    assert got(found.select(F.element_at(F.split("table_path", "/"), -1).alias("t"), "pos", "name")) == [
+        ("named", 1, "n"), ("one", 1, "a"), ("one", 2, "b"), ("parts", 1, "p"), ("parts", 2, "q")]
+    assert delta_log.table_schemas(delta_log.replayed(spark, str(tmp_path / "Tables" / "*")), latest=False).count() == 0
+
+
 def test_csv_survives_commas_quotes_and_newlines(spark, rows, tmp_path):
     data = [("s", None, "a", "t", "b", 'concat(a, ", ", b)'), ("s", "f", "a", "t", "b", "x\ny")]
     flow = rows("step string, from_table string, from_column string, to_table string, to_column string, transform string", data)
