@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.operators import hot_join, verbs
 from factloom.plans.registry import query
+from factloom.session import scratch_path
+from factloom.sources import file_table
 
 
 def _money(column: str):
@@ -321,3 +323,20 @@ def _(f):
 @query("d31_delete", f"SELECT * FROM ({_HOLES}) h WHERE NOT coalesce(value > 50, false)")
 def _(f):
     return verbs.delete_rows(f.sql(_HOLES), F.col("value") > 50)
+
+
+@query("d31_copy_on_write", f"""
+WITH a AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey < 400 THEN o_totalprice + 1 ELSE o_totalprice END AS amount, o_orderstatus AS tag FROM orders
+  WHERE NOT (o_orderkey BETWEEN 1000 AND 1500 AND o_orderstatus = 'F')),
+s AS (SELECT o_orderkey - 200 AS id, o_totalprice * 2 AS amount, 'M' AS tag FROM orders WHERE o_orderkey BETWEEN 200 AND 600 AND o_custkey % 3 <> 0)
+SELECT id, amount, tag FROM a WHERE id NOT IN (SELECT id FROM s) UNION ALL SELECT id, amount, tag FROM s""")
+def _(f):
+    """UPDATE, DELETE and MERGE in a row on one table, each of which rewrites only the files it touches."""
+    orders = f("orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"), F.col("o_orderstatus").alias("tag"))
+    table = file_table.FileTable(f.spark, scratch_path(f.spark, "table"), orders.schema)
+    table.append(orders.repartitionByRange(16, "id"))
+    table.update(F.col("id") < 400, {"amount": F.col("amount") + 1})
+    table.delete(F.col("id").between(1000, 1500) & (F.col("tag") == "F"))
+    table.merge(f("orders").filter("o_orderkey BETWEEN 200 AND 600 AND o_custkey % 3 <> 0").select(
+        (F.col("o_orderkey") - 200).alias("id"), (F.col("o_totalprice") * 2).alias("amount"), F.lit("M").alias("tag")), ["id"])
+    return table.read()

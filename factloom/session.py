@@ -36,6 +36,13 @@ def _remove(files, path) -> None:
         pass
 
 
+def exists(spark, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, in whatever store it names."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place)
+
+
 def cut_lineage(*frames: DataFrame) -> DataFrame:
     """Write the frames into one new table under the checkpoint folder and read it.
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import activities, verbs
-from factloom.sources import definitions, delta_log, notebooks, tables, text
+from factloom.sources import definitions, delta_log, file_table, notebooks, tables, text
 
 
 def test_notebook_files(spark, tmp_path, got):
@@ -146,11 +146,52 @@ def test_a_batch_without_commit_is_not_read(spark, rows, tmp_path, got):
     frame = rows("run_id int, run_date string", [(1, "2024-01"), (2, "2024-02")])
     path = str(tmp_path)
     tables.save_run({"access": frame}, path, "one")
-    frame.write.partitionBy("run_date").parquet(f"{path}/two/access")  # as a failure before the commit leaves it
+    frame.write.partitionBy("run_date").parquet(f"{path}/access/attempt=lost")  # as a failure before the commit leaves it
     tables.save_run({"access": frame.filter("run_id = 1")}, path, "three")
     assert got(tables.read_runs(spark, path, "access", frame.schema), "run_id", "run_date") == [(1, "2024-01"), (1, "2024-01"), (2, "2024-02")]
 
 
+def test_one_scan_reads_all_batches_and_saving_again_replaces(spark, rows, tmp_path, got):
+    path, schema = str(tmp_path), "run_id int, run_date string"
+    assert tables.read_runs(spark, path, "access", schema).count() == 0
+    for batch in range(6):
+        tables.save_run({"access": rows(schema, [(batch, "2024-01"), (batch, "2024-02")])}, path, f"b/{batch}")
+    before = tables.read_runs(spark, path, "access", schema)
+    assert before._jdf.queryExecution().optimizedPlan().toString().count("Relation [run_id") == 1
+    tables.save_run({"access": rows(schema, [(30, "2024-03")])}, path, "b/3")
+    want = sorted([(b, f"2024-0{m}") for b in (0, 1, 2, 4, 5) for m in (1, 2)] + [(30, "2024-03")], key=repr)
+    assert got(tables.read_runs(spark, path, "access", schema)) == want
+    tables.compact_runs(spark, path, {"access": schema})
+    after = tables.read_runs(spark, path, "access", schema)
+    assert got(after) == want and got(after.filter("run_date = '2024-03'")) == [(30, "2024-03")]
+    tables.save_run({"access": rows(schema, [(7, "2024-04")])}, path, "b/7")
+    assert tables.read_runs(spark, path, "access", schema).count() == len(want) + 1
+
+
+def test_changes_rewrite_only_the_files_they_touch(spark, rows, tmp_path, got):
+    table = file_table.FileTable(spark, str(tmp_path), "id int, v string")
+    assert table.read().count() == 0 and table.version() == 0
+    table.append(rows("id int, v string", [(i, "a") for i in range(100)]).repartitionByRange(10, "id"))
+    first = table.files()
+    table.update(F.col("id").between(5, 7), {"v": F.lit("b")})
+    second = table.files()
+    table.delete(F.col("id") >= 95)
+    third = table.files()
+    table.merge(rows("id int, v string", [(50, "c"), (200, "new"), (None, "n")]), ["id"])
+    fourth = table.files()
+    for before, after in ((first, second), (second, third), (third, fourth)):
+        assert len(set(before) - set(after)) == 1 and len(before) - 1 <= len(set(before) & set(after))
+    want = [(i, "b" if 5 <= i <= 7 else "c" if i == 50 else "a") for i in range(95)] + [(200, "new"), (None, "n")]
+    assert got(table.read()) == sorted(want, key=repr)
+    assert table.read(1).count() == 100 and got(table.read(1).filter("id = 6")) == [(6, "a")]
+    table.compact()
+    assert len(table.files()) == 1 and got(table.read()) == sorted(want, key=repr)
+    table.delete(F.lit(True))
+    assert table.files() == [] and table.read().count() == 0
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        table._publish(table.version(), [])
+
+
 def test_unknown_format_is_refused(spark):
     with pytest.raises(ValueError, match="unknown format"):
         tables.read_table(spark, "x", "sas")
