@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom import fixed
-from factloom.operators import model, reports
+from factloom.operators import answers, model, reports
 from factloom.plans.registry import query
+from factloom.session import scratch_path
 
 RUN_ACCESS = "ra AS (SELECT run_id, ref, max(mode) AS mode FROM fx_access GROUP BY run_id, ref)"
 
@@ -20,7 +21,7 @@ _MORE_FLOWS = """SELECT run_id, seq, to_table, to_column, from_table, from_colum
  UNION ALL SELECT run_id, 1000, concat('ws0/lh_gold/t', run_id % 12), 'c1', 'ws0/lh_raw/unwritten', 'x', NULL FROM fx_step_run WHERE run_id % 12 % 3 <> 2"""
 
 
-@query("h13_column_sources", f"""
+_COLUMN_SOURCES = f"""
 WITH {RUN_ACCESS}, mf AS ({_MORE_FLOWS}),
 obs AS (SELECT w.ref, w.run_id, s.at, row_number() OVER (PARTITION BY w.ref ORDER BY s.at DESC, w.run_id) AS age
  FROM ra w JOIN fx_step_run s ON s.run_id = w.run_id WHERE w.mode = 'write'),
@@ -31,11 +32,24 @@ src AS (SELECT to_table AS ref, to_column AS col, from_table, from_column, trans
 known AS (SELECT DISTINCT t.ref, t.name AS col FROM fx_table_schema t JOIN obs o ON o.ref = t.ref AND o.run_id = t.run_id WHERE o.age = 1)
 SELECT ref, col AS "column", from_table, from_column, transform, via FROM src
 UNION ALL SELECT k.ref, k.col, NULL, NULL, NULL, NULL FROM known k WHERE NOT EXISTS (SELECT 1 FROM src WHERE src.ref = k.ref AND src.col = k.col)
-""")
+"""
+
+
+@query("h13_column_sources", _COLUMN_SOURCES)
 def _(f):
     return reports.column_sources(f.sql(_MORE_FLOWS), f("fx_table_schema"), _access(f), f("fx_step_run"))
 
 
+@query("h13_column_sources_merged", _COLUMN_SOURCES)
+def _(f):
+    """The same answers from a state to which the runs came in four batches."""
+    store = answers.AnswerStore(f.spark, scratch_path(f.spark, "answers"))
+    for part in (2, 0, 3, 1):
+        own = F.col("run_id") % 4 == part
+        store.add(f.sql(_MORE_FLOWS).filter(own), f("fx_table_schema").filter(own), _access(f).filter(own), f("fx_step_run").filter(own))
+    return store.column_sources()
+
+
 @query("h14_touched_by", f"""
 WITH {RUN_ACCESS}
 SELECT ref, mode, name, max(s.at) AS "at" FROM ra JOIN fx_step_run s ON s.run_id = ra.run_id GROUP BY ref, mode, name
@@ -81,16 +95,17 @@ def _ask(f, facts, column="ref"):
 @query("h13_answers", f"""
 WITH {_ASKED}, mf AS ({_MORE_FLOWS}),
 obs AS (SELECT w.ref, w.run_id, row_number() OVER (PARTITION BY w.ref ORDER BY s.at DESC, w.run_id) AS age FROM qw w JOIN fx_step_run s ON s.run_id = w.run_id),
-fl AS (SELECT f.run_id, f.seq, nm.question AS ref, f.to_column, f.from_table, f.from_column, f.transform, s.name AS via, dense_rank() OVER (PARTITION BY nm.question, to_column ORDER BY s.at DESC, f.run_id) AS age
+fl AS (SELECT f.run_id, f.seq, f.to_table, nm.question AS ref, f.to_column, f.from_table, f.from_column, f.transform, s.name AS via, dense_rank() OVER (PARTITION BY nm.question, to_column ORDER BY s.at DESC, f.run_id) AS age
  FROM mf f JOIN nm ON nm.ref = f.to_table JOIN fx_step_run s ON s.run_id = f.run_id WHERE EXISTS (SELECT 1 FROM qw w WHERE w.run_id = f.run_id AND w.ref = nm.question)),
-src AS (SELECT ref, to_column AS col, from_table, from_column, min(via) AS via FROM fl WHERE age = 1 GROUP BY ref, to_column, from_table, from_column),
+src AS (SELECT ref, to_column AS col, from_table, from_column, transform, via FROM
+ (SELECT *, row_number() OVER (PARTITION BY ref, to_column, from_table, from_column ORDER BY seq, to_table) AS copy FROM fl WHERE age = 1) x WHERE copy = 1),
 known AS (SELECT DISTINCT o.ref, t.name AS col FROM fx_table_schema t JOIN nm ON nm.ref = t.ref JOIN obs o ON o.ref = nm.question AND o.run_id = t.run_id WHERE o.age = 1)
-SELECT ref, col AS "column", from_table, from_column, via FROM src
-UNION ALL SELECT k.ref, k.col, NULL, NULL, NULL FROM known k WHERE NOT EXISTS (SELECT 1 FROM src WHERE src.ref = k.ref AND src.col = k.col)""")
+SELECT ref, col AS "column", from_table, from_column, transform, via FROM src
+UNION ALL SELECT k.ref, k.col, NULL, NULL, NULL, NULL FROM known k WHERE NOT EXISTS (SELECT 1 FROM src WHERE src.ref = k.ref AND src.col = k.col)""")
 def _(f):
-    """The transform is left out: two tables of one question may give the same source in the same place."""
-    return reports.column_sources(
-        _ask(f, f.sql(_MORE_FLOWS), "to_table"), _ask(f, f("fx_table_schema")), _ask(f, _access(f)), f("fx_step_run")).drop("transform")
+    """Two tables of one question may give the same source in the same place of a run: the first by name counts."""
+    flow = f.sql(_MORE_FLOWS).withColumn("seq", F.struct("seq", F.col("to_table").alias("of")))
+    return reports.column_sources(_ask(f, flow, "to_table"), _ask(f, f("fx_table_schema")), _ask(f, _access(f)), f("fx_step_run"))
 
 
 @query("h14_answers", f"""

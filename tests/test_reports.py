@@ -3,7 +3,9 @@ import random
 
 import pytest
 
-from factloom.operators import reports
+from pyspark.sql import functions as F
+
+from factloom.operators import answers, reports
 
 RUNS = "run_id int, at timestamp, name string, engine string, ok boolean, workspace string"
 FLOW = "run_id int, seq int, to_table string, to_column string, from_table string, from_column string, transform string"
@@ -152,3 +154,28 @@ def test_a_blank_note_deletes(rows, got):
     gaps = rows("ref string", [("a",), ("b",), ("c",)])
     notes = rows("ref string, note string, updated_at timestamp", [("a", "ask", at(1)), ("a", "  ", at(2)), ("b", "old", at(1)), ("b", " new ", at(2))])
     assert got(reports.gap_notes(gaps, notes), "ref", "note") == [("a", None), ("b", "new"), ("c", None)]
+
+
+def test_answers_from_batches_in_any_order_equal_those_from_all_runs(spark, rows, tmp_path, got):
+    rng = random.Random(8)
+    tables, columns = ["w/l/T1", "w/l/t2", "w/m/t1", "x"], ["a", "b", "c"]
+    runs, access, flow, schema = [], [], [], []
+    for run in range(24):
+        runs.append((run, at(rng.randrange(12)), f"nb{run % 5}"))
+        for ref in rng.sample(tables, 2):
+            access.append((run, ref, rng.choice(("write", "write", "read"))))
+            schema += [(run, ref, c) for c in rng.sample(columns, rng.randrange(4))]
+            for column in rng.sample(columns, rng.randrange(4)):
+                flow += [(run, len(flow) + k, ref, column, rng.choice(("s", None)), rng.choice("xy"), rng.choice((None, "f"))) for k in range(2)]
+    runs, flow = rows("run_id int, at timestamp, name string", runs), rows(FLOW, flow)
+    access, schema = rows("run_id int, ref string, mode string", access), rows("run_id int, ref string, name string", schema)
+    want = got(reports.column_sources(flow, schema, access, runs))
+    store = answers.AnswerStore(spark, str(tmp_path))
+    assert store.column_sources().count() == 0
+    for part in (2, 0, 1, 1):
+        own = F.col("run_id") % 3 == part
+        store.add(*(frame.filter(own) for frame in (flow, schema, access, runs)))
+    assert got(store.column_sources()) == want
+    before = set(store.table.files())
+    store.add(*(frame.limit(0) for frame in (flow, schema, access, runs)))
+    assert set(store.table.files()) == before and got(store.column_sources()) == want
