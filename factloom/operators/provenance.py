@@ -116,7 +116,9 @@ def apply_ops(ops: DataFrame, args: DataFrame, frames: DataFrame) -> DataFrame:
         "first_pos": F.min(F.when(counts, F.col("pos"))).over(made), "last_pos": F.max(F.when(counts, F.col("pos"))).over(made)})
     counts = counts & (F.col("pos") == F.col("last_pos"))
     argument = F.struct("out_name", "transform", "role", "first_pos")
-    rows = rows.withColumn("arguments", F.collect_list(F.when(counts, argument)).over(same_input))
+    # Only the column itself gets the list of arguments that name it: to it they are the next in order, and nothing follows an argument.
+    named_by = same_input.orderBy(F.when(is_arg, 1).otherwise(0)).rangeBetween(1, 1)
+    rows = rows.withColumn("arguments", F.collect_list(F.when(counts, argument)).over(named_by))
     # The argument that replaces, drops or renames this column.
     rows = rows.withColumn("hit", F.when(is_to_df, place).when(is_arg & ~is_rename, F.col("out_name")).otherwise(F.col("name")))
     same_hit = over(is_right, "hit")

@@ -126,3 +126,17 @@ def write_and_read(df: DataFrame, *more: DataFrame, overwrite: DataFrame | None
 def variant_field(text: Column, path: str, type_name: str) -> Column:
     """A path into a JSON text read as VARIANT; null when it is absent or no JSON."""
     return F.try_variant_get(F.try_parse_json(text), path, type_name)
+
+
+def load_variant(df: DataFrame, text: str, fields: dict[str, tuple[str, str]], path: str) -> DataFrame:
+    """Write ``df`` with the JSON in column ``text`` parsed once, and read it back.
+
+    The text becomes a VARIANT; ``fields`` (column name: path, type) are written beside it as plain columns, null where the path is absent
+    or the text is no JSON. Rows are sorted by them within files, so that filters on a field reach the scan and leave row groups
+    unread: inside a VARIANT Spark keeps no statistics that a filter could use. Other paths are read from the VARIANT
+    without parsing again.
+    """
+    parsed = df.withColumn(text, F.try_parse_json(text))
+    whole = parsed.withColumns({name: F.try_variant_get(text, at, kind) for name, (at, kind) in fields.items()})
+    (whole.sortWithinPartitions(*fields) if fields else whole).write.parquet(path)
+    return df.sparkSession.read.schema(whole.schema).parquet(path)

@@ -256,6 +256,14 @@ def _(f):
     return f("events").select("event_id", verbs.variant_field(F.col("props"), "$.k", "bigint").alias("k"))
 
 
+@query("d26_stored_variant", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) < 20")
+def _(f):
+    """The text is parsed at load; the filter is on a field that was written beside the VARIANT."""
+    events = f("events").select("event_id", "props")
+    stored = verbs.load_variant(events, "props", {"k": ("$.k", "bigint")}, scratch_path(f.spark, "variant"))
+    return stored.filter("k < 20").select("event_id", "k")
+
+
 _CTE = """WITH per_customer AS (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY o_custkey),
  named AS (SELECT c.c_name AS name, p.n, p.top FROM per_customer p JOIN customer c ON c.c_custkey = p.o_custkey)
 SELECT x.* FROM (SELECT * FROM named WHERE n > 5) x WHERE x.top > (SELECT avg(o_totalprice) FROM orders)"""

@@ -110,6 +110,15 @@ def test_whole_op_logs_against_reading_them_by_hand(rows):
         assert {f: list(c.items()) for f, c in mine.items()} == {f: list(c.items()) for f, c in want.items()}, notebook
 
 
+def test_thousands_of_arguments_of_one_column(rows):
+    n = 5_000
+    base = [(1, "b", 1, "a", "t", "a", None), (1, "b", 2, "c", "t", "c", None)]
+    args = [(1, 1, i + 1, f"x{i}", ["a"], f"f{i}(a)", "col") for i in range(n)]
+    found = prov.apply_ops(rows(OP, [(1, 1, "o", "select", "b", None)]), rows(ARG, args), rows(FRAME, base)).collect()
+    assert {(r["pos"], r["col_name"], r["src_column"], r["transform"]) for r in found} == {(i + 1, f"x{i}", "a", f"f{i}(a)") for i in range(n)}
+    assert len(found) == n
+
+
 def test_logs_longer_than_a_stretch(rows):
     rng, books = random.Random(12), {}
     for notebook in range(12):

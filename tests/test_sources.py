@@ -192,6 +192,17 @@ def test_changes_rewrite_only_the_files_they_touch(spark, rows, tmp_path, got):
         table._publish(table.version(), [])
 
 
+def test_a_stored_variant_is_parsed_once_and_filtered_in_the_scan(spark, rows, tmp_path, got):
+    data = [(1, '{"k": 5, "deep": {"x": "y"}}'), (2, '{"k": "text"}'), (3, "no json"), (4, None), (5, "{}"), (6, '{"k": 50, "list": [1, 2]}')]
+    stored = verbs.load_variant(rows("id int, doc string", data), "doc", {"k": ("$.k", "bigint")}, str(tmp_path / "v"))
+    assert got(stored, "id", "k") == [(1, 5), (2, None), (3, None), (4, None), (5, None), (6, 50)]
+    few = stored.filter("k > 10").select("id")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert got(few) == [(6,)] and "GreaterThan(k,10)" in plan and "doc" not in plan.split("ReadSchema")[1]
+    inner = stored.select("id", F.try_variant_get("doc", "$.deep.x", "string").alias("x"), F.try_variant_get("doc", "$.list[1]", "int").alias("n"))
+    assert got(inner.filter("x IS NOT NULL OR n IS NOT NULL")) == [(1, "y", None), (6, None, 2)]
+
+
 def test_unknown_format_is_refused(spark):
     with pytest.raises(ValueError, match="unknown format"):
         tables.read_table(spark, "x", "sas")
