@@ -22,78 +22,52 @@ FEATURES = 1 << 14
 BLOCK_FROM = 0.7
 #: (verdict, rule)
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: Hosts and paths by which people label URLs: wanted pages and unwanted ones, of varied domains; some share words with hosts of the given pages.
-ALLOWED = [
-    "https://github.com/torvalds/linux", "https://en.wikipedia.org/wiki/Water", "https://de.wikipedia.org/wiki/Wetter",
-    "https://www.bbc.co.uk/news/world", "https://www.nytimes.com/section/science", "https://stackoverflow.com/questions/11227809",
-    "https://docs.python.org/3/library/index.html", "https://www.nature.com/articles/s41586", "https://arxiv.org/abs/1706.03762",
-    "https://www.lemonde.fr/planete/article", "http://www.spiegel.de/wissenschaft/12", "https://elpais.com/cultura/2024-05",
-    "https://www.nasa.gov/missions/artemis", "https://www.who.int/health-topics/nutrition", "https://www.mit.edu/research/",
-    "https://www.uni-heidelberg.de/de/studium", "https://www.gutenberg.org/ebooks/1342", "https://archive.org/details/texts",
-    "https://www.britannica.com/science/atom", "https://www.allrecipes.com/recipe/soup", "http://www.marmiton.org/recettes/tarte",
-    "https://www.weather.gov/forecast/today", "https://www.openstreetmap.org/way/77", "https://kernel.org/doc/html/latest/",
-    "https://www.gnu.org/software/make/manual.html", "https://developer.mozilla.org/en/docs/Web", "https://news.ycombinator.com/item?id=8",
-    "https://www.theguardian.com/books/2023", "https://www.louvre.fr/en/explore", "https://www.britishmuseum.org/collection",
-    "https://www.loc.gov/collections/maps/", "https://www.europa.eu/youth/fr", "https://www.bahn.de/service/fahrplan",
-    "https://www.imdb.com/title/tt0111161", "https://www.goodreads.com/book/show/5107", "https://blog.rust-lang.org/2024/02/index.html",
-    "https://www.rhs.org.uk/plants/roses", "https://www.nationalgeographic.com/history", "https://www.cityofboston.gov/parks/",
-    "https://www.stanford.edu/admission/", "http://forum.ubuntu-fr.org/viewtopic.php", "https://www.chess.com/learn/openings",
-    "https://www.ikea.com/es/tables", "https://www.mathworld.com/en/Theorem", "https://www.tate.org.uk/art/11",
-    "https://thehill.com/en/660", "https://www.northernlight.org/en/204", "https://earthobservatory.org/fr/23",
-    "https://brother-hood.com/en/318", "https://www.threethings.net/es/9",
-    "https://www.nytimes.com/fr/12", "https://reuters.com/world/europe", "https://www.washingtonpost.com/science/5",
-    "https://thoughtco.com/en/grammar", "https://www.history.com/topics/rome", "https://theatlantic.com/ideas/825",
-    "https://www.thomann.com/de/41", "https://medium.com/fr/450", "https://www.wetransfer.com/about",
-    "https://wordpress.com/es/9", "https://www.smithsonianmag.com/nature", "https://weather.com/en/today",
-    "https://www.nationaltheatre.com/fr/825", "https://northseajazz.com/en/7", "https://www.there-and-back.com/fr/77",
-    "https://southernliving.com/garden", "https://www.thread-house.com/de/33", "https://recipes.thekitchn.com/en/5",
-    "http://m.bbc.com/en/5", "https://m.lefigaro.fr/fr/12", "http://blog.mozilla.org/es/3",
-    "https://www.postgresql.org/en/71", "http://blog.python.org/de/8", "https://m.ouest-france.fr/en/2",
-    "http://blog.google.com/en/40", "https://www.heise.de/de/6", "http://www.inria.fr/fr/9",
-    "https://m.rtve.es/es/51", "http://blog.ted.com/en/14", "https://www.ox.ac.uk/en/300",
-    "http://apache.org/en/4", "https://m.wikivoyage.org/fr/7", "http://blog.zdf.de/de/22",
-    "https://www.dwd.de/en/10", "http://m.gardeners-world.co.uk/es/6", "https://scipy.org/en/1",
-    "https://gitea.com/en/81", "http://www.sciencejournals.org/en/60", "https://m.museo-prado.es/de/450",
-    "https://library-of-wales.org/en/2", "http://www.ucl.ac.uk/es/11", "https://fedora-project.org/en/33",
-    "http://www.meteo.fr/fr/4", "https://m.orchestra.org/en/20", "http://tagesschau.de/de/15",
-    "https://blog.oreilly.com/en/9", "http://www.theology.org/fr/2", "https://school-of-music.org/en/18",
-    "http://m.elmundo-deportivo.es/es/7", "https://thermal-baths.org/en/6", "http://www.history-of-art.org/en/13",
-    "https://blog.otherlands.org/fr/30", "http://www.rethink.org/en/5", "https://weather-station.de/de/2",
-    "https://m.numbers-theory.org/en/44", "http://librarything.org/en/8",
-]
-BLOCKED = [
-    "http://casino-royal-slots.org/play", "https://www.bestonlinecasino.de/bonus", "https://888casino.co.uk/promotions",
-    "http://luckyslots777.fr/spin", "https://bet365.com/sports", "https://www.freebets-today.edu.co/odds",
-    "http://sportsbets24.org/live", "https://poker-bets-king.com/join", "http://free-spins-bonus.org/win",
-    "https://cheapviagra-pills.es/buy", "http://www.buycheapmeds.org/pills", "https://canadian-pills-shop.de/discount",
-    "http://cheap-pillstore.co.uk/order", "https://dietpills-cheap.fr/en/3", "https://www.adultfriendx.com/join",
-    "http://adult-xtube.edu.co/videos", "https://xxxvideos-free.org/watch", "http://hotadult-cams.com/live",
-    "https://www.pornxhub.org/video", "https://sexcams-adult.es/chat", "http://xnxx-porn.org/hd",
-    "https://spamlinks-farm.de/seo", "http://link-spam-farm.co.uk/links", "https://seo-backlinks-farm.fr/buy",
-    "http://spam-mailer.com/bulk", "https://free-iphone-win.edu.co/claim", "http://freemoney-now.org/claim",
-    "https://earn-cash-fast.com/start", "http://payday-loans-cheap.org/apply", "https://quick-cashloans.es/apply",
-    "http://replica-rolex-shop.org/sale", "https://cheap-replicabags.de/sale", "http://buy-followers-cheap.co.uk/likes",
-    "https://ads-tracker.fr/click", "http://adserver-track.com/banner", "https://track-adclick.edu.co/pixel",
-    "http://popads-click.org/serve", "https://cracked-warez.com/keygen", "http://free-keygen-crack.org/download",
-    "https://torrent-warez-free.es/crack", "http://crypto-doubler.org/invest", "https://bitcoin-win-fast.de/claim",
-    "http://hot-dating-singles.co.uk/meet", "https://adult-dating-sexy.fr/singles", "http://essay-writers-cheap.com/order",
-    "https://www.casinowinner.edu.co/slots", "http://bingo-slots-bets.org/play", "https://xxx-adult-teens.com/pics",
-    "http://free-bets-bonus.org/odds", "https://pills4cheap.es/rx",
-    "http://m.adult-movies.org/en/5", "https://adult-chat-x.com/fr/12", "http://blog.adult-store.de/es/3",
-    "https://www.adultx-films.com/en/71", "http://adult-xrated.example-hosting.com/de/8", "https://m.xxx-adult.fr/en/2",
-    "http://blog.free-betting.com/en/40", "https://free-bets-club.de/de/6", "http://www.best-free-bets.com/fr/9",
-    "https://m.bets-online.org/es/51", "http://blog.bets-and-odds.com/en/14", "https://free-bets.co.uk/en/300",
-    "http://spam-farmers.com/en/4", "https://m.link-farm-spam.org/fr/7", "http://blog.spam-network.com/de/22",
-    "https://www.spam-farms.de/en/10", "http://m.spamfarm-links.com/es/6", "https://farm-of-links.com/en/spam",
-    "http://blog.cheap-pills-direct.com/en/81", "https://m.cheap-pills24.org/fr/5", "http://www.pills-discount.com/en/60",
-    "https://cheap-pills-rx.de/de/450", "http://pharmacy-online-cheap.com/en/2", "https://m.pharmacy-pills-rx.org/es/11",
-    "http://blog.casino-games.com/en/33", "https://m.vegas-casino-slots.com/fr/4", "http://www.casino-win-big.org/en/20",
-    "https://mobile-casino.de/de/15", "http://m.freeporn-tube.com/en/9", "https://blog.freeporn-videos.org/fr/2",
-    "http://www.sexvideos-free.com/en/18", "https://m.sex-videos-hd.de/es/7", "http://blog.hot-singles-dating.com/en/6",
-    "https://m.payday-cash.com/en/13", "http://www.replica-shop.org/fr/30", "https://blog.buy-followers.com/en/5",
-    "http://m.warez-cracked.com/de/2", "https://www.track-ads.com/en/44", "http://blog.crypto-win-fast.org/en/8",
-    "https://m.cheap-essays.com/fr/19",
-]
+#: Places by which people label URLs, wanted and unwanted ones, written down by subject (news, schools, software, ...; gambling, sex,
+#: medicines, cracked software, counterfeits, loans, fraud, advertising) without a word or path of the given pages.
+ALLOWED = [f"https://{place}" for place in """
+github.com/torvalds/linux en.wikipedia.org/wiki/Water de.wikipedia.org/wiki/Wetter www.bbc.co.uk/news/world www.nytimes.com/section/science
+stackoverflow.com/questions/11227809 docs.python.org/3/library/index.html www.nature.com/articles/s41586 arxiv.org/abs/1706.03762 www.lemonde.fr/planete/article
+www.spiegel.de/wissenschaft/12 elpais.com/cultura/2024-05 www.nasa.gov/missions/artemis www.who.int/health-topics/nutrition www.mit.edu/research/
+www.uni-heidelberg.de/de/studium www.gutenberg.org/ebooks/1342 archive.org/details/texts www.britannica.com/science/atom www.allrecipes.com/recipe/soup
+www.marmiton.org/recettes/tarte www.weather.gov/forecast/today www.openstreetmap.org/way/77 kernel.org/doc/html/latest/ www.gnu.org/software/make/manual.html
+developer.mozilla.org/docs/Web news.ycombinator.com/item?id=8 www.theguardian.com/books/2023 www.louvre.fr/explore www.britishmuseum.org/collection
+www.loc.gov/collections/maps/ www.europa.eu/youth www.bahn.de/service/fahrplan www.imdb.com/title/tt0111161 www.goodreads.com/book/show/5107
+blog.rust-lang.org/2024/02/index.html www.rhs.org.uk/plants/roses www.nationalgeographic.com/history www.cityofboston.gov/parks/ www.stanford.edu/admission/
+forum.ubuntu-fr.org/viewtopic.php www.chess.com/learn/openings www.ikea.com/tables www.mathworld.com/Theorem.html www.tate.org.uk/art/11
+reuters.com/world/europe www.washingtonpost.com/science www.history.com/topics/rome theatlantic.com/ideas medium.com/design/typography
+www.smithsonianmag.com/nature recipes.timesofindia.com/curry www.postgresql.org/docs/16/ www.heise.de/developer www.inria.fr/recherche
+www.rtve.es/noticias www.ted.com/talks www.ox.ac.uk/admissions apache.org/foundation www.wikivoyage.org/wiki/Lisbon
+www.zdf.de/dokumentation www.dwd.de/wetter scipy.org/install www.sciencejournals.org/volume/60 www.museodelprado.es/coleccion
+www.libraryofwales.org/catalogue www.ucl.ac.uk/lectures getfedora.org/workstation www.meteo.fr/previsions www.orchestra.org/concerts
+www.tagesschau.de/inland www.oreilly.com/library www.schoolofmusic.org/lessons gardenersworld.com/plants/tomato www.astronomynow.com/saturn
+www.biologycorner.com/worksheets hikingproject.com/trail/700 www.townhall.gov.uk/council www.kindergarten-sonnenschein.de/eltern www.boulangerie-martin.fr/horaires
+www.fotografia-clasica.es/galeria www.railwaymuseum.org.uk/visit cyclingclub.org/routes www.volunteers.org/join-us www.parentsmagazine.com/toddlers
+www.economist.com/finance www.legislation.gov.uk/ukpga/1998 www.birdwatching.org/species www.woodworkersguild.com/joints www.opera-bastille.fr/saison
+www.apothekerkammer.de/notdienst www.hospital-clinic.es/pacientes www.cancerresearch.org/trials www.teachersunion.org/contracts www.bankofengland.co.uk/statistics
+www.sportsmedicine.edu/journal www.lawreview.edu/issues/12 www.cardgames-rules.org/bridge www.videoarchive.org/film/silent www.languagelearning.com/grammar
+""".split()]
+BLOCKED = [f"https://{place}" for place in """
+royalslots777.com/spin www.jackpotcity-bonus.net/join onlineroulette.bet/live www.pokerking.co/deposit blackjack-lounge.com/signup
+bingo-billions.com/play www.sportsbook-odds.ag/betting lottery-jackpots.info/tickets vegas-gambling.io/register www.megaslots.club/bonus
+betting-tips-sure.com/odds www.baccarat-live.asia/table spinpalace-slots.com/welcome bookmaker-bonus.eu/betting www.gamblers-lounge.com/roulette
+pornvideos-hd.com/watch www.xxxclips.tv/hot sexcams-live.com/chat www.hotmilfs.net/pics nudegirls-cam.com/live
+escorts-tonight.com/city www.hentai-tube.org/video eroticstories.cc/new sexdating-local.com/meet www.pornstars.xxx/gallery
+www.lesbian-porn.net/clip fetish-cams.com/rooms hookup-singles.com/tonight www.swingers-sex.com/party amateur-xxx.net/upload
+buyviagra-online.com/order www.cialis-generic.net/buy rxmeds-nodoctor.com/checkout www.onlinepharmacy-discount.com/tablets xanax-overnight.biz/order
+steroids-shop.org/anabolic www.slimming-tablets.com/trial weightloss-miracle.info/offer cbd-gummies-deal.com/buy www.tramadol-noprescription.com/cart
+www.enlargement-secrets.com/order hairgrowth-miracle.com/trial modafinil-rx.net/cart www.diet-keto-miracle.com/buy painmeds-express.com/checkout
+torrentking.cc/download www.crackedsoftware.org/keygen warez-portal.net/serial www.nulledscripts.to/themes fullversion-crack.com/activator
+www.keygen-depot.com/serial movies-torrent.ws/stream apk-modded.club/unlimited www.serialz-crack.net/patch hacktools-download.com/cheats
+replica-watches.cn/rolex www.fakebags-luxury.com/outlet counterfeit-id.com/passport www.replicashoes.ru/sale buyfakediploma.com/degree
+www.louisvuitton-outlet-sale.com/bags rolex-replicas.co/discount www.designer-knockoffs.com/store fakedocuments-shop.com/license raybans-outlet.us/sale
+paydayloans-instant.com/apply www.badcredit-loans.net/approved quickcash-advance.com/apply debtfix-now.info/offer www.instantloan24.com/nocheck
+bitcoin-doubler.io/invest www.cryptoprofit-bot.com/deposit forexmillionaire.biz/signals www.earnmoney-home.com/start getrich-binaryoptions.com/trade
+www.hyip-invest.com/profit passiveincome-secret.com/join airdrop-claim-eth.com/wallet www.doublecoins.cc/send makemoney-surveys.com/cash
+secure-paypa1-login.com/verify www.appleid-verify.info/account bank-update-alert.com/signin www.account-suspended.net/confirm netflix-billing-update.com/pay
+www.prizewinner-claim.com/iphone giveaway-samsung.club/claim www.virus-warning-alert.com/scan pc-cleaner-download.com/fix flashplayer-update.info/install
+www.popunder-clicks.com/serve clickbanner-network.com/redirect www.backlinks-seo-packages.com/order buyfollowers-instagram.net/likes www.linkexchange-seo.biz/submit
+bulkmailer-leads.com/lists www.essaywriting-service.biz/order getlikes-instant.com/buy www.traffic-bot.net/clicks doorway-redirect.biz/go
+""".split()]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -105,6 +79,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return (F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("")), F.coalesce(path, F.lit("")))
 
 
+def host_of(url: str) -> str:
+    return url.partition("://")[2].partition("/")[0]
+
+
 def rules_table(spark, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """(verdict, rule) as a frame of literals."""
     return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(v).alias("verdict"), F.lit(r).alias("rule")) for v, r in rules))))
