@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.llm.tables import save, text_key
-from factloom.llm.words import parts
+from factloom.llm.words import decoded, parts
 
 ORDER = 4
 #: labelled documents of a language that are used, at most
@@ -94,7 +94,7 @@ def _slices(texts, size):
 def _counted(batches):
     """(lang, gram, n) of a batch of (lang, text)."""
     for batch in parts(batches):
-        langs, texts = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_pylist()
+        langs, texts = np.array(decoded(batch.column(0)), dtype=object), decoded(batch.column(1))
         for lang in sorted(set(langs)):
             own = [texts[i] for i in np.flatnonzero(langs == lang)]
             for lo, hi in _slices(own, CHUNK):
@@ -213,7 +213,7 @@ def _judged(texts, model, limits):
 
 def _scored(batches, model, limits):
     for batch in parts(batches):
-        langs, score, entropy, letters, rejected = _judged([t or "" for t in batch.column(2).to_pylist()], model.value, limits)
+        langs, score, entropy, letters, rejected = _judged(decoded(batch.column(2)), model.value, limits)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(score), pa.array(entropy), pa.array(letters), pa.array(rejected)],
             ["doc_id", "text_key", "lang_pred", "score", "entropy", "letters", "rejected"])
@@ -221,7 +221,7 @@ def _scored(batches, model, limits):
 
 def _kept(batches, model, limits):
     for batch in parts(batches):
-        rejected = _judged([t or "" for t in batch.column("text").to_pylist()], model.value, limits)[-1]
+        rejected = _judged(decoded(batch.column("text")), model.value, limits)[-1]
         yield batch.filter(pa.array(~rejected))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import words
-from factloom.llm.tables import save
+from factloom.llm.tables import save, text_key
 
 BANDS, ROWS, SHINGLE, PERCENT = 32, 4, 5, 75
 MINIMA = BANDS * ROWS
@@ -322,16 +322,30 @@ def _mixed_buckets(members: DataFrame, sizes: DataFrame, component: DataFrame, p
     return _blocks(placed.join(mixed, "bucket").join(sizes, "node").withColumnRenamed("bucket", "grp"), percent, False)
 
 
+def _told_apart(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number per doc_id and text: the doc_id, but where different texts share one, a number of its own for all but one of them."""
+    own = F.col("doc_id").cast("bigint")
+    shared = save(
+        docs.where("doc_id is not null").groupBy(own.alias("__shared")).agg(F.min(text_key()).alias("__first"), F.max(text_key()).alias("last"))
+        .where("__first <> last").drop("last"), "shared-ids")
+    if shared.isEmpty():
+        return docs.withColumn(name, own)
+    other = F.lit(1 << 62) + F.xxhash64(own, "text").bitwiseAND(F.lit((1 << 62) - 1))
+    return docs.join(shared, own == F.col("__shared"), "left").withColumn(
+        name, F.when(F.col("__first") != text_key(), other).otherwise(own)).drop("__shared", "__first")
+
+
 def one_per_group(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each group of near copies, all its columns as they are.
 
-    The kept one is that of the smallest doc_id; of rows that repeat it, one stays. Rows without
+    The kept one is that of the smallest doc_id; of rows equal in doc_id and text, one stays. Different texts
+    that share a doc_id are documents of their own: one of them has the doc_id, the others come after all others. Rows without
     doc_id stay. The decisions of :func:`near_duplicates` hold. Only the ids that go or repeat are joined; while those
     are few enough to broadcast, the texts stay where they are.
     """
-    near = save(near_duplicates(docs, percent, shingle).where("doc_id is not null").groupBy("doc_id").agg(
-        F.bool_or("kept").alias("kept"), (F.count("*") > 1).alias("repeated")).where("not kept or repeated"), "decisions")
-    single = docs.join(near, docs["doc_id"].cast("bigint") == near["doc_id"], "left_anti")
-    repeated = near.where("kept and repeated").select(F.col("doc_id").alias("__id"))
-    again = docs.join(repeated, docs["doc_id"].cast("bigint") == repeated["__id"], "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(again)
+    docs = _told_apart(docs, "__id")
+    near = save(near_duplicates(docs.select(F.col("__id").alias("doc_id"), "text"), percent, shingle).where("doc_id is not null").groupBy(
+        F.col("doc_id").alias("__near")).agg(F.bool_or("kept").alias("kept"), (F.count("*") > 1).alias("repeated")).where("not kept or repeated"), "decisions")
+    single = docs.join(near, F.col("__id") == F.col("__near"), "left_anti")
+    again = docs.join(near.where("kept and repeated"), F.col("__id") == F.col("__near"), "left_semi").dropDuplicates(["__id"])
+    return single.unionByName(again).drop("__id")

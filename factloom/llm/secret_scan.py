@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.tables import join_rows, save, text_key
-from factloom.llm.words import parts
+from factloom.llm.words import decoded, parts
 
 KINDS = ("assign", "access", "hex", "opaque")
 #: a value with at least so many owners is a copied example
@@ -126,7 +126,7 @@ def scan(docs: DataFrame, owner: str | Column = "source", repo: str | Column = "
 def _masked(batches, mask):
     for batch in parts(batches):
         texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("__live").to_pylist()):
+        for text, spans in zip(decoded(batch.column("text")), batch.column("__live").to_pylist()):
             pieces, at = [], 0
             for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
                 if s["start"] >= at:
@@ -141,7 +141,8 @@ def masked(docs: DataFrame, owner: str | Column = "source", repo: str | Column =
            mask: str = MASK, shared_repos: int = SHARED_REPOS) -> DataFrame:
     """The rows of ``docs`` with every span that looks live replaced by ``mask``; overlapping spans become one.
 
-    Copied examples, other texts and other columns stay as they are; n_chars, where it is a column, is counted anew.
+    Copied examples, other texts and other columns stay as they are; n_chars, where it is a column, is counted anew. Malformed bytes of a
+    masked text become U+FFFD.
     """
     live = scan(docs, owner, repo, shared_owners, shared_repos).where("n_live > 0").select(
         F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text"), F.col("live").alias("__live")).dropDuplicates(["__doc", "__text"])

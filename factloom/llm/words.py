@@ -70,6 +70,11 @@ def encoded(column) -> list[bytes]:
     return [x or b"" for x in column.cast("binary").to_pylist()]
 
 
+def decoded(column) -> list[str]:
+    """An Arrow string column as text; malformed bytes become U+FFFD, null counts as empty."""
+    return [x.decode("utf-8", "replace") for x in encoded(column)]
+
+
 class Words:
     """The words of some texts: ``bounds[i]`` to ``bounds[i + 1]`` are those of text ``i``."""
 

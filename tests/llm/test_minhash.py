@@ -87,6 +87,17 @@ def test_defined_results(docs):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_different_texts_that_share_a_doc_id(docs):
+    text = lambda s: " ".join(f"{s}{i}" for i in range(60))
+    rows = [(1, text("a")), (5, text("a") + " more"), (5, text("b")), (5, text("b")), (5, text("c")), (5, None), (8, text("c") + " x"), (8, text("d")), (9, text("b") + " y")]
+    kept = sorted(((r.doc_id, r.text) for r in minhash.one_per_group(docs(rows)).collect()), key=repr)
+    texts = [t for _, t in kept]
+    # Of each group one: a, b, c, d and the empty one.
+    assert (1, text("a")) in kept and len(kept) == 5 and (5, text("a") + " more") not in kept
+    assert sum(t in (text("b"), text("b") + " y") for t in texts) == sum(t in (text("c"), text("c") + " x") for t in texts) == 1
+    assert text("d") in texts and None in texts
+
+
 def test_a_very_long_text(docs):
     text = " ".join(f"w{i % 5000}" for i in range(200_000))
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs([(1, text), (2, text + " end"), (3, "x")])).collect()}

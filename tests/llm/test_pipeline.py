@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factloom.llm import decontaminate, language_id, mixing, secret_scan
@@ -94,6 +95,16 @@ def test_odd_input(spark, docs):
         assert len(got) <= table.count() and {r.doc_id for r in got} <= {3, None, 4, 5}
 
 
+def test_malformed_text_goes_through_every_stage(spark, docs):
+    rows = docs([(i, f"the thing that is here {i} and there", "en") for i in range(30)] + [(40, "password=r34lsecret the thing", "en")])
+    bad = F.concat(F.lit(b"caf\xe9 \xff ").cast("string"), "text")
+    out = rows.withColumn("text", F.when(F.col("doc_id") % 4 == 0, bad).otherwise(F.col("text")))
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, out, SF)
+    assert out.select("doc_id", F.length("text").alias("n")).collect()
+    assert secret_scan.masked(rows.withColumn("text", bad).where("doc_id = 40")).select("text").first()[0] == "caf\ufffd \ufffd [secret] the thing"
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_registered_query(spark, name):
     df = QUERIES[name](spark, SF)
