@@ -22,6 +22,8 @@ from factloom.llm.tables import join_rows, save
 from factloom.session import scratch_path
 
 FILE_RECORDS = 2048
+#: and of their bytes, before compression: a reader holds one file
+FILE_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 _HEX, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -40,9 +42,10 @@ def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Of records with equal payloads of at least ``least_bytes`` that of the smallest page_id is the response, the others
     revisit it. Records that share that page_id and payload are all responses; one without page_id never is if another has one.
-    Only distinct digests are aggregated to one row each, combined before the shuffle.
+    Only distinct digests are aggregated to one row each, combined before the shuffle; they are written, so that a join may split a
+    payload that a third of all pages have.
     """
-    first = headers.groupBy("payload_digest").agg(F.min("page_id").alias("first"))
+    first = save(headers.groupBy("payload_digest").agg(F.min("page_id").alias("first")), "first-payloads")
     joined = headers.join(first, "payload_digest")
     revisit = (F.col("payload_bytes") >= least_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn(
@@ -72,9 +75,22 @@ def records(pages: DataFrame, date: str = DATE) -> DataFrame:
     return pages.select(F.concat(head, block, F.lit("\r\n\r")).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, date: str = DATE, file_records: int = FILE_RECORDS, compression: str = "gzip") -> None:
-    """Write resolved ``pages`` as WARC files of at most ``file_records`` records each."""
-    records(pages, date).write.option("maxRecordsPerFile", file_records).option("compression", compression).option("lineSep", "\n").text(path)
+def write_archives(pages: DataFrame, path: str, date: str = DATE, file_records: int = FILE_RECORDS, compression: str = "gzip",
+                   file_bytes: int = FILE_BYTES, largest: int | None = None) -> None:
+    """Write resolved ``pages`` as WARC files of at most ``file_records`` records and about ``file_bytes`` each, whatever pages are like.
+
+    Pages of like size share files: of pages of up to 2^k bytes, a file holds as many as fit. A page of more than
+    ``file_bytes`` has a file of its own. ``largest``: the bytes of the largest page, where they are known.
+    """
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    if largest is None:
+        largest = pages.agg(F.max(size)).first()[0] or 0
+    low, high = -1, max(1, file_bytes // file_records)  # pages up to this size are bounded by their number alone
+    while low < largest or low < 0:
+        within = pages.where((size > low) & (size <= high)) if low >= 0 or largest > high else pages
+        records(within, date).write.mode("append").option("maxRecordsPerFile", max(1, min(file_records, file_bytes // high))).option(
+            "compression", compression).option("lineSep", "\n").text(path)
+        low, high = high, high * 8
 
 
 def _walk(data: bytes):
@@ -142,7 +158,7 @@ def restored(archive: DataFrame) -> DataFrame:
         "page_id", "refers_to", "type", F.when(F.col("type") == "response", payload_digest("payload")).otherwise(F.col("digest")).alias("payload_digest"),
         F.octet_length("payload").cast("bigint").alias("payload_bytes"))
     heads = save(heads, "headers")
-    originals = heads.where("type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("bytes"))
+    originals = save(heads.where("type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("bytes")), "originals")
     return heads.join(originals, "payload_digest", "left").select(
         "page_id", F.coalesce("payload_bytes", "bytes").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
@@ -158,7 +174,8 @@ def deduplicate(pages: DataFrame, path: str, least_bytes: int = 0, date: str = D
         "payload_digest", payload_digest(F.coalesce("html", F.lit("")).cast("binary")))
     headers = save(rows.select("page_id", "payload_digest", F.octet_length(F.coalesce("html", F.lit(""))).cast("bigint").alias("payload_bytes")), "headers")
     decided = resolve(headers, least_bytes).select("page_id", "payload_digest", "record_type", "refers_to").distinct()
-    write_archives(join_rows(rows, decided, ["page_id", "payload_digest"], "inner"), path, date)
+    largest = headers.agg(F.max("payload_bytes")).first()[0] or 0
+    write_archives(join_rows(rows, decided, ["page_id", "payload_digest"], "inner"), path, date, largest=largest)
     return restored(read_archives(pages.sparkSession, path))
 
 

@@ -39,6 +39,22 @@ def test_small_payloads_stay_whole(spark, tmp_path):
     assert {(3, "response"), (4, "response"), (5, "revisit"), (2, "response")} <= out
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "x" * n) for i, n in enumerate([10] * 50 + [3_000] * 20 + [90_000] * 5)], "page_id bigint, url string, html string").coalesce(1)
+    known = pages.selectExpr("*", "cast(page_id as string) AS payload_digest", "'response' AS record_type", "cast(null as bigint) AS refers_to")
+    warc.write_archives(known, str(tmp_path / "a"), file_records=40, file_bytes=40_000, compression="none")
+    sizes = [f.stat().st_size for f in pathlib.Path(tmp_path / "a").glob("part-*")]
+    assert len(sizes) > 8 and max(s for s in sizes if s < 90_000) < 65_000 and sum(s >= 90_000 for s in sizes) == 5
+    assert {(r.page_id, len(r.payload)) for r in warc.read_archives(spark, str(tmp_path / "a")).collect()} == {(r.page_id, len(r.html)) for r in pages.collect()}
+
+
+def test_a_very_large_page(spark, tmp_path):
+    rows = [(1, "u", "x" * 40_000_000), (2, "u", "x" * 40_000_000), (3, "u", "y")]
+    got = warc.deduplicate(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path / "a")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == [
+        (1, 40_000_000, "response", None), (2, 40_000_000, "revisit", 1), (3, 1, "response", None)]
+
+
 def test_empty_table(spark, tmp_path):
     assert warc.deduplicate(table(spark).limit(0), str(tmp_path / "a")).collect() == []
 
