@@ -40,46 +40,74 @@ def _(f):
     return reports.column_sources(f.sql(_MORE_FLOWS), f("fx_table_schema"), _access(f), f("fx_step_run"))
 
 
-@query("h13_column_sources_merged", _COLUMN_SOURCES)
-def _(f):
-    """The same answers from a state to which the runs came in four batches."""
-    store = answers.AnswerStore(f.spark, scratch_path(f.spark, "answers"))
+def _merged(f, kind, **facts):
+    """A state to which the runs came in four batches."""
+    store = answers.AnswerStore(f.spark, scratch_path(f.spark, "answers"), [kind])
     for part in (2, 0, 3, 1):
         own = F.col("run_id") % 4 == part
-        store.add(f.sql(_MORE_FLOWS).filter(own), f("fx_table_schema").filter(own), _access(f).filter(own), f("fx_step_run").filter(own))
-    return store.column_sources()
+        store.add(_access(f).filter(own), f("fx_step_run").filter(own), **{name: frame.filter(own) for name, frame in facts.items()})
+    return store
 
 
-@query("h14_touched_by", f"""
+@query("h13_column_sources_merged", _COLUMN_SOURCES)
+def _(f):
+    return _merged(f, "columns", flow=f.sql(_MORE_FLOWS), schema=f("fx_table_schema")).column_sources()
+
+
+_TOUCHED = f"""
 WITH {RUN_ACCESS}
 SELECT ref, mode, name, max(s.at) AS "at" FROM ra JOIN fx_step_run s ON s.run_id = ra.run_id GROUP BY ref, mode, name
-""")
+"""
+
+
+@query("h14_touched_by", _TOUCHED)
 def _(f):
     return reports.touched_by(_access(f), f("fx_step_run"))
 
 
-@query("h15_downstream_consumers", f"""
+_CONSUMERS = f"""
 WITH {RUN_ACCESS},
 w AS (SELECT DISTINCT run_id, ref FROM ra WHERE mode = 'write'),
 c AS (SELECT w.ref, d.consumer_name, d.consumer_kind, dense_rank() OVER (PARTITION BY w.ref ORDER BY s.at DESC, w.run_id) AS age
  FROM w JOIN fx_downstream d ON d.run_id = w.run_id JOIN fx_step_run s ON s.run_id = w.run_id WHERE d.available)
 SELECT t.ref, c.consumer_name, c.consumer_kind, c.ref IS NOT NULL AS checked FROM (SELECT DISTINCT ref FROM w) t LEFT JOIN c ON c.ref = t.ref AND c.age = 1
-""")
+"""
+
+
+@query("h15_downstream_consumers", _CONSUMERS)
 def _(f):
     return reports.downstream_consumers(f("fx_downstream"), _access(f), f("fx_step_run"))
 
 
-@query("h16_last_real_run", f"""
+_REAL_RUNS = f"""
 WITH {RUN_ACCESS},
 c AS (SELECT ra.ref, o.submitted_at, o.state, o.submitter, o.code_changed_at, s.name AS via,
  row_number() OVER (PARTITION BY ra.ref ORDER BY s.at DESC, ra.run_id, o.entry_id) AS age
  FROM ra JOIN fx_observed_run o ON o.run_id = ra.run_id JOIN fx_step_run s ON s.run_id = ra.run_id WHERE ra.mode = 'write' AND o.available)
 SELECT ref, submitted_at, state, submitter, code_changed_at, via, coalesce(code_changed_at > submitted_at, false) AS code_changed_since_run FROM c WHERE age = 1
-""")
+"""
+
+
+@query("h16_last_real_run", _REAL_RUNS)
 def _(f):
     return reports.last_real_run(f("fx_observed_run"), _access(f), f("fx_step_run"))
 
 
+@query("h14_touched_by_merged", _TOUCHED)
+def _(f):
+    return _merged(f, "touches").touched_by()
+
+
+@query("h15_consumers_merged", _CONSUMERS)
+def _(f):
+    return _merged(f, "consumers", downstream=f("fx_downstream")).downstream_consumers()
+
+
+@query("h16_last_real_run_merged", _REAL_RUNS)
+def _(f):
+    return _merged(f, "real_runs", observed=f("fx_observed_run")).last_real_run()
+
+
 # Questions by name and, for some, lakehouse; most names are those of tables in several lakehouses.
 _NAMED = """seen AS (SELECT DISTINCT ref, lower(split_part(ref, '/', 3)) AS t, lower(split_part(ref, '/', 2)) AS l FROM fx_access),
 nm AS (SELECT concat(q.table_name, '|', coalesce(q.lakehouse, '')) AS question, s.ref FROM fx_question q JOIN seen s ON lower(q.table_name) = s.t AND (q.lakehouse IS NULL OR lower(q.lakehouse) = s.l))"""

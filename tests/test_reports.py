@@ -169,13 +169,20 @@ def test_answers_from_batches_in_any_order_equal_those_from_all_runs(spark, rows
                 flow += [(run, len(flow) + k, ref, column, rng.choice(("s", None)), rng.choice("xy"), rng.choice((None, "f"))) for k in range(2)]
     runs, flow = rows("run_id int, at timestamp, name string", runs), rows(FLOW, flow)
     access, schema = rows("run_id int, ref string, mode string", access), rows("run_id int, ref string, name string", schema)
-    want = got(reports.column_sources(flow, schema, access, runs))
+    downstream = rows("run_id int, available boolean, consumer_name string, consumer_kind string", [
+        (r, r % 3 != 0, f"c{r}" if r % 2 else None, "report") for r in range(24)] + [(4, True, "more", "model")])
+    observed = rows("entry_id int, run_id int, available boolean, state string, submitted_at timestamp, code_changed_at timestamp, submitter string", [
+        (e, e % 24, e % 5 != 0, "Success", at(e), at(2 * e % 50) if e % 2 else None, f"u{e}") for e in range(40)])
+    facts = {"access": access, "runs": runs, "flow": flow, "schema": schema, "downstream": downstream, "observed": observed}
     store = answers.AnswerStore(spark, str(tmp_path))
-    assert store.column_sources().count() == 0
+    asked = lambda: [got(a) for a in (store.column_sources(), store.touched_by(), store.downstream_consumers(), store.last_real_run())]
+    assert asked() == [[], [], [], []]
     for part in (2, 0, 1, 1):
         own = F.col("run_id") % 3 == part
-        store.add(*(frame.filter(own) for frame in (flow, schema, access, runs)))
-    assert got(store.column_sources()) == want
-    before = set(store.table.files())
-    store.add(*(frame.limit(0) for frame in (flow, schema, access, runs)))
-    assert set(store.table.files()) == before and got(store.column_sources()) == want
+        store.add(**{name: frame.filter(own) for name, frame in facts.items()})
+    want = [got(reports.column_sources(flow, schema, access, runs)), got(reports.touched_by(access, runs)),
+            got(reports.downstream_consumers(downstream, access, runs)), got(reports.last_real_run(observed, access, runs))]
+    assert asked() == want
+    before = {kind: set(table.files()) for kind, table in store.tables.items()}
+    store.add(**{name: frame.limit(0) for name, frame in facts.items()})
+    assert {kind: set(table.files()) for kind, table in store.tables.items()} == before and asked() == want
