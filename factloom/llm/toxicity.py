@@ -36,8 +36,8 @@ GAPS = (1, 2, 3)
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2.0, 0.1
 #: a text at or beyond this score is predicted toxic
 THRESHOLD = 0.3
-#: buckets of document hashes by which the sample is bounded
-PLACES = 1 << 14
+#: range of document hashes, and the buckets by which the sample is bounded
+RANGE, PLACES = 1 << 48, 1 << 14
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
@@ -147,19 +147,26 @@ def _scored(batches, model):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(scores)], ["doc_id", "text_key", "score"])
 
 
-def _bounded(labels: DataFrame, sample: int) -> tuple[DataFrame, dict[int, int], dict[int, int]]:
-    """Of each label the documents of the smallest hashes, ``sample`` at most; how many there are of each, and how many are taken.
+def _bounded(labels: DataFrame, sample: int, places: int = PLACES) -> tuple[DataFrame, dict[int, int], dict[int, int]]:
+    """Of each label the documents of the smallest hashes (``place``), ``sample`` at most; how many there are of each, and how many are taken.
 
-    The bound is found in a histogram of hash buckets: no label is sorted.
+    The bound is found in a histogram of hash buckets: no label is sorted. Where even the first bucket holds more
+    than the sample, it alone is divided again.
     """
-    counts = labels.groupBy("label", "place").count().collect()  # at most 2 * PLACES rows
-    total, taken, last = {0: 0, 1: 0}, {0: 0, 1: 0}, {0: -1, 1: -1}
-    for label, place, count in sorted(counts):
-        total[label] += count
-        if total[label] <= sample:
-            taken[label], last[label] = total[label], place
-    within = (F.col("place") <= F.when(F.col("label") == 1, last[1]).otherwise(last[0]))
-    return labels.where(within), total, taken
+    total = {0: 0, 1: 0} | {r.label: r["count"] for r in labels.groupBy("label").count().collect()}
+    taken, bound, width = {0: 0, 1: 0}, {0: 0, 1: 0}, {label: RANGE for label, n in total.items() if n}
+    while width:
+        step = {label: max(1, w // places) for label, w in width.items()}
+        own = F.col("label") == 1
+        of = lambda values, none: F.when(own, F.lit(values.get(1, none))).otherwise(F.lit(values.get(0, none)))
+        within = labels.where(F.col("place") < of(width, 0)).groupBy("label", F.floor(F.col("place") / of(step, 1)).cast("bigint").alias("bucket")).count()
+        seen = {label: 0 for label in width}
+        for label, bucket, count in sorted(within.collect()):  # at most 2 * places rows
+            seen[label] += count
+            if seen[label] <= sample:
+                taken[label], bound[label] = seen[label], (bucket + 1) * step[label]
+        width = {label: step[label] for label in width if not taken[label] and step[label] > 1}
+    return labels.where(F.col("place") < F.when(F.col("label") == 1, F.lit(bound[1])).otherwise(F.lit(bound[0]))), total, taken
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -172,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("label"))
         .where("doc_id is not null and label is not null").where(crc_of("doc_id") % 4 != 2)
         .groupBy("doc_id").agg(F.max("label").alias("label"))
-        .withColumn("place", F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(PLACES)).cast("int")), "toxicity-labels")
+        .withColumn("place", F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(RANGE))), "toxicity-labels")
     chosen, total, taken = _bounded(known, sample)
     if not taken[0] or not taken[1]:
         share = total[1] / max(total[0] + total[1], 1)

@@ -96,11 +96,16 @@ def test_stems_join_inflected_forms():
     assert len(stem("Hohlkopf") & stem("hohlköpfe")) == 2 and not stem("hohlkopf") & stem("kohlkopf")
 
 
-def test_bound_of_the_sample(spark):
-    table = spark.range(5000).select("id", (F.col("id") % 10 == 0).cast("int").alias("label"), F.pmod(F.xxhash64("id"), F.lit(512)).cast("int").alias("place"))
-    chosen, total, taken = toxicity._bounded(table, 200)
-    assert total == {0: 4500, 1: 500} and all(150 < t <= 200 for t in taken.values())
-    assert {r.label: r["count"] for r in chosen.groupBy("label").count().collect()} == taken
+@pytest.mark.parametrize(("sample", "places", "least"), [(200, 1 << 14, 190), (200, 64, 120), (20, 4, 5), (9000, 16, 5000)])
+def test_bound_of_the_sample(spark, sample, places, least):
+    table = spark.range(5000).select("id", (F.col("id") % 10 == 0).cast("int").alias("label"), F.pmod(F.xxhash64("id"), F.lit(toxicity.RANGE)).alias("place"))
+    chosen, total, taken = toxicity._bounded(table, sample, places)
+    assert total == {0: 4500, 1: 500} and all(t <= sample for t in taken.values()) and sum(taken.values()) >= least
+    rows = chosen.collect()
+    assert {label: sum(r.label == label for r in rows) for label in (0, 1)} == taken
+    for label in (0, 1):  # those of the smallest hashes
+        smallest = sorted(r.place for r in table.where(F.col("label") == label).collect())[:taken[label]]
+        assert sorted(r.place for r in rows if r.label == label) == smallest
 
 
 def test_defined_results(docs, marks):
