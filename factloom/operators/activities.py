@@ -9,7 +9,7 @@ from factloom import fixed
 from factloom.functions import refs
 from factloom.operators import graph, whole_graphs
 from factloom.operators.ordering import number_rows
-from factloom.session import Rounds, cut_lineage
+from factloom.session import Rounds, cut_lineage, growing
 
 KEY = ["workspace_id", "pipeline_id"]
 
@@ -177,8 +177,8 @@ def _known_deps(activity: DataFrame, deps: DataFrame, by: list[str]) -> DataFram
     names = activity.select(*by, "name")
     return (
         deps.select(*by, "name", "depends_on").distinct()
-        .join(names.withColumnRenamed("name", "depends_on"), [*by, "depends_on"], "left_semi")
-        .join(names, [*by, "name"], "left_semi")
+        .join(growing(names.withColumnRenamed("name", "depends_on")), [*by, "depends_on"], "left_semi")
+        .join(growing(names), [*by, "name"], "left_semi")
     )
 
 
@@ -220,11 +220,11 @@ def _order_by_labels(activity: DataFrame, deps: DataFrame, by: list[str]) -> Dat
     blocked = loops
     if levels.blocked is not None:
         blocked = blocked.unionByName(levels.blocked.select(*by, F.col("dst").alias("name")))
-    placed = activity.select(*by, "idx", "name").join(levels.depth.withColumnRenamed("id", "name"), [*by, "name"], "left")
+    placed = activity.select(*by, "idx", "name").join(growing(levels.depth.withColumnRenamed("id", "name")), [*by, "name"], "left")
     placed = placed.withColumn("depth", F.coalesce("depth", F.lit(0)))
     blocked = _behind(blocked.distinct(), edges, by)
     if blocked is not None:
-        placed = placed.join(blocked, [*by, "name"], "left_anti")
+        placed = placed.join(growing(blocked), [*by, "name"], "left_anti")
     placed = cut_lineage(placed)
     labels = Rounds(activity.sparkSession)
     labels.add(placed.filter("depth = 0").select(*by, "name", F.array("idx").alias("label")))
@@ -232,11 +232,11 @@ def _order_by_labels(activity: DataFrame, deps: DataFrame, by: list[str]) -> Dat
     for depth in range(1, deepest + 1):
         above = labels.table().select(*by, F.col("name").alias("depends_on"), "label")
         labels.add(
-            placed.filter(F.col("depth") == depth).join(known, [*by, "name"]).join(above, [*by, "depends_on"])
+            placed.filter(F.col("depth") == depth).join(growing(known), [*by, "name"]).join(growing(above), [*by, "depends_on"])
             .groupBy(*by, "name", "idx").agg(F.max(F.filter("label", lambda i: i > F.col("idx"))).alias("above"))
             .select(*by, "name", F.array_append("above", F.col("idx")).alias("label"))
         )
-    labelled = activity.select(*by, "name", "idx").join(labels.table(), [*by, "name"], "left")
+    labelled = activity.select(*by, "name", "idx").join(growing(labels.table()), [*by, "name"], "left")
     return number_rows(labelled, by, [F.col("label").isNull(), "label", "idx"], "position").drop("label")
 
 
@@ -247,8 +247,8 @@ def _behind(names: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame | No
     if new.isEmpty():
         return None
     while not new.isEmpty():
-        reached = edges.join(new.withColumnRenamed("name", "src"), [*by, "src"], "left_semi").select(*by, F.col("dst").alias("name")).distinct()
-        new = found.add(reached.join(found.table(), [*by, "name"], "left_anti"))
+        reached = edges.join(growing(new.withColumnRenamed("name", "src")), [*by, "src"], "left_semi").select(*by, F.col("dst").alias("name")).distinct()
+        new = found.add(reached.join(growing(found.table()), [*by, "name"], "left_anti"))
     return found.table()
 
 
@@ -261,7 +261,7 @@ def activity_waves(activity: DataFrame, deps: DataFrame, by: list[str]) -> DataF
     shared = waves.groupBy(*by, "depth").agg(F.count("*").alias("_n"))
     after = known.groupBy(*by, F.col("name").alias("id")).agg(F.count("*").alias("after"))
     return (
-        waves.join(shared, [*by, "depth"]).join(after, [*by, "id"], "left")
+        waves.join(growing(shared), [*by, "depth"]).join(growing(after), [*by, "id"], "left")
         .select(*by, "idx", F.col("id").alias("name"), "type", (F.col("depth") + 1).alias("wave"), (F.col("_n") > 1).alias("concurrent"),
                 F.coalesce("after", F.lit(0)).alias("after"))
     )
