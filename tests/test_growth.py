@@ -21,6 +21,6 @@ def run(spark, name):
     QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
 
 
-@pytest.mark.parametrize("name", ["f06_activity_after", "g01_longest_path_depth", "f06_activity_waves", "f05_order_activities"])
+@pytest.mark.parametrize("name", ["f06_activity_after", "g01_longest_path_depth", "f06_activity_waves", "f05_order_activities", "f05_order_shuffled"])
 def test_activities_are_not_broadcast(spark, no_broadcast, name):
     run(spark, name)
