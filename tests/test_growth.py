@@ -2,6 +2,7 @@
 
 import pytest
 
+from factloom.operators import provenance
 from factloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +25,13 @@ def run(spark, name):
 @pytest.mark.parametrize("name", ["f06_activity_after", "g01_longest_path_depth", "f06_activity_waves", "f05_order_activities", "f05_order_shuffled"])
 def test_activities_are_not_broadcast(spark, no_broadcast, name):
     run(spark, name)
+
+
+def test_frames_are_not_broadcast(spark, rows, no_broadcast):
+    ops = rows("notebook int, seq bigint, out_frame string, verb string, left_frame string, right_frame string",
+               [(n, i, f"f{i}", "select" if i % 2 else "join", f"f{i - 1}", None if i % 2 else "f0") for n in range(3) for i in range(1, 5)])
+    args = rows("notebook int, seq bigint, pos int, out_name string, input_cols array<string>, transform string, role string",
+                [(n, i, 1, "a", ["a"], None, "col") for n in range(3) for i in (1, 3)])
+    base = rows("notebook int, frame string, pos bigint, col_name string, src_ref string, src_column string, transform string",
+                [(n, "f0", p, c, "t", c, None) for n in range(3) for p, c in ((1, "a"), (2, "b"))])
+    assert provenance.resolve_frames(ops, args, base).count() == 3 * (2 + 1 + 2 + 1 + 2)
