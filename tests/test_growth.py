@@ -27,6 +27,14 @@ def test_activities_are_not_broadcast(spark, no_broadcast, name):
     run(spark, name)
 
 
+def test_views_are_not_broadcast(rows, no_broadcast):
+    views = rows("notebook int, view_name string, col_name string, src_kind string, src_name string, src_column string, transform string",
+                 [(n, f"v{k}", "c", "view" if k else "table", f"v{k - 1}" if k else "t", "c", None) for n in range(3) for k in range(4)])
+    writes = rows("notebook int, seq bigint, frame string, target string", [(n, 1, "v3", "ws/lh/out") for n in range(3)])
+    frames = provenance.flatten_views(views).withColumnRenamed("view_name", "frame")
+    assert provenance.write_flows(writes, frames, views).count() == 3
+
+
 def test_frames_are_not_broadcast(spark, rows, no_broadcast):
     ops = rows("notebook int, seq bigint, out_frame string, verb string, left_frame string, right_frame string",
                [(n, i, f"f{i}", "select" if i % 2 else "join", f"f{i - 1}", None if i % 2 else "f0") for n in range(3) for i in range(1, 5)])
