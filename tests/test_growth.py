@@ -27,6 +27,10 @@ def test_activities_are_not_broadcast(spark, no_broadcast, name):
     run(spark, name)
 
 
+def test_merge_sources_are_not_broadcast(spark, no_broadcast):
+    run(spark, "e20_merge_star_flows")
+
+
 def test_views_are_not_broadcast(rows, no_broadcast):
     views = rows("notebook int, view_name string, col_name string, src_kind string, src_name string, src_column string, transform string",
                  [(n, f"v{k}", "c", "view" if k else "table", f"v{k - 1}" if k else "t", "c", None) for n in range(3) for k in range(4)])
