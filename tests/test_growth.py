@@ -1,6 +1,7 @@
 """What may not grow on the driver or in one task when the tables grow."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import provenance
 from factloom.plans import registry
@@ -47,3 +48,14 @@ def test_frames_are_not_broadcast(spark, rows, no_broadcast):
     base = rows("notebook int, frame string, pos bigint, col_name string, src_ref string, src_column string, transform string",
                 [(n, "f0", p, c, "t", c, None) for n in range(3) for p, c in ((1, "a"), (2, "b"))])
     assert provenance.resolve_frames(ops, args, base).count() == 3 * (2 + 1 + 2 + 1 + 2)
+
+
+def test_tasks_follow_the_frames(rows, monkeypatch):
+    monkeypatch.setattr(provenance, "ROWS", 10)
+    frames = rows("notebook int, frame string, pos bigint, col_name string, src_ref string, src_column string, transform string",
+                  [(n, "L", 1, "a", "t", "a", None) for n in range(400)])
+    ops = rows("notebook int, seq bigint, out_frame string, verb string, left_frame string, right_frame string", [(n, 1, "O", "filter", "L", None) for n in range(400)])
+    args = rows("notebook int, seq bigint, pos int, out_name string, input_cols array<string>, transform string, role string", [])
+    made = provenance.apply_ops(ops, args, frames).withColumn("task", F.spark_partition_id())
+    assert made.count() == 400
+    assert made.select("task").distinct().count() > 20
