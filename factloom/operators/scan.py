@@ -23,7 +23,7 @@ CELL = ["run_id", "cell_index"]
 
 def strip_imports(source: Column) -> Column:
     """Source without import heads, which would read as ``FROM x``."""
-    return F.regexp_replace(source, fixed.IMPORT_LINE, "")
+    return F.when(F.contains(source, F.lit("import")), F.regexp_replace(source, fixed.IMPORT_LINE, "")).otherwise(source)
 
 
 def pattern_matches(source: Column, patterns: list[tuple[str, str]]) -> Column:
@@ -44,32 +44,40 @@ def pattern_matches(source: Column, patterns: list[tuple[str, str]]) -> Column:
     return F.array_distinct(refs.let(source, found))
 
 
-def _scan(cell: DataFrame, patterns: list[str], mode: str) -> DataFrame:
-    raw = cell.select(*CELL, F.explode(pattern_matches(strip_imports(F.col("source")), patterns)).alias("raw"))
-    return raw.select(*CELL, "raw", F.lit(mode).alias("mode"))
+def _each(df: DataFrame, keys: list[str | Column], values: Column, name: str) -> DataFrame:
+    """A row per element of ``values`` that is not null; ``values`` is computed once per row.
 
 
-def _qualified(raw: DataFrame, workspace, lakehouse) -> DataFrame:
-    """Adds the canonical ref; a blank leaf is dropped. Distinct within a cell."""
-    named = raw.withColumn("ref", refs.qualify(F.col("raw"), workspace, lakehouse))
-    return named.filter(~F.endswith("ref", F.lit("/")))
+    The optimizer puts a filter on the array before a plain ``explode``, which matches all patterns a second and a third time.
+    """
+    return df.select(*keys, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
+
+
+def _refs(raws: Column, workspace, lakehouse) -> Column:
+    """The canonical refs of raw names; a blank leaf is dropped."""
+    named = F.transform(raws, lambda raw: refs.qualify(raw, workspace, lakehouse))
+    return F.filter(named, lambda ref: ~F.endswith(ref, F.lit("/")))
+
+def _scan(cell: DataFrame, patterns: list[str], workspace, lakehouse) -> DataFrame:
+    raws = pattern_matches(strip_imports(F.col("source")), patterns)
+    return _each(cell, CELL, F.array_distinct(_refs(raws, workspace, lakehouse)), "ref").distinct()
 
 
 def scan_reads(cell: DataFrame, workspace="", lakehouse="") -> DataFrame:
     """Tables each cell reads, by six text patterns."""
-    return _qualified(_scan(cell, fixed.READ_PATTERNS, "read"), workspace, lakehouse).select(*CELL, "ref").distinct()
+    return _scan(cell, fixed.READ_PATTERNS, workspace, lakehouse)
 
 
 def scan_writes(cell: DataFrame, workspace="", lakehouse="") -> DataFrame:
     """Tables each cell writes, by nine text patterns."""
-    return _qualified(_scan(cell, fixed.WRITE_PATTERNS, "write"), workspace, lakehouse).select(*CELL, "ref").distinct()
+    return _scan(cell, fixed.WRITE_PATTERNS, workspace, lakehouse)
 
 
 def scan_temp_views(cell: DataFrame) -> DataFrame:
     """Names each run registers as temp views, by DataFrame verb or by SQL."""
     names = pattern_matches(F.col("source"), [("temp", fixed.VIEW_VERB_CALL), ("temp", fixed.TEMP_VIEW_SQL)])
     return (
-        cell.select("run_id", F.explode(names).alias("raw"))
+        _each(cell, ["run_id"], names, "raw")
         .select("run_id", refs.normalise_view_name(F.col("raw")).alias("view"))
         .filter("view IS NOT NULL")
         .distinct()
@@ -80,8 +88,7 @@ def _cte_names(cell: DataFrame) -> DataFrame:
     """Names a cell's own SQL defines with WITH: no more tables than views are."""
     names = F.regexp_extract_all("source", F.lit(r"(?iU)(?:\bWITH\s+(?:RECURSIVE\s+)?|,\s*)(\w+)\s+AS\s*\("), F.lit(1))
     return (
-        cell.filter(F.rlike("source", F.lit(r"(?i)\bWITH\b")))
-        .select(*CELL, F.explode(names).alias("raw"))
+        _each(cell.filter(F.rlike("source", F.lit(r"(?i)\bWITH\b"))), CELL, names, "raw")
         .select(*CELL, F.lower("raw").alias("name"))
         .distinct()
     )
@@ -93,20 +100,16 @@ def cell_access(cell: DataFrame, workspace="", lakehouse="") -> DataFrame:
     Both pattern lists are matched in one pass over the text; the joins that
     follow carry names only, never source text.
     """
-    text = strip_imports(F.col("source"))
-    found = F.array(
-        F.struct(F.lit("read").alias("mode"), pattern_matches(text, fixed.READ_PATTERNS).alias("raws")),
-        F.struct(F.lit("write").alias("mode"), pattern_matches(text, fixed.WRITE_PATTERNS).alias("raws")),
-    )
-    raw = (
-        cell.select(*CELL, F.explode(found).alias("f"))
-        .select(*CELL, "f.mode", F.explode("f.raws").alias("raw"))
-        .withColumn("_key", refs.normalise_view_name(F.col("raw")))
-    )
+    def found(mode, patterns):
+        return lambda text: F.transform(pattern_matches(text, patterns), lambda raw: F.struct(F.lit(mode).alias("mode"), raw.alias("raw")))
+
+    named = refs.let(strip_imports(F.col("source")), lambda text: F.concat(
+        found("read", fixed.READ_PATTERNS)(text), found("write", fixed.WRITE_PATTERNS)(text)))
+    raw = _each(cell, CELL, named, "f").select(*CELL, "f.mode", "f.raw").withColumn("_key", refs.normalise_view_name(F.col("raw")))
     views = scan_temp_views(cell).select("run_id", F.col("view").alias("_key"))
     ctes = _cte_names(cell).select(*CELL, F.col("name").alias("_key"))
     tables = raw.join(views, ["run_id", "_key"], "left_anti").join(ctes, [*CELL, "_key"], "left_anti")
-    return _qualified(tables, workspace, lakehouse).select(*CELL, "mode", "ref").distinct()
+    return _each(tables, [*CELL, "mode"], _refs(F.array("raw"), workspace, lakehouse), "ref").distinct()
 
 
 def is_sql_magic(source: Column) -> Column:
@@ -205,7 +208,7 @@ def scan_cell_flags(cell: DataFrame) -> DataFrame:
             found = pd.DataFrame([flags(s or "") for s in batch["source"]], columns=schema.names[2:], index=batch.index)
             yield pd.concat([batch[CELL], found], axis=1)
 
-    return cell.select(*CELL, "source").mapInPandas(scan, schema)
+    return cell.select(*CELL, "source").mapInArrow(scan, schema)
 
 
 def coverage_counts(flags: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """What may not grow on the driver or in one task when the tables grow."""
 
+import ast
+
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import provenance
-from factloom.plans import registry
+from factloom.operators import graph, provenance, reports, scan
+from factloom.plans import fixtures, registry
 
 SF = "/root/testdata/sf0.001"
 QUERIES = registry.queries()
@@ -59,3 +61,19 @@ def test_tasks_follow_the_frames(rows, monkeypatch):
     made = provenance.apply_ops(ops, args, frames).withColumn("task", F.spark_partition_id())
     assert made.count() == 400
     assert made.select("task").distinct().count() > 20
+
+
+def plan(df, physical=False):
+    run = df._jdf.queryExecution()
+    return (run.executedPlan() if physical else run.optimizedPlan()).toString()
+
+
+CELLS = ("run_id int, cell_index int, source string", [(1, 0, "df.write.saveAsTable('a')"), (1, 1, "spark.table('b')")])
+
+
+def test_writes_of_a_cell_are_matched_once(rows):
+    assert plan(scan.scan_writes(rows(*CELLS))).count("saveAsTable") == 1
+
+
+def test_accesses_of_a_cell_are_matched_once(rows):
+    assert plan(scan.cell_access(rows(*CELLS))).count("saveAsTable") == 1
