@@ -11,6 +11,7 @@ import ast
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,7 +48,6 @@ def pattern_matches(source: Column, patterns: list[tuple[str, str]]) -> Column:
 def _each(df: DataFrame, keys: list[str | Column], values: Column, name: str) -> DataFrame:
     """A row per element of ``values`` that is not null; ``values`` is computed once per row.
 
-
     The optimizer puts a filter on the array before a plain ``explode``, which matches all patterns a second and a third time.
     """
     return df.select(*keys, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
@@ -58,6 +58,7 @@ def _refs(raws: Column, workspace, lakehouse) -> Column:
     named = F.transform(raws, lambda raw: refs.qualify(raw, workspace, lakehouse))
     return F.filter(named, lambda ref: ~F.endswith(ref, F.lit("/")))
 
+
 def _scan(cell: DataFrame, patterns: list[str], workspace, lakehouse) -> DataFrame:
     raws = pattern_matches(strip_imports(F.col("source")), patterns)
     return _each(cell, CELL, F.array_distinct(_refs(raws, workspace, lakehouse)), "ref").distinct()
@@ -124,14 +125,26 @@ def sql_magic_body(source: Column) -> Column:
 # -- cells as Python -----------------------------------------------------------
 
 
-def _calls(source: str):
-    """Every call in a cell, or None when the cell is not Python."""
+def _parsed(source: str) -> ast.AST | None:
+    """The cell as a tree, or None when it is not Python."""
     try:
-        return [node for node in ast.walk(ast.parse(source)) if isinstance(node, ast.Call)]
+        return ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
 
 
+def _calls(tree: ast.AST) -> list[ast.Call]:
+    """Every call of a tree, level by level as ``ast.walk`` goes, in half its time."""
+    todo = [tree]
+    for node in todo:
+        for value in map(node.__dict__.get, node._fields):
+            if isinstance(value, ast.AST):
+                todo.append(value)
+            elif isinstance(value, list):
+                todo += [item for item in value if isinstance(item, ast.AST)]
+    return [node for node in todo if isinstance(node, ast.Call)]
+
+
 def _sql_argument(call: ast.Call):
     """First argument of a ``.sql(...)`` call, or None for any other call."""
     if isinstance(call.func, ast.Attribute) and call.func.attr == "sql" and call.args:
@@ -156,7 +169,8 @@ def sql_statements(cell: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for run_id, cell_index, source in zip(batch["run_id"], batch["cell_index"], batch["source"]):
-                found = [_literal(a) for a in map(_sql_argument, _calls(source) or []) if a is not None]
+                tree = _parsed(source)
+                found = [_literal(a) for a in map(_sql_argument, _calls(tree) if tree else []) if a is not None]
                 rows += [(run_id, cell_index, pos, text) for pos, text in enumerate(t for t in found if t is not None)]
             yield pd.DataFrame(rows, columns=[*CELL, "pos", "statement"])
 
@@ -193,20 +207,28 @@ def scan_cell_flags(cell: DataFrame) -> DataFrame:
         "unparsable": F.lit(True), "magic": F.lit(True),
     }).schema
 
+    # What a call must name to count; other spellings of an identifier need letters beyond ASCII.
+    words = re.compile("sql|write|" + "|".join(fixed.TARGET_VERBS))
+
     def flags(source: str):
         if any_magic.match(source):
             return int(bool(sql_magic.match(source))), False, False, False, True
-        calls = _calls(source)
-        if calls is None:
+        tree = _parsed(source)
+        if tree is None:
             return 0, False, False, True, False
+        if source.isascii() and not words.search(source):
+            return 0, False, False, False, False
+        calls = _calls(tree)
         arguments = [a for a in map(_sql_argument, calls) if a is not None]
         literals = [a for a in arguments if _literal(a) is not None]
         return len(literals), any(map(_writes_frame, calls)), len(literals) < len(arguments), False, False
 
     def scan(batches):
         for batch in batches:
-            found = pd.DataFrame([flags(s or "") for s in batch["source"]], columns=schema.names[2:], index=batch.index)
-            yield pd.concat([batch[CELL], found], axis=1)
+            found = [flags(source or "") for source in batch.column("source").to_pylist()]
+            kinds = [pa.int64()] + [pa.bool_()] * 4
+            columns = [pa.array(values, kind) for values, kind in zip(zip(*found) if found else [[]] * 5, kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in CELL), *columns], names=schema.names)
 
     return cell.select(*CELL, "source").mapInArrow(scan, schema)
 
@@ -305,10 +327,9 @@ def statement_reads(statements: DataFrame, views: DataFrame, workspace="", lakeh
     """
     parsed = statements.select("run_id", "pos", "statement", classify_statement(F.col("statement")).alias("c")).filter(
         "c.kind IN ('update', 'delete')")
-    raw = parsed.select(
-        "run_id", "pos", refs.qualify(F.col("c.target"), workspace, lakehouse).alias("_target"),
-        F.explode(pattern_matches(F.col("statement"), fixed.READ_PATTERNS)).alias("raw"),
-    ).withColumn("view", refs.normalise_view_name(F.col("raw")))
+    raw = _each(
+        parsed, ["run_id", "pos", refs.qualify(F.col("c.target"), workspace, lakehouse).alias("_target")],
+        pattern_matches(F.col("statement"), fixed.READ_PATTERNS), "raw").withColumn("view", refs.normalise_view_name(F.col("raw")))
     known = raw.join(views, ["run_id", "view"], "left").join(
         views.select("run_id", "view").distinct().withColumn("_is_view", F.lit(True)), ["run_id", "view"], "left")
     ref = F.when(F.col("_is_view"), F.col("base_ref")).otherwise(refs.qualify(F.col("raw"), workspace, lakehouse))

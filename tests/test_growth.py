@@ -77,3 +77,8 @@ def test_writes_of_a_cell_are_matched_once(rows):
 
 def test_accesses_of_a_cell_are_matched_once(rows):
     assert plan(scan.cell_access(rows(*CELLS))).count("saveAsTable") == 1
+
+
+def test_calls_of_a_cell_are_found_in_the_order_of_a_walk():
+    tree = ast.parse("a(b(c), *[d(e) for f in g()])\n@h(1)\ndef i(j=k()):\n    return f'{l(m):{n()}}'\nclass o(p()): q = lambda: r()")
+    assert scan._calls(tree) == [node for node in ast.walk(tree) if isinstance(node, ast.Call)]
