@@ -82,3 +82,14 @@ def test_accesses_of_a_cell_are_matched_once(rows):
 def test_calls_of_a_cell_are_found_in_the_order_of_a_walk():
     tree = ast.parse("a(b(c), *[d(e) for f in g()])\n@h(1)\ndef i(j=k()):\n    return f'{l(m):{n()}}'\nclass o(p()): q = lambda: r()")
     assert scan._calls(tree) == [node for node in ast.walk(tree) if isinstance(node, ast.Call)]
+
+
+def test_stages_read_the_accesses_once(rows):
+    access = rows("run_id int, mode string, ref string, seq bigint", [(1, "read", "w/bronze/t", 1), (1, "write", "w/gold/t", 2), (1, "write", "w/silver/t", 3)])
+    staged = graph.stage_of(access, ["run_id"])
+    assert "parquet" in plan(staged) and "RDD" not in plan(staged)
+    assert {(r["id"], r["rank"], r["at"]) for r in staged.collect()} == {("step", 5, -1), ("w/bronze/t", 3, 1), ("w/gold/t", 5, 2), ("w/silver/t", 4, 3)}
+
+
+def test_touches_are_written_once(spark):
+    assert "md5" not in plan(fixtures.Facts(spark, SF)("fx_touch"))
