@@ -93,3 +93,10 @@ def test_stages_read_the_accesses_once(rows):
 
 def test_touches_are_written_once(spark):
     assert "md5" not in plan(fixtures.Facts(spark, SF)("fx_touch"))
+
+
+def test_flows_are_grouped_in_one_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "ROWS", 1000)
+    facts = fixtures.Facts(spark, SF)
+    made = plan(facts.sql(fixtures.SQL["fx_column_flow"]), physical=True)
+    assert made.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in made
