@@ -5,7 +5,7 @@ import ast
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import graph, provenance, reports, scan
+from factloom.operators import graph, provenance, scan
 from factloom.plans import fixtures, registry
 
 SF = "/root/testdata/sf0.001"
@@ -100,3 +100,12 @@ def test_flows_are_grouped_in_one_shuffle(spark, monkeypatch):
     facts = fixtures.Facts(spark, SF)
     made = plan(facts.sql(fixtures.SQL["fx_column_flow"]), physical=True)
     assert made.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in made
+
+
+def test_depth_reads_written_touches(spark, monkeypatch):
+    """Nodes and edges of the owners' graph come from one grouping of the touches."""
+    given = []
+    depth = graph.longest_path_depth
+    monkeypatch.setattr(graph, "longest_path_depth", lambda nodes, edges, by: given.append(edges) or depth(nodes, edges, by))
+    QUERIES["g12_owner_order"](spark, SF)
+    assert "Aggregate" not in plan(given[0])
