@@ -1,5 +1,6 @@
 import pytest
 
+from factloom.operators import provenance
 from factloom.plans import fixtures, registry
 
 DATA = "/root/testdata/sf0.001"
@@ -26,7 +27,7 @@ def moved(plan):
     return [line for line in plan.splitlines() if "Exchange hashpartitioning(run" in line]
 
 
-@pytest.mark.parametrize("name", ["h01_table_coverage", "h04_lineage_gaps", "i1_entities"])
+@pytest.mark.parametrize("name", ["h01_table_coverage", "h04_lineage_gaps", "i1_entities", "e25_schema_resolution"])
 def test_facts_of_runs_are_not_shuffled_by_run(plan, name):
     assert not moved(plan(name))
 
@@ -36,3 +37,11 @@ def test_facts_are_made_of_placed_rows_without_another_shuffle(spark, monkeypatc
     for table, value in (("ROWS", 1000), ("_TASKS", {}), ("_WRITTEN", {})):
         monkeypatch.setattr(fixtures, table, value)
     assert not moved(fixtures.Facts(spark, DATA)._derived(name)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_null_refs_meet_no_schema(rows, got):
+    key = "run_id int, ref string"
+    state = provenance.schema_resolution(
+        rows(key, [(1, None), (1, "t"), (1, "u"), (1, "t")]), rows(key, [(1, None), (1, "t")]), rows(key, [(1, None), (1, "u"), (1, "t"), (2, "t")]),
+        rows(f"{key}, failure string", [(1, None, "x"), (1, "u", "z"), (1, "u", "y"), (3, "t", "x")]), ["run_id"])
+    assert got(state) == [(1, "t", "resolved", None), (1, "u", "carried", "y"), (1, None, "unresolved", None)]
