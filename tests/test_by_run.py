@@ -1,6 +1,6 @@
 import pytest
 
-from factloom.operators import provenance
+from factloom.operators import provenance, reports
 from factloom.plans import fixtures, registry
 
 DATA = "/root/testdata/sf0.001"
@@ -32,6 +32,10 @@ def test_facts_of_runs_are_not_shuffled_by_run(plan, name):
     assert not moved(plan(name))
 
 
+def test_answers_keep_accesses_in_their_tasks(plan):
+    assert not moved(plan("h14_answers", large=False))
+
+
 @pytest.mark.parametrize("name", ["fx_access", "fx_table_schema", "fx_touch"])
 def test_facts_are_made_of_placed_rows_without_another_shuffle(spark, monkeypatch, name):
     for table, value in (("ROWS", 1000), ("_TASKS", {}), ("_WRITTEN", {})):
@@ -39,6 +43,12 @@ def test_facts_are_made_of_placed_rows_without_another_shuffle(spark, monkeypatc
     assert not moved(fixtures.Facts(spark, DATA)._derived(name)._jdf.queryExecution().executedPlan().toString())
 
 
+def test_flows_count_only_where_their_run_wrote(rows, got):
+    flow = rows("run_id int, seq int, to_table string, from_table string", [(1, 1, "t", "a"), (1, 2, "u", "a"), (2, 1, "t", "b"), (1, 3, None, "a"), (1, 1, "t", "a")])
+    access = rows("run_id int, ref string, mode string", [(1, "t", "write"), (1, "u", "read"), (2, "u", "write"), (1, None, "write"), (1, "t", "write")])
+    assert got(reports._to_written(flow, access)) == [(1, 1, "t", "a"), (1, 1, "t", "a")]
+
+
 def test_null_refs_meet_no_schema(rows, got):
     key = "run_id int, ref string"
     state = provenance.schema_resolution(
