@@ -15,6 +15,15 @@ from factloom.session import cut_lineage, exists
 FILE_BYTES = 256 << 20
 
 
+def _names(rows: DataFrame) -> set[str]:
+    """Files that rows come from, as a manifest names them. Paths are told apart first: no pattern runs for every row."""
+    return {_name(r[0]) for r in rows.select("_file").distinct().collect()}
+
+
+def _name(path: str) -> str:
+    return "/".join(path.rsplit("/", 2)[1:])
+
+
 class FileTable:
     """``path``/data holds files, ``path``/manifest a list of them per version; the greatest version is the table.
 
@@ -54,11 +63,11 @@ class FileTable:
     # -- rows --
 
     def _scan(self, files: list[str]) -> DataFrame:
-        """Rows of some files, with the file and its bytes."""
+        """Rows of some files, with the path of the file and its bytes."""
         if not files:
             return self.spark.createDataFrame([], self.schema).withColumns({"_file": F.lit(""), "_bytes": F.lit(0).cast("bigint")})
         rows = self.spark.read.schema(self.schema).parquet(*(f"{self.path}/data/{f}" for f in files))
-        return rows.select(*self.schema.names, F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)$", 1).alias("_file"), F.col("_metadata.file_size").alias("_bytes"))
+        return rows.select(*self.schema.names, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_bytes"))
 
     def read(self, version: int | None = None) -> DataFrame:
         return self._scan(self.files(version)).select(self.schema.names)
@@ -67,7 +76,7 @@ class FileTable:
         folder = uuid.uuid4().hex
         rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema)).write.parquet(f"{self.path}/data/{folder}")
         written = self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{folder}")
-        return [r[0] for r in written.select(F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)$", 1)).distinct().collect()]
+        return sorted(_names(written.select(F.col("_metadata.file_path").alias("_file"))))
 
     # -- changes, each of which gives the new version --
 
@@ -79,7 +88,7 @@ class FileTable:
         """``touches``: of all rows those concerned; ``rewrite``: the rows of the files that hold any."""
         version = self.version()
         files = self.files(version)
-        touched = {r[0] for r in touches(self._scan(files)).select("_file").distinct().collect()}
+        touched = _names(touches(self._scan(files)))
         rows = rewrite(self._scan(sorted(touched)).select(self.schema.names))
         return self._publish(version + 1, [f for f in files if f not in touched] + self._write(rows))
 
@@ -100,7 +109,7 @@ class FileTable:
         version = self.version()
         files = self.files(version)
         small = self._scan(files).select("_file", "_bytes").distinct().filter(F.col("_bytes") * 2 < file_bytes)
-        found = {r[0]: r[1] for r in small.collect()}
+        found = {_name(r[0]): r[1] for r in small.collect()}
         if len(found) < 2:
             return version
         rows = self._scan(sorted(found)).select(self.schema.names).repartition(-(-sum(found.values()) // file_bytes))
