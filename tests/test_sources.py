@@ -206,3 +206,14 @@ def test_a_stored_variant_is_parsed_once_and_filtered_in_the_scan(spark, rows, t
 def test_unknown_format_is_refused(spark):
     with pytest.raises(ValueError, match="unknown format"):
         tables.read_table(spark, "x", "sas")
+
+
+def test_a_model_is_written_in_small_files(spark, rows, tmp_path, got):
+    """Lines repeat long names: what lies on disk is a small part of them."""
+    frame = spark.range(20000).selectExpr("id DIV 10 AS run_id", "concat('col:ws0/lh_bronze/t', id % 12, ':c', id % 7) AS id")
+    tables.write_model(frame, frame, frame, frame, str(tmp_path))
+    for name in ("entity", "entity_child", "transition", "root"):
+        found = spark.read.schema(frame.schema).json(f"{tmp_path}/{name}")
+        assert got(found) == got(frame)
+        size = sum(f.stat().st_size for f in (tmp_path / name).iterdir())
+        assert size * 4 < frame.selectExpr("sum(length(to_json(struct(*))))").first()[0]
