@@ -55,3 +55,8 @@ def test_null_refs_meet_no_schema(rows, got):
         rows(key, [(1, None), (1, "t"), (1, "u"), (1, "t")]), rows(key, [(1, None), (1, "t")]), rows(key, [(1, None), (1, "u"), (1, "t"), (2, "t")]),
         rows(f"{key}, failure string", [(1, None, "x"), (1, "u", "z"), (1, "u", "y"), (3, "t", "x")]), ["run_id"])
     assert got(state) == [(1, "t", "resolved", None), (1, "u", "carried", "y"), (1, None, "unresolved", None)]
+
+
+def test_report_lines_are_made_where_the_run_lies(plan):
+    made = plan("h21_run_markdown")
+    assert "Exchange" not in made and "Join" not in made

@@ -186,3 +186,52 @@ def test_answers_from_batches_in_any_order_equal_those_from_all_runs(spark, rows
     before = {kind: set(table.files()) for kind, table in store.tables.items()}
     store.add(**{name: frame.limit(0) for name, frame in facts.items()})
     assert {kind: set(table.files()) for kind, table in store.tables.items()} == before and asked() == want
+
+
+@pytest.fixture
+def markdown(rows):
+    """Facts of odd runs: a step twice, one without name or place, flows of no step, gaps of no run, a table touched twice."""
+    steps = rows("run_id int, seq int, name string, status string, error string, engine string", [
+        (1, 1, "a", "ok", None, "stub"), (1, 2, "b", "error", "bad", "spark"), (1, 2, "c", "ok", "", "stub"), (1, 3, None, "ok", None, ""),
+        (2, 7, "z", "ok", None, None), (2, None, "n", "ok", None, "late"), (3, 1, "x", "ok", None, ""), (None, 1, "o", "ok", None, "stub")])
+    access = rows("run_id int, seq int, mode string, ref string, touched int", [
+        (1, 1, "read", "w/l/late", 3), (1, 1, "read", "w/l/t", 2), (1, 1, "read", "v/l/t", 1), (1, 1, "read", "w/l/late", 1), (1, 1, "write", None, 1),
+        (1, 2, "write", "plain", 1), (2, None, "read", "w/l/lost", 1), (9, 1, "read", "w/l/lost", 1), (None, 1, "read", "w/l/lost", 1)])
+    flow = rows("run_id int, seq int, pos int, to_table string, to_column string, from_table string, from_column string", [
+        (1, 2, 1, "w/l/t", "c", "w/l/u", "d"), (1, 2, 2, "w/l/t", "e", None, "d"), (1, 3, 1, "w/l/t", "c", "", "d"),
+        (2, 8, 1, "w/l/t", "c", None, "d"), (2, None, 1, "w/l/t", "c", None, "d"), (None, 1, 1, "w/l/t", "c", None, "d")])
+    gaps = rows("run_id int, seq int, ref string, level string, reason string", [
+        (1, 2, "w/l/t", "bare", ""), (1, None, "w/l/u", None, "why"), (8, 1, "w/l/t", "bare", "why"), (None, 1, "w/l/t", "bare", None)])
+    return steps, access, flow, gaps
+
+
+def test_report_of_odd_runs(markdown):
+    lines = [tuple(r) for r in reports.run_markdown(*markdown).collect()]
+    of = lambda run, section: [r[4] for r in sorted((r for r in lines if r[:2] == (run, section)), key=lambda r: (r[2] is not None, r[2] or 0, r[3] is not None, r[3] or 0, r[4] or ""))]
+    assert of(1, 0) == ["# Sandbox run", "", "Analysed 4 steps with the stub and spark engine.", ""]
+    assert of(1, 1) == [
+        "## Steps", "", "1. **a** — ok", "   - reads: late, t, t", "   - writes: none", "2. **b** — error: bad", "   - reads: none", "   - writes: plain",
+        "3. **c** — ok", "   - reads: none", "   - writes: plain", None, "   - reads: none", "   - writes: none", ""]
+    assert of(1, 2) == [
+        "## Column lineage", "", "| to | from | via |", "| --- | --- | --- |",
+        "| t.c | u.d | b |", "| t.c | u.d | c |", "| t.e | d | b |", "| t.e | d | c |", None, ""]
+    assert of(1, 3) == ["## Gaps", "", "- **t** — no column lineage resolved", "- **u** — why", ""]
+    assert of(2, 0)[2] == "Analysed 2 steps with the late engine." and of(None, 0)[2] == "Analysed 1 step."
+    assert of(2, 1)[2:-1] == ["1. **n** — ok", "   - reads: none", "   - writes: none", "2. **z** — ok", "   - reads: none", "   - writes: none"]
+    assert of(2, 2) == of(3, 2) == of(None, 2) == ["## Column lineage", "", "None resolved. See the gaps below for why.", ""]
+    assert of(2, 3)[2] == of(3, 3)[2] == "Every table the run wrote has column-level lineage."
+    assert of(8, 3) == ["- **t** — why"] and len([r for r in lines if r[0] in (8, 9)]) == 1
+    assert of(None, 3)[2:4] == ["Every table the run wrote has column-level lineage.", "- **t** — no column lineage resolved"]
+
+
+@pytest.mark.parametrize("long", [0, 1, 3, 6])
+def test_long_reports_are_the_same(markdown, got, monkeypatch, long):
+    short = got(reports.run_markdown(*markdown))
+    monkeypatch.setattr(reports, "LONG", long)
+    assert got(reports.run_markdown(*markdown)) == short
+
+
+def test_lines_are_made_by_compiled_code(markdown):
+    """A lambda in what is exploded would leave it."""
+    above = reports.run_markdown(*markdown)._jdf.queryExecution().optimizedPlan().toString().split("Window")[0]
+    assert "inline(" in above and "lambdafunction" not in above
