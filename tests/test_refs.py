@@ -93,3 +93,10 @@ def test_names_resolve_without_losing_unknown_guids(rows, got):
     df = rows("raw string", [("abfss://AA@h/BB/Tables/t",), ("AA.BB.t",)])
     names = rows("guid string, name string", [("aa", "Sales/EU")])
     assert got(refs.qualify_refs(df, "raw", names), "ref") == [("AA/BB/t",), ("Sales%2FEU/BB/t",)]
+
+
+def test_label_is_all_after_the_second_slash(rows):
+    named = {"w/l/t": "t", "w/l/a/b": "a/b", "w/l/": "w/l/", "l/t": "t", "t": "t", "l/": "l/", "//x": "x", "//": "//", "": "", "w/l/a%2Fb%25": "a/b%", None: None}
+    made = rows("ref string", [(ref,) for ref in named]).withColumn("label", refs.ref_label(F.col("ref")))
+    assert {r["ref"]: r["label"] for r in made.collect()} == named
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("substring_index(ref") <= 3
