@@ -56,16 +56,15 @@ def dataset_refs(activity: DataFrame, name_map: DataFrame, default_workspace="")
 
 
 def copy_access(activity: DataFrame, default_workspace="") -> DataFrame:
-    """Reads and writes of Copy activities; dataset names stand in for an unnamed side."""
-    copies = activity.filter(F.lower("type") == "copy")
-
+    """Reads and writes of Copy activities, both in one pass; dataset names stand in for an unnamed side."""
     def side(ref, listed, mode):
         names = F.transform(F.filter(F.col(listed), lambda d: _blank(d["referenceName"]) != ""),
                             lambda d: refs.make_ref(F.btrim(d["referenceName"]), "", default_workspace))
-        found = F.when(F.col(ref).isNotNull(), F.array(ref)).otherwise(names)
-        return copies.select(*KEY, "name", F.lit(mode).alias("mode"), F.explode(found).alias("ref"))
+        found = F.when(F.col(ref).isNotNull(), F.array(ref)).otherwise(F.coalesce(names, F.array().cast("array<string>")))
+        return F.transform(found, lambda name: F.struct(F.lit(mode).alias("mode"), name.alias("ref")))
 
-    return side("source_ref", "inputs", "read").unionByName(side("sink_ref", "outputs", "write"))
+    copies = activity.filter(F.lower("type") == "copy")
+    return copies.select(*KEY, "name", F.inline(F.concat(side("source_ref", "inputs", "read"), side("sink_ref", "outputs", "write"))))
 
 
 def copy_lineage(activity: DataFrame) -> DataFrame:

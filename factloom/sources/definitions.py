@@ -31,7 +31,7 @@ def read_definitions(parts: DataFrame) -> DataFrame:
     text = F.make_valid_utf8(F.try_to_binary("payload", F.lit("base64")).cast("string"))  # a bad byte becomes a replacement character
     document = F.from_json("_text", f"properties struct<activities:array<{_ACTIVITY}>>, activities array<{_ACTIVITY}>")
     nested = F.get_json_object("_text", "$.properties")
-    has_properties = nested.isNotNull() & ~F.rlike(nested, F.lit(r"^\{\s*\}$"))
+    has_properties = ~F.coalesce(F.rlike(nested, F.lit(r"^\{\s*\}$")), F.lit(True))  # named once: each mention reads the whole text
     activities = F.when(has_properties, F.col("_doc.properties.activities")).otherwise(F.col("_doc.activities"))
     depends = F.transform("a.dependsOn", lambda d: F.when(F.ltrim(d).startswith("{"), F.get_json_object(d, "$.activity")).otherwise(d))
     return (

@@ -5,6 +5,7 @@ import ast
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import refs
 from factloom.operators import graph, provenance, scan
 from factloom.plans import fixtures, registry
 
@@ -71,6 +72,37 @@ def plan(df, physical=False):
 CELLS = ("run_id int, cell_index int, source string", [(1, 0, "df.write.saveAsTable('a')"), (1, 1, "spark.table('b')")])
 
 
+def test_names_are_sent_once_and_definitions_read_once(spark):
+    made = plan(QUERIES["f01_copy_access"](spark, SF), physical=True)
+    assert "explode(" not in made.replace("posexplode(", "")  # of names, for places that rows which stay where they are do not have
+    assert made.count("BroadcastHashJoin") == 4 and made.count("from_json(") == 1 and made.count("get_json_object(_text") == 1
+
+
+GUIDS = [("AA", None), ("bb", "aa"), (None, " "), ("", "cc"), ("zz", "AA"), ("aa", "Aa")] * 20
+NAMES = [("aa", "Sales"), ("BB", "Finance/EU"), ("cc", None), ("dd", "x"), ("dd", "y"), ("", "blank"), (" ", "space"), (None, "none")]
+
+
+def test_large_name_maps_are_not_broadcast(rows, got, no_broadcast):
+    df, names = rows("id int, w string, l string", [(i, *g) for i, g in enumerate(GUIDS)]), rows("guid string, name string", NAMES)
+    want = {"AA": "Sales", "aa": "Sales", "Aa": "Sales", "bb": "Finance/EU"}
+    found = got(refs.resolve_ids(df, names, ["w", "l"], held=0))
+    assert found == sorted([(i, *[want.get(x, x) for x in g]) for i, g in enumerate(GUIDS)], key=repr)
+
+
+def test_both_ways_to_resolve_ids_give_the_same_rows(rows, got):
+    df, names = rows("id int, w string, l string", [(i, *g) for i, g in enumerate([*GUIDS, ("dd", "DD")])]), rows("guid string, name string", NAMES)
+    found = got(refs.resolve_ids(df, names, ["w", "l"]))
+    assert len(found) == len(GUIDS) + 4 and found == got(refs.resolve_ids(df, names, ["w", "l"], held=0))
+
+
+def test_small_files_of_many_names_are_counted(spark, tmp_path):
+    """A map is small by what it takes in memory, not by its compressed file."""
+    spark.range(20_000).selectExpr("lpad(id, 36, '0') AS guid", "concat('n', id) AS name").coalesce(1).write.parquet(str(tmp_path / "names"))
+    names, df = spark.read.parquet(str(tmp_path / "names")), spark.range(9).selectExpr("lpad(id, 36, '0') AS w")
+    assert "BroadcastHashJoin" in plan(refs.resolve_ids(df, names, ["w"], held=5 << 20), physical=True)
+    assert "Broadcast" not in plan(refs.resolve_ids(df, names, ["w"], held=3 << 20), physical=True)
+
+
 def test_writes_of_a_cell_are_matched_once(rows):
     assert plan(scan.scan_writes(rows(*CELLS))).count("saveAsTable") == 1
 
